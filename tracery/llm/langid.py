@@ -27,11 +27,10 @@ _LETTER = re.compile(r"[^\W\d_]")
 def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams, n = 1..3, and the number of them in each text.
 
-    Texts are lower-cased; every run of characters that are no letters counts as one space, and each text
-    stands between two spaces.
+    Texts are lower-cased; a-z and all characters from U+00C0 on count as letters, every run of others as one
+    space, and each text stands between two spaces.
     """
-    # One pad before each text, two after: windows that start in a text end before the next one's letters.
-    lowered = [f" {x.lower()}  " for x in texts]
+    lowered = [f" {x.lower()} " for x in texts]
     codes = np.frombuffer("".join(lowered).encode("utf-32-le"), dtype=np.uint32)
     if not len(codes):
         return np.empty(0, np.int64), np.zeros(0, np.int64)
@@ -47,10 +46,11 @@ def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     starts = np.searchsorted(place, owner_start)
     n = np.diff(np.append(starts, len(codes)))
     a = codes * np.uint32(0x9E3779B1)
-    b = np.zeros_like(a)
-    b[:-1] = (a[:-1] ^ (a[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + codes[1:] * np.uint32(0x9E3779B1)
-    c = np.zeros_like(a)
-    c[:-1] = (b[:-1] ^ (b[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + np.append(codes[2:], np.uint32(32)) * np.uint32(0x9E3779B1)
+    second, third = np.full((2, len(codes)), 32, np.uint32)
+    second[:-1], third[:-2] = codes[1:], codes[2:]
+    third[starts + n - 1] = 32  # the last window of a text would reach the next one's first letter
+    b = (a ^ (a >> np.uint32(15))) * np.uint32(0x85EBCA77) + second * np.uint32(0x9E3779B1)
+    c = (b ^ (b >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + third * np.uint32(0x9E3779B1)
     shift = np.uint32(32 - bits)
     hashed = np.empty((len(codes), 3), np.int64)
     for k, x in enumerate((a, b, c)):
