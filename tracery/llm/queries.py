@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, media, mixing, quality, secrets, syncmers, urls
+from . import langid, licenses, media, mixing, neardup, quality, secrets, syncmers, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op8_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.dedup_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_telephony_audio": op4_telephony_audio,
     "op5_mix_to_weights": op5_mix_to_weights,
     "op7_url_filters": op7_url_filters,
+    "op8_hyperminhash_near_dedup": op8_hyperminhash_near_dedup,
     "op9_license_scans": op9_license_scans,
     "op10_quality_classifier": op10_quality_classifier,
 }
