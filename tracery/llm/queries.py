@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, media, mixing, neardup, quality, secrets, syncmers, urls
+from . import langid, licenses, media, mixing, neardup, pieces, quality, secrets, syncmers, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segment_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_telephony_audio": op4_telephony_audio,
     "op5_mix_to_weights": op5_mix_to_weights,
+    "op6_sampled_pieces": op6_sampled_pieces,
     "op7_url_filters": op7_url_filters,
     "op8_hyperminhash_near_dedup": op8_hyperminhash_near_dedup,
     "op9_license_scans": op9_license_scans,
