@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Levels of a path that the tree has; what is below them stays as its shape.
 DEPTH = 4
 #: A branch is one of many small ones if it has more than so many siblings, and under 1 / so many of their pages.
@@ -45,7 +47,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 def templates(shapes: DataFrame) -> DataFrame:
     """host, shape, template, purity for each (host, shape) of columns host, shape, n, labelled, good."""
     parts = F.split("shape", "/")
-    tree = shapes.withColumn("parts", parts).withColumn("t", F.col("parts")[0])
+    # Each level reads the tree twice: it is written in between, else the plan doubles with every level.
+    tree = staged(shapes.withColumn("parts", parts).withColumn("t", F.col("parts")[0]))
     for level in range(1, DEPTH + 1):
         tree = tree.withColumn("part", F.when(F.size("parts") > level, F.element_at("parts", level + 1)))
         branch = tree.where(F.col("part").isNotNull()).groupBy("host", "t", "part").agg(*(F.sum(c).cast("double").alias(f"b_{c}") for c in ("n", "labelled", "good")))
@@ -57,6 +60,7 @@ def templates(shapes: DataFrame) -> DataFrame:
         alike = off * off <= CHI2 * F.col("b_labelled") * mean * (1 - mean) + 1e-9
         branch = branch.select("host", "t", "part", F.when((F.col("siblings") > 1) & (small | alike), F.lit("*")).otherwise(F.col("part")).alias("own"))
         tree = tree.join(branch, ["host", "t", "part"], "left").withColumn("t", F.when(F.col("part").isNull(), F.col("t")).otherwise(F.concat("t", F.lit("/"), "own"))).drop("part", "own")
+        tree = staged(tree)
     rest = F.when(F.size("parts") > DEPTH + 1, F.concat(F.lit("/"), F.array_join(F.slice("parts", DEPTH + 2, F.size("parts")), "/"))).otherwise(F.lit(""))
     tree = tree.select("host", "shape", F.concat("t", rest).alias("template"), "labelled", "good")
     purest = lambda good, n, prior: (good + PRIOR * prior) / (n + PRIOR)
