@@ -36,7 +36,7 @@ def failures(calls: DataFrame) -> DataFrame:
     """Failures of each session: all, the longest run, the run at the end (Q2)."""
     runs = islands(calls, "failed").groupBy("session_id", "run", "failed").agg(F.count(F.lit(1)).alias("n"))
     last = F.max_by(F.when(F.col("failed"), F.col("n")).otherwise(0), "run")
-    return runs.groupBy("session_id").agg(F.sum(F.when(F.col("failed"), F.col("n")).otherwise(0)).alias("failures"), F.max(F.when(F.col("failed"), F.col("n")).otherwise(0)).alias("longest"), last.alias("trailing"))
+    return runs.groupBy("session_id").agg(F.sum(F.when(F.col("failed"), F.col("n")).otherwise(0)).alias("failures"), F.max(F.when(F.col("failed"), F.col("n")).otherwise(0)).alias("longest"), last.alias("final_streak"))
 
 
 def retries(calls: DataFrame) -> DataFrame:
@@ -116,8 +116,8 @@ def score(signals: DataFrame) -> DataFrame:
 def call_signals(t: Tables) -> DataFrame:
     """Q2 to Q5, Q13 and Q14 for every session of calls; its outcome is errored if it ends in three failures, else completed (Q15)."""
     out = failures(t.calls).join(retries(t.calls), "session_id").join(edit_churn(t.calls), "session_id", "left").join(compactions(t.calls), "session_id", "left").join(runaway(t.calls), "session_id")
-    out = out.na.fill(0, ["churned", "compactions"]).withColumns({"outcome": F.when(F.col("trailing") >= 3, "errored").otherwise("completed"), "confidence": F.lit("medium"), "has_calls": F.lit(True)})
-    return score(out).select("session_id", "failures", "longest", "trailing", "retries", "churned", "compactions", "runaway", "score", "grade")
+    out = out.na.fill(0, ["churned", "compactions"]).withColumns({"outcome": F.when(F.col("final_streak") >= 3, "errored").otherwise("completed"), "confidence": F.lit("medium"), "has_calls": F.lit(True)})
+    return score(out).select("session_id", "failures", "longest", "final_streak", "retries", "churned", "compactions", "runaway", "score", "grade")
 
 
 def grade_distribution(t: Tables) -> DataFrame:

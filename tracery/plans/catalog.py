@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import LENS_SQL, lens
-from . import reports
+from . import reports, signals
 
-FAMILIES = [reports.QUERIES]
+FAMILIES = [reports.QUERIES, signals.QUERIES]
 
 
 def _over_lens(operator: Callable) -> Callable[[SparkSession, str], DataFrame]:
