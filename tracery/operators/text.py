@@ -1,0 +1,239 @@
+"""Trends, search, retrieval and secrets over text messages."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+WORD = "[^a-z0-9]+"
+#: Name, Java pattern, literal that any match holds (lower case), number of the group that is the secret.
+DETECTORS = [
+    ("aws_access_key", r"\b((?:AKIA|ASIA)[A-Z0-9]{16})\b", "", 1),
+    ("github_token", r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b", "gh", 1),
+    ("slack_token", r"\b(xox[abprs]-[A-Za-z0-9-]{10,})", "xox", 1),
+    ("google_api_key", r"\b(AIza[A-Za-z0-9_-]{35})", "aiza", 1),
+    ("stripe_key", r"\b((?:sk|rk)_live_[A-Za-z0-9]{16,})", "_live_", 1),
+    ("openai_key", r"\b(sk-[A-Za-z0-9_-]{20,})", "sk-", 1),
+    ("npm_token", r"\b(npm_[A-Za-z0-9]{36})\b", "npm_", 1),
+    ("jwt", r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", "eyj", 1),
+    ("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", "-----begin", 1),
+    ("url_password", r"://[^/\s:@]+:([^/\s:@]{8,})@", "://", 1),
+    ("assignment", r"(?i)\b(?:password|passwd|secret|token|api_?key)\s*[:=]\s*[\"']?([A-Za-z0-9+/_.=-]{16,})", "", 1),
+]
+RULES_VERSION = "1"
+
+
+def lower_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), WORD), lambda w: w != "")
+
+
+def variants(term: str) -> list[str]:
+    """The term, a plural, and for a silent e its -ing and -ed forms."""
+    out = [term, term + ("es" if term.endswith(("s", "x", "ch", "sh")) else "s")]
+    if term.endswith("e") and len(term) > 3:
+        out += [term[:-1] + "ing", term + "d"]
+    return list(dict.fromkeys(out))
+
+
+def occurrences(text: Column, matchers: list[str]) -> Column:
+    """How many maximal stretches of whole-word matches there are; matches that overlap count once.
+
+    Word-bounded alternatives tried longest first cannot overlap except where one is within another.
+    """
+    pattern = r"(?<![a-z0-9_])(?:" + "|".join(sorted(matchers, key=lambda m: (-len(m), m))) + r")(?![a-z0-9_])"
+    return F.regexp_count(F.lower(text), F.lit(pattern))
+
+
+def trends(turns: DataFrame, terms: list[str]) -> DataFrame:
+    """Occurrences of each term and messages that have it, by ordinal of the turn, zero-filled."""
+    spine = turns.select("ordinal").distinct()
+    counted = [turns.select("ordinal", F.lit(t).alias("term"), occurrences(F.col("content"), variants(t)).alias("n")) for t in terms]
+    rows = counted[0]
+    for more in counted[1:]:
+        rows = rows.unionByName(more)
+    found = rows.where("n > 0").groupBy("ordinal", "term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("messages"))
+    every = spine.select("ordinal", F.explode(F.array(*map(F.lit, terms))).alias("term"))
+    return every.join(found, ["ordinal", "term"], "left").na.fill(0)
+
+
+def search(turns: DataFrame, terms: list[str]) -> DataFrame:
+    """Each session's best message with all terms: the earliest match, then the earliest message."""
+    low = F.lower("content")
+    hits = turns
+    for t in terms:
+        hits = hits.where(F.contains(low, F.lit(t)))
+    hits = hits.withColumn("place", F.least(*(F.instr(low, t) for t in terms)) if len(terms) > 1 else F.instr(low, terms[0]))
+    order = Window.partitionBy("session_id").orderBy("place", "ordinal")
+    return hits.withColumn("turn", F.row_number().over(order)).where("turn = 1").select("session_id", "ordinal", F.col("place").cast("long").alias("place"))
+
+
+def bm25(docs: DataFrame, key: str, text: str, query: list[str], limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The best documents for the query's words by BM25, ties by key (T3). Only postings of the query's words are shuffled."""
+    words = docs.select(F.col(key).alias("key"), lower_words(F.col(text)).alias("w"))
+    stats = words.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("w")).alias("mean"))
+    counted = lambda q: F.struct(F.lit(q).alias("q"), F.size(F.filter("w", lambda x: x == q)).alias("tf"))
+    hits = words.select("key", F.size("w").alias("len"), F.explode(F.array(*map(counted, query))).alias("h")).select("key", "len", "h.q", "h.tf").where("tf > 0")
+    df = hits.groupBy("q").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    part = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    scored = hits.join(F.broadcast(df), "q").join(F.broadcast(stats)).groupBy("key").agg(F.round(F.sum(part), 6).alias("score"))  # df: a row for each word of the query
+    return scored.orderBy(F.desc("score"), "key").limit(limit)
+
+
+def content_search(sources: dict[str, DataFrame], pattern: str, regex: bool = False) -> DataFrame:
+    """source, key of every text that holds the pattern: a literal in any case, or a regular expression with its literal tried first (T4, T5)."""
+    parts = []
+    for name, df in sources.items():
+        test = df["text"].rlike(pattern) if regex else F.contains(F.lower(df["text"]), F.lit(pattern.lower()))
+        parts.append(df.where(test).select(F.lit(name).alias("source"), df["key"].cast("string").alias("key")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def snippets(turns: DataFrame, term: str, margin: int = 60) -> DataFrame:
+    """The text round the first hit in each message, secrets masked before it is cut."""
+    text = redact(F.col("content"))
+    at = F.instr(F.lower(text), term.lower())
+    start = F.greatest(at - margin, F.lit(1))
+    return turns.withColumn("at", at).where("at > 0").select("session_id", "ordinal", F.substring(text, start, at - start + len(term) + margin).alias("snippet"))
+
+
+def units(turns: DataFrame) -> DataFrame:
+    """A user message is a unit; so is a longest run of assistant messages that no visible user message or side-chain change breaks."""
+    own = Window.partitionBy("session_id").orderBy("ordinal")
+    rows = turns.where("not is_system and role in ('user', 'assistant')")
+    new = (F.col("role") == "user") | (F.lag("role").over(own) == "user") | (F.lag("is_sidechain").over(own) != F.col("is_sidechain"))
+    rows = rows.withColumn("unit", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "content"))), lambda x: x["content"]), "\n\n")
+    return rows.groupBy("session_id", "unit").agg(F.first("role").alias("role"), F.first("is_sidechain").alias("is_sidechain"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), joined.alias("text"))
+
+
+def unit_ranges(hits: DataFrame, unit: DataFrame) -> DataFrame:
+    """The unit that holds each hit (session_id, ordinal)."""
+    own = unit.select(F.col("session_id").alias("s"), "first", "last")
+    return hits.join(own, (hits["session_id"] == own["s"]) & hits["ordinal"].between(own["first"], own["last"])).select("session_id", "ordinal", "first", "last")
+
+
+def subordinate(sessions: DataFrame) -> DataFrame:
+    """Sessions that hang below another: subagents and forks, not continuations."""
+    return sessions.select("session_id", F.col("relationship").isin("subagent", "fork").alias("subordinate"))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def semantic(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The k most similar vectors to each query vector, itself left out, ties by id (T11). queries is a stated, small set: the rows meet it in place."""
+    q = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query")).select("query", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def fuse(legs: list[DataFrame], limit: int = 20) -> DataFrame:
+    """Reciprocal rank fusion of legs (key, rank, subordinate): sum of 1 / (60 + rank), rank 5 worse for subordinates; ties by key."""
+    rows = legs[0]
+    for leg in legs[1:]:
+        rows = rows.unionByName(leg)
+    rank = F.col("rank") + F.when(F.col("subordinate"), 5).otherwise(0)
+    return rows.groupBy("key").agg(F.round(F.sum(1 / (60 + rank)), 9).alias("score")).orderBy(F.desc("score"), "key").limit(limit)
+
+
+def hybrid(docs: DataFrame, vectors: DataFrame, words: list[str], k: int = 20) -> DataFrame:
+    """BM25 over documents and cosine to vector 0, four times as many of each as are wanted, fused."""
+    keyword = bm25(docs, "doc_id", "text", words, 4 * k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "key")))  # 4 k rows
+    near = semantic(vectors, vectors.where("vec_id = 0"), 4 * k)
+    own = lambda df, key: df.select(F.col(key).alias("key"), "rank", (F.col(key) % 3 == 0).alias("subordinate"))
+    return fuse([own(keyword, "key"), own(near, "vec_id")], k)
+
+
+def unit_changes(now: DataFrame, before: DataFrame) -> DataFrame:
+    """key and whether it was added, changed or deleted, by the hash of its text."""
+    a, b = (df.select("key", F.sha2(F.col("text").cast("binary"), 256).alias(f"h{i}")) for i, df in enumerate((now, before)))
+    kind = F.when(F.col("h1").isNull(), "added").when(F.col("h0").isNull(), "deleted").when(F.col("h0") != F.col("h1"), "changed")
+    return a.join(b, "key", "full").select("key", kind.alias("change")).where("change is not null")
+
+
+def bait_labels(text: Column) -> Column:
+    """Why a text looks like an attempt to steer a model, as stable labels."""
+    tests = [("ignore_instructions", r"(?i)ignore (all |any )?(previous|prior|above) instructions"), ("system_role", r"(?i)\b(you are now|act as) (the )?(system|admin)"), ("reveal", r"(?i)(reveal|print) (your|the) (system )?prompt"), ("role_tag", r"(?i)</?(system|assistant)>")]
+    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in tests)))
+
+
+def pack(ranked: DataFrame, budget: int) -> DataFrame:
+    """Entries of each query (query, rank, text) in order of rank until their bytes pass the budget, whole entries only."""
+    sofar = F.sum(F.octet_length("text")).over(Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.withColumn("bytes", sofar).select("query", "rank", "bytes", (F.col("bytes") <= budget).alias("included"))
+
+
+def segments(turns: DataFrame, most: int = 2000) -> DataFrame:
+    """Assistant messages of a session packed in order, a new segment when the characters would pass `most`.
+
+    Greedy packing depends on its own past: a session's lengths are folded by a higher-order function.
+    """
+    own = turns.where("role = 'assistant'").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.length("content").alias("n")))).alias("all"))
+    start = F.struct(F.lit(0).alias("no"), F.lit(0).alias("size"), F.lit(0).alias("count"))
+
+    def step(acc: Column, m: Column) -> Column:
+        new = (acc["size"] > 0) & (acc["size"] + m["n"] > most)
+        return F.struct((acc["no"] + new.cast("int")).alias("no"), F.when(new, m["n"]).otherwise(acc["size"] + m["n"]).alias("size"), (acc["count"] + 1).alias("count"))
+
+    return own.select("session_id", F.aggregate("all", start, step, lambda acc: acc["no"] + (acc["count"] > 0).cast("int")).alias("segments"))
+
+
+def chunks(docs: DataFrame, size: int = 1000) -> DataFrame:
+    """Texts cut every `size` code points, each with an id that follows from its place and content."""
+    n = F.greatest(F.ceil(F.length("text") / size), F.lit(1)).cast("int")
+    rows = docs.where("text is not null").select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    part = F.substring("text", F.col("chunk") * size + 1, F.lit(size))
+    return rows.select("doc_id", "chunk", F.length(part).alias("n_chars"), F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk").cast("string"), part).cast("binary"), 256).alias("id"))
+
+
+def entropy(text: Column) -> Column:
+    """Shannon entropy in bits of a text's characters."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.length(text))
+    return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+
+
+def placeholder(text: Column) -> Column:
+    """Values that stand for a secret: one block repeated, or fewer than four different characters."""
+    return text.rlike(r"^(.{1,4})\1{3,}$") | (F.size(F.array_distinct(F.split(text, ""))) < 4)
+
+
+def secrets(texts: DataFrame) -> DataFrame:
+    """key, rule, match, masked for each secret in texts (key, text); assignments need entropy 3.5 and 20 characters."""
+    parts = []
+    for name, pattern, needs, group in DETECTORS:
+        own = texts.where(F.contains(F.lower("text"), F.lit(needs))) if needs else texts
+        found = own.select("key", F.lit(name).alias("rule"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("match"))
+        parts.append(found.where((F.length("match") >= 20) & (entropy(F.col("match")) >= 3.5) & ~placeholder(F.col("match"))) if name == "assignment" else found)
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("masked", mask(F.col("match")))
+
+
+def mask(secret: Column) -> Column:
+    """The first and last four characters; nothing of short ones."""
+    return F.when(F.length(secret) < 12, "****").otherwise(F.concat(F.substring(secret, 1, 4), F.lit("..."), F.right(secret, F.lit(4))))
+
+
+def redact(text: Column) -> Column:
+    """A text with every secret masked as a whole."""
+    for _, pattern, _, _ in DETECTORS:
+        text = F.regexp_replace(text, pattern, "[secret]")
+    return text
+
+
+def leaks(findings: DataFrame) -> DataFrame:
+    """Findings by key and rule."""
+    return findings.groupBy("key", "rule").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def stale(stamped: DataFrame, active: tuple[str, ...] = (RULES_VERSION,)) -> DataFrame:
+    """Rows (key, rules_version) whose stamp is of no active version: they are to be scanned anew."""
+    return stamped.where(~F.coalesce(F.col("rules_version").isin(*active), F.lit(False))).select("key")

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import LENS_SQL, lens
-from . import reports, signals
+from . import reports, search, signals
 
-FAMILIES = [reports.QUERIES, signals.QUERIES]
+FAMILIES = [reports.QUERIES, signals.QUERIES, search.LENS_QUERIES]
+TABLES = [search.TABLE_QUERIES]
 
 
 def _over_lens(operator: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,8 +18,10 @@ def _over_lens(operator: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _over_lens(operator) for family in FAMILIES for name, (operator, _) in family.items()}
+    found = {name: _over_lens(operator) for family in FAMILIES for name, (operator, _) in family.items()}
+    return found | {name: query for family in TABLES for name, (query, _) in family.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {name: LENS_SQL + sql for family in FAMILIES for name, (_, sql) in family.items() if sql}
+    found = {name: LENS_SQL + sql for family in FAMILIES for name, (_, sql) in family.items() if sql}
+    return found | {name: sql for family in TABLES for name, (_, sql) in family.items() if sql}

@@ -1,0 +1,74 @@
+"""Queries of the text, graph, project and ordering families, with SQL oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph, text, usage
+from ..sources.tables import Tables, read
+
+TERMS = ["the", "une", "tree"]
+_VISIBLE_TREE = """, e AS (SELECT session_id AS id, parent_id FROM sessions), cl AS (WITH RECURSIVE c(root, id, depth) AS (SELECT id, id, 0 FROM e UNION ALL SELECT c.root, e.id, c.depth + 1 FROM c JOIN e ON e.parent_id = c.id WHERE c.depth < 64) SELECT * FROM c),
+rt AS (SELECT session_id FROM sessions WHERE parent_id IS NULL OR parent_id NOT IN (SELECT session_id FROM sessions)),
+dl AS (SELECT root, id FROM cl JOIN sessions ON session_id = id WHERE depth > 0 AND relationship = 'subagent' AND root IN (SELECT session_id FROM rt))"""
+_RULES = ", rules(prefix, rule) AS (VALUES " + ", ".join(f"('{p}', '{r}')" for p, r in graph.RULES) + ")"
+_BEST = lambda rules: f"(SELECT session_id, first(rule ORDER BY length(prefix) DESC) FILTER (rule IS NOT NULL) AS rule FROM sessions LEFT JOIN {rules} ON cwd = prefix OR starts_with(cwd, prefix || '/') GROUP BY 1)"
+_UNITS = """, g AS (SELECT *, sum(CASE WHEN role = 'user' OR coalesce(lag_role, 'user') = 'user' OR lag_side <> is_sidechain THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ordinal) AS unit FROM (SELECT *, lag(role) OVER o AS lag_role, lag(is_sidechain) OVER o AS lag_side FROM turns WHERE NOT is_system AND role IN ('user', 'assistant') WINDOW o AS (PARTITION BY session_id ORDER BY ordinal))),
+un AS (SELECT session_id, unit::BIGINT AS unit, first(role ORDER BY ordinal) AS role, first(is_sidechain ORDER BY ordinal) AS is_sidechain, min(ordinal) AS first, max(ordinal) AS last, string_agg(content, chr(10) || chr(10) ORDER BY ordinal) AS text FROM g GROUP BY 1, 2)"""
+_BM25 = lambda words: f""", dw AS (SELECT doc_id AS key, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents), st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean FROM dw),
+hits AS (SELECT key, len(w) AS l, q, len(list_filter(w, lambda x: x = q)) AS tf FROM dw, (SELECT unnest({words}) AS q) WHERE list_contains(w, q)), df AS (SELECT q, count(*)::DOUBLE AS df FROM hits GROUP BY 1),
+bm AS (SELECT key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score FROM hits JOIN df USING (q), st GROUP BY 1)"""
+_NEAR = lambda k, q: f", nr AS (SELECT a.vec_id AS query, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id {q}), nk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS rank FROM nr QUALIFY rank <= {k})"
+_TREND = lambda t: "(^|[^a-z0-9_])(" + "|".join(sorted(text.variants(t), key=lambda m: (-len(m), m))) + ")($|[^a-z0-9_])"
+
+
+def _with_paths(t: Tables):
+    return t.turns.withColumn("text", F.col("content")).withColumn("key", F.concat_ws("-", "session_id", "ordinal"))
+
+
+LENS_QUERIES = {
+    "text_trends": (lambda t: text.trends(t.turns, TERMS), " SELECT s.ordinal, term, coalesce(o, 0)::BIGINT AS occurrences, coalesce(m, 0) AS messages FROM (SELECT DISTINCT ordinal, unnest(['the', 'une', 'tree']) AS term FROM turns) s LEFT JOIN (SELECT ordinal, term, sum(n) AS o, count(*) AS m FROM (SELECT ordinal, term, len(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda w: list_contains(v, w))) AS n FROM turns, (SELECT unnest(['the', 'une', 'tree']) AS term, unnest([['the', 'thes'], ['une', 'unes'], ['tree', 'trees', 'treing', 'treed']]) AS v)) WHERE n > 0 GROUP BY 1, 2) USING (ordinal, term)"),
+    "text_search": (lambda t: text.search(t.turns, ["the", "an"]), ", h AS (SELECT session_id, ordinal, least(strpos(lower(content), 'the'), strpos(lower(content), 'an')) AS place FROM turns WHERE contains(lower(content), 'the') AND contains(lower(content), 'an')) SELECT session_id, ordinal, place FROM h QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY place, ordinal) = 1"),
+    "text_content_search": (lambda t: text.content_search({"message": t.turns.select("session_id", F.col("content").alias("text"), F.concat_ws("-", "session_id", "ordinal").alias("key")), "input": t.calls.select(F.col("file_path").alias("text"), F.concat_ws("-", "session_id", "call_index").alias("key"))}, "F1"), " SELECT 'message' AS source, session_id || '-' || ordinal AS key FROM turns WHERE contains(lower(content), 'f1') UNION ALL SELECT 'input', session_id || '-' || call_index FROM calls WHERE contains(lower(file_path), 'f1')"),
+    "text_regex_search": (lambda t: text.content_search({"message": _with_paths(t)}, "(on|the)[a-z]{6,}tion", regex=True), " SELECT 'message' AS source, session_id || '-' || ordinal AS key FROM turns WHERE regexp_matches(content, '(on|the)[a-z]{6,}tion')"),
+    "text_snippets": (lambda t: text.snippets(t.turns, "The"), None),
+    "text_units": (lambda t: text.units(t.turns), f"{_UNITS} SELECT * FROM un"),
+    "text_unit_ranges": (lambda t: text.unit_ranges(t.turns.where("ordinal % 3 = 1").select("session_id", "ordinal"), text.units(t.turns)), f"{_UNITS} SELECT t.session_id, t.ordinal, first, last FROM turns t JOIN un ON un.session_id = t.session_id AND t.ordinal BETWEEN first AND last WHERE t.ordinal % 3 = 1"),
+    "text_unit_changes": (lambda t: text.unit_changes(_with_paths(t).where("session_id % 7 <> 0"), _with_paths(t).where("session_id % 5 <> 0").withColumn("text", F.when(F.col("ordinal") == 2, F.lit("changed")).otherwise(F.col("text")))), ", a AS (SELECT session_id || '-' || ordinal AS key, content AS x FROM turns WHERE session_id % 7 <> 0), b AS (SELECT session_id || '-' || ordinal AS key, CASE WHEN ordinal = 2 THEN 'changed' ELSE content END AS y FROM turns WHERE session_id % 5 <> 0) SELECT key, CASE WHEN y IS NULL THEN 'added' WHEN x IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM a FULL JOIN b USING (key) WHERE x IS NULL OR y IS NULL OR x <> y"),
+    "text_segments": (lambda t: text.segments(t.turns), None),
+    "text_bait_labels": (lambda t: t.turns.select("session_id", "ordinal", F.array_join(text.bait_labels(F.col("content")), ",").alias("labels")), " SELECT session_id, ordinal, '' AS labels FROM turns"),
+    "text_pack": (lambda t: text.pack(t.turns.select(F.col("session_id").alias("query"), F.col("ordinal").alias("rank"), F.col("content").alias("text")), 2000), " SELECT session_id AS query, ordinal AS rank, sum(strlen(content)) OVER w AS bytes, sum(strlen(content)) OVER w <= 2000 AS included FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY ordinal)"),
+    "text_subordinate": (lambda t: text.subordinate(t.sessions), " SELECT session_id, relationship IN ('subagent', 'fork') AS subordinate FROM sessions"),
+    "graph_closure": (lambda t: graph.closure(graph.tree(t)), f"{_VISIBLE_TREE} SELECT root, id, depth FROM cl"),
+    "graph_roots": (graph.roots, f"{_VISIBLE_TREE} SELECT session_id FROM rt"),
+    "graph_delegated": (graph.delegated, f"{_VISIBLE_TREE} SELECT root, id FROM dl"),
+    "usage_rollup": (graph.rollup, f"{_VISIBLE_TREE} SELECT root, sum(total_output_tokens)::BIGINT AS output_tokens, count(*) - 1 AS subagents FROM (SELECT root, id FROM dl UNION ALL SELECT session_id, session_id FROM rt) JOIN sessions ON session_id = id GROUP BY 1"),
+    "graph_tree_page": (graph.tree_page, f"{_VISIBLE_TREE}, m AS (SELECT root, id, depth, ended_at FROM cl JOIN sessions ON session_id = id WHERE root IN (SELECT session_id FROM rt)), f AS (SELECT root, max(ended_at) AS l FROM m GROUP BY 1 ORDER BY l DESC, root LIMIT 10) SELECT root, id, depth FROM m WHERE root IN (SELECT root FROM f)"),
+    "paths_attributed": (graph.attributed, f"{_RULES} SELECT * FROM {_BEST('rules')}"),
+    "paths_governed": (graph.governed, f"{_RULES}, b AS {_BEST('rules')} SELECT rules.rule, prefix, count(session_id) AS sessions FROM rules LEFT JOIN b USING (rule) GROUP BY 1, 2"),
+    "paths_reclassified": (graph.reclassified, f"{_RULES}, more AS (SELECT * FROM rules UNION ALL SELECT '/work/p2', 'drafted'), b AS {_BEST('rules')}, a AS {_BEST('more')} SELECT session_id, b.rule AS before, a.rule AS after FROM a JOIN b USING (session_id) WHERE a.rule IS DISTINCT FROM b.rule"),
+    "paths_candidates": (graph.candidates, ", x AS (SELECT project, count(*) AS sessions, string_split(min(cwd), '/') AS a, string_split(max(cwd), '/') AS b FROM sessions GROUP BY 1) SELECT project, sessions, array_to_string(a[1:len(list_filter(generate_series(1, least(len(a), len(b))), lambda n: a[1:n] = b[1:n]))], '/') AS prefix FROM x"),
+    "projects_identities": (graph.identities, " SELECT project, count(DISTINCT machine) > 1 AS ambiguous, sha256('project:' || project) AS key FROM sessions GROUP BY 1"),
+    "projects_labels": (lambda t: t.sessions.select("session_id", graph.safe_label(F.concat(F.when(F.col("user_id") % 2 == 0, "/x/").otherwise(""), F.col("project"))).alias("label")), " SELECT session_id, CASE WHEN user_id % 2 = 0 THEN '' ELSE project END AS label FROM sessions"),
+    "projects_remotes": (lambda t: t.sessions.select("session_id", graph.git_remote(F.concat(F.element_at(F.array(F.lit("git@Host.io:team/"), F.lit("https://user@host.io:443/team//"), F.lit("/local/"), F.lit("file:///x/")), (F.col("user_id") % 4 + 1).cast("int")), F.col("project"), F.lit(".git"))).alias("remote")), " SELECT session_id, CASE WHEN user_id % 4 < 2 THEN 'host.io/team/' || project END AS remote FROM sessions"),
+    "edits_recent": (graph.recent_edits, ", x AS (SELECT session_id, file_path, call_index, row_number() OVER (PARTITION BY session_id, file_path ORDER BY call_index DESC) AS place, count(*) OVER (PARTITION BY session_id, file_path) AS edits FROM calls WHERE category IN ('Edit', 'Write')) SELECT *, edits > 3 AS truncated FROM x WHERE place <= 3"),
+    "order_sessions": (lambda t: graph.ordered(t.sessions, [("message_count", True), ("project", False)]).select("session_id").limit(25), " SELECT session_id FROM sessions ORDER BY message_count DESC, project, session_id LIMIT 25"),
+    "order_page": (lambda t: graph.page(t.sessions, (14, "5"), 20).select("session_id"), " SELECT session_id FROM sessions WHERE message_count < 14 OR (message_count = 14 AND session_id > '5') ORDER BY message_count DESC, session_id LIMIT 20"),
+    "set_machines": (graph.label_union, " SELECT machine FROM sessions UNION SELECT unnest(['h0', 'spare'])"),
+    "set_quiet_sessions": (graph.quiet_sessions, " SELECT session_id FROM sessions EXCEPT SELECT session_id FROM messages WHERE role = 'assistant'"),
+    "models_alias_at": (lambda t: graph.alias_at(t.messages.where("model <> ''").select("session_id", "ordinal", "model", "ts"), t.messages.sparkSession.sql("select * from values ('m1', timestamp'2024-01-01', 'm1-old'), ('m1', timestamp'2024-01-15', 'm1-new'), ('m2', timestamp'2024-01-20', 'm2-x') as a(model, valid_from, target)")).select("session_id", "ordinal", "resolved"), " SELECT session_id, ordinal, CASE WHEN model = 'm1' THEN CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'm1-old' ELSE 'm1-new' END WHEN model = 'm2' AND ts >= TIMESTAMP '2024-01-20' THEN 'm2-x' ELSE model END AS resolved FROM messages WHERE model <> ''"),
+    "models_resolved": (lambda t: usage.resolve_models(t.messages.where("model <> ''").select(F.concat(F.upper("model"), F.when(F.col("event_id") % 2 == 0, ".5-20240101").otherwise("")).alias("model")), t.messages.sparkSession.createDataFrame([("m0",), ("m1-5",), ("M2",), ("m2",)], "key string")), " SELECT DISTINCT model, CASE model WHEN 'M0' THEN 'm0' WHEN 'M1.5-20240101' THEN 'm1-5' WHEN 'M2' THEN 'M2' END AS key FROM (SELECT upper(model) || CASE WHEN event_id % 2 = 0 THEN '.5-20240101' ELSE '' END AS model FROM messages WHERE model <> '')"),
+}
+
+_WORDS = ["the", "of", "edition", "tion"]
+#: Over the given tables themselves.
+TABLE_QUERIES = {
+    "text_bm25": (lambda spark, d: text.bm25(read(spark, d, "documents"), "doc_id", "text", _WORDS), f"WITH z AS (SELECT 1){_BM25(_WORDS)} SELECT key, score FROM bm ORDER BY score DESC, key LIMIT 20"),
+    "text_semantic": (lambda spark, d: text.semantic(read(spark, d, "embeddings"), read(spark, d, "embeddings").where("vec_id < 5")), f"WITH z AS (SELECT 1){_NEAR(5, '< 5')} SELECT query, vec_id, similarity, rank FROM nk"),
+    "text_hybrid": (lambda spark, d: text.hybrid(read(spark, d, "documents"), read(spark, d, "embeddings"), _WORDS), f"WITH z AS (SELECT 1){_BM25(_WORDS)}{_NEAR(80, '= 0')}, kw AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) AS rank FROM bm QUALIFY rank <= 80), legs AS (SELECT key, rank FROM kw UNION ALL SELECT vec_id, rank FROM nk) SELECT key, round(sum(1 / (60 + rank + CASE WHEN key % 3 = 0 THEN 5 ELSE 0 END)), 9) AS score FROM legs GROUP BY 1 ORDER BY score DESC, key LIMIT 20"),
+    "text_chunks": (lambda spark, d: text.chunks(read(spark, d, "documents")), "WITH c AS (SELECT doc_id, text, unnest(generate_series(0, greatest(ceil(length(text) / 1000.0), 1)::INT - 1)) AS chunk FROM documents WHERE text IS NOT NULL) SELECT doc_id, chunk::INT AS chunk, length(substr(text, chunk * 1000 + 1, 1000)) AS n_chars, sha256(doc_id || ':' || chunk || ':' || substr(text, chunk * 1000 + 1, 1000)) AS id FROM c"),
+    "secrets_found": (lambda spark, d: text.secrets(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")), None),
+    "secrets_leaks": (lambda spark, d: text.leaks(text.secrets(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")).where("rule = 'aws_access_key'")), r"SELECT doc_id AS key, 'aws_access_key' AS rule, count(*) AS findings FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b((?:AKIA|ASIA)[A-Z0-9]{16})\b')) FROM documents) GROUP BY 1"),
+    "secrets_redacted": (lambda spark, d: read(spark, d, "documents").select("doc_id", F.contains(text.redact(F.col("text")), F.lit("AKIA")).alias("leaks")), r"SELECT doc_id, contains(regexp_replace(text, '\b((?:AKIA|ASIA)[A-Z0-9]{16})\b', '', 'g'), 'AKIA') AS leaks FROM documents"),
+    "secrets_stale": (lambda spark, d: text.stale(read(spark, d, "documents").select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 3 == 0, "1").when(F.col("doc_id") % 3 == 1, "0").alias("rules_version"))), "SELECT doc_id AS key FROM documents WHERE doc_id % 3 <> 0"),
+}
