@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes the rows as Parquet under spark.checkpoint.dir and reads them again. Where it is unset (tests), a temporary folder is set."""
-    spark = df.sparkSession
+def folder_for(spark: SparkSession) -> str:
+    """A new folder's name under spark.checkpoint.dir. Where that is unset (tests), a temporary folder is set."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = tempfile.mkdtemp(prefix="tracery-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Writes the rows as Parquet to the shared folder and reads them again."""
+    path = folder_for(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import LENS_SQL, lens
-from . import reports, search, signals
+from . import reports, search, signals, upkeep
 
-FAMILIES = [reports.QUERIES, signals.QUERIES, search.LENS_QUERIES]
-TABLES = [search.TABLE_QUERIES]
+FAMILIES = [reports.QUERIES, signals.QUERIES, search.LENS_QUERIES, upkeep.LENS_QUERIES]
+TABLES = [search.TABLE_QUERIES, {name: (query, LENS_SQL + sql) for name, (query, sql) in upkeep.STREAM_QUERIES.items()}]
 
 
 def _over_lens(operator: Callable) -> Callable[[SparkSession, str], DataFrame]:

@@ -27,12 +27,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def messages_of(events: DataFrame) -> DataFrame:
+def messages_rows(events: DataFrame) -> DataFrame:
+    """Messages without their ordinals: each follows from its own row, so streams have them too."""
     user, week = F.col("user_id"), F.date_format(F.date_trunc("week", F.col("ts").cast("timestamp")), "yyyy-MM-dd")
     assistant = F.col("event_type").isin("purchase", "error")
     tokens = F.floor("value").cast("long")
     keyed = F.col("event_id") % 5 != 0
-    rows = events.select(
+    return events.select(
         F.concat_ws("-", user.cast("string"), week).alias("session_id"),
         F.when(assistant, "assistant").otherwise("user").alias("role"),
         F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "user_id",
@@ -53,8 +54,11 @@ def messages_of(events: DataFrame) -> DataFrame:
         F.when(keyed, F.col("event_type")).otherwise("").alias("request_id"),
         (F.col("event_id") % 97).cast("string").alias("source_uuid"),
     )
+
+
+def messages_of(events: DataFrame) -> DataFrame:
     order = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    return rows.withColumn("ordinal", F.row_number().over(order) - 1)
+    return messages_rows(events).withColumn("ordinal", F.row_number().over(order) - 1)
 
 
 def sessions_of(messages: DataFrame) -> DataFrame:
