@@ -77,6 +77,11 @@ def test_registers():
             assert sketch[b] == (zeros << 10 | int((bits[zeros + 1 :] + "0" * 10)[:10], 2)) + 1
         else:
             assert sketch[b] == 0
+    few = h[:40]
+    assert neardup.buckets_for(40) == 8 and neardup.buckets_for(2) == 1 and neardup.buckets_for(10**6) == 512
+    many = neardup.registers(few, 8)
+    assert (many > 0).mean() > 0.95 and (many[:8] != many[8:16]).all()
+    assert all((neardup.registers(few[::-1].copy(), b) == neardup.registers(few, b)).all() for b in (1, 8, 512))
     other = np.unique(np.concatenate((h[:2000], rng.integers(0, 2**64, 1000, dtype=np.uint64))))
     likely, used = neardup.estimates(sketch, neardup.registers(other)[None, :], len(h), np.array([len(other)]))
     assert abs(likely[0] - 0.5) < 0.12 and used[0] > 500

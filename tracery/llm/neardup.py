@@ -1,12 +1,14 @@
 """Near-duplicate documents: HyperMinHash sketches, banded registers, exact confirmation.
 
-1. One pass takes every text's set of word shingles (hashed to 64 bits), a key of the whole set, and a
-   HyperMinHash sketch: the hashes fall into REGISTERS buckets by their leading bits, each register keeps of
-   its bucket's least hash the number of leading zeros and MANTISSA bits after the first one. Bands of ROWS
-   registers are hashed to keys; a band without any shingle has none.
+1. One pass takes every text's set of word shingles (hashed to 64 bits), a key of the whole set, and
+   HyperMinHash sketches of REGISTERS registers. Hashes fall into buckets by their leading bits; a register
+   keeps of its bucket's least hash the number of leading zeros and MANTISSA bits after the first one. A small
+   set would leave most buckets empty, so it has fewer buckets under several independent hashes, by its size;
+   a set near a bound of sizes is sketched on both sides of it. Bands of ROWS registers are hashed to keys.
 2. Equal sets become one class, aggregated before the shuffle. Classes that share a band key are linked to
-   the least of them; the components of these links are clusters, and two classes that are near are in one
-   cluster but for a chance of about 1e-8 (see README).
+   the first of them and to the one before, unless one bit of each band's first register tells that they
+   are far apart. The components of these links are clusters; two classes that are near are in one cluster
+   but for a chance of about 1e-8 (see README).
 3. The texts of each cluster meet in tasks; a large cluster is cut into blocks, and every two blocks meet. There
    the sketches' Jaccard index, corrected for chance collisions of registers, rules out what is far apart
    (by MARGIN standard errors); what is left is confirmed on the full sets. A task returns links that span
@@ -33,6 +35,10 @@ BANDS = REGISTERS // ROWS
 BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 1 << 21
 #: A pair is ruled out by the sketches only this many standard errors below the threshold.
 MARGIN = 6.0
+#: A link within a band needs this many of BANDS bits alike: 46 is 5 standard errors below what 85 % gives.
+ALIKE = 46
+#: Shingles for each bucket at least, where that is possible.
+FILL = 3
 _BITS = REGISTERS.bit_length() - 1
 
 
@@ -57,30 +63,44 @@ def shingle_hashes(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """HyperMinHash of sorted distinct hashes: 0 for an empty bucket, else (leading zeros, mantissa) + 1."""
-    out = np.zeros(REGISTERS, np.uint16)
-    bucket = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+def buckets_for(n: int) -> int:
+    """A power of two up to REGISTERS, such that each bucket has FILL hashes or more in the mean."""
+    return 1 << min(max(n // FILL, 1).bit_length() - 1, _BITS)
+
+
+def registers(hashes: np.ndarray, buckets: int = REGISTERS) -> np.ndarray:
+    """HyperMinHash of distinct hashes: 0 for an empty bucket, else (leading zeros, mantissa) + 1. REGISTERS / buckets independent hashes have `buckets` each."""
+    turns = REGISTERS // buckets
+    if turns > 1:
+        salts = powers(turns, 0xA24BAED4963EE407)[:, None] - np.uint64(1)
+        hashes = mix64(hashes[None, :] ^ salts)
+    bits = np.uint64(buckets.bit_length() - 1)
+    bucket = hashes >> (np.uint64(64) - bits) if buckets > 1 else np.zeros_like(hashes)
+    bucket = bucket + (np.arange(turns, dtype=np.uint64) * np.uint64(buckets))[:, None] if turns > 1 else bucket
+    key = np.sort((bucket << np.uint64(64 - _BITS) | (hashes << bits) >> np.uint64(_BITS)).ravel())
+    bucket = (key >> np.uint64(64 - _BITS)).astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))  # sorted, so a bucket's first hash is its least
-    rest = hashes[first] << np.uint64(_BITS)
-    zeros = np.full(len(rest), 64 - _BITS, np.int64)
-    some = rest > 0
-    # The exponent of a double could round up; the upper half of the bits cannot.
-    high = (rest[some] >> np.uint64(32)).astype(np.float64)
-    low = (rest[some] & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    zeros[some] = np.where(high > 0, 32 - np.frexp(high)[1], 64 - np.frexp(low)[1])
+    rest = key[first] << np.uint64(_BITS)
+    # The exponent of a double could round up; that of half of the bits cannot.
+    high = (rest >> np.uint64(32)).astype(np.float64)
+    low = (rest & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    zeros = np.where(high > 0, 32 - np.frexp(high)[1], np.where(low > 0, 64 - np.frexp(low)[1], 64 - _BITS))
     shifted = np.where(zeros < 63, rest << np.minimum(zeros + 1, 63).astype(np.uint64), np.uint64(0))
     mantissa = (shifted >> np.uint64(64 - MANTISSA)).astype(np.int64)
+    out = np.zeros(REGISTERS, np.uint16)
     out[bucket[first]] = (zeros << MANTISSA | mantissa) + 1
     return out
 
 
-def band_keys(sketch: np.ndarray) -> list[int]:
-    """A 64-bit key for each band with a shingle."""
-    bands = sketch.reshape(BANDS, ROWS).astype(np.uint64)
-    up = powers(ROWS, 0x9FB21C651E98DF25)
-    keys = mix64((bands * up).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return keys.view(np.int64)[bands.any(1)].tolist()
+def bands_of(hashes: np.ndarray, percent: int) -> list[dict]:
+    """bits (one of each band) and keys (64-bit, of each band with a shingle), for each number of buckets that a near set may have too."""
+    out = []
+    for buckets in sorted({buckets_for(len(hashes)), buckets_for(-(-100 * len(hashes) // percent))}):
+        bands = registers(hashes, buckets).reshape(BANDS, ROWS).astype(np.uint64)
+        keys = mix64((bands * powers(ROWS, 0x9FB21C651E98DF25)).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(buckets))
+        bits = np.packbits((mix64(bands[:, 0]) & np.uint64(1)).astype(np.uint8)).view(np.int64)[0]
+        out.append({"bits": int(bits), "keys": keys.view(np.int64)[bands.any(1)].tolist()})
+    return out
 
 
 def estimates(sketch: np.ndarray, others: np.ndarray, n: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,10 +150,11 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int
     return out
 
 
-def sets_of(docs: DataFrame, width: int = WORDS) -> DataFrame:
+def sets_of(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, tie (hash of the text), n_shingles, set_key (null without shingles) and bands of every document."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("bits", pa.int64()), ("keys", pa.list_(pa.int64()))]))
         for part in text_chunks(batches):
             sets = shingle_hashes([ascii_lower(t) for t in part.column("text").to_pylist()], width)
             keys, bands = [], []
@@ -141,24 +162,28 @@ def sets_of(docs: DataFrame, width: int = WORDS) -> DataFrame:
                 # Two independent sums over the mixed hashes and the count: 128 bits that don't depend on order.
                 a, b = s.sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
                 keys.append(np.array([a, b], np.uint64).tobytes() if len(s) else None)
-                bands.append(band_keys(registers(s)) if len(s) else [])
+                bands.append(bands_of(s, percent) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("tie"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                [part.column("doc_id"), part.column("tie"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, kind)],
                 ["doc_id", "tie", "n_shingles", "set_key", "bands"],
             )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(rows, "doc_id long, tie long, n_shingles long, set_key binary, bands array<long>")
+    return own.mapInArrow(rows, "doc_id long, tie long, n_shingles long, set_key binary, bands array<struct<bits:long,keys:array<long>>>")
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """a, b: near pairs of set keys that span each component. classes: set_key, doc_id, tie, n_shingles, bands; one row for each set."""
-    keyed = classes.select("set_key", F.explode("bands").alias("band"))
-    in_order = Window.partitionBy("band").orderBy("set_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shared = keyed.withColumn("least", F.first("set_key").over(in_order)).where(F.col("least") != F.col("set_key"))
-    clusters = components(shared.select(F.col("set_key").alias("a"), F.col("least").alias("b")))
-    sizes = classes.select("set_key", "doc_id", "tie", "n_shingles")
-    grouped = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).join(sizes, F.col("node") == F.col("set_key"))
+    # Clusters are made of 64-bit names of sets: two sets with one name would only share a cluster.
+    keyed = classes.select(F.xxhash64("set_key").alias("name"), F.explode("bands").alias("b")).select("name", "b.bits", F.explode("b.keys").alias("band"))
+    in_order = Window.partitionBy("band").orderBy("name")
+    head, before = F.first(F.struct("name", "bits")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lag(F.struct("name", "bits")).over(in_order)
+    linked = keyed.withColumn("head", head).withColumn("before", before).where("before is not null")
+    alike = lambda c: F.bit_count(F.col("bits").bitwiseXOR(F.col(c)["bits"])) <= BANDS - ALIKE
+    ends = F.array_compact(F.array(F.when(alike("head"), F.col("head.name")), F.when(alike("before"), F.col("before.name"))))
+    clusters = components(linked.select(F.col("name").alias("a"), F.explode(ends).alias("b")))
+    sizes = classes.select("set_key", "doc_id", "tie", "n_shingles", F.xxhash64("set_key").alias("node"))
+    grouped = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "node")
     weight = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     blocks = grouped.groupBy("root").agg(weight.alias("blocks"))
     placed = grouped.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
@@ -201,7 +226,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     their own; a null id counts as no id: such a row's component has the least id of the others, or null.
     """
     spark = docs.sparkSession
-    found = staged(sets_of(docs, width), f"{shared_folder(spark)}/sets")
+    found = staged(sets_of(docs, width, percent), f"{shared_folder(spark)}/sets")
     some = found.where("set_key is not null")
     classes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "tie")).alias("one"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = staged(classes.select("set_key", "one.*", "least", "n_shingles", "bands"), f"{shared_folder(spark)}/classes")
