@@ -5,7 +5,7 @@ All order-sensitive signals are windows over one session's calls in order, so th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.tables import Tables
@@ -13,7 +13,11 @@ from ..sources.tables import Tables
 #: Points off and their caps; grades from a score on; context windows by model.
 GRADES = [(90, "A"), (75, "B"), (60, "C"), (40, "D")]
 WINDOWS = {"m0": 200_000, "m1": 1000, "m2": 800}
-IN_ORDER = Window.partitionBy("session_id").orderBy("call_index")
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("session_id").orderBy("call_index")
+
 
 
 def is_failure(category: Column, status: Column, content: Column) -> Column:
@@ -27,9 +31,9 @@ def islands(calls: DataFrame, *same: str) -> DataFrame:
     """Numbers the runs of calls that agree in these columns with the call before."""
     changed = F.lit(False)
     for c in same:
-        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(IN_ORDER))
-    first = F.lag("call_index").over(IN_ORDER).isNull()
-    return calls.withColumn("new", F.when(first | changed, 1).otherwise(0)).withColumn("run", F.sum("new").over(IN_ORDER.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(in_order()))
+    first = F.lag("call_index").over(in_order()).isNull()
+    return calls.withColumn("new", F.when(first | changed, 1).otherwise(0)).withColumn("run", F.sum("new").over(in_order().rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
 def failures(calls: DataFrame) -> DataFrame:
@@ -54,7 +58,7 @@ def edit_churn(calls: DataFrame) -> DataFrame:
 
 def compactions(calls: DataFrame) -> DataFrame:
     """Drops of the context by more than 30 % between one reading and the next (Q5)."""
-    drop = F.col("context_tokens") < 0.7 * F.lag("context_tokens").over(IN_ORDER)
+    drop = F.col("context_tokens") < 0.7 * F.lag("context_tokens").over(in_order())
     return calls.where("context_tokens is not null").withColumn("drop", drop).groupBy("session_id").agg(F.count_if("drop").alias("compactions"), F.max("context_tokens").alias("peak"))
 
 
@@ -86,7 +90,7 @@ def runaway(calls: DataFrame) -> DataFrame:
     runs = islands(calls, "tool_name", "input")
     sofar = Window.partitionBy("session_id", "run").orderBy("call_index").rowsBetween(Window.unboundedPreceding, 0)
     fail = F.col("failed").cast("int")
-    twelve = IN_ORDER.rowsBetween(-11, 0)
+    twelve = in_order().rowsBetween(-11, 0)
     runs = runs.withColumn("like", (F.count(F.lit(1)).over(sofar) >= 5) & (F.sum(fail).over(sofar) >= 3))
     runs = runs.withColumn("n", F.count(F.lit(1)).over(twelve)).withColumn("f", F.sum(fail).over(twelve)).withColumn("own", F.collect_list("category").over(twelve))
     most = F.array_max(F.transform(F.array_distinct("own"), lambda c: F.size(F.filter("own", lambda x: x == c))))

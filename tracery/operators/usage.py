@@ -66,12 +66,14 @@ def survivors(t: Tables) -> DataFrame:
     return price(dedup(snapshots(usage_rows(t)))).withColumn("date", F.to_date("ts"))
 
 
-SUMS = [F.sum(c).alias(c) for c in (*COUNTS, "cost", "savings")]
+def sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in (*COUNTS, "cost", "savings")]
+
 
 
 def daily(t: Tables) -> DataFrame:
     """Tokens, cost and sessions by day and model."""
-    return survivors(t).groupBy("date", "model").agg(*SUMS, F.count_distinct("session_id").alias("sessions")).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return survivors(t).groupBy("date", "model").agg(*sums(), F.count_distinct("session_id").alias("sessions")).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 def breakdowns(t: Tables) -> DataFrame:
@@ -83,7 +85,7 @@ def breakdowns(t: Tables) -> DataFrame:
 def summary(t: Tables) -> DataFrame:
     """Totals with the cache hit rate reads / (reads + input)."""
     hit = F.sum("cache_read") / (F.sum("cache_read") + F.sum("input_tokens"))
-    return survivors(t).agg(*SUMS, F.round(hit, 6).alias("hit_rate"), F.count_distinct("session_id").alias("sessions"))
+    return survivors(t).agg(*sums(), F.round(hit, 6).alias("hit_rate"), F.count_distinct("session_id").alias("sessions"))
 
 
 def pairwise(t: Tables, left: str = "m0", right: str = "m1") -> DataFrame:
@@ -121,7 +123,7 @@ def per_session(t: Tables) -> DataFrame:
 
 def session_models(t: Tables) -> DataFrame:
     """Tokens and cost of each session and model."""
-    return survivors(t).groupBy("session_id", "model").agg(*SUMS)
+    return survivors(t).groupBy("session_id", "model").agg(*sums())
 
 
 def allocate(rows: DataFrame, total: str, weight: str, *order: str, within: str) -> DataFrame:
