@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import concurrency, quality
 
+_HALF = lambda x: f"(sign({x}) * floor(abs({x}) * 10000 + 0.5) / 10000)"
 _RUN = lambda same: f"sum(CASE WHEN call_index > 0 AND {same} THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY call_index)"
 _LIKE = "tool_name = lag_tool AND input = lag_input"
 _CALLS = """, c1 AS (SELECT *, lag(failed) OVER o AS lag_failed, lag(tool_name) OVER o AS lag_tool, lag(input) OVER o AS lag_input, lag(context_tokens) OVER o AS lag_context FROM calls WINDOW o AS (PARTITION BY session_id ORDER BY call_index)),

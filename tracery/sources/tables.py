@@ -89,7 +89,7 @@ def calls_of(lineitem: DataFrame) -> DataFrame:
         (F.col("l_partkey") % 4).cast("string").alias("input"),
         F.concat(F.lit("f"), (F.col("l_partkey") % 3).cast("string")).alias("file_path"),
         (F.col("l_returnflag") == "R").alias("failed"),
-        F.col("l_shipdate").alias("ts"),
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.floor(F.col("l_extendedprice") / 100).cast("long").alias("context_tokens"),
         F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("s"), (F.col("l_partkey") % 6).cast("string"))).otherwise("").alias("skill"),
     )
