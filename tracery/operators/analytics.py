@@ -34,7 +34,7 @@ def summary(t: Tables) -> DataFrame:
         half_away(F.avg("message_count"), 1).alias("avg_messages"), median("message_count").alias("median_messages"), percentile("message_count", 0.9).alias("p90_messages"),
     )
     by = own.groupBy("project").agg(F.sum("message_count").alias("n"))
-    top = by.orderBy(F.desc("n"), "project").limit(3).agg(F.sum("n").alias("top3"), F.max(F.struct("n", F.lit(1))).alias("x")).select("top3")
+    top = by.orderBy(F.desc("n"), "project").limit(3).agg(F.sum("n").alias("top3"))
     most = by.orderBy(F.desc("n"), "project").limit(1).select(F.col("project").alias("most_active"))
     one = first.join(F.broadcast(top)).join(F.broadcast(most), how="left")  # each side has one row
     return one.select(*first.columns, half_away(F.col("top3") / F.col("messages"), 3).alias("concentration"), "most_active")

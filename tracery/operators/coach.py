@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,3 +147,49 @@ def check_evidence(evidence: DataFrame, turns: DataFrame) -> DataFrame:
     """Whether the range first..last of each piece of evidence (key, session_id, first, last) is there without a gap."""
     own = evidence.join(turns.select(F.col("session_id").alias("s"), "ordinal"), (F.col("session_id") == F.col("s")) & F.col("ordinal").between(F.col("first"), F.col("last")), "left")
     return own.groupBy("key", "first", "last").agg(F.count("ordinal").alias("n")).select("key", (F.col("n") == F.col("last") - F.col("first") + 1).alias("sound"))
+
+
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def temporal(entries: DataFrame, query: str) -> DataFrame:
+    """Adds boost to entries (created): 1 within the span of time that the query names, else 0; 0.25 to 1 from the oldest to the newest if
+    it asks for recent ones; else 0 (T17).
+
+    Spans are a month with its year, or relative to the newest entry: yesterday, N days ago, last week, this week,
+    this month, last month. The query is one short text; only the newest and oldest times are sent about.
+    """
+    asked = [w for w in re.split("[^a-z0-9]+", query.lower()) if w]
+    pairs = list(zip(asked, asked[1:], strict=False))
+    ends = entries.agg(F.max("created").alias("newest"), F.min("created").alias("oldest"))
+    day, month = F.date_trunc("day", "newest"), F.date_trunc("month", "newest")
+    days = lambda n: F.make_dt_interval(F.lit(n))
+    named = [(MONTHS.index(m) + 1, int(y)) for m, y in pairs if m in MONTHS and re.fullmatch("(19|20)[0-9]{2}", y)]
+    ago = re.search(r"(\d+) days? ago", " ".join(asked))
+    one = lambda *words: any(w in asked for w in words)
+    at = F.col("created")
+    if named:
+        hit = F.lit(False)
+        for m, y in named:
+            hit = hit | (F.date_trunc("month", at) == F.make_timestamp(F.lit(y), F.lit(m), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    elif ago:
+        start = day - days(int(ago[1]))
+        hit = (at >= start) & (at < start + days(1))
+    elif one("yesterday"):
+        hit = (at >= day - days(1)) & (at < day)
+    elif one("last", "past", "previous") and one("week"):
+        hit = (at >= F.col("newest") - days(7)) & (at < F.col("newest"))
+    elif one("this", "current") and one("week"):
+        week = F.date_trunc("week", "newest")
+        hit = (at >= week) & (at < week + days(7))
+    elif one("this", "current") and one("month"):
+        hit = F.date_trunc("month", at) == month
+    elif ("last", "month") in pairs:
+        hit = F.date_trunc("month", at) == F.add_months(month, -1)
+    elif one("recent", "recently", "latest", "newest"):
+        span = F.unix_micros("newest") - F.unix_micros("oldest")
+        ramp = F.when(span <= 0, 1.0).otherwise(0.25 + 0.75 * (F.unix_micros(at) - F.unix_micros("oldest")) / span)
+        return entries.join(F.broadcast(ends)).withColumn("boost", F.coalesce(F.round(ramp, 6), F.lit(0.0))).drop("newest", "oldest")
+    else:
+        hit = F.lit(False)
+    return entries.join(F.broadcast(ends)).withColumn("boost", F.when(hit, 1.0).otherwise(0.0)).drop("newest", "oldest")

@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.storage import staged
 from ..sources.tables import Tables
 
-DEPTH = 64
-
-
 def closure(edges: DataFrame) -> DataFrame:
     """root, id, depth: every descendant of every node of edges (id, parent), itself at depth 0.
 
     Ancestors are doubled: after each round a node knows twice as many levels above it, so a tree of depth d takes
-    log d joins. Cycles end at DEPTH.
+    log d joins. In a cycle each pair of nodes keeps its least depth, so the rounds end there too.
     """
     up = staged(edges.where("parent_id is not null").select("id", F.col("parent_id").alias("above"), F.lit(1).alias("depth")))
     all_, step = up, up
     reach = 1
-    while reach < DEPTH:
+    while True:
         far = all_.select(F.col("id").alias("above"), F.col("above").alias("top"), F.col("depth").alias("more"))
         grown = step.join(far, "above").select("id", F.col("top").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))
         all_ = staged(all_.unionByName(grown).groupBy("id", "above").agg(F.min("depth").alias("depth")))

@@ -45,4 +45,7 @@ QUERIES = {
     "recall_terms": (lambda t: t.turns.where("role = 'user'").select("session_id", "ordinal", F.array_join(coach.query_terms(F.concat(F.lit('"a phrase" '), F.substring("content", 1, 80))), ",").alias("terms")), """, x AS (SELECT session_id, ordinal, list_distinct(list_filter(regexp_split_to_array(lower(substr(content, 1, 80)), '[^a-z0-9_]+'), lambda w: length(w) >= 3)) AS w FROM turns WHERE role = 'user') SELECT session_id, ordinal, array_to_string((list_concat(['a phrase'], list_transform(list_sort(list_transform(w, lambda v: {'n': -length(v), 'w': v})), lambda s: s.w)))[1:12], ',') AS terms FROM x"""),
     "recall_log_metrics": (lambda t: coach.log_metrics(t.messages.select(F.col("agent").alias("surface"), (F.col("event_id") % 3).alias("hits"), (F.col("event_id") % 5).alias("packed"))), " SELECT agent AS surface, count(*) AS queries, count(*) FILTER (event_id % 3 > 0) AS hit, count(*) FILTER (event_id % 3 = 0) AS missed, sum(event_id % 5)::BIGINT AS packed FROM messages GROUP BY 1"),
     "recall_evidence": (lambda t: coach.check_evidence(t.turns.select(F.concat_ws("-", "session_id", "ordinal").alias("key"), "session_id", (F.col("ordinal") - 1).alias("first"), (F.col("ordinal") + 1).alias("last")), t.turns.where("ordinal <> 4")), ", v AS (SELECT session_id || '-' || ordinal AS key, session_id, ordinal - 1 AS f, ordinal + 1 AS l FROM turns) SELECT key, count(t.ordinal) = 3 AS sound FROM v LEFT JOIN (SELECT * FROM turns WHERE ordinal <> 4) t ON t.session_id = v.session_id AND t.ordinal BETWEEN f AND l GROUP BY 1"),
+    "recall_last_week": (lambda t: coach.temporal(t.messages.select("session_id", "ordinal", F.col("ts").alias("created")), "what did I do last week").select("session_id", "ordinal", "boost"), " SELECT session_id, ordinal, CASE WHEN ts >= m - INTERVAL 7 DAY AND ts < m THEN 1.0 ELSE 0.0 END::DOUBLE AS boost FROM messages, (SELECT max(ts) AS m FROM messages)"),
+    "recall_days_ago": (lambda t: coach.temporal(t.messages.select("session_id", "ordinal", F.col("ts").alias("created")), "errors 3 days ago").select("session_id", "ordinal", "boost"), " SELECT session_id, ordinal, CASE WHEN ts::DATE = m::DATE - 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS boost FROM messages, (SELECT max(ts) AS m FROM messages)"),
+    "recall_recent": (lambda t: coach.temporal(t.messages.select("session_id", "ordinal", F.col("ts").alias("created")), "the latest decisions").select("session_id", "ordinal", "boost"), " SELECT session_id, ordinal, round(0.25 + 0.75::DOUBLE * (epoch_us(ts) - epoch_us(l)) / (epoch_us(m) - epoch_us(l)), 6)::DOUBLE AS boost FROM messages, (SELECT max(ts) AS m, min(ts) AS l FROM messages)"),
 }
