@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracery.functions import numbers
-from tracery.operators import concurrency, filters, graph, ingest, maintain, quality, text
+from tracery.operators import coach, concurrency, filters, graph, ingest, maintain, quality, text
 from tracery.plans import intake
 from tracery.sources.tables import Tables, lens
 
@@ -130,3 +130,11 @@ def test_lines_of_files(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"type":"user","message":{"role":"user","content":"hi"}}\n\n{"bad\n{"type":"assistant","timestamp":"never","message":{"role":"assistant","content":"yo","model":"m"}}\n')
     rows = ingest.uuid_tree(ingest.lines(spark, str(tmp_path))).collect()
     assert [(r.ordinal, r.role, r.content, r.model, r.ts) for r in sorted(rows, key=lambda r: r.ordinal)] == [(0, "user", "hi", "", None), (1, "assistant", "yo", "m", None)]
+
+
+def test_temporal_windows(spark):
+    rows = [("2024-03-15 12:00:00",), ("2024-03-14 01:00:00",), ("2024-02-10 00:00:00",), ("2023-02-01 00:00:00",), (None,)]
+    df = spark.createDataFrame(rows, "c string").select(F.to_timestamp("c").alias("created"))
+    boosts = lambda q: [r.boost for r in coach.temporal(df, q).orderBy(F.desc_nulls_last("created")).collect()]
+    assert boosts("yesterday") == [0, 1, 0, 0, 0] and boosts("last month") == [0, 0, 1, 0, 0] and boosts("in February 2023") == [0, 0, 0, 1, 0]
+    assert boosts("this week") == [1, 1, 0, 0, 0] and boosts("nothing of the kind") == [0] * 5 and boosts("recent")[0] == 1.0
