@@ -69,11 +69,6 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix64((sums[end] - sums[start]) * down[start]), n_words
 
 
-def per_text(values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Cuts an array into one piece for each text."""
-    return np.split(values, np.cumsum(counts)[:-1]) if len(counts) else []
-
-
 def ascii_lower(text: str | None) -> bytes:
     """UTF-8 of the text with A-Z lower-cased and nothing else changed; null is empty."""
     return (text or "").encode().lower()
