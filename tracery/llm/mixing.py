@@ -22,7 +22,7 @@ WEIGHTS = (3, 1, 2)
 #: The mix has so many times the words of all sources; no document is taken more than PASSES times.
 SHARE, PASSES = 1.5, 2
 #: A slot of a queue has about so many documents.
-SLOT_ROWS = 20_000
+SLOT_ROWS = 2_000
 #: The plan of sources is made on the driver; a table of more sources is refused.
 MAX_SOURCES = 1_000_000
 SEED = 5
