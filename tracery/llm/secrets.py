@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, text_chunks
+from .common import shared_folder, staged, text_chunks
 
 
 class Rule(NamedTuple):
@@ -73,7 +73,7 @@ def once_in_a_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array(texts, pa.string())], ["blob", "text"])
 
 
-def scan(versions: DataFrame, rules: list[Rule]) -> Callable:
+def scan(rules: list[Rule]) -> Callable:
     """Scans each blob with the rules that it lacks; a blob that came from several map tasks is scanned once."""
     tags = {f"{r.name}@{r.version}": (i, r) for i, r in enumerate(rules)}
 
@@ -119,12 +119,13 @@ def scan_versions(versions: DataFrame, text_col: str, *keep: Column, ledger: str
     text = F.col(text_col).cast("string")
     known = read_ledger(spark, ledger).select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("known"))
     sent = versions.select(text.alias("text")).mapInArrow(once_in_a_task, "blob string, text string").repartition("blob")
-    sent.join(known, "blob", "left").select("blob", "text", "known").mapInArrow(scan(versions, rules), LEDGER).write.mode("append").parquet(ledger)
+    sent.join(known, "blob", "left").select("blob", "text", "known").mapInArrow(scan(rules), LEDGER).write.mode("append").parquet(ledger)
     found = read_ledger(spark, ledger).where(F.size("spans") > 0)
     current = F.array(*(F.struct(F.lit(r.name).alias("kind"), F.lit(f"{r.name}@{r.version}").alias("tag")) for r in rules))
     live = F.transform(F.filter(current, lambda c: F.array_contains(F.col("rules"), c["tag"])), lambda c: c["kind"])
     found = found.withColumn("spans", F.filter("spans", lambda s: F.array_contains(live, s["kind"])))
     found = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = staged(found)  # else the join follows an aggregation, and Spark can't split a blob with very many paths
     paths = versions.select(*keep, blob_of(text).alias("blob"))
     return paths.join(found, "blob", "left").select(*paths.columns, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
