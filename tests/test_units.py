@@ -1,5 +1,6 @@
 """Operators without an oracle in SQL, against plain Python; and cases that the given tables don't hold."""
 
+import random
 import re
 
 import pytest
@@ -81,6 +82,55 @@ def test_fork_query_has_every_turn_once(spark, sf):
     assert len(rows) == len({r.id for r in rows}) > 0
 
 
+def owners(nodes, retry=3):
+    """forks() in plain Python for nodes (id, parent_id, role, place)."""
+    kids, parent, role = {}, {}, {}
+    for i, p, r, place in sorted(nodes, key=lambda n: (n[3], n[0])):
+        kids.setdefault(p, []).append(i)
+        parent[i], role[i] = p, r
+
+    def turns(i):
+        n, todo = 0, [i]
+        while todo:
+            x = todo.pop()
+            n += role[x] == "user"
+            todo += kids.get(x, [])
+        return n
+
+    mark = {i: "root" for i in kids[None]}
+    for p, own in kids.items():
+        if p is not None and len(own) > 1:
+            mark |= dict.fromkeys(own[:-1], "dropped") if turns(own[0]) <= retry else dict.fromkeys(own[1:], "fork")
+    out = {}
+    for i in parent:
+        near, lost, x = None, False, i
+        while x is not None:
+            near = near if near is not None or x not in mark else x
+            lost |= mark.get(x) == "dropped"
+            x = parent[x]
+        out[i] = None if lost else near
+    return out
+
+
+def test_fork_query_against_python(spark, sf):
+    t = lens(spark, sf)
+    rows = t.messages.select("session_id", "ordinal", "role").collect()
+    nodes = [(f"{s}/{o}", None if o == 0 else f"{s}/{o - 3 if o % 6 == 5 else o - 1}", r, o) for s, o, r in rows]
+    got = {r.id: r.owner for r in intake._forks(t).collect()}
+    assert len(rows) == spark.read.parquet(f"{sf}/events.parquet").count() and got == owners(nodes)
+    assert None in got.values()
+
+
+def test_forks_of_deep_and_random_trees(spark):
+    rng = random.Random(3)
+    nodes = [("x0", None, "user", 0)] + [(f"x{i}", f"x{max(0, i - rng.choice([1, 1, 1, 1, 2, 3, 9]))}", rng.choice(["user", "assistant"]), i) for i in range(1, 700)]
+    nodes += [("y0", None, "user", 0)] + [(f"y{i}", f"y{i - 1}", "user", i) for i in range(1, 900)] + [(f"z{i}", "y0", "user", 1000 + i) for i in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, parent_id string, role string, place int")
+    assert {r.id: r.owner for r in ingest.forks(frame(nodes)).collect()} == owners(nodes)
+    odd = {r.id: r.owner for r in ingest.forks(frame([("a", "b", "user", 0), ("b", "a", "user", 1), ("c", "gone", "user", 0), ("d", "c", "user", 1)])).collect()}
+    assert odd == {"a": None, "b": None, "c": "c", "d": "c"}  # a cycle ends; a parent that isn't there
+
+
 def test_numbers(spark):
     df = spark.createDataFrame([(2.5, 4), (-2.5, 1), (0.05, 3), (1.0, 2)], "x double, v int")
     assert [r[0] for r in df.select(numbers.half_away(F.col("x"))).collect()] == [3.0, -3.0, 0.0, 1.0]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import staged
 from ..sources.tables import Tables
-from .graph import closure
 
 MAX_TOKENS = 2_000_000
 #: Raw tool names by category; names not listed are Other.
@@ -94,22 +94,53 @@ def terminations(messages: DataFrame) -> DataFrame:
     return last.select("session_id", kind.alias("termination"))
 
 
+def doubled(state: DataFrame, step) -> DataFrame:
+    """state (id, ptr, ...) after pointer jumping: step(state) doubles how far `ptr` reaches, null once it is past the root.
+
+    A tree of depth d takes log d rounds of as many rows as there are nodes. In a cycle no pointer ever ends, so the rounds stop
+    when they have covered all nodes.
+    """
+    state = staged(state)
+    nodes, reach = state.count(), 1
+    while reach <= nodes and state.where("ptr is not null").take(1):
+        state, reach = staged(step(state)), reach * 2
+    return state
+
+
+def subtree_turns(state: DataFrame) -> DataFrame:
+    """A round of `turns`: those of the nodes less than twice as far below."""
+    below = state.where("ptr is not null").groupBy(F.col("ptr").alias("id")).agg(F.sum("turns").alias("more"))
+    far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
+    up = state.where("ptr is not null").join(far, "ptr").select("id", F.col("next").alias("ptr"), "turns").unionByName(state.where("ptr is null"))
+    return up.join(below, "id", "left").select("id", "ptr", (F.col("turns") + F.coalesce("more", F.lit(0))).alias("turns"))
+
+
+def nearest_mark(state: DataFrame) -> DataFrame:
+    """A round of `near`, the nearest mark from a node up, and of `dropped`, whether any of its marks so far is."""
+    far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("near").alias("above"), F.col("dropped").alias("lost"))
+    up = state.where("ptr is not null").join(far, "ptr").select("id", F.col("next").alias("ptr"), F.coalesce("near", "above").alias("near"), (F.col("dropped") | F.col("lost")).alias("dropped"))
+    return up.unionByName(state.where("ptr is null"))
+
+
 def forks(nodes: DataFrame, retry_turns: int = 3) -> DataFrame:
     """id, owner for nodes (id, parent_id, role, place): where a tree branches and the first child's subtree has more user turns than a
     retry, each later child starts a fork of its own; else the last child is followed and the others are dropped (I11).
 
-    owner: the nearest start of a fork above a node, or its root; null for what a dropped branch holds.
+    owner: the nearest start of a fork above a node, or its root; null for what a dropped branch holds. A node whose parent isn't
+    there is a root.
     """
-    every = closure(nodes.select("id", "parent_id"))
-    turns = every.join(nodes.where("role = 'user'").select("id"), "id").groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("turns"))
-    up = Window.partitionBy("parent_id")
-    kids = nodes.where("parent_id is not null").join(turns, "id", "left").na.fill(0, ["turns"])
-    kids = kids.withColumns({"nth": F.row_number().over(up.orderBy("place")), "n": F.count(F.lit(1)).over(up), "first_turns": F.first("turns").over(up.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    retry = F.col("first_turns") <= retry_turns
-    mark = F.when(F.col("n") == 1, None).when(retry & (F.col("nth") < F.col("n")), "dropped").when(~retry & (F.col("nth") > 1), "fork")
-    marks = kids.select("id", mark.alias("mark")).where("mark is not null").unionByName(nodes.where("parent_id is null").select("id", F.lit("root").alias("mark")))
-    near = every.join(marks.withColumnRenamed("id", "root"), "root").groupBy("id").agg(F.min(F.struct("depth", "root", "mark")).alias("m"), F.bool_or(F.col("mark") == "dropped").alias("dropped"))
-    return near.select("id", F.when(~F.col("dropped"), F.col("m.root")).alias("owner"))
+    there = nodes.select(F.col("id").alias("parent_id"), F.col("id").alias("ptr"))
+    nodes = staged(nodes.where("parent_id is not null").join(there, "parent_id", "left").select("id", "ptr", "role", "place").unionByName(nodes.where("parent_id is null").select("id", F.col("parent_id").alias("ptr"), "role", "place")))
+    turns = doubled(nodes.select("id", "ptr", (F.col("role") == "user").cast("long").alias("turns")), subtree_turns).select("id", "turns")
+    kids = nodes.where("ptr is not null")
+    child = F.struct("place", "id")
+    ends = kids.groupBy("ptr").agg(F.count(F.lit(1)).alias("n"), F.min(child)["id"].alias("first"), F.max(child)["id"].alias("last")).where("n > 1")
+    ends = ends.join(turns.select(F.col("id").alias("first"), (F.col("turns") <= retry_turns).alias("retry")), "first")
+    mark = F.when(F.col("retry") & (F.col("id") != F.col("last")), "dropped").when(~F.col("retry") & (F.col("id") != F.col("first")), "fork")
+    marks = kids.select("id", "ptr").join(ends, "ptr", "left").select("id", "ptr", mark.alias("mark"))
+    marks = marks.unionByName(nodes.where("ptr is null").select("id", "ptr", F.lit("root").alias("mark")))
+    own = marks.select("id", "ptr", F.when(F.col("mark").isNotNull(), F.col("id")).alias("near"), F.col("mark").eqNullSafe(F.lit("dropped")).alias("dropped"))
+    return doubled(own, nearest_mark).select("id", F.when(~F.col("dropped"), F.col("near")).alias("owner"))
 
 
 def linked(t: Tables) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ingest
@@ -27,10 +27,8 @@ def _log_lines(t: Tables) -> DataFrame:
 
 def _forks(t: Tables) -> DataFrame:
     """A turn's parent is the one before, but for each sixth, which goes back three turns."""
-    order = Window.partitionBy("session_id").orderBy("ordinal")
-    rows = t.messages.where("user_id % 5 = 0").select("session_id", "ordinal", "role")
-    rows = rows.where("ordinal < 24")
-    parent = F.when((F.col("ordinal") % 6 == 5), F.lag("ordinal", 3).over(order)).otherwise(F.lag("ordinal", 1).over(order))
+    rows = t.messages.select("session_id", "ordinal", "role")
+    parent = F.when(F.col("ordinal") % 6 == 5, F.col("ordinal") - 3).when(F.col("ordinal") > 0, F.col("ordinal") - 1)
     name = lambda o: F.when(o.isNotNull(), F.concat_ws("/", F.col("session_id"), o.cast("string")))
     return ingest.forks(rows.select(name(F.col("ordinal")).alias("id"), name(parent).alias("parent_id"), "role", F.col("ordinal").alias("place")))
 
