@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracery.functions import numbers
 from tracery.operators import coach, concurrency, filters, graph, ingest, maintain, quality, text
-from tracery.plans import intake
+from tracery.plans import advice, intake
 from tracery.sources.tables import Tables, lens
 
 
@@ -131,6 +131,24 @@ def test_forks_of_deep_and_random_trees(spark):
     assert odd == {"a": None, "b": None, "c": "c", "d": "c"}  # a cycle ends; a parent that isn't there
 
 
+def test_terms_come_from_the_whole_text(spark, sf):
+    t = lens(spark, sf)
+    text_of = {(r.session_id, r.ordinal): r.content for r in t.turns.where("role = 'user'").collect()}
+    got = {(r.session_id, r.ordinal): r.terms.split(",") for r in advice.QUERIES["recall_terms_all"][0](t).collect()}
+    assert got.keys() == text_of.keys()
+    assert any(w not in text_of[k][:80].lower() for k, terms in got.items() for w in terms[1:])
+    for k, terms in got.items():
+        words = {w for w in re.split("[^a-z0-9_]+", text_of[k].lower()) if len(w) >= 3}
+        assert '"' in text_of[k] or terms == ["a phrase", *sorted(words, key=lambda w: (-len(w), w))][:12]
+
+
+def test_all_prompts_of_the_stated_sessions_are_ranked(spark, sf):
+    t = lens(spark, sf)
+    asked = {f"{r.session_id}-{r.ordinal}" for r in t.turns.where("role = 'user'").collect() if r.session_id % 20 == 0}
+    assert {r.query for r in advice.QUERIES["recall_ranked_all"][0](t).collect()} == asked
+    assert {q.split("-")[1] for q in asked} > {"2"}
+
+
 def test_numbers(spark):
     df = spark.createDataFrame([(2.5, 4), (-2.5, 1), (0.05, 3), (1.0, 2)], "x double, v int")
     assert [r[0] for r in df.select(numbers.half_away(F.col("x"))).collect()] == [3.0, -3.0, 0.0, 1.0]

@@ -32,6 +32,11 @@ def _asked(t: Tables):
     return t.turns.where("role = 'user' and ordinal = 2").select(F.col("session_id").alias("query"), F.col("content").alias("text"))
 
 
+def _asked_by_id(t: Tables):
+    """Every user turn of the sessions whose id is divisible by 20."""
+    return t.turns.where("role = 'user' and session_id % 20 = 0").select(F.concat_ws("-", "session_id", "ordinal").alias("query"), F.col("content").alias("text"))
+
+
 QUERIES = {
     "coach_maturity": (lambda t: coach.maturity(t.turns), f"{_FIRST}, d AS (SELECT session_id, {_DIMS}, CASE WHEN contains(prompt, '`') OR contains(prompt, chr(10)) THEN 30 ELSE 0 END + CASE WHEN {_BREAKS} >= 2 THEN 20 ELSE 0 END AS context, CASE WHEN length(prompt) >= 100 THEN 40 WHEN length(prompt) >= 50 THEN 20 ELSE 0 END + CASE WHEN contains(prompt, chr(10) || '- ') OR contains(prompt, chr(10) || '* ') THEN 30 ELSE 0 END + CASE WHEN {_BREAKS} >= 3 THEN 30 ELSE 0 END AS specificity FROM p), e AS (SELECT *, (constraints + success + verification + context + specificity) // 5 AS total FROM d) SELECT *, CASE WHEN total >= 90 THEN 'A' WHEN total >= 75 THEN 'B' WHEN total >= 60 THEN 'C' WHEN total >= 40 THEN 'D' ELSE 'F' END AS grade FROM e"),
     "coach_intents": (lambda t: coach.intents(t.turns), f"{_FIRST} SELECT {_INTENT} AS intent, count(*) AS sessions FROM p GROUP BY 1"),
@@ -43,6 +48,8 @@ QUERIES = {
     "usage_standalone": (lambda t: coach.standalone(t, _billing(t)), ", b AS (SELECT CASE WHEN event_id % 2 = 0 THEN (event_id // 6)::VARCHAR ELSE '' END AS k, date_trunc('week', ts) AS ts FROM messages WHERE event_id % 3 = 0), r AS (SELECT ts, model, output_tokens FROM messages WHERE role = 'assistant' UNION ALL SELECT min(ts), 'billed', 5 FROM b WHERE k <> '' GROUP BY k UNION ALL SELECT ts, 'billed', 5 FROM b WHERE k = '') SELECT strftime(ts, '%Y-%m-%d') AS date, model, sum(output_tokens)::BIGINT AS output_tokens FROM r GROUP BY 1, 2"),
     "recall_ranked": (lambda t: coach.rank_entries(_asked(t), _entries(t)), f", e AS (SELECT session_id || '-' || ordinal AS key, {_WORDS('content')} AS w, (ordinal % 4) / 4.0::DOUBLE AS confidence FROM turns WHERE role = 'assistant'), ps AS (SELECT DISTINCT key, confidence, unnest(list_distinct(list_concat(w, ['evidence', 'tion_2']))) AS w FROM e), a AS (SELECT session_id AS query, unnest({_WORDS('content')}) AS w FROM turns WHERE role = 'user' AND ordinal = 2), df AS (SELECT w, count(*)::DOUBLE AS df FROM ps WHERE w IN (SELECT w FROM a) GROUP BY 1), i AS (SELECT w, ln(1 + ((SELECT count(*) FROM e) - df + 0.5) / (df + 0.5)) + 1 + CASE WHEN regexp_matches(w, '[_0-9]') THEN 2.0 ELSE 0.0 END AS idf FROM df), s AS (SELECT query, key, round(sum(idf) + 0.1::DOUBLE * any_value(confidence), 6) AS score FROM a JOIN i USING (w) JOIN ps USING (w) GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM s QUALIFY rank <= 5"),
     "recall_terms": (lambda t: t.turns.where("role = 'user'").select("session_id", "ordinal", F.array_join(coach.query_terms(F.concat(F.lit('"a phrase" '), F.substring("content", 1, 80))), ",").alias("terms")), """, x AS (SELECT session_id, ordinal, list_distinct(list_filter(regexp_split_to_array(lower(substr(content, 1, 80)), '[^a-z0-9_]+'), lambda w: length(w) >= 3)) AS w FROM turns WHERE role = 'user') SELECT session_id, ordinal, array_to_string((list_concat(['a phrase'], list_transform(list_sort(list_transform(w, lambda v: {'n': -length(v), 'w': v})), lambda s: s.w)))[1:12], ',') AS terms FROM x"""),
+    "recall_ranked_all": (lambda t: coach.rank_entries(_asked_by_id(t), _entries(t)), f", e AS (SELECT session_id || '-' || ordinal AS key, {_WORDS('content')} AS w, (ordinal % 4) / 4.0::DOUBLE AS confidence FROM turns WHERE role = 'assistant'), ps AS (SELECT DISTINCT key, confidence, unnest(list_distinct(list_concat(w, ['evidence', 'tion_2']))) AS w FROM e), a AS (SELECT session_id || '-' || ordinal AS query, unnest({_WORDS('content')}) AS w FROM turns WHERE role = 'user' AND session_id % 20 = 0), df AS (SELECT w, count(*)::DOUBLE AS df FROM ps WHERE w IN (SELECT w FROM a) GROUP BY 1), i AS (SELECT w, ln(1 + ((SELECT count(*) FROM e) - df + 0.5) / (df + 0.5)) + 1 + CASE WHEN regexp_matches(w, '[_0-9]') THEN 2.0 ELSE 0.0 END AS idf FROM df), s AS (SELECT query, key, round(sum(idf) + 0.1::DOUBLE * any_value(confidence), 6) AS score FROM a JOIN i USING (w) JOIN ps USING (w) GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM s QUALIFY rank <= 5"),
+    "recall_terms_all": (lambda t: t.turns.where("role = 'user'").select("session_id", "ordinal", F.array_join(coach.query_terms(F.concat(F.lit('"a phrase" '), "content")), ",").alias("terms")), """, x AS (SELECT session_id, ordinal, '"a phrase" ' || content AS c FROM turns WHERE role = 'user'), y AS (SELECT session_id, ordinal, regexp_extract_all(c, '"([^"]+)"', 1) AS q, list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(c, '"[^"]*"', ' ', 'g')), '[^a-z0-9_]+'), lambda w: length(w) >= 3)) AS w FROM x) SELECT session_id, ordinal, array_to_string((list_concat(q, list_transform(list_sort(list_transform(w, lambda v: {'n': -length(v), 'w': v})), lambda s: s.w)))[1:12], ',') AS terms FROM y"""),
     "recall_log_metrics": (lambda t: coach.log_metrics(t.messages.select(F.col("agent").alias("surface"), (F.col("event_id") % 3).alias("hits"), (F.col("event_id") % 5).alias("packed"))), " SELECT agent AS surface, count(*) AS queries, count(*) FILTER (event_id % 3 > 0) AS hit, count(*) FILTER (event_id % 3 = 0) AS missed, sum(event_id % 5)::BIGINT AS packed FROM messages GROUP BY 1"),
     "recall_evidence": (lambda t: coach.check_evidence(t.turns.select(F.concat_ws("-", "session_id", "ordinal").alias("key"), "session_id", (F.col("ordinal") - 1).alias("first"), (F.col("ordinal") + 1).alias("last")), t.turns.where("ordinal <> 4")), ", v AS (SELECT session_id || '-' || ordinal AS key, session_id, ordinal - 1 AS f, ordinal + 1 AS l FROM turns) SELECT key, count(t.ordinal) = 3 AS sound FROM v LEFT JOIN (SELECT * FROM turns WHERE ordinal <> 4) t ON t.session_id = v.session_id AND t.ordinal BETWEEN f AND l GROUP BY 1"),
     "recall_last_week": (lambda t: coach.temporal(t.messages.select("session_id", "ordinal", F.col("ts").alias("created")), "what did I do last week").select("session_id", "ordinal", "boost"), " SELECT session_id, ordinal, CASE WHEN ts >= m - INTERVAL 7 DAY AND ts < m THEN 1.0 ELSE 0.0 END::DOUBLE AS boost FROM messages, (SELECT max(ts) AS m FROM messages)"),
