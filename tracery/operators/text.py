@@ -125,10 +125,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def semantic(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k most similar vectors to each query vector, itself left out, ties by id (T11). queries is a stated, small set: the rows meet it in place."""
+def semantic(vectors: DataFrame, queries: DataFrame, k: int = 5, few: bool = True) -> DataFrame:
+    """The k most similar vectors to each query vector, itself left out, ties by id.
+
+    Few queries, a stated set, meet the rows in place. If they grow with the table, each block (partition) of them meets each block of
+    vectors in a task of its own, which keeps its k best of every query before the shuffle.
+    """
     q = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query")).select("query", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    pairs = vectors.join(F.broadcast(q) if few else q.hint("shuffle_replicate_nl"), F.col("vec_id") != F.col("query")).select("query", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -229,6 +233,14 @@ def redact(text: Column) -> Column:
     return text
 
 
+def still_leaks(text: Column) -> Column:
+    """Whether any detector finds something in a text."""
+    found = F.lit(False)
+    for _, pattern, _, _ in DETECTORS:
+        found = found | text.rlike(pattern)
+    return found
+
+
 def leaks(findings: DataFrame) -> DataFrame:
     """Findings by key and rule."""
     return findings.groupBy("key", "rule").agg(F.count(F.lit(1)).alias("findings"))

@@ -70,5 +70,8 @@ TABLE_QUERIES = {
     "secrets_found": (lambda spark, d: text.secrets(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")), None),
     "secrets_leaks": (lambda spark, d: text.leaks(text.secrets(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")).where("rule = 'aws_access_key'")), r"SELECT doc_id AS key, 'aws_access_key' AS rule, count(*) AS findings FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b((?:AKIA|ASIA)[A-Z0-9]{16})\b')) FROM documents) GROUP BY 1"),
     "secrets_redacted": (lambda spark, d: read(spark, d, "documents").select("doc_id", F.contains(text.redact(F.col("text")), F.lit("AKIA")).alias("leaks")), r"SELECT doc_id, contains(regexp_replace(text, '\b((?:AKIA|ASIA)[A-Z0-9]{16})\b', '', 'g'), 'AKIA') AS leaks FROM documents"),
+    "text_semantic_all": (lambda spark, d: text.semantic(read(spark, d, "embeddings"), read(spark, d, "embeddings").where("vec_id % 20 = 0"), few=False), f"WITH z AS (SELECT 1){_NEAR(5, '% 20 = 0')} SELECT query, vec_id, similarity, rank FROM nk"),
+    "secrets_leaks_all": (lambda spark, d: text.leaks(text.secrets(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"))), None),
+    "secrets_redacted_all": (lambda spark, d: read(spark, d, "documents").select("doc_id", text.still_leaks(text.redact(F.col("text"))).alias("leaks")), None),
     "secrets_stale": (lambda spark, d: text.stale(read(spark, d, "documents").select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 3 == 0, "1").when(F.col("doc_id") % 3 == 1, "0").alias("rules_version"))), "SELECT doc_id AS key FROM documents WHERE doc_id % 3 <> 0"),
 }

@@ -21,6 +21,12 @@ def _new(t: Tables):
     return t.messages.where("user_id % 13 <> 0")
 
 
+def _newer_half(t: Tables):
+    """The last row of each session from after the middle of the journal's revisions through its last."""
+    least, most = t.messages.agg(F.min("event_id"), F.max("event_id")).first()
+    return maintain.latest(t.messages.select("session_id", "event_id", "event_type"), "session_id", "event_id", ((least or 0) + (most or 0)) // 2, most or 0)
+
+
 LENS_QUERIES = {
     "upkeep_fingerprints": (lambda t: maintain.fingerprints(t.messages), f" SELECT * FROM {_PRINT('messages')}"),
     "upkeep_changed": (lambda t: maintain.changed(maintain.fingerprints(_new(t)), maintain.fingerprints(_old(t))), f", a AS {_PRINT('(SELECT * FROM messages WHERE user_id % 13 <> 0)')}, b AS {_PRINT(_OLD)} SELECT session_id, CASE WHEN b.fingerprint IS NULL THEN 'new' WHEN a.fingerprint IS NULL THEN 'gone' ELSE 'changed' END AS change FROM a FULL JOIN b USING (session_id) WHERE a.fingerprint IS DISTINCT FROM b.fingerprint"),
@@ -28,6 +34,7 @@ LENS_QUERIES = {
     "upkeep_multiset_diff": (lambda t: maintain.multiset_diff(_old(t), t.messages, ["session_id", "model", "output_tokens"]), f", a AS (SELECT session_id, model, output_tokens, count(*) AS l FROM {_OLD} GROUP BY ALL), b AS (SELECT session_id, model, output_tokens, count(*) AS r FROM messages GROUP BY ALL) SELECT session_id, model, output_tokens, coalesce(l, 0) AS \"left\", coalesce(r, 0) AS \"right\" FROM a FULL JOIN b USING (session_id, model, output_tokens) WHERE l IS DISTINCT FROM r"),
     "upkeep_carry_over": (lambda t: maintain.carry_over(t.sessions.where("user_id % 2 = 0"), t.sessions.where("user_id % 3 = 0"), "session_id").select("session_id"), " SELECT session_id FROM sessions WHERE user_id % 3 = 0 OR user_id % 2 = 0"),
     "upkeep_latest": (lambda t: maintain.latest(t.messages.select("session_id", "event_id", "event_type"), "session_id", "event_id", 100, 900), " SELECT session_id, event_id, event_type FROM messages WHERE event_id > 100 AND event_id <= 900 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) = 1"),
+    "upkeep_latest_half": (_newer_half, " SELECT session_id, event_id, event_type FROM messages WHERE event_id > (SELECT (min(event_id) + max(event_id)) // 2 FROM messages) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) = 1"),
     "upkeep_merge_origins": (lambda t: maintain.merge_origins({"x": t.messages.where("user_id % 2 = 0").select("session_id", "event_id"), "y": t.messages.select("session_id", "event_id")}, "session_id", "event_id"), " SELECT 'x~' || session_id AS session_id, max(event_id) AS event_id FROM messages WHERE user_id % 2 = 0 GROUP BY 1 UNION ALL SELECT 'y~' || session_id, max(event_id) FROM messages GROUP BY 1"),
     "export_sessions": (maintain.session_export, ", b AS (SELECT session_id, count(DISTINCT model) AS models, sum(output_tokens)::BIGINT AS o FROM messages WHERE model <> '' GROUP BY 1) SELECT session_id, project, agent, message_count, epoch_us(ended_at) - epoch_us(started_at) AS micros, coalesce(models, 0) AS models, coalesce(o, 0) AS output_tokens FROM sessions LEFT JOIN b USING (session_id)"),
     "export_reporting_day": (maintain.reporting_day, ", h AS (SELECT x AS hour, count(m.ts) AS messages, count(DISTINCT session_id) AS sessions, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens FROM range(24) r(x) LEFT JOIN (SELECT * FROM messages WHERE ts::DATE = DATE '2024-01-10') m ON hour(m.ts) = x GROUP BY 1) SELECT *, sha256(hour || '|' || messages || '|' || sessions || '|' || output_tokens) AS digest FROM h"),
