@@ -84,3 +84,29 @@ def test_anchors_keep_columns(spark):
     df = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz" * 3, "q"), (2, None, "r")], "doc_id long, text string, anchor string")
     out = syncmers.anchors(df, "text", df["doc_id"])
     assert out.columns == ["doc_id", "place", "anchor"] and {r.doc_id for r in out.collect()} == {1}
+
+
+def test_a_short_passage_of_long_texts_is_matched(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = text(300)
+    a, b = text(70_000) + passage + text(50_000), text(10_000) + passage + text(110_000)
+    rows = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    got = {r.doc_id: r for r in syncmers.fingerprint_documents(rows).collect()}
+    at = lambda t: set(brute(t))
+    places = {t: [p + t.index(passage) for p in at(passage)] for t in (a, b)}
+    n = sum(len(syncmers.anchors_of([t])[0][0]) for t in (a, b))
+    assert got[1].matched_next == got[2].matched_next == sum(map(len, places.values())) / n > 0
+    assert 0.70 < got[1].matched_edited < 0.76
+
+
+def test_matching_keeps_to_places():
+    rng = np.random.default_rng(6)
+    parts = ["".join(map(chr, rng.integers(97, 123, 200))) for _ in range(4)]
+    of = lambda t: syncmers.anchors_of([t])[0]
+    a = of("".join(parts))
+    assert syncmers.matched(a, a) == 1.0 and syncmers.matched(a, of("".join(parts[::-1]))) > 0.85  # passages may move
+    torn = (a[0] * 2 + np.arange(len(a[0])), a[1])  # the same anchors at other distances
+    assert syncmers.matched(a, torn) == 0.0 and np.array_equal(syncmers.sketch(*a), syncmers.sketch(*torn))
+    assert syncmers.matched(of(""), of("")) == 1.0 and syncmers.matched(of(""), of("x")) == 0.0 and syncmers.matched(of("x"), of("x")) == 1.0
+    assert syncmers.matched(of("long " * 40_000), of("long " * 30_000)) == 1.0

@@ -4,8 +4,9 @@ A k-mer of characters is a closed syncmer if the least of its s-mers (by hash) i
 That depends on the k-mer alone, not on its neighbours, so the same passage has the same anchors in every
 text. A fingerprint holds the SKETCH anchors with the least hashes, told in the order in which they first
 occur; the likeness of two fingerprints is the Jaccard index of their texts' anchors as the sketches show
-it (exact for texts with up to SKETCH anchors). `anchors` returns all anchors with their places, for
-positional matching.
+it (exact for texts with up to SKETCH anchors, an estimate for longer ones, which a short shared passage
+seldom moves). Positional matching is exact at any length: it takes all anchors and their places, and counts
+those that lie in a passage which both texts have. `anchors` returns all anchors with their places.
 """
 
 from __future__ import annotations
@@ -58,10 +59,8 @@ def whole(codes: np.ndarray) -> np.ndarray:
     return np.array([out], np.uint64)
 
 
-def sketch(places: np.ndarray, hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+def sketch(places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The least distinct hashes, 32 bits each, in the order of their first places."""
-    if not len(hashes):
-        hashes, places = (whole(codes), np.zeros(1, np.int64)) if len(codes) else (hashes, places)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     values, first = np.unique(short, return_index=True)
     return values[:SKETCH][np.argsort(first[:SKETCH])]
@@ -76,8 +75,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.count_nonzero(both <= union[-1]) / len(union))
 
 
-def sketches(texts: list[str]) -> list[np.ndarray]:
-    """A sketch of each text. Texts are hashed together, a window of them at a time; a longer text is cut into windows that overlap by K - 1."""
+def anchors_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashes of all anchors of each text, one of the whole text if it is too short for any.
+
+    Texts are hashed together, a window of them at a time; a longer text is cut into windows that overlap by K - 1.
+    """
     out, group, size = [], [], 0
     for text in [*texts, None]:
         if group and (text is None or size + len(text) > WINDOW):
@@ -91,7 +93,7 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
             end = np.cumsum([len(x) for x in group])
             begin = end - [len(x) for x in group]
             low, high = np.searchsorted(at, begin), np.searchsorted(at, np.maximum(end - K + 1, begin))
-            out += [sketch(at[a:b] - s, hashed[a:b], codes[s:e]) for a, b, s, e in zip(low, high, begin, end, strict=True)]
+            out += [(at[a:b] - s, hashed[a:b]) if b > a or e == s else (np.zeros(1, np.int64), whole(codes[s:e])) for a, b, s, e in zip(low, high, begin, end, strict=True)]
             group, size = [], 0
         if text is not None:
             group.append(text)
@@ -99,6 +101,33 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def sketches(texts: list[str]) -> list[np.ndarray]:
+    """A sketch of each text."""
+    return [sketch(places, hashed) for places, hashed in anchors_of(texts)]
+
+
+def steps(places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A hash of each anchor with the next one and the distance between them; of a lone anchor itself."""
+    if len(hashes) < 2:
+        return hashes
+    return mix64(hashes[:-1] * np.uint64(_MULTIPLIER) + mix64(hashes[1:] + np.diff(places).astype(np.uint64)))
+
+
+def placed(n: int, own: np.ndarray, other: np.ndarray) -> int:
+    """How many of n anchors, whose steps are `own`, lie in a step of the other text."""
+    hit = np.isin(own, other)
+    return int(hit.sum()) if n < 2 else int(np.count_nonzero(np.append(hit, False) | np.append(False, hit)))
+
+
+def matched(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Share of the anchors of two texts (of both together) that lie in a passage of two anchors or more, equally far apart, that both have."""
+    n, m = len(a[1]), len(b[1])
+    if not n or not m:
+        return 1.0 if n == m else 0.0
+    x, y = steps(*a), steps(*b)
+    return (placed(n, x, y) + placed(m, y, x)) / (n + m)
+
+
 def told(values: np.ndarray) -> str:
     return values.astype(">u4").tobytes().hex()
 
@@ -144,7 +173,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and its edited text, and their likeness.
+    """Fingerprints of every text and its edited text, and their likeness: near_ by sketches, matched_ by all anchors and their places.
 
     The edited text has its last quarter replaced by the beginning of the next document's text (ascending
     doc_id; after the last comes the first; equal ids in the order of their texts' hashes). Null texts count
@@ -166,11 +195,15 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             edited = [t[: len(t) - c] + y[2][:c] for t, c, (_, y) in zip(texts, cuts, pairs, strict=True)]
             follows = [p[0] is q[1] for p, q in zip(pairs[1:], pairs, strict=False)]  # then the next sketch is at hand
             extra = [i for i in range(len(pairs)) if i == len(pairs) - 1 or not follows[i]]
-            found = sketches([*texts, *edited, *(pairs[i][1][2] for i in extra)])
+            every = anchors_of([*texts, *edited, *(pairs[i][1][2] for i in extra)])
             n = len(pairs)
-            own, changed = found[:n], found[n : 2 * n]
-            later = dict(zip(extra, found[2 * n :], strict=True))
-            after = [later[i] if i in later else own[i + 1] for i in range(n)]
+
+            def split(found: list) -> tuple[list, list, list]:
+                later = dict(zip(extra, found[2 * n :], strict=True))
+                return found[:n], found[n : 2 * n], [later[i] if i in later else found[i + 1] for i in range(n)]
+
+            own, changed, after = split([sketch(*x) for x in every])
+            all_own, all_changed, all_after = split(every)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([x[1] for x, _ in pairs], pa.int64()),
@@ -180,8 +213,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                     pa.array([told(x) for x in changed]),
                     pa.array([likeness(a, b) for a, b in zip(own, changed, strict=True)]),
                     pa.array([likeness(a, b) for a, b in zip(own, after, strict=True)]),
+                    pa.array([matched(a, b) for a, b in zip(all_own, all_changed, strict=True)]),
+                    pa.array([matched(a, b) for a, b in zip(all_own, all_after, strict=True)]),
                 ],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "matched_edited", "matched_next"],
             )
 
-    return with_next(docs, parts).mapInArrow(rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs, parts).mapInArrow(rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, matched_edited double, matched_next double")
