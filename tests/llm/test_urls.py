@@ -35,6 +35,20 @@ def test_tree_rejects_the_bad_branch_and_merges_like_ones(spark):
     assert urls.judge(few, few.union(df), F.col("url"), rules=[]).first().verdict == "allow"  # one label is too few
 
 
+def test_tree_reaches_the_deepest_path(spark):
+    slug = lambda i: "abcdefghijklmnopqrstuvwxyz"[i % 26] + "-" + "abcdefghijklmnopqrstuvwxyz"[i // 26]
+    rows = [(f"http://h.com/a/b/c/d/{kind}/x/{slug(i)}", good) for kind, good, n in (("spam", False, 60), ("news", True, 120)) for i in range(n)]
+    rows += [("http://h.com/a/b/c/d/lone" + "/deep" * 200, True), ("http://h.com/a/b/c/d", True), ("http://h.com", True)]
+    df = spark.createDataFrame(rows, "url string, good boolean")
+    by = {r.url: r for r in urls.judge(df, df, F.col("url"), rules=[]).collect()}
+    assert len(by) == len(rows)
+    for u, r in by.items():
+        assert r.verdict == ("block" if "/spam/" in u else "allow")
+        if "/spam/" in u or "/news/" in u:
+            assert r.template == u[len("http://h.com") : u.rindex("/")] + "/*"
+    assert by[rows[-3][0]].template.endswith("/deep" * 200) and by["http://h.com"].template == ""
+
+
 def test_against_sql(spark, sf):
     con = duckdb.connect()
     for t in ("pages", "labels"):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Levels of a path that the tree has; what is below them stays as its shape.
+#: Levels that the oracle's SQL has. The tree itself goes down to the deepest path.
 DEPTH = 4
 #: A branch is one of many small ones if it has more than so many siblings, and under 1 / so many of their pages.
 FANOUT = 16
@@ -49,20 +49,27 @@ def templates(shapes: DataFrame) -> DataFrame:
     parts = F.split("shape", "/")
     # Each level reads the tree twice: it is written in between, else the plan doubles with every level.
     tree = staged(shapes.withColumn("parts", parts).withColumn("t", F.col("parts")[0]))
-    for level in range(1, DEPTH + 1):
-        tree = tree.withColumn("part", F.when(F.size("parts") > level, F.element_at("parts", level + 1)))
-        branch = tree.where(F.col("part").isNotNull()).groupBy("host", "t", "part").agg(*(F.sum(c).cast("double").alias(f"b_{c}") for c in ("n", "labelled", "good")))
+    kept = ("host", "shape", "t", "labelled", "good")
+    done, live, level = tree.where(F.size("parts") <= 1).select(*kept), tree.where(F.size("parts") > 1), 1
+    while live.take(1):
+        live = live.withColumn("part", F.element_at("parts", level + 1))
+        branch = live.groupBy("host", "t", "part").agg(*(F.sum(c).cast("double").alias(f"b_{c}") for c in ("n", "labelled", "good")), F.count(F.lit(1)).alias("b_shapes"))
         up = Window.partitionBy("host", "t")
-        branch = branch.withColumns({f"u_{c}": F.sum(f"b_{c}").over(up) for c in ("n", "labelled", "good")} | {"siblings": F.count(F.lit(1)).over(up)})
+        branch = branch.withColumns({f"u_{c}": F.sum(f"b_{c}").over(up) for c in ("n", "labelled", "good", "shapes")} | {"siblings": F.count(F.lit(1)).over(up)})
         small = (F.col("siblings") > FANOUT) & (F.col("b_n") * FANOUT < F.col("u_n"))
         mean = F.col("u_good") / F.greatest(F.col("u_labelled"), F.lit(1.0))
         off = F.col("b_good") - F.col("b_labelled") * mean
         alike = off * off <= CHI2 * F.col("b_labelled") * mean * (1 - mean) + 1e-9
-        branch = branch.select("host", "t", "part", F.when((F.col("siblings") > 1) & (small | alike), F.lit("*")).otherwise(F.col("part")).alias("own"))
-        tree = tree.join(branch, ["host", "t", "part"], "left").withColumn("t", F.when(F.col("part").isNull(), F.col("t")).otherwise(F.concat("t", F.lit("/"), "own"))).drop("part", "own")
-        tree = staged(tree)
-    rest = F.when(F.size("parts") > DEPTH + 1, F.concat(F.lit("/"), F.array_join(F.slice("parts", DEPTH + 2, F.size("parts")), "/"))).otherwise(F.lit(""))
-    tree = tree.select("host", "shape", F.concat("t", rest).alias("template"), "labelled", "good")
+        own = F.when((F.col("siblings") > 1) & (small | alike), F.lit("*")).otherwise(F.col("part"))
+        branch = branch.select("host", "t", "part", own.alias("own"), (F.col("u_shapes") == 1).alias("alone"))
+        # A shape that is alone has no siblings further down either: the rest of it is its template's.
+        rest = F.array_join(F.slice("parts", level + 1, F.size("parts")), "/")
+        grown = F.concat("t", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("own")))
+        tree = staged(live.join(branch, ["host", "t", "part"]).withColumn("t", grown).drop("part", "own"))
+        level += 1
+        ended = F.col("alone") | (F.size("parts") <= level)
+        done, live = done.unionByName(tree.where(ended).select(*kept)), tree.where(~ended).drop("alone")
+    tree = done.withColumnRenamed("t", "template")
     purest = lambda good, n, prior: (good + PRIOR * prior) / (n + PRIOR)
     whole = tree.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2.0)).alias("base"))
     hosts = tree.groupBy("host").agg(F.sum("good").alias("h_good"), F.sum("labelled").alias("h_labelled")).join(F.broadcast(whole))
