@@ -117,3 +117,9 @@ def test_against_brute_force_on_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.dedup_documents(docs).collect()}
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_pruning_follows_the_threshold():
+    assert (neardup.least_alike(80), neardup.least_alike(85)) == (42, 45)
+    with pytest.raises(ValueError):
+        neardup.least_alike(60)

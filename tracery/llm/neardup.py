@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,26 @@ BANDS = REGISTERS // ROWS
 BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 1 << 21
 #: A pair is ruled out by the sketches only this many standard errors below the threshold.
 MARGIN = 6.0
-#: A link within a band needs this many of BANDS bits alike: 46 is 5 standard errors below what 85 % gives.
-ALIKE = 46
+#: The most that the chance of a miss may be for a pair at the threshold: by sharing no band, and by too few of BANDS bits alike.
+NO_BAND, PRUNED = 1e-5, 3e-8
 #: Shingles for each bucket at least, where that is possible.
 FILL = 3
 _BITS = REGISTERS.bit_length() - 1
 
 
+def least_alike(percent: int) -> int:
+    """How many of BANDS bits a link within a band needs alike. The bits are the same in all bands, so what fails here is found nowhere else."""
+    cut = percent / 100
+    if (1 - cut**ROWS) ** BANDS > NO_BAND:
+        raise ValueError(f"{BANDS} bands of {ROWS} registers miss too many pairs at {percent} %")
+    p, below = (1 + cut) / 2, 0.0
+    for k in range(BANDS):
+        below += comb(BANDS, k) * p**k * (1 - p) ** (BANDS - k)
+        if below > PRUNED:
+            return k
+    return BANDS
+
+
 def shingle_hashes(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct hashes of the shingles of each text; with fewer words all of them are one shingle, without words there is none."""
     words, counts = word_hashes(texts)
@@ -179,7 +193,8 @@ def links(docs: DataFrame, classes: DataFrame, width: int = WORDS, percent: int
     in_order = Window.partitionBy("band").orderBy("name")
     head, before = F.first(F.struct("name", "bits")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lag(F.struct("name", "bits")).over(in_order)
     linked = keyed.withColumn("head", head).withColumn("before", before).where("before is not null")
-    alike = lambda c: F.bit_count(F.col("bits").bitwiseXOR(F.col(c)["bits"])) <= BANDS - ALIKE
+    most = BANDS - least_alike(percent)
+    alike = lambda c: F.bit_count(F.col("bits").bitwiseXOR(F.col(c)["bits"])) <= most
     ends = F.array_compact(F.array(F.when(alike("head"), F.col("head.name")), F.when(alike("before"), F.col("before.name"))))
     clusters = components(linked.select(F.col("name").alias("a"), F.explode(ends).alias("b")))
     sizes = classes.select("set_key", "doc_id", "tie", "n_shingles", F.xxhash64("set_key").alias("node"))
@@ -226,6 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     their own; a null id counts as no id: such a row's component has the least id of the others, or null.
     """
     spark = docs.sparkSession
+    least_alike(percent)  # refuses thresholds that the bands can't serve, before any work
     found = staged(sets_of(docs, width, percent), f"{shared_folder(spark)}/sets")
     some = found.where("set_key is not null")
     classes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "tie")).alias("one"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
