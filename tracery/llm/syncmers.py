@@ -2,17 +2,17 @@
 
 A k-mer of characters is a closed syncmer if the least of its s-mers (by hash) is its first or its last.
 That depends on the k-mer alone, not on its neighbours, so the same passage has the same anchors in every
-text. A fingerprint holds the SKETCH anchors with the least hashes, told in the order in which they first
-occur; the likeness of two fingerprints is the Jaccard index of their texts' anchors as the sketches show
-it (exact for texts with up to SKETCH anchors, an estimate for longer ones, which a short shared passage
-seldom moves). Positional matching is exact at any length: it takes all anchors and their places, and counts
-those that lie in a passage which both texts have. `anchors` returns all anchors with their places.
+text. A text's fingerprint is all its anchors with their places; the likeness of two is the share of anchors
+that lie in a passage which both have: two anchors or more, equally far apart. It is exact at any length.
+What is printed of a fingerprint are its SKETCH least anchors, in the order in which they first occur;
+`anchors` returns all of them with their places.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from .common import mix64, text_chunks
 
 K, S = 16, 5
+#: So many anchors of a fingerprint are printed.
 SKETCH = 64
+#: A range of documents has about so many bytes of text at most.
+PART_BYTES = 1 << 28
 #: Characters that are hashed at once; texts are put together up to it.
 WINDOW = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -66,15 +69,6 @@ def sketch(places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return values[:SKETCH][np.argsort(first[:SKETCH])]
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard index of two sketches: of the SKETCH least values of both together, the share that both have."""
-    if not len(a) or not len(b):
-        return 1.0 if len(a) == len(b) else 0.0
-    union = np.union1d(a, b)[:SKETCH]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return float(np.count_nonzero(both <= union[-1]) / len(union))
-
-
 def anchors_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Places and hashes of all anchors of each text, one of the whole text if it is too short for any.
 
@@ -101,31 +95,31 @@ def anchors_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def sketches(texts: list[str]) -> list[np.ndarray]:
-    """A sketch of each text."""
-    return [sketch(places, hashed) for places, hashed in anchors_of(texts)]
+class Steps(NamedTuple):
+    """A hash of each anchor with the next one and the distance between them (of a lone anchor itself), and these hashes sorted; n: anchors."""
+
+    n: int
+    hashes: np.ndarray
+    in_order: np.ndarray
 
 
-def steps(places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A hash of each anchor with the next one and the distance between them; of a lone anchor itself."""
-    if len(hashes) < 2:
-        return hashes
-    return mix64(hashes[:-1] * np.uint64(_MULTIPLIER) + mix64(hashes[1:] + np.diff(places).astype(np.uint64)))
+def steps(places: np.ndarray, hashes: np.ndarray) -> Steps:
+    own = hashes if len(hashes) < 2 else mix64(hashes[:-1] * np.uint64(_MULTIPLIER) + mix64(hashes[1:] + np.diff(places).astype(np.uint64)))
+    return Steps(len(hashes), own, np.sort(own))
 
 
-def placed(n: int, own: np.ndarray, other: np.ndarray) -> int:
-    """How many of n anchors, whose steps are `own`, lie in a step of the other text."""
-    hit = np.isin(own, other)
-    return int(hit.sum()) if n < 2 else int(np.count_nonzero(np.append(hit, False) | np.append(False, hit)))
+def placed(a: Steps, b: Steps) -> int:
+    """How many anchors of one text lie in a step of the other."""
+    at = np.minimum(np.searchsorted(b.in_order, a.hashes), len(b.in_order) - 1)
+    hit = b.in_order[at] == a.hashes
+    return int(hit.sum()) if a.n < 2 else int(np.count_nonzero(np.append(hit, False) | np.append(False, hit)))
 
 
-def matched(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+def likeness(a: Steps, b: Steps) -> float:
     """Share of the anchors of two texts (of both together) that lie in a passage of two anchors or more, equally far apart, that both have."""
-    n, m = len(a[1]), len(b[1])
-    if not n or not m:
-        return 1.0 if n == m else 0.0
-    x, y = steps(*a), steps(*b)
-    return (placed(n, x, y) + placed(m, y, x)) / (n + m)
+    if not a.n or not b.n:
+        return 1.0 if a.n == b.n else 0.0
+    return (placed(a, b) + placed(b, a)) / (a.n + b.n)
 
 
 def told(values: np.ndarray) -> str:
@@ -152,28 +146,45 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """bin, doc_id, text, guest: documents dealt to ranges of doc_id, each range sorted and ended by a guest, the first document of the next.
 
     The order is that of doc_id, null first, then of the text's hash and the text; the last range's guest is the
-    first document of all. Ranges come from quantiles of the ids, so only `parts` bounds and guests are sent about.
+    first document of all. Ranges come from quantiles of the ids, `parts` or one for each PART_BYTES of text; an id
+    that fills several of them (null too) is cut by the text's hash. Only bounds and guests' ids are sent about.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bounds = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10000)).first()[0] if parts > 1 else []
-    bounds = sorted(set(bounds or []))
-    bin_of = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    own = own.withColumn("bin", F.coalesce(F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bin_of), F.lit(0)).cast("int"))
-    order = F.struct("doc_id", F.xxhash64("text"), "text")
-    first = own.groupBy("bin").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("tie"))).alias("least")).orderBy("bin").collect()
+    size = own.agg(F.sum(F.octet_length("text")), F.count(F.lit(1)), F.count("doc_id")).first()
+    parts = max(parts, -(-(size[0] or 0) // PART_BYTES))
+    none = round(parts * (1 - size[2] / max(size[1], 1)))  # ranges of rows without an id
+    parts -= none
+    bounds = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, parts))).first()[0] if parts > 1 else []
+    turn = F.xxhash64("text")
+    part_of = lambda n: F.floor((turn / F.lit(2.0**64) + 0.5) * n)
+    if bounds:
+        cuts, leaps = F.array(*map(F.lit, bounds)), F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+
+        def search(holds) -> Column:
+            """How many bounds hold, by halving."""
+            return F.aggregate(leaps, F.lit(0), lambda n, leap: F.when(holds(F.get(cuts, n + leap - 1)), n + leap).otherwise(n))
+
+        own = own.withColumns({"under": search(lambda b: b < F.col("doc_id")), "upto": search(lambda b: b <= F.col("doc_id"))})
+        place = F.when(F.col("upto") > F.col("under"), F.col("under") + 1 + F.least(part_of(F.col("upto") - F.col("under")), F.col("upto") - F.col("under") - 1)).otherwise(F.col("upto"))
+    else:
+        place = F.lit(0)
+    unknown = F.least(part_of(F.lit(none)), F.lit(max(none - 1, 0)))
+    own = own.select("doc_id", "text", F.when(F.col("doc_id").isNull(), unknown).otherwise(none + place).cast("int").alias("bin"))
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("least")
+    first = own.groupBy("bin").agg(least).orderBy("bin").collect()
     if not first:
         return own.withColumn("guest", F.lit(False))
     filled = [r["bin"] for r in first]
-    guests = spark.createDataFrame([(before, r["bin"], r["least"]["doc_id"], r["least"]["tie"]) for before, r in zip([filled[-1], *filled], first, strict=False)], "to int, bin int, g_id long, tie long")
-    ends = own.join(F.broadcast(guests), (own["bin"] == guests["bin"]) & own["doc_id"].eqNullSafe(guests["g_id"]) & (F.xxhash64(own["text"]) == guests["tie"]))
-    ends = ends.select("to", "doc_id", "text").dropDuplicates(["to"])
-    both = own.select("bin", "doc_id", "text", F.lit(False).alias("guest")).unionByName(ends.select(F.col("to").alias("bin"), "doc_id", "text", F.lit(True).alias("guest")))
-    return both.repartition(parts, "bin").sortWithinPartitions("bin", "guest", order)
+    guests = spark.createDataFrame([(before, r["bin"], r["least"]["doc_id"]) for before, r in zip([filled[-1], *filled], first, strict=False)], "to int, bin int, g_id long")
+    ends = own.join(F.broadcast(guests), (own["bin"] == guests["bin"]) & own["doc_id"].eqNullSafe(guests["g_id"]))
+    ends = ends.groupBy("to").agg(F.min(F.struct("doc_id", turn.alias("turn"), "text")).alias("g"))
+    both = own.select("bin", "doc_id", "text", F.lit(False).alias("guest")).unionByName(ends.select(F.col("to").alias("bin"), "g.doc_id", "g.text", F.lit(True).alias("guest")))
+    return both.repartitionById(none + parts, "bin").sortWithinPartitions("bin", "guest", "doc_id", turn, "text")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and its edited text, and their likeness: near_ by sketches, matched_ by all anchors and their places.
+    """Fingerprints of every text and its edited text, and the likeness of its own to the edited text's and the next document's.
 
     The edited text has its last quarter replaced by the beginning of the next document's text (ascending
     doc_id; after the last comes the first; equal ids in the order of their texts' hashes). Null texts count
@@ -190,33 +201,24 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             waiting = queue[-1]
             if not pairs:
                 continue
-            texts = [x[2] for x, _ in pairs]
+            texts, n = [x[2] for x, _ in pairs], len(pairs)
             cuts = [len(t) // 4 for t in texts]
             edited = [t[: len(t) - c] + y[2][:c] for t, c, (_, y) in zip(texts, cuts, pairs, strict=True)]
-            follows = [p[0] is q[1] for p, q in zip(pairs[1:], pairs, strict=False)]  # then the next sketch is at hand
-            extra = [i for i in range(len(pairs)) if i == len(pairs) - 1 or not follows[i]]
+            extra = [i for i in range(n) if i == n - 1 or pairs[i][1] is not pairs[i + 1][0]]  # others are followed by a text that has its turn here too
             every = anchors_of([*texts, *edited, *(pairs[i][1][2] for i in extra)])
-            n = len(pairs)
-
-            def split(found: list) -> tuple[list, list, list]:
-                later = dict(zip(extra, found[2 * n :], strict=True))
-                return found[:n], found[n : 2 * n], [later[i] if i in later else found[i + 1] for i in range(n)]
-
-            own, changed, after = split([sketch(*x) for x in every])
-            all_own, all_changed, all_after = split(every)
+            walks = [steps(*x) for x in every]
+            later = dict(zip(extra, walks[2 * n :], strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([x[1] for x, _ in pairs], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-                    pa.array([told(x) for x in own]),
-                    pa.array([told(x) for x in changed]),
-                    pa.array([likeness(a, b) for a, b in zip(own, changed, strict=True)]),
-                    pa.array([likeness(a, b) for a, b in zip(own, after, strict=True)]),
-                    pa.array([matched(a, b) for a, b in zip(all_own, all_changed, strict=True)]),
-                    pa.array([matched(a, b) for a, b in zip(all_own, all_after, strict=True)]),
+                    pa.array([told(sketch(*x)) for x in every[:n]]),
+                    pa.array([told(sketch(*x)) for x in every[n : 2 * n]]),
+                    pa.array([likeness(a, b) for a, b in zip(walks[:n], walks[n : 2 * n], strict=True)]),
+                    pa.array([likeness(walks[i], later[i] if i in later else walks[i + 1]) for i in range(n)]),
                 ],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "matched_edited", "matched_next"],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    return with_next(docs, parts).mapInArrow(rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, matched_edited double, matched_next double")
+    return with_next(docs, parts).mapInArrow(rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
