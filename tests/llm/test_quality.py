@@ -40,13 +40,66 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
 
 
+def test_clashing_names_and_odd_grades(spark):
+    docs = spark.createDataFrame([(1, "fine words", 0.5), (2, "junk!! junk!!", 0.1)], "doc_id long, text string, tail_prob double")
+    model = quality.fit(spark.createDataFrame([("fine words", 1, "a"), ("junk!! junk!!", 0, "b"), (None, 1, "c"), ("q", None, "d")], "text string, grade int, key string"))
+    out = quality.rate(docs, model, docs["doc_id"], docs["tail_prob"], docs["tail_prob"])
+    assert out.columns == ["doc_id", "tail_prob_", "tail_prob__", "expected_grade", "tail_prob"] and {r.tail_prob_ for r in out.collect()} == {0.5, 0.1}
+    for grade in (-1, quality.GRADES):
+        with pytest.raises(ValueError, match="grades"):
+            quality.fit(spark.createDataFrame([("a", 0, "k"), ("b", grade, "l")], "text string, grade int, key string"))
+
+
+def plain_score(model, text):
+    """A text's score from the definition, word by word."""
+    import math
+    import zlib
+
+    words, found = {}, {}
+    for w in text.split():
+        words[w] = words.get(w, 0) + 1
+    for w, n in words.items():
+        own = "".join(w).strip(quality._EDGE).lower()
+        found[own] = found.get(own, 0) + n
+        if any(not c.isalpha() or not c.islower() for c in w[-3:]):
+            shape = "\1" + "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in w[-3:])
+            found[shape] = found.get(shape, 0) + n
+    if words:
+        found[f"\2{10 * len(words) // sum(words.values())}"] = 5
+    values = {k: math.log(1 + n) for k, n in found.items()}
+    norm = sum(x * x for x in values.values()) ** 0.25 if values else 1.0
+    return sum(float(model.weights[zlib.crc32(k.encode()) % (1 << quality.BITS)]) * x / norm for k, x in values.items())
+
+
+def test_the_query_against_plain_python(spark, sf):
+    """Every row of rate_documents from the model's weights and thresholds, in plain Python."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.model_of(docs, labels)
+    got = {r.doc_id: r for r in quality.rate_documents(docs, labels).collect()}
+    texts = docs.collect()
+    assert len(got) == len(texts)
+    for r in texts:
+        score = plain_score(model, r.text or "")
+        p = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert got[r.doc_id].expected_grade == pytest.approx(sum(p), abs=1e-4) and got[r.doc_id].tail_prob == pytest.approx(p[-1], abs=1e-4)
+        assert got[r.doc_id].kept == (got[r.doc_id].tail_prob >= 0.5)
+
+
 @pytest.mark.parametrize("scale", ["sf0.1"])
 def test_held_out_grades(spark, scale):
     docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
     labels = spark.read.parquet(f"/root/testdata/{scale}/labels.parquet")
     model = quality.model_of(docs, labels.where("doc_id % 5 <> 0"))
     held = quality.graded(docs, labels.where("doc_id % 5 = 0")).withColumnRenamed("key", "doc_id")
-    rows = quality.rate(held, model, F.col("grade")).collect()
-    share = lambda g, f: np.mean([f(r) for r in rows if r.grade == g])
-    assert share(2, lambda r: r.tail_prob >= 0.5) > 0.97
-    assert share(0, lambda r: r.tail_prob < 0.5) > 0.9
+    rows = quality.rate(held, model, F.col("grade"), F.col("text").alias("said")).collect()
+    share = lambda f, own: np.mean([f(r) for r in own])
+    assert share(lambda r: r.tail_prob >= 0.5, [r for r in rows if r.grade == 2]) > 0.97
+    assert share(lambda r: r.tail_prob < 0.5, [r for r in rows if r.grade == 1]) > 0.9
+    # About a third of the documents that are labelled toxic have no word that clean ones lack; the others all go.
+    seen = {}
+    for r in rows:
+        for w in set(r.said.lower().strip().replace(",", " ").replace(".", " ").split()):
+            seen.setdefault(w, [0, 0])[r.grade > 0] += 1
+    marks = {w for w, (toxic, other) in seen.items() if toxic >= 5 and other == 0 and w.isascii()}
+    told = [r for r in rows if r.grade == 0 and len(marks & set(r.said.lower().replace(",", " ").replace(".", " ").split())) > 0]
+    assert len(told) > 30 and share(lambda r: r.tail_prob < 0.5, told) > 0.95

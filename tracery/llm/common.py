@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: A task holds about so many bytes of text as Python objects at once, or one text if it is longer.
 CHUNK_BYTES = 1 << 20
@@ -74,10 +75,30 @@ def ascii_lower(text: str | None) -> bytes:
     return (text or "").encode().lower()
 
 
+def apart(columns: list[str], results: Iterable[str]) -> list[str]:
+    """The names of kept columns, with underscores after those that results or columns before them have already."""
+    out, used = [], {x.lower() for x in results}
+    for c in columns:
+        while c.lower() in used:
+            c += "_"
+        used.add(c.lower())
+        out.append(c)
+    return out
+
+
+def keeping(df: DataFrame, keep: tuple[Column, ...], own: dict[str, Column], results: Iterable[str]) -> tuple[DataFrame, list[str]]:
+    """The kept columns and those of `own`, and the kept ones' names; a kept column with the name of another one or of a result gets an underscore after it."""
+    chosen = df.select(*keep, *(c.alias(n) for n, c in own.items()))
+    kept = apart(chosen.columns[: len(chosen.columns) - len(own)], [*own, *results])
+    return chosen.toDF(*kept, *own), kept
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder, by name, under spark.checkpoint.dir; where that is unset (tests), under a temporary one that is then set."""
+    """A new folder, by name, under spark.checkpoint.dir; where that is unset on a local master (tests), under a temporary one that is then set."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", None) or ""):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         top = tempfile.mkdtemp(prefix="tracery-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/tracery-{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import keeping, text_chunks
 
 BITS = 16
 #: The mean number of labelled rows that a model learns from, whatever the number there is.
@@ -93,10 +93,12 @@ def tails(model: Model, texts: list[str | None]) -> np.ndarray:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """From columns text, grade (0 to GRADES - 1) and key, which seeds the choice of the sample.
 
-    Rows without text or grade teach nothing. With fewer than two grades nothing is learnt.
+    Rows without text or grade teach nothing, other grades are refused. With fewer than two grades nothing is learnt.
     """
-    usable = labelled.where(F.col("text").isNotNull() & F.col("grade").between(0, GRADES - 1))
-    n = usable.count()
+    usable = labelled.where(F.col("text").isNotNull() & F.col("grade").isNotNull())
+    n, low, high = usable.agg(F.count(F.lit(1)), F.min("grade"), F.max("grade")).first()
+    if n and not 0 <= low <= high < GRADES:
+        raise ValueError(f"grades from {low} to {high}: they are 0 to {GRADES - 1}")
     chosen = usable.where(F.pmod(F.xxhash64("key", F.lit(10)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +114,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 def rate(docs: DataFrame, model: Model, *keep: Column, at_least: int | None = None) -> DataFrame:
     """The columns `keep`, expected_grade and tail_prob = P(grade >= at_least), by default of the highest grade.
 
-    Both are null if nothing could be learnt. No kept column may be called expected_grade or tail_prob.
+    Both are null if nothing could be learnt. A kept column of either name gets an underscore after it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at_least = at_least or len(model.thresholds)
-    chosen = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    kept = chosen.columns[:-1]
+    chosen, kept = keeping(docs, keep, {"__text": F.col("text").cast("string")}, ["expected_grade", "tail_prob"])
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "__text"):
@@ -132,8 +133,12 @@ def rate(docs: DataFrame, model: Model, *keep: Column, at_least: int | None = No
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with the grade of their label: 0 poor, 1 sound but toxic, 2 sound and clean. Rows without both ratings have none."""
-    rated = labels.select(F.col("doc_id").cast("long").alias("key"), F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2).alias("grade"))
+    """Documents with the grade of their label: 0 toxic, 1 clean but poor, 2 clean and sound. Rows without both ratings have none.
+
+    Toxic words are few in a text, so that grade is at the end of the scale, where nothing bounds their weights from below.
+    """
+    both = F.col("quality").isNotNull() & F.col("toxic").isNotNull()
+    rated = labels.select(F.col("doc_id").cast("long").alias("key"), F.when(both, F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)).alias("grade"))
     return docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).join(rated, "key")
 
 
