@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -47,7 +48,8 @@ def check(docs, slack=0):
         for r in rows:
             took[source[r.doc_id]] += r.taken
             assert r.source_size == per[source[r.doc_id]] and r.target == pytest.approx(goal[source[r.doc_id]])
-        assert all(abs(took[s] - goal[s]) <= 1 for s in names)
+        assert all(abs(took[s] - goal[s]) <= 1 + max(1, goal[s] / mixing.PACKETS) for s in names)
+        assert sum(took.values()) == math.floor(sum(goal.values()) + 1e-6)
     return rows
 
 
@@ -73,3 +75,43 @@ def test_mixed_is_the_mix(spark, sf):
         words[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
         assert whole[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
     assert all(words[i] == r.taken for i, r in plan.items())
+
+
+def merged_by_hand(docs, budget):
+    """Serves packet after packet in the order of finish times, from the queues as schedule made them, until the budget is used up."""
+    queue = []
+    for r in docs:
+        q = max(int(r["target"] // mixing.PACKETS), 1)
+        for i in range(max(-(-r["size"] // q), 1)):
+            end = min((i + 1) * q, r["size"])
+            if r["target"] > 0 and r["size"] > 0:
+                queue.append(((r["served"] + end) / r["target"], r["no"], r["epoch"], r["turn"], r["tie"], i, end - i * q, r["id"]))
+    took = defaultdict(int)
+    for *_, words, i in sorted(queue):
+        took[i] += min(words, budget)
+        budget -= min(words, budget)
+    return took
+
+
+@pytest.mark.parametrize("budget", [0, 1, 700, 4_321, None, 10**9])
+def test_the_merged_order_is_cut_at_the_budget(spark, sf, monkeypatch, budget):
+    """The cut takes words away: of smaller budgets every source gets its share of the time, not its target."""
+    monkeypatch.setattr(mixing, "SORTED", 40)
+    seen = []
+    inner = mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda queued, words: seen.append((queued, words)) or inner(queued, words))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.schedule(docs, docs["doc_id"].alias("id"), budget=budget).collect()
+    took = defaultdict(int)
+    for r in rows:
+        took[r.id] += r.taken
+    queued, budget = seen[0]
+    want = merged_by_hand([r.asDict() | {"id": r.row.id} for r in queued.collect()], budget)
+    assert {i: n for i, n in took.items() if n} == {i: n for i, n in want.items() if n}
+    assert sum(took.values()) == min(budget, sum(r["size"] for r in rows))
+
+
+def test_equal_rows_are_mixed_each(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "s", 7, {"k": 1})] * 3 + [(2, "e f", "t", 3, {"k": 2}), (None, None, None, None, None)], "doc_id long, text string, source string, n_chars long, m map<string,int>")
+    n = lambda rows: sum(len(r.text.split()) for r in rows)
+    assert n(mixing.mixed(docs).collect()) == sum(r.taken for r in mixing.mix_documents(docs).collect()) == 21

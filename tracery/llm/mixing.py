@@ -1,19 +1,24 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents stand in a queue in shuffled order, each pass over them shuffled anew. A document's
-virtual finish time is the source's cumulative words up to its end, divided by the source's target. All
-queues are merged by that time and the merged order is cut at the total budget, which by the choice of the
-targets is at time 1: a document that is then being served counts with the words served.
+Each source's documents stand in a queue in shuffled order, each pass over them shuffled anew. A document is
+served in packets; a packet's virtual finish time is the source's cumulative words up to its end, divided by the
+source's target. The packets of all queues are merged by that time, and the merged order is cut at the total
+budget; nothing else decides what is taken. A packet is a thousandth of its source's target at most, so every
+source ends as near to its target.
 
 Running sums never need a source in one task: a queue is cut into slots by the leading bits of the shuffle
-hash, the merged order into slots by time; the sums of slots are added up first, rows within a slot after.
+hash, the merged order into ranges of time; the sums of slots and ranges are added up first, and only the
+rows of the range in which the budget ends are put in order.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import staged
 
@@ -23,6 +28,10 @@ WEIGHTS = (3, 1, 2)
 SHARE, PASSES = 1.5, 2
 #: A slot of a queue has about so many documents.
 SLOT_ROWS = 2_000
+#: A source's target has about so many packets.
+PACKETS = 1000
+#: The range in which the budget ends is narrowed until it has no more packets than this, or all of them finish at once.
+SORTED = 1_000_000
 #: The plan of sources is made on the driver; a table of more sources is refused.
 MAX_SOURCES = 1_000_000
 SEED = 5
@@ -60,13 +69,20 @@ def plan(sized: DataFrame, share: float, passes: int, weights: tuple) -> DataFra
     return spark.createDataFrame([(r.source, r.n, r.docs, t, i) for i, (r, t) in enumerate(zip(found, goal, strict=True))], "source string, source_size long, source_docs long, target double, no int")
 
 
-def schedule(docs: DataFrame, *keep: Column, share: float = SHARE, passes: int = PASSES, weights: tuple = WEIGHTS, seed: int = SEED) -> DataFrame:
+def packet(rows: DataFrame) -> tuple[Column, Column]:
+    """Words of a packet and number of packets of a document (one at least)."""
+    words = F.greatest(F.floor(F.col("target") / PACKETS), F.lit(1)).cast("long")
+    return words, F.greatest(F.ceil(F.col("size") / words), F.lit(1)).cast("int")
+
+
+def schedule(docs: DataFrame, *keep: Column, share: float = SHARE, passes: int = PASSES, weights: tuple = WEIGHTS, seed: int = SEED, budget: int | None = None) -> DataFrame:
     """The columns `keep` with size, source_size, target, epoch (from 0), start and finish (virtual times) and taken words.
 
     One row for each document and pass; those that the mix does not reach take 0. Needs doc_id, text and source.
-    `keep` should be keys, not texts, as it is written to the shared folder twice. Null texts have no words; a
-    source without words has target 0. Repeated rows are documents of their own: ties of the shuffle hash are in
-    the order of the text's hash, and rows that are equal in all of it are alike.
+    budget: words of the mix, by default the sum of the targets. `keep` should be keys, not texts, as it is written
+    to the shared folder twice. Null texts have no words; a source without words has target 0. Repeated rows are
+    documents of their own: ties of the shuffle hash are in the order of the text's hash, and rows that are equal in
+    all of it are alike.
     """
     sized = docs.select(F.struct(*keep).alias("row"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("tie"))
     sized = staged(sized)  # words are counted once
@@ -80,31 +96,66 @@ def schedule(docs: DataFrame, *keep: Column, share: float = SHARE, passes: int =
     sums = rows.groupBy(*queue).agg(F.sum("size").alias("words"))
     before = sums.select(*queue, (F.sum("words").over(Window.partitionBy("no").orderBy("epoch", "slot")) - F.col("words")).alias("before"))
     within = F.sum("size").over(Window.partitionBy(*queue).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    begun = rows.withColumn("within", within).join(before, queue).withColumn("served", F.col("before") + F.col("within"))
-    taken = F.greatest(F.least(F.col("size"), F.floor(F.col("target")) - F.col("served")), F.lit(0)).cast("long")
+    queued = rows.withColumn("within", within).join(before, queue).withColumn("served", F.col("before") + F.col("within"))
+    queued = staged(queued.select("row", "size", "source_size", "target", "no", "epoch", "served", "turn", "tie"))
+    if budget is None:
+        budget = math.floor(sources.agg(F.sum("target")).first()[0] or 0)
+    out = queued.withColumn("taken", taken(queued, cut(queued, budget)))
     time = lambda at: F.when(F.col("target") > 0, at / F.col("target")).otherwise(F.lit(float("inf")))
-    begun = begun.withColumn("taken", taken).withColumn("start", time(F.col("served"))).withColumn("finish", time(F.col("served") + F.when(F.col("taken") > 0, F.col("taken")).otherwise(F.col("size"))))
-    merged = staged(begun.select("row", "size", "source_size", "target", "no", "epoch", "start", "finish", "taken", "turn", "tie"))
-    return cut(merged, sources).select("row.*", "size", "source_size", "target", "epoch", "start", "finish", "taken")
+    return out.select("row.*", "size", "source_size", "target", "epoch", time(F.col("served")).alias("start"), time(F.col("served") + F.col("size")).alias("finish"), "taken")
+
+
+#: The merged order: of the same finish time, packets stand by source, pass and place in the queue.
+MERGED = ("finish", "no", "epoch", "turn", "tie", "i")
+
+
+def finish_of(i: Column, words: Column) -> Column:
+    """When packet i of a row of schedule's queues is done, as words of its size."""
+    return (F.col("served") + F.least((i + 1) * words, F.col("size"))) / F.col("target")
 
 
-def cut(merged: DataFrame, sources: DataFrame) -> DataFrame:
-    """Range-sorts by finish time and takes nothing beyond the total budget.
+def cut(queued: DataFrame, budget: int) -> dict | None:
+    """The packet in which the budget ends, and `left`, the words of it that are still taken; None if all packets fit.
 
-    Time up to 1 is cut into as many ranges as the shuffle has partitions; served words are spread evenly over
-    time, so ranges are alike in words. Their sums tell in which range the budget ends; its rows are added up in order.
+    The merged order is cut into ranges of finish time, as many as the shuffle has partitions; their sums tell in which
+    the budget ends. That range is cut again until its packets are few, and only these are sorted.
     """
-    ranges = int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    budget = float(sources.agg(F.sum("target")).first()[0] or 0)
-    rows = merged.withColumn("range", F.least(F.floor(F.col("finish") * ranges), F.lit(float(ranges))).cast("int"))
-    sums = rows.groupBy("range").agg(F.sum("taken").alias("words"))  # ranges + 1 rows at most
-    before = sums.select("range", (F.sum("words").over(Window.orderBy("range")) - F.col("words")).alias("before"), "words")
-    rows = rows.join(F.broadcast(before), "range")
-    over = (F.col("before") + F.col("words") > budget) & (F.col("words") > 0)
-    upto = F.sum("taken").over(Window.partitionBy("range").orderBy("finish", "no", "epoch", "turn", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = rows.where(over).withColumn("left", F.floor(budget - F.col("before") - (upto - F.col("taken"))))
-    last = last.withColumn("taken", F.greatest(F.least(F.col("taken"), F.col("left")), F.lit(0)).cast("long")).drop("left")
-    return rows.where(~over).unionByName(last)
+    ranges = max(int(queued.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    words, n = packet(queued)
+    one = queued.where("target > 0 and size > 0").withColumn("q", words).withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
+    own = F.least(F.col("q"), F.col("size") - F.col("i") * F.col("q"))
+    packets = one.select(finish_of(F.col("i"), F.col("q")).alias("finish"), *MERGED[1:], own.alias("words"))
+    before, low, high = 0, 0.0, packets.agg(F.max("finish")).first()[0]
+    while high is not None:
+        width = (high - low) / ranges or 1.0
+        number = F.least(F.floor((F.col("finish") - low) / width), F.lit(ranges - 1))
+        inside = packets.where(F.col("finish").between(low, high))
+        sums = inside.groupBy(number.alias("range")).agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n"), F.min("finish").alias("low"), F.max("finish").alias("high")).collect()
+        for r in sorted(sums, key=lambda r: r.range):
+            if before + r.words > budget:
+                break
+            before += r.words
+        else:
+            return None
+        low, high = r.low, r.high
+        if r.n <= SORTED or low == high:
+            upto = F.sum("words").over(Window.orderBy(*MERGED).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            row = packets.where(F.col("finish").between(low, high)).withColumn("upto", upto + before).where(F.col("upto") > budget).orderBy(*MERGED).first()
+            return {k: row[k] for k in MERGED} | {"left": budget - (row["upto"] - row["words"])}
+    return None
+
+
+def taken(queued: DataFrame, last: dict | None) -> Column:
+    """Words of a row's packets before the last one of the mix, with what is left for that one."""
+    if last is None:
+        return F.when(F.col("target") > 0, F.col("size")).otherwise(F.lit(0).cast("long"))
+    words, n = packet(queued)
+    at = lambda i: F.struct(finish_of(i, words).alias("finish"), "no", "epoch", "turn", "tie", i.alias("i"))
+    end = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["no"]).alias("no"), F.lit(last["epoch"]).alias("epoch"), F.lit(last["turn"]).alias("turn"), F.lit(last["tie"]).alias("tie"), F.lit(last["i"]).alias("i"))
+    full = F.size(F.filter(F.sequence(F.lit(0), n - 1), lambda i: at(i) < end))
+    part = F.least(full * words, F.col("size")) + F.when((full < n) & (at(full) == end), F.lit(last["left"])).otherwise(0)
+    some = F.when(at(n - 1) < end, F.col("size")).when(at(F.lit(0)) > end, 0).otherwise(part)
+    return F.when((F.col("target") > 0) & (F.col("size") > 0), some).otherwise(0).cast("long")
 
 
 def copy_key() -> Column:
@@ -124,15 +175,16 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself, in its order: a document's row once for each pass that takes words of it.
 
-    Of a document that is being served when the budget ends, the text is cut after the last word taken, and
-    n_chars is set anew. Rows that are equal in doc_id, text and source count as one document.
+    Of a document in which the budget ends, the text is cut after the last word taken, and n_chars is set anew. Rows
+    that are equal throughout are documents of their own, as in mix_documents.
     """
-    once = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__copy": copy_key()}).dropDuplicates(["__id", "__copy"])
-    rows = schedule(once, F.col("__id").alias("id"), F.col("__copy").alias("copy")).where("taken > 0")
-    rows = rows.select("id", "copy", F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("finish").alias("__finish"))
-    both = once.join(rows, once["__id"].eqNullSafe(rows["id"]) & (once["__copy"] == rows["copy"]))
+    own = [F.when(F.col(f"`{c}`").isNull(), F.lit(None)).otherwise(F.to_json(F.struct(F.col(f"`{c}`").alias("x")))) if isinstance(t, MapType) else F.col(f"`{c}`") for c, t in ((f.name, f.dataType) for f in docs.schema.fields)]
+    keyed = docs.withColumns({"__a": F.xxhash64(*own), "__b": F.xxhash64(*own, F.lit(1))})  # 128 bits, which the join has in common with what it joins
+    rows = schedule(keyed, F.col("__a").alias("a"), F.col("__b").alias("b")).where("taken > 0")
+    rows = rows.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("finish").alias("__finish"))
+    both = keyed.dropDuplicates(["__a", "__b"]).join(rows, ["__a", "__b"])  # equal rows have a row each on the right
     prefix = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("__taken").cast("int")), "")
     whole = F.col("__taken") == F.col("__size")
     text = F.when(whole, F.col("text")).otherwise(prefix)
     out = both.withColumn("text", text).withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.orderBy("__finish", "__id", "__copy").select(*docs.columns)
+    return out.orderBy("__finish", "__a", "__b").select(*docs.columns)
