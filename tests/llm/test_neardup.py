@@ -89,9 +89,11 @@ def test_registers():
     assert far[0] < 0.02
 
 
-@pytest.mark.parametrize("block", [4096, 5])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "band"), [(4096, 1 << 14), (5, 1 << 14), (2, 3)])
+def test_against_brute_force(spark, monkeypatch, block, band):
     monkeypatch.setattr(neardup, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(neardup, "BAND_CLASSES", band)
+    monkeypatch.setattr(neardup, "SAMPLED", 64 if band > 3 else 1)
     rng = random.Random(9)
     rows, i = [], 0
     for n in (3, 8, 12, 30, 90, 300, 900):
@@ -119,6 +121,27 @@ def test_against_brute_force_on_tables(spark, sf):
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_rows_without_an_id_are_copies_too(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text, 1), (None, text, 1), (7, "other words " * 9, 2), (None, "other words " * 9, 2), (None, "", 3), (None, None, 4), (None, " ", 5), (None, "one two", 6), (3, "", 7), (3, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root int")
+    assert sorted(r.root for r in neardup.keep_one(docs).collect()) == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_large_groups_in_small_blocks(spark, monkeypatch):
+    """One group of near copies that spans many blocks, and one whose chain leaves the first class behind."""
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 8)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, edited(base, rng, 1)) for i in range(80)]
+    chain = [f"c{i}" for i in range(120)]
+    for i in range(60):
+        chain[(i * 2) % 120] = f"d{i}"
+        rows.append((1000 + i, " ".join(chain)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_pruning_follows_the_threshold():
     assert (neardup.least_alike(80), neardup.least_alike(85)) == (42, 45)
     with pytest.raises(ValueError):

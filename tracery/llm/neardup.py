@@ -9,10 +9,11 @@
    the first of them and to the one before, unless one bit of each band's first register tells that they
    are far apart. The components of these links are clusters; two classes that are near are in one cluster
    but for a chance of about 1e-8 (see README).
-3. The texts of each cluster meet in tasks; a large cluster is cut into blocks, and every two blocks meet. There
-   the sketches' Jaccard index, corrected for chance collisions of registers, rules out what is far apart
-   (by MARGIN standard errors); what is left is confirmed on the full sets. A task returns links that span
-   what is connected, not all pairs. Their components are the result.
+3. The texts of each cluster meet in tasks. A large cluster is cut into blocks, each of which has the cluster's
+   first class as a guest; that links most of a group of near copies at once. Classes that are not linked to
+   it then meet all blocks of their cluster. In a task the sketches' Jaccard index, corrected for chance
+   collisions of registers, rules out what is far apart (by MARGIN standard errors); what is left is confirmed
+   on the full sets. A task returns links that span what is connected, not all pairs. Their components are the result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ PERCENT = 85
 REGISTERS, ROWS, MANTISSA = 512, 8, 10
 BANDS = REGISTERS // ROWS
 #: A block holds about so many classes and so many shingles (8 bytes each), or one class.
-BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 1 << 21
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 21
+#: A band that more classes share than this is linked in parts. One class in SAMPLED tells which bands these are, BANDS_APART of them at most;
+#: any other band is linked in one task, which changes nothing but the task's size.
+BAND_CLASSES, SAMPLED, BANDS_APART = 1 << 14, 64, 1 << 16
 #: A pair is ruled out by the sketches only this many standard errors below the threshold.
 MARGIN = 6.0
 #: The most that the chance of a miss may be for a pair at the threshold: by sharing no band, and by too few of BANDS bits alike.
@@ -138,13 +142,14 @@ def least_estimate(used: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return cut - MARGIN * np.sqrt(cut * (1 - cut) / used) - 1 / used
 
 
-def spanning_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links of near pairs that span what is connected. side: two blocks' classes, of which only pairs across are needed; None: all.
+def spanning_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int = PERCENT, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of near pairs that span what is connected. side: two sides, of which only pairs across are needed (None: all); label: what is connected already.
 
     For each class, candidates of fitting size that aren't connected to it yet are ruled out by the sketches
     or confirmed on the sets, the most alike first.
     """
-    n, label, out = len(sets), np.arange(len(sets)), []  # label: of each class, what it is connected to
+    n, out = len(sets), []
+    label = np.arange(n) if label is None else label.copy()  # of each class, what it is connected to
     sizes = np.array([len(s) for s in sets])
     sketches = np.array([registers(s) for s in sets])
     quick = np.ascontiguousarray(sketches[:, ::4])
@@ -186,47 +191,61 @@ def sets_of(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Data
     return own.mapInArrow(rows, "doc_id long, tie long, n_shingles long, set_key binary, bands array<struct<bits:long,keys:array<long>>>")
 
 
-def links(docs: DataFrame, classes: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """a, b: near pairs of set keys that span each component. classes: set_key, doc_id, tie, n_shingles, bands; one row for each set."""
-    # Clusters are made of 64-bit names of sets: two sets with one name would only share a cluster.
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: names of classes that share a band and are alike by their bits: each is linked to the band's first and to the one before.
+
+    A band of very many classes is cut into parts by their names; then the first ones of the parts are linked in the same way.
+    """
     keyed = classes.select(F.xxhash64("set_key").alias("name"), F.explode("bands").alias("b")).select("name", "b.bits", F.explode("b.keys").alias("band"))
-    in_order = Window.partitionBy("band").orderBy("name")
-    head, before = F.first(F.struct("name", "bits")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lag(F.struct("name", "bits")).over(in_order)
-    linked = keyed.withColumn("head", head).withColumn("before", before).where("before is not null")
+    seen = keyed.where(F.pmod(F.xxhash64("name", F.lit(3)), F.lit(SAMPLED)) == 0).groupBy("band").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
+    hot = seen.where(F.col("n") > BAND_CLASSES).orderBy(F.desc("n"), "band").limit(BANDS_APART).collect()  # bounded by BANDS_APART
     most = BANDS - least_alike(percent)
-    alike = lambda c: F.bit_count(F.col("bits").bitwiseXOR(F.col(c)["bits"])) <= most
-    ends = F.array_compact(F.array(F.when(alike("head"), F.col("head.name")), F.when(alike("before"), F.col("before.name"))))
-    clusters = components(linked.select(F.col("name").alias("a"), F.explode(ends).alias("b")))
-    sizes = classes.select("set_key", "doc_id", "tie", "n_shingles", F.xxhash64("set_key").alias("node"))
-    grouped = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "node")
-    weight = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    blocks = grouped.groupBy("root").agg(weight.alias("blocks"))
-    placed = grouped.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.withColumn("other", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "doc_id", "tie")
+
+    def linked(rows: DataFrame, *by: str) -> DataFrame:
+        in_order = Window.partitionBy(*by).orderBy("name")
+        head, before = F.first(F.struct("name", "bits")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lag(F.struct("name", "bits")).over(in_order)
+        alike = lambda c: F.bit_count(F.col("bits").bitwiseXOR(F.col(c)["bits"])) <= most
+        ends = F.array_compact(F.array(F.when(alike("head"), F.col("head.name")), F.when(alike("before"), F.col("before.name"))))
+        return rows.withColumn("head", head).withColumn("before", before).where("before is not null").select(F.col("name").alias("a"), F.explode(ends).alias("b"))
+
+    if not hot:
+        return linked(keyed, "band")
+    parts = classes.sparkSession.createDataFrame([(r.band, -(-r.n // BAND_CLASSES)) for r in hot], "band long, parts long")
+    dealt = keyed.join(F.broadcast(parts), "band", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("name", F.lit(4)), F.col("parts"))).otherwise(0))
+    heads = dealt.where("parts is not null").groupBy("band", "part").agg(F.min(F.struct("name", "bits")).alias("first")).select("band", "first.*")
+    return linked(dealt.repartition("band", "part"), "band", "part").unionByName(linked(heads, "band"))
+
+
+def met(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links that span what is near among the classes of each (root, i, j): rows root, i, j, side, set_key, doc_id, tie, label.
+
+    Null sides: all pairs; else those across sides. label: the component that a class is known to be in, or null.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    members = placed.join(texts, placed["doc_id"].eqNullSafe(texts["d"]) & (placed["tie"] == texts["h"])).select("root", "i", "j", "block", "set_key", "text")
-    dealt = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "set_key")
+    members = rows.join(texts, rows["doc_id"].eqNullSafe(texts["d"]) & (rows["tie"] == texts["h"])).select("root", "i", "j", "side", "set_key", "label", "text")
+    dealt = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "set_key")
 
     def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, keys, sides, sets = None, [], [], []
+        group, keys, sides, labels, sets = None, [], [], [], []
 
         def done() -> pa.RecordBatch:
-            across = np.array(sides) if group[1] != group[2] else None
-            found = spanning_links(sets, across, percent)
+            number: dict = {}
+            label = np.array([number.setdefault((k,) if own is None else own, len(number)) for k, own in zip(keys, labels, strict=True)])
+            found = spanning_links(sets, None if sides[0] is None else np.array(sides), percent, label)
             return pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in found], pa.binary()), pa.array([keys[b] for _, b in found], pa.binary())], ["a", "b"])
 
         for part in text_chunks(batches):
             hashed = shingle_hashes([ascii_lower(t) for t in part.column("text").to_pylist()], width)
             names = zip(*(part.column(c).to_pylist() for c in ("root", "i", "j")), strict=True)
-            for name, block, key, own in zip(names, part.column("block").to_pylist(), part.column("set_key").to_pylist(), hashed, strict=True):
+            for name, side, key, label, own in zip(names, *(part.column(c).to_pylist() for c in ("side", "set_key", "label")), hashed, strict=True):
                 if name != group:
                     if len(keys) > 1:
                         yield done()
-                    group, keys, sides, sets = name, [], [], []
-                if not keys or keys[-1] != key:  # a repeated row brings a class twice
+                    group, keys, sides, labels, sets = name, [], [], [], []
+                if not keys or (keys[-1], sides[-1]) != (key, side):  # a repeated row brings a class twice
                     keys.append(key)
-                    sides.append(block)
+                    sides.append(side)
+                    labels.append(label)
                     sets.append(own)
         if len(keys) > 1:
             yield done()
@@ -234,8 +253,39 @@ def links(docs: DataFrame, classes: DataFrame, width: int = WORDS, percent: int
     return dealt.mapInArrow(confirm, "a binary, b binary")
 
 
+def links(docs: DataFrame, classes: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """a, b: near pairs of set keys that span each component. classes: set_key, doc_id, tie, n_shingles, bands; one row for each set."""
+    # Clusters are made of 64-bit names of sets: two sets with one name would only share a cluster.
+    clusters = components(candidates(classes, percent))
+    sizes = classes.select("set_key", "doc_id", "tie", "n_shingles", F.xxhash64("set_key").alias("node"))
+    # What is joined by root is written first: between plain scans Spark can split a root with very many classes.
+    grouped = staged(clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "node"))
+    weight = lambda n: F.greatest(F.ceil(n / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    placed = grouped.join(staged(grouped.groupBy("root").agg(weight(F.count(F.lit(1))).alias("blocks"))), "root")
+    placed = staged(placed.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")))
+    none = F.lit(None).cast("int").alias("side")
+    every = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = placed.select("root", F.explode(every).alias("i"), F.lit(0).alias("j"), none, "set_key", "doc_id", "tie", F.lit(None).cast("binary").alias("label"))
+    found = staged(met(docs, first, width, percent))
+    large = placed.where("blocks > 1")
+    if not large.take(1):
+        return found
+    labels = components(found).withColumnsRenamed({"node": "set_key", "root": "label"})
+    large = staged(large.join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")))
+    main = staged(large.where("node = root").groupBy("root").agg(F.min("label").alias("main")))
+    left = staged(large.join(main, "root").where("label <> main").drop("main"))
+    if not left.take(1):
+        return found
+    parts = staged(left.groupBy("root").agg(weight(F.count(F.lit(1))).alias("parts")))
+    left = left.join(parts, "root")
+    names = ["root", "i", "j", "side", "set_key", "doc_id", "tie", "label"]
+    ones = left.withColumn("i", F.pmod(F.xxhash64("set_key", F.lit(2)), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    others = large.join(parts, "root").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.col("block")).withColumn("side", F.lit(1))
+    return found.unionByName(met(docs, ones.select(*names).unionByName(others.select(*names)), width, percent))
+
+
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document (columns doc_id, text), and tie, the hash of its text.
+    """doc_id, n_shingles, component_id, kept for every document (columns doc_id, text), with tie, the hash of its text, and root, the component's least set.
 
     Texts without words have no shingles and are their own component. Equal ids with other texts are rows of
     their own; a null id counts as no id: such a row's component has the least id of the others, or null.
@@ -247,21 +297,29 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     classes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "tie")).alias("one"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = staged(classes.select("set_key", "one.*", "least", "n_shingles", "bands"), f"{shared_folder(spark)}/classes")
     roots = components(links(docs, classes, width, percent))
-    named = classes.select("set_key", "least").join(roots, F.col("set_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_key"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("set_key", "component_id")
+    named = staged(classes.select("set_key", "least").join(roots, F.col("set_key") == F.col("node"), "left").select("set_key", "least", F.coalesce("root", "set_key").alias("root")))
+    least = staged(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = named.join(least, "root").select("set_key", "root", "component_id")
     out = found.select("doc_id", "tie", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "tie")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "tie", "root")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).drop("tie")
+    """One row for each document, as near_duplicates tells them."""
+    return near_duplicates(docs).drop("tie", "root")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that stand for their component, with their own columns; of rows with the same id one stays, rows without an id all stay."""
-    kept = near_duplicates(docs, percent=percent).where("kept").groupBy("doc_id").agg(F.min("tie").alias("tie"))
+    """The documents that stand for their component, with their own columns; of rows with the same id one stays.
+
+    A component whose rows all have no id keeps one of them (of the least text hash); rows with neither an id nor words all stay.
+    """
+    rows = staged(near_duplicates(docs, percent=percent))
+    known = rows.where("kept").groupBy("doc_id").agg(F.min("tie").alias("tie"))
+    unknown = rows.where("component_id is null and root is not null").groupBy("root").agg(F.min("tie").alias("tie"))
+    kept = known.unionByName(unknown.select(F.lit(None).cast("long").alias("doc_id"), "tie").distinct())
     own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__tie": F.xxhash64(F.col("text").cast("string"))})
-    stay = own.join(kept, (own["__id"] == kept["doc_id"]) & (own["__tie"] == kept["tie"]), "left_semi").dropDuplicates(["__id"])
-    return stay.unionByName(own.where("__id is null")).select(*docs.columns)
+    stay = own.join(kept, own["__id"].eqNullSafe(kept["doc_id"]) & (own["__tie"] == kept["tie"]), "left_semi").dropDuplicates(["__id", "__tie"])
+    wordless = own.where(F.col("__id").isNull() & ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return stay.unionByName(wordless).select(*docs.columns)
