@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import pytest
+
 from tracery.llm import langid
 
 
@@ -44,6 +46,34 @@ def test_predict_documents_edges(spark):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_predictions_against_plain_python(spark, sf):
+    """Every prediction of the query from counts that are kept in dicts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+    counts, size = {}, 1 << langid.BITS
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts.setdefault(r.lang, Counter()).update(langid.grams([r.text], langid.BITS)[0].tolist())
+    total = {lang: sum(c.values()) + 0.1 * size for lang, c in counts.items()}
+    got = {r.doc_id: r for r in langid.predict_documents(docs).collect()}
+    for r in rows:
+        own = langid.grams([r.text], langid.BITS)[0].tolist()
+        logs = {lang: sum(math.log((c[b] + 0.1) / total[lang]) for b in own) for lang, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        assert got[r.doc_id].lang_pred == best
+        assert math.isclose(got[r.doc_id].score, 1 / sum(math.exp(x - logs[best]) for x in logs.values()), rel_tol=1e-2)
+
+
+def test_clashing_names_and_too_many_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([("aa", "x", 1), ("bb", "y", 2), (None, "z", 3)], "text string, lang string, score int")
+    model = langid.train(docs)
+    out = langid.identify(docs, model, docs["score"], docs["lang"])
+    assert out.columns == ["score_", "lang", "lang_pred", "score"] and {r.score_ for r in out.collect()} == {1, 2, 3}
+    monkeypatch.setattr(langid, "MAX_LANGS", 1)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs)
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = langid.predict_documents(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

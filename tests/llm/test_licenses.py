@@ -58,3 +58,26 @@ def test_nearest_directory_wins(spark):
     assert licenses.scan_files(files.limit(0)).count() == 0
     kept = licenses.scan_files(files, F.col("license").alias("was"))
     assert kept.columns == ["was", "path", "own_license", "own_score", "license", "licensed_by", "levels_up"]
+    clash = licenses.scan_files(files, F.col("license"), F.col("path").alias("dir"))
+    assert clash.columns[:3] == ["license_", "dir_", "path"] and {r.license_ for r in clash.collect()} == {"k"}
+
+
+def test_inheritance_on_the_table(spark, sf):
+    """Every document's licence from its directory, by walking up by hand."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in licenses.scan_documents(docs).collect()}
+    files = {i: r.path for i, r in got.items()}
+    for r in docs.collect():
+        top, i = f"{r.source}/{r.doc_id // 512}", r.doc_id
+        assert files[i] == (f"{top}/LICENSE" if i % 512 == 0 else f"{top}/{i // 16}/LICENSE" if i % 16 == 0 else f"{top}/{i // 16}/{i}.txt")
+    given = {}
+    for i, path in sorted(files.items(), key=lambda x: (-got[x[0]].own_score, got[x[0]].own_license or "")):
+        if path.endswith("/LICENSE") and got[i].own_license:
+            given.setdefault(path.rpartition("/")[0], got[i].own_license)
+    for i, path in files.items():
+        want, folder, up = (got[i].own_license, "own", 0) if got[i].own_license else (None, None, None), path.rpartition("/")[0], 1
+        while want[0] is None and folder:
+            if folder in given:
+                want = (given[folder], folder, up)
+            folder, up = folder.rpartition("/")[0], up + 1
+        assert (got[i].license, got[i].licensed_by, got[i].levels_up) == want

@@ -113,8 +113,8 @@ def test_fingerprint_documents(spark, sf, parts):
 
 def test_anchors_keep_columns(spark):
     df = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz" * 3, "q"), (2, None, "r")], "doc_id long, text string, anchor string")
-    out = syncmers.anchors(df, "text", df["doc_id"])
-    assert out.columns == ["doc_id", "place", "anchor"] and {r.doc_id for r in out.collect()} == {1}
+    out = syncmers.anchors(df, "text", df["doc_id"], df["anchor"])
+    assert out.columns == ["doc_id", "anchor_", "place", "anchor"] and {(r.doc_id, r.anchor_) for r in out.collect()} == {(1, "q")}
 
 
 def test_a_short_passage_of_long_texts_is_matched(spark):

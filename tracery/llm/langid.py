@@ -16,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import keeping, text_chunks
 
-#: The matrix has at most so many cells (float32): a driver and an executor hold 64 MB at most.
-MAX_CELLS = 1 << 24
-BITS = 15
+#: N-grams fall into 2**BITS buckets, for any number of languages; more than MAX_LANGS are refused. So the matrix (float32) has 32 MB at most.
+BITS, MAX_LANGS = 15, 256
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -66,11 +65,9 @@ def train(labelled: DataFrame, bits: int = BITS, smoothing: float = 0.1) -> tupl
     equal: how often a language stands in the sample says nothing about a new text.
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r[0] for r in usable.select("lang").distinct().collect())  # a column of labels; its size is checked here
-    while len(langs) << bits > MAX_CELLS and bits > 10:
-        bits -= 1
-    if len(langs) << bits > MAX_CELLS:
-        raise ValueError(f"{len(langs)} languages: the matrix would pass {MAX_CELLS} cells")
+    langs = sorted(r[0] for r in usable.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     index = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,11 +109,10 @@ def score(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tuple[
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: Column) -> DataFrame:
-    """The columns `keep`, lang_pred and score of every row, from its whole text alone."""
+    """The columns `keep`, lang_pred and score of every row, from its whole text alone. A kept column of either name gets an underscore after it."""
     langs, logs = model
     sent = docs.sparkSession.sparkContext.broadcast((langs, logs))
-    chosen = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    kept = chosen.columns[:-1]
+    chosen, kept = keeping(docs, keep, {"__text": F.col("text").cast("string")}, ["lang_pred", "score"])
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs = sent.value

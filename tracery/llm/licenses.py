@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_chunks
+from .common import keeping, staged, text_chunks
 
 THRESHOLD = 0.7
 #: A licence file is compared as a whole too.
@@ -38,6 +38,7 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
+RESULTS = ("own_license", "own_score", "license", "licensed_by", "levels_up", "dir", "near")
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 _BREAK = re.compile(r"\n+|(?<=[.!?])\s+")
 
@@ -101,11 +102,14 @@ def frequencies(files: DataFrame, templates: dict[str, list[str]]) -> tuple[int,
 
 
 def own_licenses(files: DataFrame, *keep: Column, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """The columns `keep`, path, own_license and own_score of every file (columns path, text). Null texts have no licence; a null path is no licence file."""
+    """The columns `keep`, path, own_license and own_score of every file (columns path, text). Null texts have no licence; a null path is no licence file.
+
+    A kept column with the name of a result gets an underscore after it.
+    """
     templates = templates or TEMPLATES
     matcher = Matcher(templates, *frequencies(files, templates))
-    chosen = files.select(*keep, F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("__text"))
-    kept, is_file = chosen.columns[:-1], re.compile(LICENSE_FILE)
+    chosen, kept = keeping(files, keep, {"path": F.col("path").cast("string"), "__text": F.col("text").cast("string")}, RESULTS)
+    kept, is_file = [*kept, "path"], re.compile(LICENSE_FILE)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "__text"):
@@ -125,13 +129,14 @@ def inherit(found: DataFrame) -> DataFrame:
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     found = found.withColumn("dir", folder)
     licensed = found.where(F.col("own_license").isNotNull() & F.col("path").rlike(LICENSE_FILE)).groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "own_license")).alias("l")).select(F.col("dir").alias("above"), F.col("l.own_license").alias("given"))
+    licensed = staged(licensed)  # as is what is nearest: between plain scans Spark can split a directory that is above, or has, very many
     parts = F.split("dir", "/")
     prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("above")))
     dirs = found.where(F.col("path").isNotNull()).select("dir").distinct().select("dir", F.size(parts).alias("n"), F.explode(prefixes).alias("p")).select("dir", "n", "p.depth", "p.above")
     near = dirs.join(licensed, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "given", "n")).alias("near"))
     own = F.col("own_license").isNotNull()
     return (
-        found.join(near, "dir", "left")
+        found.join(staged(near), "dir", "left")
         .withColumn("license", F.coalesce("own_license", "near.given"))
         .withColumn("licensed_by", F.when(own, F.lit("own")).otherwise(F.col("near.above")))
         .withColumn("levels_up", F.when(own, 0).otherwise(F.col("near.n") - F.col("near.depth") + 1))

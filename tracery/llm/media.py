@@ -7,7 +7,6 @@ stored form gives them back; `decode_media` stores 16-bit PCM at twice the rate.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import staged, text_chunks
 
 RATE, BLOCK = 8000, 192
 #: WAV format tags.
@@ -157,7 +156,7 @@ def encode_media(df: DataFrame, id_col: str, bytes_col: str, codec: int | None =
 
 
 def decode_media(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """(id, codec, rate, pcm, feature): 16-bit little-endian PCM at 16 kHz. A null or a value that is no such WAV file gives nulls."""
+    """(id, codec, rate, payload, pcm, feature): the stored samples, and 16-bit little-endian PCM at 16 kHz. A null or a value that is no such WAV file gives nulls."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "data"):
@@ -175,42 +174,28 @@ def decode_media(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     part.column("id"),
                     pa.array([NAMES.get(c) for c, _ in found], pa.string()),
                     pa.array([2 * RATE if k else None for k in known], pa.int32()),
+                    pa.array([x if k else None for (_, x), k in zip(found, known, strict=True)], pa.binary()),
                     pa.array([w.tobytes() if k else None for w, k in zip(wide, known, strict=True)], pa.binary()),
                     pa.array([feature(c, p, w) if k else None for (c, _), p, w, k in zip(found, pcm, wide, known, strict=True)], pa.string()),
                 ],
-                ["id", "codec", "rate", "pcm", "feature"],
+                ["id", "codec", "rate", "payload", "pcm", "feature"],
             )
 
     chosen = df.select(F.col(id_col).alias("id"), F.col(media_col).cast("binary").alias("data"))
-    return chosen.mapInArrow(rows, f"id {chosen.schema['id'].dataType.simpleString()}, codec string, rate int, pcm binary, feature string")
+    return chosen.mapInArrow(rows, f"id {chosen.schema['id'].dataType.simpleString()}, codec string, rate int, payload binary, pcm binary, feature string")
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """Each text as UTF-8 bytes, stored as a WAV file and read back: digests of what is stored and read.
+    """Each text as UTF-8 bytes, encoded to a WAV file, written to the shared folder, read from there and decoded: digests of what is stored and read.
 
     Null texts count as empty. Rows are independent: no shuffle, repeated rows give repeated results.
     """
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches):
-            data = [(x or "").encode() for x in part.column("text").to_pylist()]
-            media = [wav(codec_of(p), p) for p in map(payload_of, data)]
-            back = [read_wav(x) for x in media]
-            pcm = decode_all(back)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array([len(x) for x in data], pa.int64()),
-                    pa.array([len(x) for _, x in back], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for _, x in back]),
-                    pa.array([zlib.crc32(x[-16:]) for _, x in back], pa.int64()),
-                    pa.array([len(x) for x in media], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in media]),
-                    pa.array([feature(c, p, twice(p)) for (c, _), p in zip(back, pcm, strict=True)]),
-                ],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    stored = staged(encode_media(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.length(data).cast("long").alias("n_bytes")).alias("id"), data.alias("data")), "id", "data"))
+    file = F.struct("id.*", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    read = decode_media(stored.select(file.alias("id"), "media"), "id", "media")
+    payload = F.col("payload")
+    return read.select(
+        "id.doc_id", "id.n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -16, 16)).alias("tail_crc32"), "id.media_bytes", "id.media_sha256", "feature",
     )

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, staged, text_chunks
+from .common import keeping, shared_folder, staged, text_chunks
 
 
 class Rule(NamedTuple):
@@ -44,7 +44,7 @@ RULES = [
 BASE = ("assign", "access", "hex")
 SPANS = "array<struct<start:int,kind_no:int,kind:string,end:int>>"
 LEDGER = f"blob string, rules array<string>, spans {SPANS}"
-#: A map task remembers so many blobs that it has sent; beyond them it starts anew.
+#: A task remembers so many blobs that it has sent, or scanned; beyond them it starts anew.
 SEEN = 1 << 20
 
 
@@ -74,7 +74,7 @@ def once_in_a_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def scan(rules: list[Rule]) -> Callable:
-    """Scans each blob with the rules that it lacks; a blob that came from several map tasks is scanned once."""
+    """Scans each blob with the rules that it lacks; a blob that came from several map tasks is scanned once (or again, with the same spans, after SEEN others)."""
     tags = {f"{r.name}@{r.version}": (i, r) for i, r in enumerate(rules)}
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +85,8 @@ def scan(rules: list[Rule]) -> Callable:
             for blob, text, known in zip(*(part.column(c).to_pylist() for c in ("blob", "text", "known")), strict=True):
                 lacks = [t for t in tags if t not in (known or ())]
                 if lacks and blob not in done:
+                    if len(done) >= SEEN:
+                        done.clear()
                     done.add(blob)
                     spans = [dict(zip(("start", "kind_no", "kind", "end"), s, strict=True)) for s in find(text, [tags[t] for t in lacks], compiled)]
                     for column, value in zip(out, (blob, lacks, spans), strict=True):
@@ -110,9 +112,9 @@ def blob_of(text: Column) -> Column:
 def scan_versions(versions: DataFrame, text_col: str, *keep: Column, ledger: str | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """The columns `keep` of every row (its path, revision, text or what else), its blob, and all spans found in it.
 
-    ledger: folder of the ledger, read and then appended to; a new one in the shared folder by default.
-    Null texts count as empty. Equal texts share a blob; repeated rows are all returned. No kept column may be
-    called blob or spans.
+    ledger: folder of the ledger, read and then appended to; a new one in the shared folder by default. If two runs
+    append the same pair at once, its spans are still told once. Null texts count as empty. Equal texts share a blob;
+    repeated rows are all returned. A kept column called blob or spans gets an underscore after its name.
     """
     rules, spark = rules or RULES, versions.sparkSession
     ledger = ledger or shared_folder(spark)
@@ -124,10 +126,10 @@ def scan_versions(versions: DataFrame, text_col: str, *keep: Column, ledger: str
     current = F.array(*(F.struct(F.lit(r.name).alias("kind"), F.lit(f"{r.name}@{r.version}").alias("tag")) for r in rules))
     live = F.transform(F.filter(current, lambda c: F.array_contains(F.col("rules"), c["tag"])), lambda c: c["kind"])
     found = found.withColumn("spans", F.filter("spans", lambda s: F.array_contains(live, s["kind"])))
-    found = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     found = staged(found)  # else the join follows an aggregation, and Spark can't split a blob with very many paths
-    paths = versions.select(*keep, blob_of(text).alias("blob"))
-    return paths.join(found, "blob", "left").select(*paths.columns, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    paths, kept = keeping(versions, keep, {"blob": blob_of(text)}, ["spans"])
+    return paths.join(found, "blob", "left").select(*(f"`{c}`" for c in kept), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def told(spans: Column) -> Column:

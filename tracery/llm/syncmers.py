@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_chunks
+from .common import keeping, mix64, text_chunks
 
 K, S = 16, 5
 #: So many anchors of a fingerprint are printed.
@@ -127,9 +127,11 @@ def told(values: np.ndarray) -> str:
 
 
 def anchors(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
-    """The columns `keep` with place (of its first character, from 0) and anchor (hash) of every closed syncmer of every text, copies included."""
-    chosen = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    kept = chosen.columns[:-1]
+    """The columns `keep` with place (of its first character, from 0) and anchor (hash) of every closed syncmer of every text, copies included.
+
+    A kept column of either name gets an underscore after it.
+    """
+    chosen, kept = keeping(df, keep, {"__text": F.col(text_col).cast("string")}, ["place", "anchor"])
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "__text"):
