@@ -216,13 +216,11 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     return linked(dealt.repartition("band", "part"), "band", "part").unionByName(linked(heads, "band"))
 
 
-def met(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: links that span what is near among the classes of each (root, i, j): rows root, i, j, side, set_key, doc_id, tie, label.
+def met(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links that span what is near among the classes of each (root, i, j): rows root, i, j, side, set_key, label, text.
 
     Null sides: all pairs; else those across sides. label: the component that a class is known to be in, or null.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    members = rows.join(texts, rows["doc_id"].eqNullSafe(texts["d"]) & (rows["tie"] == texts["h"])).select("root", "i", "j", "side", "set_key", "label", "text")
     dealt = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "set_key")
 
     def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,11 +261,13 @@ def links(docs: DataFrame, classes: DataFrame, width: int = WORDS, percent: int
     weight = lambda n: F.greatest(F.ceil(n / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     placed = grouped.join(staged(grouped.groupBy("root").agg(weight(F.count(F.lit(1))).alias("blocks"))), "root")
     placed = staged(placed.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")))
-    none = F.lit(None).cast("int").alias("side")
+    # All texts are shuffled once; those of clusters are written, for the second meeting needs some of them again.
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    members = staged(placed.join(texts, placed["doc_id"].eqNullSafe(texts["d"]) & (placed["tie"] == texts["h"])).select("root", "node", "blocks", "block", "set_key", "n_shingles", "text"))
     every = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = placed.select("root", F.explode(every).alias("i"), F.lit(0).alias("j"), none, "set_key", "doc_id", "tie", F.lit(None).cast("binary").alias("label"))
-    found = staged(met(docs, first, width, percent))
-    large = placed.where("blocks > 1")
+    first = members.select("root", F.explode(every).alias("i"), F.lit(0).alias("j"), F.lit(None).cast("int").alias("side"), "set_key", F.lit(None).cast("binary").alias("label"), "text")
+    found = staged(met(first, width, percent))
+    large = placed.where("blocks > 1").select("root", "node", "blocks", "block", "set_key", "n_shingles")
     if not large.take(1):
         return found
     labels = components(found).withColumnsRenamed({"node": "set_key", "root": "label"})
@@ -277,11 +277,11 @@ def links(docs: DataFrame, classes: DataFrame, width: int = WORDS, percent: int
     if not left.take(1):
         return found
     parts = staged(left.groupBy("root").agg(weight(F.count(F.lit(1))).alias("parts")))
-    left = left.join(parts, "root")
-    names = ["root", "i", "j", "side", "set_key", "doc_id", "tie", "label"]
-    ones = left.withColumn("i", F.pmod(F.xxhash64("set_key", F.lit(2)), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    ones = left.join(parts, "root").withColumn("i", F.pmod(F.xxhash64("set_key", F.lit(2)), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
     others = large.join(parts, "root").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.col("block")).withColumn("side", F.lit(1))
-    return found.unionByName(met(docs, ones.select(*names).unionByName(others.select(*names)), width, percent))
+    names = ["root", "i", "j", "side", "set_key", "label"]
+    again = ones.select(*names).unionByName(others.select(*names)).join(members.where("blocks > 1").select("set_key", "text").dropDuplicates(["set_key"]), "set_key")
+    return found.unionByName(met(again, width, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
