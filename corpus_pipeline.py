@@ -7,7 +7,7 @@ the mix is segmented into SentencePiece ids. All but the last return the columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracery.llm import mixing, neardup, pieces, quality, secrets
@@ -32,8 +32,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One sampled segmentation and the next, with their ids; a document that the mix repeats is seeded alike each time, and so told once for each row."""
-    return pieces.segment(docs, "text", F.col("doc_id"), F.col("doc_id"), F.col("source"), with_ids=True)
+    """One sampled segmentation and the next, with their ids; rows that the mix repeats are numbered, and each is seeded by its number too."""
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars")
+    numbered = docs.withColumn("repeat", F.row_number().over(again))
+    return pieces.segment(numbered, "text", F.struct("doc_id", "repeat"), F.col("doc_id"), F.col("source"), F.col("repeat"), with_ids=True)
 
 
 STAGES = [("quality classifier", classify), ("near-dedup", deduplicate), ("secret scans", mask_secrets), ("mixing to weights", mix), ("piece encoding", encode)]
