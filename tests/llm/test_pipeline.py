@@ -58,6 +58,12 @@ def test_stages_against_brute_force(spark, sf):
     for s, goal in zip(names, brute_targets([size[s] for s in names]), strict=True):
         assert abs(taken[s] - goal) <= 1 + max(1, goal / mixing.PACKETS)
     assert len(coded) == sum(2 if r.text else 1 for r in mix) and all(r.decodes for r in coded)
+    assert len({(r.doc_id, r.repeat, r.sample) for r in coded}) == len(coded)
+    drawn = defaultdict(dict)
+    for r in coded:
+        drawn[r.doc_id, r.sample][r.repeat] = r.ids_sha256
+    twice = [x for x in drawn.values() if len(x) == 2]
+    assert twice and sum(len(set(x.values())) == 2 for x in twice) > 0.9 * len(twice)  # each pass is sampled anew
     vocabulary = pieces.load()
     texts = {(r.doc_id, r.text) for r in mix}
     assert {(r.doc_id, pieces.decode(r.ids, vocabulary)) for r in coded} == texts
