@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracery.functions import numbers
-from tracery.operators import coach, concurrency, filters, graph, ingest, maintain, quality, text
+from tracery.operators import coach, concurrency, filters, graph, ingest, maintain, prompts, quality, report, text
 from tracery.plans import advice, intake, search, upkeep
 from tracery.sources.tables import Tables, lens
 
@@ -235,3 +235,53 @@ def test_temporal_windows(spark):
     boosts = lambda q: [r.boost for r in coach.temporal(df, q).orderBy(F.desc_nulls_last("created")).collect()]
     assert boosts("yesterday") == [0, 1, 0, 0, 0] and boosts("last month") == [0, 0, 1, 0, 0] and boosts("in February 2023") == [0, 0, 0, 1, 0]
     assert boosts("this week") == [1, 1, 0, 0, 0] and boosts("nothing of the kind") == [0] * 5 and boosts("recent")[0] == 1.0
+
+
+def test_ranges_follow_the_zone(spark):
+    hour = 3_600_000_000
+    day = lambda d, **more: report.resolve(spark, "day", d, zone="America/New_York", **more)
+    for d, hours in (("2024-03-10", 23), ("2024-11-03", 25), ("2024-06-01", 24)):
+        r = day(d)
+        assert r.end - r.start == hours * hour and r.seconds == 300 and len(r.starts) == hours * 12 and (r.starts[0], r.ends[-1]) == (r.start, r.end)
+    week = report.resolve(spark, "week", "2024-03-13", zone="America/New_York", bucket="1d")
+    assert [(b - a) // hour for a, b in zip(week.starts, week.ends)] == [24] * 7 and week.seconds == 86400
+    month = report.resolve(spark, "month", "2024-03-15", zone="America/New_York", now="2024-03-20 00:00:00")
+    assert [(b - a) // hour for a, b in zip(month.starts, month.ends)] == [24] * 9 + [23] + [24] * 21 and month.start < month.until < month.end
+    own = report.resolve(spark, "custom", start="2024-01-03 05:30:00", end="2024-06-01 00:00:00", zone="America/New_York")
+    assert own.seconds == report.WEEK and own.starts[0] == own.start and own.starts[1] == 1704690000000000 and own.ends[-1] == own.end  # from the second Monday on
+    assert report.resolve(spark, "day", "2024-01-01", now="2023-01-01 00:00:00").until == 1704067200000000
+    for bad in (dict(preset="custom", start="2024-01-02 00:00:00", end="2024-01-01 00:00:00"), dict(preset="custom", start="2022-01-02 00:00:00", end="2024-01-01 00:00:00"), dict(preset="month", date="2024-01-01", bucket="5m"), dict(preset="era", date="2024-01-01"), dict(date="2024-01-01", bucket="2h")):
+        with pytest.raises(ValueError):
+            report.resolve(spark, **bad)
+
+
+def test_buckets_over_a_change_of_clocks(spark):
+    """An agent that works over two local days, of which one has 23 hours, and another for an hour of it."""
+    hour = lambda h: 1_710_046_800 + 3600 * h  # from 2024-03-10 00:00 in New York
+    rows = [("x", i, hour(0) + 240 * i, False) for i in range(15 * 47 + 1)] + [("y", i, hour(3) + 240 * i, True) for i in range(16)]
+    m = spark.createDataFrame([(s, o, at, "user" if o % 2 else "assistant", "p", "a", "h", "b", auto, "" if o % 2 else "m1", o) for s, o, at, auto in rows], "session_id string, ordinal int, at long, role string, project string, agent string, machine string, branch string, is_automated boolean, model string, event_id int")
+    zero = {c: F.lit(0) for c in ("input_tokens", "cache_creation", "cache_read")}
+    m = m.withColumns({"ts": F.timestamp_seconds("at"), "output_tokens": F.when(F.col("role") == "assistant", 1).otherwise(0), "message_id": F.lit(""), "request_id": F.lit(""), "source_uuid": F.lit(""), "user_id": F.lit(1)} | zero)
+    r = report.resolve(spark, "custom", start="2024-03-10 05:00:00", end="2024-03-12 04:00:00", zone="America/New_York", bucket="1d")
+    t = Tables(m, m.groupBy("session_id").agg(F.first("project").alias("project"), F.first("agent").alias("agent"), F.first("is_automated").alias("is_automated")), None, None)
+    first, second = report.buckets(t, r).orderBy("start").collect()
+    assert [first.end - first.start, second.end - second.start] == [23 * 3_600_000_000, 24 * 3_600_000_000]
+    assert (first.agent_minutes, second.agent_minutes) == (23 * 60 + 60.0, 24 * 60.0)
+    assert (first.max_agents, first.automated_at_peak, first.interactive_at_peak, second.max_agents) == (2, 1, 1, 1)
+    assert first.output_tokens + second.output_tokens == sum(o % 2 == 0 for _, o, at, _ in rows if at < hour(47))
+
+
+@pytest.mark.parametrize(("category", "status", "content", "failed"), [
+    ("Bash", "completed", "Traceback (most recent call last)", False), ("Bash", "cancelled", "", True), ("Read", "errored", "", True), ("Bash", "", "exit code 1", False), ("Bash", "", "exit code 1: fatal: x", True),
+    ("Bash", "", "exit status 0 panic:", False), ("Bash", "", "No such file or directory", False), ("Bash", None, "goroutine 7 [running]", True), ("Bash", "", "x\\n  at a\\n  at b\\n  at c", True),
+    ("Bash", "", "  at a\\n  at b\\nx\\n  at c", False), ("Bash", "", "COMMAND NOT FOUND", False), ("Edit", "", "hunk FAILED", True), ("Edit", "", "command not found", False), ("Read", "", "FAILED", False), ("Bash", "", None, False),
+])
+def test_failures(spark, category, status, content, failed):
+    df = spark.createDataFrame([(category, status, content.replace("\\n", "\n") if content else content)], "category string, status string, content string")
+    assert df.select(quality.is_failure(F.col("category"), F.col("status"), F.col("content")).alias("f")).first().f == failed
+
+
+def test_windows_by_prefix(spark):
+    names = ["gpt-4o", "gpt-4o-mini", "gpt-4o-mini-2024", "gpt-4o-2024-08-06", "gpt-4omega", "o3", "o3-x", "gpt", ""]
+    got = {r.model: r["size"] for r in prompts.window_sizes(spark.createDataFrame([(n,) for n in names], "model string"), {"gpt-4o": 1, "gpt-4o-mini": 2, "o3": 3}).collect()}
+    assert got == {"gpt-4o": 1, "gpt-4o-mini": 2, "gpt-4o-mini-2024": 2, "gpt-4o-2024-08-06": 1, "o3": 3, "o3-x": 3}

@@ -43,3 +43,38 @@ def bucket(x: Column, edges: list[tuple[float, str]], top: str, closed: bool = F
         test = x <= edge if closed else x < edge
         out = F.when(test, label) if out is None else out.when(test, label)
     return out.otherwise(top)
+
+
+def place_among(x: Column, bounds: list, at: bool = True) -> Column:
+    """How many of the ascending bounds (a list of bounded length) are at most x, or below x; found by halving."""
+    if not bounds:
+        return F.lit(0)
+    all_, leaps = F.array(*map(F.lit, bounds)), F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+    holds = lambda b: b <= x if at else b < x
+    return F.aggregate(leaps, F.lit(0), lambda n, leap: F.when(holds(F.get(all_, n + leap - 1)), n + leap).otherwise(n))
+
+
+def counted(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """Distinct values of each key with their number of rows, the rows before them and all rows: ranks without a row for each row.
+
+    Rows are counted by value before anything is put in order, so a key with very many rows has no more than its distinct values in a task.
+    """
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
+    own = Window.partitionBy(*keys)
+    upto = F.sum("copies").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return n.withColumn("before", upto - F.col("copies")).withColumn("n", F.sum("copies").over(own))
+
+
+def at_rank(value: str, rank: Column) -> Column:
+    """Over counted rows: the value of the row with this rank (from 0)."""
+    return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("copies")), F.col(value)))
+
+
+def counted_percentile(value: str, p: float) -> Column:
+    """Over counted rows: the value at rank min(floor(n * p), n - 1)."""
+    return at_rank(value, F.least(F.floor(F.col("n") * p), F.col("n") - 1))
+
+
+def counted_median(value: str) -> Column:
+    """Over counted rows of whole numbers: the middle one, or the middle pair's whole mean."""
+    return F.floor((at_rank(value, F.floor((F.col("n") - 1) / 2)) + at_rank(value, F.floor(F.col("n") / 2))) / 2).cast("long")

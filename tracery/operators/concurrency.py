@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import place_among
+from ..functions.storage import staged
 from ..sources.tables import Tables
 
 GAP = 300_000_000  # microseconds
@@ -21,25 +23,31 @@ def intervals(t: Tables) -> DataFrame:
     return rows.select("session_id", "project", "agent", "is_automated", "lo", F.least("at", F.col("lo") + GAP).alias("hi"), F.coalesce(used, F.lit("")).alias("model"))
 
 
-def bounds(spans: DataFrame, *keys: str) -> DataFrame:
-    """Net change of the number of open spans at each instant; closes and opens of one instant cancel out."""
+def bounds(spans: DataFrame, *keys: str, kind: str | None = None) -> DataFrame:
+    """Net change of the number of open spans at each instant, and of those of a kind (a column of 0 and 1); closes and opens of one instant cancel out."""
     ends = F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("d")), F.struct(F.col("hi").alias("at"), F.lit(-1).alias("d"))))
-    return spans.withColumn("e", ends).groupBy(*keys, "e.at").agg(F.sum("e.d").alias("d"))
+    also = [F.sum(F.col("e.d") * F.col(kind)).alias(kind)] if kind else []
+    return spans.withColumn("e", ends).groupBy(*keys, "e.at").agg(F.sum("e.d").alias("d"), *also)
 
 
-def levels(spans: DataFrame) -> DataFrame:
-    """Instants with the number of open spans from there on, and the next instant.
+def levels(spans: DataFrame, kind: str | None = None) -> DataFrame:
+    """Instants with the number of open spans from there on (and of those of a kind), and the next instant.
 
-    Running sums are taken in two levels, within a day and over days, so no task has all instants.
+    Running sums are taken in two levels: instants are cut at quantiles, so a part has about as many of them as any other, and parts are
+    as many as the shuffle has partitions; their sums are added up first.
     """
-    day = F.floor(F.col("at") / 86_400_000_000)
-    net = bounds(spans).withColumn("day", day)
-    days = net.groupBy("day").agg(F.sum("d").alias("s"), F.min("at").alias("first"))
-    every = Window.orderBy("day")  # one row for each day
-    days = days.select("day", (F.sum("s").over(every) - F.col("s")).alias("before"), F.lead("first").over(every).alias("next_day"))
-    own = Window.partitionBy("day").orderBy("at")
-    net = net.join(days, "day")
-    return net.select("at", (F.sum("d").over(own) + F.col("before")).alias("open"), F.coalesce(F.lead("at").over(own), F.col("next_day")).alias("next"))
+    net = staged(bounds(spans, kind=kind))
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = net.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    net = net.withColumn("part", place_among(F.col("at"), sorted(set(cuts or []))))
+    sums = ["d", *([kind] if kind else [])]
+    each = net.groupBy("part").agg(*(F.sum(c).alias(f"s_{c}") for c in sums), F.min("at").alias("first"))
+    every = Window.orderBy("part")  # one row for each part
+    each = each.select("part", *((F.sum(f"s_{c}").over(every) - F.col(f"s_{c}")).alias(f"b_{c}") for c in sums), F.lead("first").over(every).alias("next_part"))
+    own = Window.partitionBy("part").orderBy("at")
+    upto = {c: F.sum(c).over(own) + F.col(f"b_{c}") for c in sums}
+    net = net.join(F.broadcast(each), "part")
+    return net.select("at", upto["d"].alias("open"), F.coalesce(F.lead("at").over(own), F.col("next_part")).alias("next"), *([upto[kind].alias(kind)] if kind else []))
 
 
 def concurrency(t: Tables) -> DataFrame:
@@ -56,11 +64,11 @@ def in_buckets(spans: DataFrame, width: int) -> DataFrame:
 
 
 def bucket_metrics(t: Tables, width: int = 3_600_000_000) -> DataFrame:
-    """Agent minutes and most open spans of each hour."""
-    cut = in_buckets(intervals(t), width)
-    net = bounds(cut, "b").withColumn("open", F.sum("d").over(Window.partitionBy("b").orderBy("at")))
-    peak = net.groupBy("b").agg(F.max("open").alias("most"))
-    minutes = cut.groupBy("b").agg(F.round(F.sum(F.col("hi") - F.col("lo")) / 6e7, 4).alias("minutes"))
+    """Agent minutes and most open spans of each hour (R4); the most is that of the levels which the hour overlaps."""
+    own = intervals(t)
+    open_ = levels(own).where("open > 0").select("open", F.col("at").alias("lo"), F.col("next").alias("hi"))
+    peak = in_buckets(open_, width).groupBy("b").agg(F.max("open").alias("most"))
+    minutes = in_buckets(own, width).groupBy("b").agg(F.round(F.sum(F.col("hi") - F.col("lo")) / 6e7, 4).alias("minutes"))
     return minutes.join(peak, "b").select(F.col("b").alias("hour"), "minutes", F.col("most").cast("long").alias("most"))
 
 

@@ -5,6 +5,9 @@ All order-sensitive signals are windows over one session's calls in order, so th
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -21,10 +24,13 @@ def in_order() -> WindowSpec:
 
 
 def is_failure(category: Column, status: Column, content: Column) -> Column:
-    """A call that failed, by its status or by what its output says (Q1)."""
-    shell = content.rlike(r"(?i)(command not found|no such file or directory|permission denied|traceback \(most recent call last\)|exit code [1-9])") | content.rlike(r"(?m)(^\s+at .+\n){3}")
-    edit = content.contains("FAILED") | content.rlike("(?i)string to replace not found")
-    return status.isin("errored", "cancelled") | F.when(category == "Bash", shell).when(category.isin("Edit", "Write"), edit).otherwise(F.lit(False))
+    """A call that failed (Q1): a status that is told decides alone; else what the output of a shell command or an edit says."""
+    has = lambda *words: functools.reduce(operator.or_, (F.contains(content, F.lit(w)) for w in words))
+    trace = has("Traceback (most recent call last)") | content.rlike("goroutine [0-9]+") | content.rlike(r"(?:^|\n)  at [^\n]*\n  at [^\n]*\n  at ")
+    code = content.rlike("exit (?:status|code) [1-9]") & has("No such file", "fatal:", "panic:")
+    said = F.when(category == "Bash", has("command not found", "Permission denied") | trace | code).when(category.isin("Edit", "Write"), has("FAILED")).otherwise(F.lit(False))
+    told = F.coalesce(status, F.lit("")) != ""
+    return F.when(told, status.isin("errored", "cancelled")).otherwise(F.coalesce(said, F.lit(False)))
 
 
 def islands(calls: DataFrame, *same: str) -> DataFrame:
@@ -117,10 +123,39 @@ def score(signals: DataFrame) -> DataFrame:
     return signals.withColumns({"score": value.cast("int"), "grade": grade.otherwise("F")})
 
 
+def call_facts(calls: DataFrame, command_class: str = "category") -> DataFrame:
+    """Failures, longest and last run of them, retries, churned files, compactions, peak context and runaway loops of each session (Q2 to Q5, Q13).
+
+    One shuffle by session and one order of its calls serve all: runs are told by where they began, so no run is grouped.
+    """
+    upto = in_order().rowsBetween(Window.unboundedPreceding, 0)
+    at, fail = F.row_number().over(in_order()), F.col("failed").cast("int")
+    same = lambda *cs: functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.lag(c).over(in_order())) for c in cs))
+    began = lambda c: F.last(F.when(F.col(c), F.col("at")), ignorenulls=True).over(upto)
+    rows = calls.withColumns({"at": at, "new_fail": (at == 1) | ~same("failed"), "new_like": (at == 1) | ~same("tool_name", "input"), "failed_upto": F.sum(fail).over(upto),
+        "context_before": F.last("context_tokens", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))})
+    twelve = in_order().rowsBetween(-11, 0)
+    rows = rows.withColumns({"fail_run": F.col("at") - began("new_fail") + 1, "like_run": F.col("at") - began("new_like") + 1,
+        "failed_before": F.last(F.when(F.col("new_like"), F.col("failed_upto") - fail), ignorenulls=True).over(upto),
+        "w_n": F.count(F.lit(1)).over(twelve), "w_failed": F.sum(fail).over(twelve), "w_class": F.collect_list(command_class).over(twelve)})
+    edit = F.col("category").isin("Edit", "Write") & (F.coalesce("file_path", F.lit("")) != "")
+    by_file = Window.partitionBy("session_id", "file_path", edit).orderBy("call_index")
+    rows = rows.withColumn("third", F.when(edit, F.lag("ordinal", 2).over(by_file)))
+    most = F.array_max(F.transform(F.array_distinct("w_class"), lambda c: F.size(F.filter("w_class", lambda x: x == c))))
+    bad = ((F.col("like_run") >= 5) & (F.col("failed_upto") - F.col("failed_before") >= 3)) | ((F.col("w_n") == 12) & ((F.col("w_failed") >= 6) | ((F.col("w_failed") >= 3) & (most >= 10))))
+    run = F.when(F.col("failed"), F.col("fail_run")).otherwise(0)
+    return rows.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("calls"), F.sum(fail).alias("failures"), F.max(run).cast("long").alias("longest"), F.max_by(run, "at").cast("long").alias("final_streak"),
+        F.sum(F.when(F.col("like_run") == 3, 2).when(F.col("like_run") > 3, 1).otherwise(0)).alias("retries"),
+        F.count_distinct(F.when(F.col("ordinal") - F.col("third") < 10, F.col("file_path"))).alias("churned"),
+        F.count_if((F.col("context_before") > 0) & (F.col("context_tokens") < 0.7 * F.col("context_before"))).alias("compactions"), F.max("context_tokens").alias("peak"),
+        (F.bool_or(bad) & (F.count(F.lit(1)) >= 12)).alias("runaway"),
+    )
+
+
 def call_signals(t: Tables) -> DataFrame:
-    """Q2 to Q5, Q13 and Q14 for every session of calls; its outcome is errored if it ends in three failures, else completed (Q15)."""
-    out = failures(t.calls).join(retries(t.calls), "session_id").join(edit_churn(t.calls), "session_id", "left").join(compactions(t.calls), "session_id", "left").join(runaway(t.calls), "session_id")
-    out = out.na.fill(0, ["churned", "compactions"]).withColumns({"outcome": F.when(F.col("final_streak") >= 3, "errored").otherwise("completed"), "confidence": F.lit("medium"), "has_calls": F.lit(True)})
+    """Q2 to Q5, Q13 and Q14 for every session of calls alone; its outcome is errored if it ends in three failures, else completed. `prompts.signals` has all signals."""
+    out = call_facts(t.calls).withColumns({"outcome": F.when(F.col("final_streak") >= 3, "errored").otherwise("completed"), "confidence": F.lit("medium"), "has_calls": F.lit(True)})
     return score(out).select("session_id", "failures", "longest", "final_streak", "retries", "churned", "compactions", "runaway", "score", "grade")
 
 
@@ -136,7 +171,7 @@ def worst_sessions(t: Tables, signal: str = "failures", limit: int = 10) -> Data
 
 def normal(text: Column) -> Column:
     """Code fences out, lower case, white space as one space (Q10)."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, "(?s)```.*?```", " ")), r"[ \t\n\r\f]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, "(?s)```.*?```", " ")), r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
 
 
 def tokens(text: Column) -> Column:
