@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import staged
+
 
 def half_away(x: Column, places: int = 0) -> Column:
     """Rounds the double itself, halves away from zero; SQL's round works on its decimal form."""
@@ -78,3 +80,25 @@ def counted_percentile(value: str, p: float) -> Column:
 def counted_median(value: str) -> Column:
     """Over counted rows of whole numbers: the middle one, or the middle pair's whole mean."""
     return F.floor((at_rank(value, F.floor((F.col("n") - 1) / 2)) + at_rank(value, F.floor(F.col("n") / 2))) / 2).cast("long")
+
+
+#: How far from a percentile's place its value is looked for, as a share of the rows; the accuracy of the bounds is ten times finer.
+BAND = 0.0005
+
+
+def exact_percentile(df: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
+    """keys, value, n: for each key the value at rank min(floor(n * p), n - 1), exactly.
+
+    Approximate percentiles on both sides bound where it is; what is below is counted, and only the rows between the bounds are put in order.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    ends = F.percentile_approx("v", [max(p - BAND, 0.0), min(p + BAND, 1.0)], int(10 / BAND))
+    bounds = rows.groupBy(*keys).agg(ends.alias("ends"), F.count(F.lit(1)).alias("n"))
+    bounds = staged(bounds.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"), "n"))
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
+    near = rows.join(bounds, same if same else None) if keys else rows.join(F.broadcast(bounds))  # without keys there is one row
+    below = near.groupBy(*keys).agg(F.count_if(F.col("v") < F.col("low")).alias("below"))
+    band = near.where(F.col("v").between(F.col("low"), F.col("high"))).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1)
+    found = band.join(below.select(*(F.col(k).alias(f"b_{k}") for k in keys), "below"), [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys]) if keys else band.join(F.broadcast(below))
+    at = F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    return found.where(F.col("below") + F.col("rank") == at).select(*keys, F.col("v").alias(value), "n")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import bucket, half_away, median, percentile, ranked
+from ..functions.numbers import bucket, counted, counted_median, counted_percentile, exact_percentile, half_away, ranked
+from ..functions.storage import staged
 from ..sources.tables import Tables
 from .filters import analytics_filter, visible
 
@@ -27,12 +28,12 @@ def seconds(a: str, b: str) -> Column:
 def summary(t: Tables) -> DataFrame:
     """One row over the filtered sessions: counts, mean, median, p90, share of the three largest projects, most active project (A1)."""
     own = analytics_filter(t)
-    order = ranked(own, "message_count")
-    first = order.agg(
+    first = own.agg(
         F.count(F.lit(1)).alias("sessions"), F.sum("message_count").alias("messages"), F.sum("total_output_tokens").alias("output_tokens"),
-        F.count_distinct("project").alias("projects"), F.count_distinct(day("started_at")).alias("days"),
-        half_away(F.avg("message_count"), 1).alias("avg_messages"), median("message_count").alias("median_messages"), percentile("message_count", 0.9).alias("p90_messages"),
+        F.count_distinct("project").alias("projects"), F.count_distinct(day("started_at")).alias("days"), half_away(F.avg("message_count"), 1).alias("avg_messages"),
     )
+    places = counted(own, "message_count").agg(counted_median("message_count").alias("median_messages"), counted_percentile("message_count", 0.9).alias("p90_messages"))
+    first = first.join(F.broadcast(places))  # one row each
     by = own.groupBy("project").agg(F.sum("message_count").alias("n"))
     top = by.orderBy(F.desc("n"), "project").limit(3).agg(F.sum("n").alias("top3"))
     most = by.orderBy(F.desc("n"), "project").limit(1).select(F.col("project").alias("most_active"))
@@ -54,8 +55,12 @@ def activity(t: Tables, unit: str = "week") -> DataFrame:
 
 def heatmap(t: Tables, first: str = "2024-01-01", last: str = "2024-01-31") -> DataFrame:
     """Messages of each calendar day, zero-filled, with a level 0 to 4 by the places of quartiles among positive days (A3)."""
-    counts = t.messages.groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("v"))
-    spine = t.messages.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("d"))
+    return levelled(t.messages.groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("v")), first, last)
+
+
+def levelled(counts: DataFrame, first: str, last: str) -> DataFrame:
+    """Days (d, v) from first to last with their level; a year at most, so they may be put in order at once."""
+    spine = counts.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("d"))
     days = spine.join(counts, "d", "left").na.fill(0, ["v"])
     at = lambda q: F.coalesce(F.max(F.when(F.col("rank") == F.floor(F.col("n") * q), F.col("v"))), F.lit(0))
     levels = ranked(days.where("v > 0"), "v").agg(at(0.25).alias("l2"), at(0.5).alias("l3"), at(0.75).alias("l4"))
@@ -66,10 +71,11 @@ def heatmap(t: Tables, first: str = "2024-01-01", last: str = "2024-01-31") -> D
 def projects(t: Tables) -> DataFrame:
     """Sessions, messages, dates, mean, median and messages of an active day for each project (A4)."""
     own = analytics_filter(t)
-    out = ranked(own, "message_count", "project").groupBy("project").agg(
+    out = own.groupBy("project").agg(
         F.count(F.lit(1)).alias("sessions"), F.sum("message_count").alias("messages"), F.min(day("started_at")).alias("first"), F.max(day("started_at")).alias("last"),
-        half_away(F.avg("message_count"), 1).alias("mean"), median("message_count").alias("median"), F.count_distinct(day("started_at")).alias("days"))
-    return out.withColumn("daily", half_away(F.col("messages") / F.col("days"), 1))
+        half_away(F.avg("message_count"), 1).alias("mean"), F.count_distinct(day("started_at")).alias("days"))
+    middle = counted(own, "message_count", "project").groupBy(F.col("project").alias("p")).agg(counted_median("message_count").alias("median"))
+    return out.join(middle, F.col("project").eqNullSafe(F.col("p"))).drop("p").withColumn("daily", half_away(F.col("messages") / F.col("days"), 1))
 
 
 def hour_of_week(t: Tables) -> DataFrame:
@@ -110,8 +116,9 @@ def steps(messages: DataFrame) -> DataFrame:
 def velocity(t: Tables) -> DataFrame:
     """p50 and p90 of turn cycles (user to assistant, positive, up to 1800 s), messages and characters for each active minute; overall and by agent."""
     rows = steps(t.messages).withColumn("label", F.explode(F.array(F.lit("all"), F.col("agent"))))
-    cycles = ranked(rows.where((F.col("role") == "assistant") & (F.col("role_before") == "user") & (F.col("gap") > 0) & (F.col("gap") <= CYCLE)), "gap", "label")
-    cycles = cycles.groupBy("label").agg(percentile("gap", 0.5).alias("p50"), percentile("gap", 0.9).alias("p90"), F.count(F.lit(1)).alias("cycles"))
+    turns = staged(rows.where((F.col("role") == "assistant") & (F.col("role_before") == "user") & (F.col("gap") > 0) & (F.col("gap") <= CYCLE)).select("label", "gap"))
+    p = {k: exact_percentile(turns, "gap", k, "label").withColumnRenamed("gap", f"p{int(100 * k)}") for k in (0.5, 0.9)}
+    cycles = p[0.5].withColumnRenamed("n", "cycles").join(p[0.9].drop("n"), "label")
     rates = rows.groupBy("label").agg(F.sum(F.least("gap", F.lit(float(GAP)))).alias("active"), F.count(F.lit(1)).alias("messages"), F.sum("content_length").alias("chars"))
     per = lambda c: F.round(F.col(c) / (F.col("active") / 60), 4).alias(f"{c}_per_minute")
     return rates.join(cycles, "label", "left").select("label", F.round("p50", 3).alias("p50"), F.round("p90", 3).alias("p90"), "cycles", per("messages"), per("chars"))
@@ -189,3 +196,42 @@ def cache_economics(t: Tables) -> DataFrame:
 def hourly(t: Tables) -> DataFrame:
     """User messages and sessions by UTC hour."""
     return t.messages.where("role = 'user'").groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH").alias("hour")).agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("session_id").alias("sessions"))
+
+
+def first_responses(messages: DataFrame) -> DataFrame:
+    """session_id, gap: seconds from a session's first user message to the first assistant message after it, none below 0."""
+    asked = messages.where("role = 'user'").groupBy("session_id").agg(F.min_by(F.struct("ordinal", "ts"), "ordinal").alias("a"))
+    said = messages.where("role = 'assistant'").join(asked, "session_id").where(F.col("ordinal") > F.col("a.ordinal")).groupBy("session_id").agg(F.min_by(F.struct("ordinal", "ts"), "ordinal").alias("b"), F.first("a").alias("a"))
+    return said.select("session_id", F.greatest(seconds("a.ts", "b.ts"), F.lit(0.0)).alias("gap"))
+
+
+def velocity_block(t: Tables) -> DataFrame:
+    """p50, p90 and mean of turn cycles and of first responses over visible sessions, and how many of either there are."""
+    own = t.messages.join(visible(t.sessions).select("session_id"), "session_id", "left_semi")
+    cycles = steps(own).where((F.col("role") == "assistant") & (F.col("role_before") == "user") & (F.col("gap") > 0) & (F.col("gap") <= CYCLE)).select("gap")
+    out = None
+    for name, rows in (("cycle", staged(cycles)), ("response", staged(first_responses(own).select("gap")))):
+        one = rows.agg(F.count(F.lit(1)).alias(f"{name}s"), F.round(F.avg("gap"), 4).alias(f"{name}_mean"))
+        for p in (0.5, 0.9):
+            one = one.join(F.broadcast(exact_percentile(rows, "gap", p).select(F.round("gap", 4).alias(f"{name}_p{int(100 * p)}"))), how="left")  # one row each
+        out = one if out is None else out.join(F.broadcast(one))
+    return out
+
+
+def day_metric(t: Tables, metric: str, first: str = "2024-01-01", last: str = "2024-01-31") -> DataFrame:
+    """sessions (by start), messages or output_tokens of each calendar day, zero-filled, with levels as in `heatmap` (A3)."""
+    rows, value = {"sessions": (t.sessions.withColumn("ts", F.col("started_at")), F.count(F.lit(1))), "messages": (t.messages, F.count(F.lit(1))), "output_tokens": (t.messages, F.sum("output_tokens"))}[metric]
+    return levelled(rows.groupBy(F.to_date("ts").alias("d")).agg(value.cast("long").alias("v")), first, last)
+
+
+def top_by(t: Tables, metric: str, limit: int = 10) -> DataFrame:
+    """The sessions with most messages or output tokens, ties by id (A10); `top_sessions` ranks them by active time."""
+    column = {"messages": "message_count", "output_tokens": "total_output_tokens"}[metric]
+    return visible(t.sessions).select("session_id", "project", F.col(column).alias("value")).orderBy(F.desc("value"), "session_id").limit(limit)
+
+
+def call_times(t: Tables) -> DataFrame:
+    """Calls by week of the message that made them and by category; a call without its message counts under no week."""
+    at = t.turns.select("session_id", "ordinal", F.date_format(F.date_trunc("week", F.timestamp_seconds(F.col("session_id") * 86400 + F.col("ordinal") * 60)), "yyyy-MM-dd").alias("week"))
+    own = t.calls.join(t.turns.select("session_id").distinct(), "session_id", "left_semi")
+    return own.join(at, ["session_id", "ordinal"], "left").groupBy("week", "category").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("session_id").alias("sessions"))

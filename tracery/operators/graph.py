@@ -28,6 +28,25 @@ def closure(edges: DataFrame) -> DataFrame:
     return all_.select(F.col("above").alias("root"), "id", "depth").unionByName(edges.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
 
 
+def tops(edges: DataFrame) -> DataFrame:
+    """id, root, depth: the highest node above each node of edges (id, parent_id), itself at depth 0 if it has no parent or its parent isn't there.
+
+    Pointers are doubled: a row for each node, and log of the depth rounds. Nodes in a cycle, and below one, have no highest node and are left out.
+    """
+    there = edges.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
+    own = staged(edges.join(there, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("above")))
+    done = own.where("above is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
+    live, reach, n = staged(own.where("above is not null").withColumn("depth", F.lit(1))), 1, own.count()
+    while live.take(1) and reach <= 2 * n:
+        ends = done.select(F.col("id").alias("above"), "root", F.col("depth").alias("more"))
+        ended = staged(live.join(ends, "above").select("id", "root", (F.col("depth") + F.col("more")).alias("depth")))
+        open_ = live.join(ended.select("id"), "id", "left_anti")
+        hop = live.select(F.col("id").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
+        live = staged(open_.join(hop, "above").select("id", F.col("next").alias("above"), (F.col("depth") + F.col("more")).alias("depth")))
+        done, reach = staged(done.unionByName(ended)), 2 * reach
+    return done
+
+
 def tree(t: Tables) -> DataFrame:
     return t.sessions.select(F.col("session_id").alias("id"), "parent_id")
 
@@ -42,8 +61,7 @@ def roots(t: Tables) -> DataFrame:
 def delegated(t: Tables) -> DataFrame:
     """root, id: subagents below each root session, at any depth."""
     kinds = t.sessions.select(F.col("session_id").alias("id"), "relationship")
-    below = closure(tree(t)).where("depth > 0").join(kinds, "id").where("relationship = 'subagent'")
-    return below.join(roots(t).select(F.col("session_id").alias("root")), "root", "left_semi").select("root", "id")
+    return tops(tree(t)).where("depth > 0").join(kinds, "id").where("relationship = 'subagent'").select("root", "id")
 
 
 def rollup(t: Tables) -> DataFrame:
@@ -145,7 +163,7 @@ def page(sessions: DataFrame, after: tuple, n: int) -> DataFrame:
 
 def tree_page(t: Tables, n: int = 10) -> DataFrame:
     """The n root sessions whose trees were active last, with all members (O3)."""
-    members = closure(tree(t)).join(roots(t).select(F.col("session_id").alias("root")), "root", "left_semi")
+    members = tops(tree(t))
     members = members.join(t.sessions.select(F.col("session_id").alias("id"), "ended_at"), "id")
     first = members.groupBy("root").agg(F.max("ended_at").alias("latest")).orderBy(F.desc("latest"), "root").limit(n)
     return members.join(first, "root").select("root", "id", "depth")

@@ -28,6 +28,8 @@ _VISIBLE = "message_count > 0 AND relationship IN ('', 'continuation')"
 _STEPS = """, steps AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session_id ORDER BY ordinal))) / 1e6 AS gap, lag(role) OVER (PARTITION BY session_id ORDER BY ordinal) AS role_before FROM messages)"""
 _HALF = lambda x, p=1: f"(sign({x}) * floor(abs({x}) * {10**p} + 0.5) / {10**p})"
 
+_HEAT = lambda table, ts, value: f", d AS (SELECT s.d::DATE AS d, {value} AS v FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS d) s LEFT JOIN {table} m ON m.{ts}::DATE = s.d::DATE GROUP BY 1), r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k, count(*) OVER () AS n FROM d WHERE v > 0), l AS (SELECT max(v) FILTER (k = n // 4) AS l2, max(v) FILTER (k = n // 2) AS l3, max(v) FILTER (k = n * 3 // 4) AS l4 FROM r) SELECT strftime(d, '%Y-%m-%d') AS date, v AS value, CASE WHEN v <= 0 THEN 0 WHEN v <= l2 THEN 1 WHEN v <= l3 THEN 2 WHEN v <= l4 THEN 3 ELSE 4 END::INTEGER AS level FROM d, l"
+
 
 def _bucket(x: str, edges: list, top: str, closed: bool = False) -> str:
     return "CASE " + " ".join(f"WHEN {x} {'<=' if closed else '<'} {e} THEN '{label}'" for e, label in edges) + f" ELSE '{top}' END"
@@ -88,4 +90,14 @@ QUERIES = {
     "stats_portfolio": (analytics.portfolio, " SELECT agent, count(*) AS sessions, count(*) FILTER (NOT is_automated) AS human_sessions, sum(message_count)::BIGINT AS messages, sum(total_output_tokens)::BIGINT AS tokens, row_number() OVER (ORDER BY count(*) DESC, agent) = 1 AS is_primary FROM sessions GROUP BY 1"),
     "stats_cache_economics": (analytics.cache_economics, ", o AS (SELECT session_id, sum(cache_read) AS r, sum(input_tokens + cache_read + cache_creation) AS n FROM messages WHERE role = 'assistant' GROUP BY 1 HAVING n > 0) SELECT least(floor(r * 10 / n), 9)::INTEGER AS tenth, count(*) AS sessions, sum(r)::BIGINT AS reads, sum(n)::BIGINT AS total FROM o GROUP BY 1"),
     "stats_hourly": (analytics.hourly, " SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS messages, count(DISTINCT session_id) AS sessions FROM messages WHERE role = 'user' GROUP BY 1"),
+    "stats_velocity": (analytics.velocity_block, f"""{_STEPS.replace("FROM messages)", f"FROM messages WHERE session_id IN (SELECT session_id FROM sessions WHERE {_VISIBLE}))")}, c AS (SELECT gap FROM steps WHERE role = 'assistant' AND role_before = 'user' AND gap > 0 AND gap <= 1800),
+        u AS (SELECT session_id, min(ordinal) AS o, arg_min(ts, ordinal) AS ts FROM messages WHERE role = 'user' AND session_id IN (SELECT session_id FROM sessions WHERE {_VISIBLE}) GROUP BY 1),
+        r AS (SELECT greatest((epoch_us(arg_min(m.ts, m.ordinal)) - epoch_us(any_value(u.ts))) / 1e6, 0) AS gap FROM u JOIN messages m ON m.session_id = u.session_id AND m.role = 'assistant' AND m.ordinal > u.o GROUP BY u.session_id)
+        SELECT a.*, b.* FROM (SELECT count(*) AS cycles, round(avg(gap), 4) AS cycle_mean, round(list_sort(list(gap))[least(floor(count(*) * 0.5), count(*) - 1)::BIGINT + 1], 4) AS cycle_p50, round(list_sort(list(gap))[least(floor(count(*) * 0.9::DOUBLE), count(*) - 1)::BIGINT + 1], 4) AS cycle_p90 FROM c) a,
+        (SELECT count(*) AS responses, round(avg(gap), 4) AS response_mean, round(list_sort(list(gap))[least(floor(count(*) * 0.5), count(*) - 1)::BIGINT + 1], 4) AS response_p50, round(list_sort(list(gap))[least(floor(count(*) * 0.9::DOUBLE), count(*) - 1)::BIGINT + 1], 4) AS response_p90 FROM r) b"""),
+    "analytics_heatmap_sessions": (lambda t: analytics.day_metric(t, "sessions"), _HEAT("sessions", "started_at", "count(m.session_id)")),
+    "analytics_heatmap_tokens": (lambda t: analytics.day_metric(t, "output_tokens"), _HEAT("messages", "ts", "coalesce(sum(m.output_tokens), 0)::BIGINT")),
+    "analytics_top_by_messages": (lambda t: analytics.top_by(t, "messages"), f" SELECT session_id, project, message_count AS value FROM sessions WHERE {_VISIBLE} ORDER BY value DESC, session_id LIMIT 10"),
+    "analytics_top_by_tokens": (lambda t: analytics.top_by(t, "output_tokens"), f" SELECT session_id, project, total_output_tokens AS value FROM sessions WHERE {_VISIBLE} ORDER BY value DESC, session_id LIMIT 10"),
+    "analytics_call_times": (analytics.call_times, " SELECT week, category, count(*) AS calls, count(DISTINCT session_id) AS sessions FROM (SELECT c.session_id, category, strftime(date_trunc('week', to_timestamp(t.session_id * 86400 + t.ordinal * 60) AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week FROM calls c LEFT JOIN turns t ON t.session_id = c.session_id AND t.ordinal = c.ordinal WHERE c.session_id IN (SELECT session_id FROM turns)) GROUP BY 1, 2"),
 }
