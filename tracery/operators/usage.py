@@ -156,3 +156,91 @@ def resolve_models(names: DataFrame, keys: DataFrame) -> DataFrame:
         own = keys.select(form(F.col("key")).alias("form"), "key").distinct().groupBy("form").agg(F.min("key").alias(f"k{i}"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
         out = out.join(own, form(F.col("model")) == F.col("form"), "left").drop("form")
     return out.select("model", F.coalesce(*(f"k{i}" for i in range(len(forms)))).alias("key"))
+
+
+#: Sources whose rows are one request each; the source of reported costs that don't count; microdollars for a web search.
+REQUEST_SOURCES, ESTIMATED_COST, SEARCH_FEE = ("message",), "copilot-reported", 10_000
+UNION = [
+    "session_id", "ordinal", "source", "ts", "model", *COUNTS, "reasoning_tokens", "web_searches", "reported", "cost_source", "message_id", "request_id", "source_uuid", "dedup_key",
+    "project", "agent", "machine", "branch", "is_automated", "user_message_count",
+]
+
+
+def union_rows(messages: DataFrame, events: DataFrame, standalone: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Assistant messages, usage events and billing rows without a session, in the columns UNION.
+
+    messages: session_id, ordinal, role, model, ts, counters, web_searches, message_id, request_id, source_uuid. events: session_id, ordinal (or null), source, model,
+    counters, reasoning_tokens, reported, cost_source, ts, dedup_key. standalone: ts, model, counters, dedup_key, is_automated. A row without a time has its session's start.
+    Counters are clamped; those of a whole session are only kept from being negative.
+    """
+    none, long_ = lambda kind: F.lit(None).cast(kind), lambda n: F.lit(n).cast("long")
+    own = sessions.select("session_id", "started_at", "project", "agent", "machine", "branch", "is_automated", "user_message_count")
+    said = messages.where("role = 'assistant' and model <> ''").select(
+        "session_id", F.col("ordinal").cast("long").alias("ordinal"), F.lit("message").alias("source"), "ts", "model", *(clamp(F.col(c)).alias(c) for c in COUNTS), long_(0).alias("reasoning_tokens"), F.greatest(F.coalesce("web_searches", F.lit(0)), F.lit(0)).cast("long").alias("web_searches"),
+        none("long").alias("reported"), F.lit("").alias("cost_source"), "message_id", "request_id", "source_uuid", F.lit("").alias("dedup_key"))
+    floor = lambda c: F.when(F.col("source") == "session", F.greatest(F.col(c).cast("long"), F.lit(0))).otherwise(clamp(F.col(c)))
+    told = events.where("model <> ''").select(
+        "session_id", F.col("ordinal").cast("long").alias("ordinal"), "source", "ts", "model", *(floor(c).alias(c) for c in COUNTS), F.col("reasoning_tokens").cast("long").alias("reasoning_tokens"), long_(0).alias("web_searches"),
+        F.col("reported").cast("long").alias("reported"), "cost_source", *(F.lit("").alias(c) for c in ("message_id", "request_id", "source_uuid")), "dedup_key")
+    with_session = said.unionByName(told).join(own, "session_id").withColumn("ts", F.coalesce("ts", "started_at")).drop("started_at")
+    billed = standalone.where("model <> ''").select(
+        F.lit("").alias("session_id"), none("long").alias("ordinal"), F.lit("billing").alias("source"), "ts", "model", *(clamp(F.col(c)).alias(c) for c in COUNTS), long_(0).alias("reasoning_tokens"), long_(0).alias("web_searches"),
+        none("long").alias("reported"), F.lit("").alias("cost_source"), *(F.lit("").alias(c) for c in ("message_id", "request_id", "source_uuid")), "dedup_key",
+        F.lit("").alias("project"), F.lit("cursor").alias("agent"), F.lit("").alias("machine"), F.lit("").alias("branch"), "is_automated", long_(0).alias("user_message_count"))
+    return with_session.select(*UNION).unionByName(billed.select(*UNION))
+
+
+def surviving_snapshots(rows: DataFrame) -> DataFrame:
+    """Of rows with one message and request id the one with most output (then the latest), told as of the session that had it first, with the most web searches of them."""
+    names = ("session_id", "project", "agent", "machine", "branch", "is_automated", "user_message_count")
+    one, at = Window.partitionBy("message_id", "request_id"), F.coalesce("ordinal", F.lit(-1))
+    keyed = rows.where("message_id <> '' and request_id <> ''").withColumn("at", at)
+    keyed = keyed.withColumns({"owner": F.first(F.struct(*names)).over(one.orderBy(F.asc_nulls_last("ts"), "session_id", "at")), "most": F.max("web_searches").over(one)})
+    turn = F.row_number().over(one.orderBy(F.desc("output_tokens"), F.desc_nulls_last("ts"), F.desc("session_id"), F.desc("at")))
+    keyed = keyed.withColumn("turn", turn).where("turn = 1").withColumns({n: F.col(f"owner.{n}") for n in names} | {"web_searches": F.col("most")})
+    return keyed.select(*rows.columns).unionByName(rows.where("message_id = '' or request_id = ''"))
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Of rows with one token the first by time, session and ordinal: message and request id, else (of messages) agent and source id, else the row's own key."""
+    token = F.when((F.col("message_id") != "") & (F.col("request_id") != ""), F.concat_ws("|", F.lit("r"), "message_id", "request_id")).when((F.col("source") == "message") & (F.col("agent") != "") & (F.col("source_uuid") != ""), F.concat_ws("|", F.lit("u"), "agent", "source_uuid")).when(F.col("dedup_key") != "", F.concat_ws("|", F.lit("k"), "dedup_key"))
+    rows = rows.withColumn("token", token)
+    order = Window.partitionBy("token").orderBy(F.asc_nulls_last("ts"), "session_id", F.coalesce("ordinal", F.lit(-1)), *COUNTS)
+    kept = rows.where("token is not null").withColumn("turn", F.row_number().over(order)).where("turn = 1").drop("turn")
+    return kept.unionByName(rows.where("token is null")).drop("token")
+
+
+def usage_filter(rows: DataFrame, models: list[str] | None = None, not_models: list[str] | None = None, agents: list[str] | None = None, not_agents: list[str] | None = None, projects: list[str] | None = None, not_projects: list[str] | None = None,
+                 machines: list[str] | None = None, branches: list[tuple[str, str]] | None = None, min_user: int = 0, one_shots: bool = True, scope: str = "all", active: DataFrame | None = None) -> DataFrame:
+    """Surviving rows of these models and sessions (F13): filtered after snapshots are chosen, by the session that a snapshot belongs to.
+
+    Rows without a session have no project, machine, branch or messages: a filter on these leaves them out. active: sessions (session_id) that count.
+    """
+    c = F.col
+    for column, wanted, unwanted in (("model", models, not_models), ("agent", agents, not_agents), ("project", projects, not_projects), ("machine", machines, None)):
+        rows = rows.where(c(column).isin(wanted)) if wanted else rows
+        rows = rows.where(~c(column).isin(unwanted)) if unwanted else rows
+    if projects or not_projects or machines or branches is not None or min_user or not one_shots or active is not None:
+        rows = rows.where("session_id <> ''")
+    if branches is not None:
+        pairs = rows.sparkSession.createDataFrame(branches, "project string, branch string")
+        rows = rows.join(pairs, ["project", "branch"], "left_semi")
+    rows = rows.where(c("user_message_count") >= min_user) if min_user else rows
+    if not one_shots:
+        rows = rows.where((c("user_message_count") > 1) | (F.lit(scope != "human") & c("is_automated")))
+    rows = rows if scope == "all" else rows.where(c("is_automated") == (scope == "automated"))
+    return rows if active is None else rows.join(active.select("session_id"), "session_id", "left_semi")
+
+
+def priced(rows: DataFrame) -> DataFrame:
+    """Adds cost and savings (P1, P2): a reported cost wins (unless it is an estimate), else tokens by rate and a fee for each web search; reasoning is billed where there is no output.
+
+    Only a row of one request, or of one message, has a tier by its input; what an aggregate holds has the base rates.
+    """
+    billed = F.when(F.col("output_tokens") == 0, F.coalesce("reasoning_tokens", F.lit(0))).otherwise(F.col("output_tokens"))
+    scoped = F.col("source").isin(*REQUEST_SOURCES) | F.col("ordinal").isNotNull()
+    rows = rows.withColumns({"told_output": F.col("output_tokens"), "output_tokens": billed})
+    tiered, flat = price(rows.where(scoped)), price(rows.where(~scoped), tiers=[("", 0, 0, 0, 0, 0)])
+    out = tiered.unionByName(flat).withColumn("output_tokens", F.col("told_output")).drop("told_output")
+    own = F.col("reported").isNotNull() & (F.col("cost_source") != ESTIMATED_COST)
+    return out.withColumn("cost", F.when(own, F.col("reported")).otherwise(F.col("cost") + SEARCH_FEE * F.col("web_searches")))
