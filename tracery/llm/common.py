@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A task holds about so many bytes of text as Python objects at once, or one text if it is longer.
 CHUNK_BYTES = 1 << 20
@@ -110,3 +111,10 @@ def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
     path = folder or shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def splitting_join(left: DataFrame, right: DataFrame, *names: str, how: str = "inner") -> DataFrame:
+    """Joins on columns that both sides have, as one struct: then an aggregated side is shuffled anew, and between two plain shuffles Spark can split a key with very many rows."""
+    other = right.withColumnsRenamed({n: f"__{n}" for n in names})
+    key = lambda prefix: F.struct(*(F.col(prefix + n).alias(f"k{i}") for i, n in enumerate(names)))
+    return left.join(other, key("") == key("__"), how).drop(*(f"__{n}" for n in names))

@@ -1,9 +1,8 @@
 """Connected components of an edge table by alternating stars.
 
 Each round links every node's greater neighbours, then all its neighbours, to its least one; the edges end as
-stars whose centres are the components' least nodes. Minima are aggregated before they are shuffled, written,
-and joined back; so both sides of a join are plain scans, and Spark can split a node with very many edges. Every
-half round is written to the shared folder.
+stars whose centres are the components' least nodes. Minima are aggregated before they are shuffled and joined
+back in such a way that Spark can split a node with very many edges. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,21 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, staged
+from .common import shared_folder, splitting_join, staged
 
 ROUNDS = 60
 
 
-def _star(edges: DataFrame, small: bool, folder: str) -> DataFrame:
+def _star(edges: DataFrame, small: bool) -> DataFrame:
     """edges: columns u, v with u > v. Large star: neighbours above u go to the least of u and its neighbours; small star: u and those below it do."""
-    least = staged(edges.groupBy("u").agg(F.min("v").alias("m")), f"{folder}/least")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
     if small:
-        moved = edges.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        moved = splitting_join(edges, least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
     else:
         # A node's least neighbour is below it, or else it is the least itself; those above it are the u of edges to it.
-        least = least.withColumnRenamed("u", "w")
-        moved = edges.join(least, edges["v"] == least["w"], "left").select(F.struct("u", F.coalesce("m", "v").alias("m")).alias("e"))
-    return staged(moved.select("e.u", F.col("e.m").alias("v")).where("u > v").distinct(), f"{folder}/edges")
+        moved = splitting_join(edges, least.withColumnRenamed("u", "v"), "v", how="left").select(F.struct("u", F.coalesce("m", "v").alias("m")).alias("e"))
+    return moved.select("e.u", F.col("e.m").alias("v")).where("u > v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     for i in range(1, ROUNDS):
         if not before[0]:
             break
-        now = _star(_star(now, False, f"{folder}/{i}l"), True, f"{folder}/{i}s")
+        now = staged(_star(_star(now, small=False), small=True), f"{folder}/{i}")
         after = mark(now)
         if after == before:
             break

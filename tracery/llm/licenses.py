@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keeping, staged, text_chunks
+from .common import keeping, splitting_join, staged, text_chunks
 
 THRESHOLD = 0.7
 #: A licence file is compared as a whole too.
@@ -129,14 +129,13 @@ def inherit(found: DataFrame) -> DataFrame:
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     found = found.withColumn("dir", folder)
     licensed = found.where(F.col("own_license").isNotNull() & F.col("path").rlike(LICENSE_FILE)).groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "own_license")).alias("l")).select(F.col("dir").alias("above"), F.col("l.own_license").alias("given"))
-    licensed = staged(licensed)  # as is what is nearest: between plain scans Spark can split a directory that is above, or has, very many
     parts = F.split("dir", "/")
     prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("above")))
     dirs = found.where(F.col("path").isNotNull()).select("dir").distinct().select("dir", F.size(parts).alias("n"), F.explode(prefixes).alias("p")).select("dir", "n", "p.depth", "p.above")
-    near = dirs.join(licensed, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "given", "n")).alias("near"))
+    near = splitting_join(dirs, licensed, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "given", "n")).alias("near"))
     own = F.col("own_license").isNotNull()
     return (
-        found.join(staged(near), "dir", "left")
+        splitting_join(found, near, "dir", how="left")
         .withColumn("license", F.coalesce("own_license", "near.given"))
         .withColumn("licensed_by", F.when(own, F.lit("own")).otherwise(F.col("near.above")))
         .withColumn("levels_up", F.when(own, 0).otherwise(F.col("near.n") - F.col("near.depth") + 1))

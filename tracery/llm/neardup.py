@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, mix64, powers, shared_folder, staged, text_chunks, word_hashes
+from .common import ascii_lower, mix64, powers, shared_folder, splitting_join, staged, text_chunks, word_hashes
 from .components import components
 
 WORDS = 5
@@ -256,29 +256,28 @@ def links(docs: DataFrame, classes: DataFrame, width: int = WORDS, percent: int
     # Clusters are made of 64-bit names of sets: two sets with one name would only share a cluster.
     clusters = components(candidates(classes, percent))
     sizes = classes.select("set_key", "doc_id", "tie", "n_shingles", F.xxhash64("set_key").alias("node"))
-    # What is joined by root is written first: between plain scans Spark can split a root with very many classes.
     grouped = staged(clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "node"))
     weight = lambda n: F.greatest(F.ceil(n / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = grouped.join(staged(grouped.groupBy("root").agg(weight(F.count(F.lit(1))).alias("blocks"))), "root")
+    placed = splitting_join(grouped, grouped.groupBy("root").agg(weight(F.count(F.lit(1))).alias("blocks")), "root")
     placed = staged(placed.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")))
     # All texts are shuffled once; those of clusters are written, for the second meeting needs some of them again.
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
     members = staged(placed.join(texts, placed["doc_id"].eqNullSafe(texts["d"]) & (placed["tie"] == texts["h"])).select("root", "node", "blocks", "block", "set_key", "n_shingles", "text"))
     every = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = members.select("root", F.explode(every).alias("i"), F.lit(0).alias("j"), F.lit(None).cast("int").alias("side"), "set_key", F.lit(None).cast("binary").alias("label"), "text")
-    found = staged(met(first, width, percent))
     large = placed.where("blocks > 1").select("root", "node", "blocks", "block", "set_key", "n_shingles")
     if not large.take(1):
-        return found
+        return met(first, width, percent)
+    found = staged(met(first, width, percent))
     labels = components(found).withColumnsRenamed({"node": "set_key", "root": "label"})
     large = staged(large.join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")))
-    main = staged(large.where("node = root").groupBy("root").agg(F.min("label").alias("main")))
-    left = staged(large.join(main, "root").where("label <> main").drop("main"))
+    main = large.where("node = root").groupBy("root").agg(F.min("label").alias("main"))
+    left = staged(splitting_join(large, main, "root").where("label <> main").drop("main"))
     if not left.take(1):
         return found
-    parts = staged(left.groupBy("root").agg(weight(F.count(F.lit(1))).alias("parts")))
-    ones = left.join(parts, "root").withColumn("i", F.pmod(F.xxhash64("set_key", F.lit(2)), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    others = large.join(parts, "root").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.col("block")).withColumn("side", F.lit(1))
+    parts = left.groupBy("root").agg(weight(F.count(F.lit(1))).alias("parts"))
+    ones = splitting_join(left, parts, "root").withColumn("i", F.pmod(F.xxhash64("set_key", F.lit(2)), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    others = splitting_join(large, parts, "root").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.col("block")).withColumn("side", F.lit(1))
     names = ["root", "i", "j", "side", "set_key", "label"]
     again = ones.select(*names).unionByName(others.select(*names)).join(members.where("blocks > 1").select("set_key", "text").dropDuplicates(["set_key"]), "set_key")
     return found.unionByName(met(again, width, percent))
@@ -297,9 +296,9 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     classes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "tie")).alias("one"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = staged(classes.select("set_key", "one.*", "least", "n_shingles", "bands"), f"{shared_folder(spark)}/classes")
     roots = components(links(docs, classes, width, percent))
-    named = staged(classes.select("set_key", "least").join(roots, F.col("set_key") == F.col("node"), "left").select("set_key", "least", F.coalesce("root", "set_key").alias("root")))
-    least = staged(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = named.join(least, "root").select("set_key", "root", "component_id")
+    named = classes.select("set_key", "least").join(roots, F.col("set_key") == F.col("node"), "left").select("set_key", "least", F.coalesce("root", "set_key").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = splitting_join(named, least, "root").select("set_key", "root", "component_id")
     out = found.select("doc_id", "tie", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "tie", "root")

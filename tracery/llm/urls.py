@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import splitting_join, staged
 
 #: Levels that the oracle's SQL has. The tree itself goes down to the deepest path.
 DEPTH = 4
@@ -47,25 +47,24 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 def templates(shapes: DataFrame) -> DataFrame:
     """host, shape, template, purity for each (host, shape) of columns host, shape, n, labelled, good."""
     parts = F.split("shape", "/")
-    # Each level reads the tree twice: it is written in between, else the plan doubles with every level. Branches and their
-    # sums are written too: between plain scans Spark can split a host that has very many.
+    # Each level reads the tree twice: it is written in between, else the plan doubles with every level.
     tree = staged(shapes.withColumn("parts", parts).withColumn("t", F.col("parts")[0]))
     kept = ("host", "shape", "t", "labelled", "good")
     done, live, level = tree.where(F.size("parts") <= 1).select(*kept), tree.where(F.size("parts") > 1), 1
     while live.take(1):
         live = live.withColumn("part", F.element_at("parts", level + 1))
-        branch = staged(live.groupBy("host", "t", "part").agg(*(F.sum(c).cast("double").alias(f"b_{c}") for c in ("n", "labelled", "good")), F.count(F.lit(1)).alias("b_shapes")))
-        above = staged(branch.groupBy("host", "t").agg(*(F.sum(f"b_{c}").alias(f"u_{c}") for c in ("n", "labelled", "good", "shapes")), F.count(F.lit(1)).alias("siblings")))
+        branch = live.groupBy("host", "t", "part").agg(*(F.sum(c).cast("double").alias(f"b_{c}") for c in ("n", "labelled", "good")), F.count(F.lit(1)).alias("b_shapes"))
+        above = branch.groupBy("host", "t").agg(*(F.sum(f"b_{c}").alias(f"u_{c}") for c in ("n", "labelled", "good", "shapes")), F.count(F.lit(1)).alias("siblings"))
         small = (F.col("siblings") > FANOUT) & (F.col("b_n") * FANOUT < F.col("u_n"))
         mean = F.col("u_good") / F.greatest(F.col("u_labelled"), F.lit(1.0))
         off = F.col("b_good") - F.col("b_labelled") * mean
         alike = off * off <= CHI2 * F.col("b_labelled") * mean * (1 - mean) + 1e-9
         own = F.when((F.col("siblings") > 1) & (small | alike), F.lit("*")).otherwise(F.col("part"))
-        branch = staged(branch.join(above, ["host", "t"]).select("host", "t", "part", own.alias("own"), (F.col("u_shapes") == 1).alias("alone")))
+        branch = splitting_join(branch, above, "host", "t").select("host", "t", "part", own.alias("own"), (F.col("u_shapes") == 1).alias("alone"))
         # A shape that is alone has no siblings further down either: the rest of it is its template's.
         rest = F.array_join(F.slice("parts", level + 1, F.size("parts")), "/")
         grown = F.concat("t", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("own")))
-        tree = staged(live.join(branch, ["host", "t", "part"]).withColumn("t", grown).drop("part", "own"))
+        tree = staged(splitting_join(live, branch, "host", "t", "part").withColumn("t", grown).drop("part", "own"))
         level += 1
         ended = F.col("alone") | (F.size("parts") <= level)
         done, live = done.unionByName(tree.where(ended).select(*kept)), tree.where(~ended).drop("alone")
