@@ -55,7 +55,7 @@ def maturity(turns: DataFrame) -> DataFrame:
 
 
 def intents(turns: DataFrame) -> DataFrame:
-    """Sessions by the intent of the first prompt: the first one that any of its words tells, Planning before all; Implementation where none does (Q17)."""
+    """Sessions by the intent of the first prompt's words alone: the first one that any of them tells, and Planning where none does (Q17)."""
     low = F.lower("prompt")
     kind = None
     for name, words in INTENTS.items():
@@ -63,11 +63,77 @@ def intents(turns: DataFrame) -> DataFrame:
     return first_prompts(turns).groupBy(kind.otherwise("Planning").alias("intent")).agg(F.count(F.lit(1)).alias("sessions"))
 
 
-def workflows(turns: DataFrame, least: int = 3, limit: int = 10) -> DataFrame:
-    """First prompts that agree in the first two of their sorted distinct words: how many, and one of them (Q18)."""
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("prompt"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)))
-    p = first_prompts(turns).withColumn("key", F.array_join(F.slice(words, 1, 2), " ")).where("key <> ''")
-    return p.groupBy("key").agg(F.count(F.lit(1)).alias("sessions"), F.min("session_id").alias("example")).where(F.col("sessions") >= least).orderBy(F.desc("sessions"), "key").limit(limit)
+#: Words that tell nothing of a workflow, and prompts that are none.
+STOP = "the a an is are was were be have has had do does did will would could should can to of in for on with at by from it this that my me i we you and or but not if then so just please also make sure want need like".split()
+NOISE = ["y", "n", "yes", "no", "continue", "try again", "retry", "stop", "abort"]
+
+
+def workflows(sessions: DataFrame, least: int = 3, limit: int = 10, examples: int = 5) -> DataFrame:
+    """First prompts (session_id, project, prompt) that agree in the first four of their sorted words: label, occurrences, sessions, projects and examples (Q18).
+
+    The label is the shortest prompt of 20 characters or more (else the shortest); examples are the shortest of different wording, ties by text.
+    Prompts of the same wording are one row before anything is put in order.
+    """
+    text, low = F.trim(F.coalesce("prompt", F.lit(""))), F.lower(F.trim(F.coalesce("prompt", F.lit(""))))
+    noise = low.isin(NOISE) | (F.length(low) > 2000) | (F.contains(low, F.lit("continue to iterate")) & (F.length(low) < 80))
+    norm = F.filter(F.split(low, "[^a-z]+"), lambda w: w != "")
+    words = F.array_sort(F.filter(norm, lambda w: (F.length(w) > 1) & ~w.isin(STOP)))
+    p = sessions.where((F.length(text) >= 15) & ~noise).select("session_id", "project", text.alias("text"), F.array_join(norm, " ").alias("norm"), words.alias("words")).where(F.size("words") >= 2)
+    p = p.withColumn("key", F.array_join(F.slice("words", 1, 4), "|"))
+    by_size = F.struct(F.octet_length("text").alias("n"), "text")
+    worded = p.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("n"), F.min(by_size).alias("shortest"), F.min(F.when(F.length("text") >= 20, by_size)).alias("long"), F.count_distinct("session_id").alias("s"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("shortest"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= examples, F.struct("place", F.substring("shortest.text", 1, 150).alias("t"))))), lambda x: x["t"]), " / ")
+    label = F.coalesce(F.min("long"), F.min("shortest"))["text"]
+    out = worded.withColumn("place", place).groupBy("key").agg(F.sum("n").alias("occurrences"), F.substring(label, 1, 100).alias("label"), told.alias("examples")).where(F.col("occurrences") >= least)
+    which = p.join(out.select("key"), "key", "left_semi").groupBy("key").agg(F.count_distinct("session_id").alias("sessions"), F.array_join(F.array_sort(F.collect_set("project")), ",").alias("projects"))
+    ident = F.concat(F.lit("workflow-"), F.substring(F.sha2(F.col("key").cast("binary"), 256), 1, 12))
+    return out.join(which, "key").orderBy(F.desc("occurrences"), "label", "projects", "key").limit(limit).select(ident.alias("id"), "label", "occurrences", "sessions", "projects", "examples")
+
+
+def intent_of(prompt: Column, failed: Column, worked: Column) -> Column:
+    """The intent that most of its words and the session's calls tell, ties to the first in the order of INTENTS (Q17): failures tell debugging, calls or churn implementation."""
+    low = F.lower(prompt)
+    also = {"Debugging": failed, "Implementation": worked}
+    score = {k: has_any(low, words) | also.get(k, F.lit(False)) for k, words in INTENTS.items()}
+    out = None
+    for k, hit in score.items():  # each has one point at most, so the first with a point wins; without any all have none
+        out = F.when(hit, k) if out is None else out.when(hit, k)
+    return out.otherwise(next(iter(INTENTS)))
+
+
+def intent_mix(sessions: DataFrame) -> DataFrame:
+    """Sessions (prompt, failures, churned, calls) by intent (Q17)."""
+    kind = intent_of(F.trim(F.coalesce("prompt", F.lit(""))), F.col("failures") > 0, (F.col("churned") > 0) | (F.col("calls") > 0))
+    return sessions.groupBy(kind.alias("intent")).agg(F.count(F.lit(1)).alias("sessions"))
+
+
+#: What is told of a prompt that lacks a dimension.
+ISSUES = {"constraints": "No constraints specified", "success": "No success criteria", "verification": "No verification steps", "context": "No context provided", "specificity": "Very short or vague prompt"}
+
+
+def graded_prompts(sessions: DataFrame) -> DataFrame:
+    """Dimensions, total, grade and issues of first prompts (session_id, prompt, has_context) (Q16): context is also what the session had in tokens, calls or named files."""
+    msg = F.trim(F.coalesce("prompt", F.lit("")))
+    low, breaks, n = F.lower(msg), F.regexp_count(msg, F.lit("\n")), F.length(msg)
+    rows = sessions.select("session_id", *(F.when(has_any(low, words), 100).otherwise(0).alias(k) for k, words in DIMENSIONS.items()),
+        F.least(F.when(F.col("has_context"), 50).otherwise(0) + F.when(msg.contains("`") | (breaks > 0), 30).otherwise(0) + F.when(breaks >= 2, 20).otherwise(0), F.lit(100)).alias("context"),
+        F.least(F.when(n >= 100, 40).when(n >= 50, 20).otherwise(0) + F.when(msg.contains("\n- ") | msg.contains("\n* "), 30).otherwise(0) + F.when(breaks >= 3, 30).otherwise(0), F.lit(100)).alias("specificity"))
+    total = F.floor(sum((F.col(k) for k in list(ISSUES)[1:]), F.col("constraints")) / 5).cast("int")
+    grade = F.when(total >= GRADES[0][0], GRADES[0][1])
+    for least, name in GRADES[1:]:
+        grade = grade.when(total >= least, name)
+    told = F.array_join(F.array_compact(F.array(*(F.when(F.col(k) == 0, F.lit(v)) for k, v in ISSUES.items()))), "; ")
+    return rows.withColumns({"total": total, "grade": grade.otherwise("F"), "issues": told})
+
+
+def prompt_issues(graded: DataFrame, samples: int = 8) -> DataFrame:
+    """Each issue with how many prompts have it, their mean total, and the ids of the first few (Q16)."""
+    rows = graded.where("issues <> ''").withColumn("issue", F.explode(F.split("issues", "; ")))
+    place = F.row_number().over(Window.partitionBy("issue").orderBy("session_id"))
+    counts = rows.groupBy("issue").agg(F.count(F.lit(1)).alias("prompts"), half_away(F.avg("total"), 4).alias("mean_total"))
+    first = rows.withColumn("place", place).where(F.col("place") <= samples).groupBy("issue").agg(F.array_join(F.transform(F.array_sort(F.collect_list("session_id")), lambda x: x.cast("string")), ",").alias("samples"))
+    return counts.join(first, "issue")
 
 
 def mid_task(calls: DataFrame, boundaries: DataFrame, before: int = 10, after: int = 5, shared: int = 2) -> DataFrame:
@@ -113,23 +179,66 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: F.length(w) >= 2))
 
 
+def score_entries(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """query, key, score: see rank_entries."""
+    asked = queries.select("query", F.explode(words(F.col("text"))).alias("w"))
+    postings = entries.select("key", "confidence", F.explode(F.array_union(words(F.col("text")), words(F.col("evidence")))).alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
+    df = postings.groupBy("w").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    n = entries.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    idf = df.join(F.broadcast(n)).select("w", (F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 1 + F.when(F.col("w").rlike("[_0-9]"), 2.0).otherwise(0.0)).alias("idf"))
+    return asked.join(idf, "w").join(postings, "w").groupBy("query", "key").agg((F.sum("idf") + 0.1 * F.first("confidence")).alias("score"))
+
+
 def rank_entries(queries: DataFrame, entries: DataFrame, top: int = 5) -> DataFrame:
     """The best entries (key, text, evidence, confidence) for each query (query, text), ties by key.
 
     Each query word that an entry or its evidence has adds its inverse frequency, an identifier (with _ or a
     digit) 2 more; confidence adds a tenth. Postings of the queries' words are joined, not entries with queries.
     """
-    asked = queries.select("query", F.explode(words(F.col("text"))).alias("w"))
-    postings = entries.select("key", "confidence", F.explode(F.array_union(words(F.col("text")), words(F.col("evidence")))).alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
-    df = postings.groupBy("w").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    n = entries.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    idf = df.join(F.broadcast(n)).select("w", (F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 1 + F.when(F.col("w").rlike("[_0-9]"), 2.0).otherwise(0.0)).alias("idf"))
-    scored = asked.join(idf, "w").join(postings, "w").groupBy("query", "key").agg((F.sum("idf") + 0.1 * F.first("confidence")).alias("score"))
+    scored = score_entries(queries, entries)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     scored = scored.withColumn("score", F.round("score", 6))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def phrases(text: Column, least: int = 3, most: int = 5) -> Column:
+    """Runs of three to five of a text's words that tell something, joined by spaces."""
+    told = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: (w != "") & ~w.isin(STOP))
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(told) - n + 1), lambda i: F.struct(F.array_join(F.slice(told, i, F.lit(n)), " ").alias("p"), F.lit(n).alias("n")))
+
+    none = F.array().cast("array<struct<p:string,n:int>>")
+    return F.array_distinct(F.flatten(F.array(*(F.when(F.size(told) >= n, runs(n)).otherwise(none) for n in range(least, most + 1)))))
+
+
+def boosts(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """query, key, boost: 0.75 for each word of a query's phrase that stands in the entry, 1.5 for each entity of the entry that the query names.
+
+    Phrases and entities meet by equi-joins, entries' phrases of the same lengths being taken as queries' are.
+    """
+    asked = queries.select("query", F.explode(phrases(F.col("text"))).alias("x")).select("query", "x.p", "x.n").distinct()
+    said = entries.select("key", F.explode(phrases(F.col("text"))).alias("x")).select("key", "x.p").distinct().join(asked.select("p").distinct(), "p", "left_semi")
+    by_phrase = asked.join(said, "p").groupBy("query", "key").agg((0.75 * F.sum("n")).alias("boost"))
+    named = queries.select("query", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9_./-]+"))).alias("e")).where(F.length("e") >= 3)
+    own = entries.select("key", F.explode(F.array_distinct(F.transform("entities", lambda e: F.lower(F.trim(e))))).alias("e")).where(F.length("e") >= 3)
+    by_entity = named.join(own, "e").groupBy("query", "key").agg((1.5 * F.count(F.lit(1))).alias("boost"))
+    return by_phrase.unionByName(by_entity).groupBy("query", "key").agg(F.sum("boost").alias("boost"))
+
+
+def rank_boosted(queries: DataFrame, entries: DataFrame, top: int = 5) -> DataFrame:
+    """As rank_entries, over entries with entities and created, with the boosts of phrases and entities, and up to 1 for the newest."""
+    words_only = score_entries(queries, entries)
+    more = boosts(queries, entries)
+    ends = entries.agg(F.max("created").alias("newest"), F.min("created").alias("oldest"))
+    span = F.unix_micros("newest") - F.unix_micros("oldest")
+    recent = entries.join(F.broadcast(ends)).select("key", "confidence", F.when(span <= 0, 1.0).otherwise((F.unix_micros("created") - F.unix_micros("oldest")) / span).alias("recent"))  # ends is one row
+    both = words_only.join(more, ["query", "key"], "full").join(recent, "key")
+    total = F.coalesce("score", 0.1 * F.col("confidence")) + F.coalesce("boost", F.lit(0.0)) + F.coalesce("recent", F.lit(0.0))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    return both.select("query", "key", F.round(total, 6).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def query_terms(text: Column, most: int = 12) -> Column:
     """Quoted phrases first, then words from the longest on, at most twelve."""
     quoted = F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))

@@ -11,6 +11,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.storage import staged
 from ..sources.tables import Tables
 
 #: Points off and their caps; grades from a score on; context windows by model.
@@ -189,24 +190,51 @@ def prompt_flags(t: Tables) -> DataFrame:
     return own.groupBy("session_id").agg(first.cast("long").alias("first_bytes"), (first < 30).alias("short_start"), F.count_if(~F.col("content").rlike("[0-9/]")).alias("no_reference"))
 
 
-def duplicate_prompts(t: Tables) -> DataFrame:
-    """Prompts that repeat an earlier kept one: equal, or of a token overlap of 0.85; in order, so that only kept ones are compared with (Q12).
+#: Prompts are alike from this overlap on. Of the later one's mass and the earlier one's together, LIKE / (1 + LIKE) is shared then.
+LIKE = 0.85
+
+
+def like_prompts(base: DataFrame) -> DataFrame:
+    """session_id, later, earlier: prompts (session_id, ordinal, tokens) of an overlap of LIKE.
 
-    The overlap counts repeated tokens of the later prompt. A session's prompts are folded in one row by a higher-order function.
+    The overlap counts repeated tokens of the earlier prompt, so that a share of LIKE / (1 + LIKE) of them at least is among the later one's: of its
+    rarest tokens, those that make up more than the rest have one in common with it. These are joined with the later prompts' tokens, and candidates confirmed.
     """
-    own = prompts(t).where((F.octet_length("norm") >= 20) & (F.size("tokens") >= 4)).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "norm", "tokens"))).alias("all"))
+    n = base.select("session_id", "ordinal", F.size("tokens").alias("size"), F.explode("tokens").alias("w")).groupBy("session_id", "ordinal", "size", "w").agg(F.count(F.lit(1)).alias("c"))
+    n = staged(n)
+    seen = n.groupBy("session_id", "w").agg(F.count(F.lit(1)).alias("seen"))
+    order = Window.partitionBy("session_id", "ordinal").orderBy("seen", "w")
+    rare = n.join(staged(seen), ["session_id", "w"]).withColumn("before", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
+    rare = rare.where(F.col("before") <= F.col("size") * (1 / (1 + LIKE) + 1e-9)).select("session_id", "w", F.col("ordinal").alias("earlier"), F.col("size").alias("e_size"))
+    # The later one's distinct tokens and the earlier one's all: neither can be so long that the other can't reach LIKE of it.
+    near = n.select("session_id", "w", F.col("ordinal").alias("later")).join(rare, ["session_id", "w"]).where("earlier < later").select("session_id", "later", "earlier").distinct()
+    text = base.select("session_id", "ordinal", "tokens")
+    both = near.join(text.withColumnsRenamed({"ordinal": "later", "tokens": "a"}), ["session_id", "later"]).join(text.withColumnsRenamed({"ordinal": "earlier", "tokens": "b"}), ["session_id", "earlier"])
+    own = F.array_distinct("a")
+    shared = F.size(F.filter("b", lambda w: F.array_contains(own, w)))
+    return both.where(shared / (F.size(own) + F.size("b") - shared) >= LIKE).select("session_id", "later", "earlier")
 
-    def overlap(later: Column, kept: Column) -> Column:
-        base = F.array_distinct(later)
-        both = F.size(F.filter(kept, lambda w: F.array_contains(base, w)))
-        return both / (F.size(base) + F.size(kept) - both)
 
-    def step(acc: Column, p: Column) -> Column:
-        again = F.exists(acc["kept"], lambda k: (k["norm"] == p["norm"]) | (overlap(p["tokens"], k["tokens"]) >= 0.85))
-        return F.struct(F.when(again, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(p))).alias("kept"), (acc["n"] + again.cast("int")).alias("n"))
+def duplicate_prompts(t: Tables) -> DataFrame:
+    """Prompts that repeat an earlier kept one: equal, or of a token overlap of 0.85; in order, so that only kept ones are compared with (Q12).
 
-    start = F.struct(F.slice("all", 1, 0).alias("kept"), F.lit(0).alias("n"))
-    return own.select("session_id", F.aggregate("all", start, step, lambda acc: acc["n"]).alias("repeats"))
+    Equal prompts count at once. Of the others, one without an earlier like it is kept, one with a kept earlier one is not; that settles more in each
+    round, until none is open. No session is gathered anywhere.
+    """
+    own = prompts(t).where((F.octet_length("norm") >= 20) & (F.size("tokens") >= 4))
+    base = staged(own.groupBy("session_id", "norm").agg(F.min("ordinal").alias("ordinal"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")).drop("norm"))
+    pairs, dropped = staged(like_prompts(base)), None
+    ids = lambda df, c: df.select("session_id", F.col(c).alias("ordinal")).distinct()
+    while pairs.take(1):
+        kept = ids(pairs, "earlier").join(ids(pairs, "later"), ["session_id", "ordinal"], "left_anti")
+        gone = staged(ids(pairs.join(kept.withColumnRenamed("ordinal", "earlier"), ["session_id", "earlier"], "left_semi"), "later"))
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        pairs = pairs.join(gone.withColumnRenamed("ordinal", "later"), ["session_id", "later"], "left_anti")
+        pairs = staged(pairs.join(gone.withColumnRenamed("ordinal", "earlier"), ["session_id", "earlier"], "left_anti"))
+    out = base.groupBy("session_id").agg(F.sum(F.col("copies") - 1).alias("again"))
+    if dropped is None:
+        return out.select("session_id", F.col("again").cast("int").alias("repeats"))
+    return out.join(dropped.groupBy("session_id").agg(F.count(F.lit(1)).alias("like")), "session_id", "left").select("session_id", (F.col("again") + F.coalesce("like", F.lit(0))).cast("int").alias("repeats"))
 
 
 def frustration(t: Tables) -> DataFrame:
