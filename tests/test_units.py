@@ -230,6 +230,19 @@ def test_lines_of_files(spark, tmp_path):
     assert [(r.ordinal, r.role, r.content, r.model, r.ts) for r in sorted(rows, key=lambda r: r.ordinal)] == [(0, "user", "hi", "", None), (1, "assistant", "yo", "m", None)]
 
 
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    for name, n in (("a", 900), ("b", 3)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"type":"user","message":{{"role":"user","content":"{name}{i} {"x" * (i % 90)}"}}}}\n' for i in range(n)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = ingest.uuid_tree(ingest.lines(spark, str(tmp_path))).collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert len(rows) == 903 and all(int(r.content.split()[0][1:]) == r.ordinal for r in rows)
+
+
 def test_temporal_windows(spark):
     rows = [("2024-03-15 12:00:00",), ("2024-03-14 01:00:00",), ("2024-02-10 00:00:00",), ("2023-02-01 00:00:00",), (None,)]
     df = spark.createDataFrame(rows, "c string").select(F.to_timestamp("c").alias("created"))

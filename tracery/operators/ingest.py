@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import staged
+from .graph import tops
 from ..sources.tables import Tables
 
 MAX_TOKENS = 2_000_000
@@ -28,9 +29,10 @@ LOG = "type string, timestamp string, payload struct<id:string,model:string,role
 
 
 def lines(spark, path: str) -> DataFrame:
-    """file, line_no, value of JSON lines; a line's number is its place in its file as Spark reads it whole."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return rows.where("value <> ''")
+    """file, line_no, value of JSON lines. Files are read line by line, a long one in several splits; a line's number follows from its split's place in the file and its own place in the split."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+    number = F.row_number().over(Window.partitionBy("file").orderBy("split", "n")) - 1
+    return rows.select("file", number.alias("line_no"), "value").where("value <> ''")
 
 
 def uuid_tree(rows: DataFrame) -> DataFrame:
@@ -55,6 +57,26 @@ def unchanged(export: DataFrame, stored: DataFrame) -> DataFrame:
     return export.withColumn("hash", F.sha2(F.col("text").cast("binary"), 256)).join(stored, ["key", "hash"], "left_anti")
 
 
+def conversation_path(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """conversation, ordinal, role, text of the messages on the way from a conversation's root to its current leaf.
+
+    nodes: conversation, id, parent_id, role, text (null or empty for nodes without a message); leaves: conversation, id. Answers that were made
+    anew are siblings of which the way holds one. What is above the leaf is found by doubling pointers: log of the depth rounds.
+    """
+    own = nodes.select(F.concat_ws("/", "conversation", "id").alias("id"), F.when(F.col("parent_id").isNotNull(), F.concat_ws("/", "conversation", "parent_id")).alias("parent_id"))
+    depth = tops(own).select("id", "depth")
+    there = own.select(F.col("id").alias("parent_id"), F.col("id").alias("ptr"))
+    jump = staged(own.join(there, "parent_id").select("id", "ptr"))
+    way = staged(leaves.select(F.concat_ws("/", "conversation", "id").alias("id")))
+    while jump.take(1):
+        way = staged(way.unionByName(way.join(jump, "id").select(F.col("ptr").alias("id"))).distinct())
+        far = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
+        jump = staged(jump.join(far, "ptr").select("id", F.col("next").alias("ptr")).where("id <> ptr"))
+    rows = nodes.withColumn("key", F.concat_ws("/", "conversation", "id")).join(way.withColumnRenamed("id", "key"), "key", "left_semi").join(depth.withColumnRenamed("id", "key"), "key")
+    order = Window.partitionBy("conversation").orderBy("depth")
+    return rows.where("text <> '' and role in ('user', 'assistant', 'system')").select("conversation", (F.row_number().over(order) - 1).alias("ordinal"), "role", "text")
+
+
 def changed_files(listing: DataFrame, state: DataFrame) -> DataFrame:
     """Files (path, size, modified) that are new or differ from the last run's listing (I4)."""
     return listing.join(state, ["path", "size", "modified"], "left_anti")
@@ -94,6 +116,21 @@ def terminations(messages: DataFrame) -> DataFrame:
     return last.select("session_id", kind.alias("termination"))
 
 
+def termination_status(messages: DataFrame, calls: DataFrame, results: DataFrame) -> DataFrame:
+    """session_id, termination of every session (I10): truncated if its file was cut off, tool_call_pending if a call of its last assistant message has no result after it,
+    awaiting_user if that message is its end and says so, else clean.
+
+    messages: session_id, ordinal, role, is_system, stop_reason, truncated; calls: session_id, ordinal, call_id; results: session_id, ordinal, call_id.
+    """
+    own = messages.groupBy("session_id").agg(F.bool_or("truncated").alias("truncated"), F.max_by(F.struct("role", "stop_reason"), F.when(~F.col("is_system"), F.col("ordinal"))).alias("last"), F.max(F.when(~F.col("is_system") & (F.col("role") == "assistant"), F.col("ordinal"))).alias("said"))
+    made = calls.join(own.select("session_id", F.col("said").alias("ordinal")), ["session_id", "ordinal"])
+    later = results.where("call_id <> ''").join(own.select("session_id", "said"), "session_id").where(F.col("ordinal") > F.col("said")).select("session_id", "call_id").distinct()
+    pending = made.join(later, ["session_id", "call_id"], "left_anti").select("session_id", F.lit(True).alias("pending")).distinct()
+    waits = (F.col("last.role") == "assistant") & F.coalesce(F.col("last.stop_reason").isin("end_turn", "task_complete"), F.lit(False))
+    kind = F.when(F.col("truncated"), "truncated").when(F.col("pending"), "tool_call_pending").when(waits, "awaiting_user").otherwise("clean")
+    return own.join(pending, "session_id", "left").select("session_id", kind.alias("termination"))
+
+
 def doubled(state: DataFrame, step) -> DataFrame:
     """state (id, ptr, ...) after pointer jumping: step(state) doubles how far `ptr` reaches, null once it is past the root.
 

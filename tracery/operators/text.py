@@ -139,13 +139,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: So many query vectors at most are sent to all rows.
+FEW = 256
+
+
 def semantic(vectors: DataFrame, queries: DataFrame, k: int = 5, few: bool = True) -> DataFrame:
     """The k most similar vectors to each query vector, itself left out, ties by id.
 
-    Few queries, a stated set, meet the rows in place. If they grow with the table, each block (partition) of them meets each block of
-    vectors in a task of its own, which keeps its k best of every query before the shuffle.
+    Few queries (FEW at most, which is checked) meet the rows in place. If there are more, or they grow with the table, each block (partition) of
+    them meets each block of vectors in a task of its own, which keeps its k best of every query before the shuffle.
     """
     q = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    few = few and q.limit(FEW + 1).count() <= FEW
     pairs = vectors.join(F.broadcast(q) if few else q.hint("shuffle_replicate_nl"), F.col("vec_id") != F.col("query")).select("query", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

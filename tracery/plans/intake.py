@@ -33,10 +33,31 @@ def _forks(t: Tables) -> DataFrame:
     return ingest.forks(rows.select(name(F.col("ordinal")).alias("id"), name(parent).alias("parent_id"), "role", F.col("ordinal").alias("place")))
 
 
+def _conversations(t: Tables) -> DataFrame:
+    """Each session as a tree: a root without a message, a turn below the one before, and beside each fifth turn an answer that was made before it."""
+    rows = t.turns.select(F.col("session_id").alias("conversation"), F.col("ordinal").cast("string").alias("id"), F.when(F.col("ordinal") > 0, (F.col("ordinal") - 1).cast("string")).otherwise("root").alias("parent_id"), "role", F.col("content").alias("text"))
+    other = rows.where("cast(id as long) % 5 = 3").select("conversation", F.concat("id", F.lit("-old")).alias("id"), "parent_id", "role", F.lit("an answer that was made anew").alias("text"))
+    none = F.lit(None).cast("string")
+    roots = rows.select("conversation").distinct().select("conversation", F.lit("root").alias("id"), none.alias("parent_id"), none.alias("role"), none.alias("text"))
+    leaves = t.turns.groupBy(F.col("session_id").alias("conversation")).agg(F.max("ordinal").cast("string").alias("id"))
+    return ingest.conversation_path(rows.unionByName(other).unionByName(roots), leaves)
+
+
+def _endings(t: Tables) -> DataFrame:
+    """Calls of each third assistant turn; results two turns later for some; stop reasons by number."""
+    s, o = F.col("session_id"), F.col("ordinal")
+    messages = t.turns.select("session_id", "ordinal", "role", "is_system", F.when((s + o) % 3 == 0, "end_turn").when((s + o) % 3 == 1, "task_complete").alias("stop_reason"), (s % 11 == 5).alias("truncated"))
+    calls = t.turns.where("role = 'assistant' and (session_id + ordinal) % 3 <> 1").select("session_id", "ordinal", F.concat(F.lit("c"), (o % 4).cast("string")).alias("call_id"))
+    results = calls.where("session_id % 2 = 0").select("session_id", (o + 1).alias("ordinal"), "call_id").unionByName(calls.select("session_id", (o - 1).alias("ordinal"), "call_id"))
+    return ingest.termination_status(messages, calls, results)
+
+
 _CATEGORY = "CASE " + " ".join(f"WHEN n IN ({', '.join(repr(x) for x in names)}) THEN '{c}'" for c, names in ingest.CATEGORIES.items()) + " ELSE 'Other' END"
 _AUTO = ", f AS (SELECT session_id, count(*) AS n, arg_min(content, ordinal) AS c FROM turns WHERE role = 'user' AND NOT is_system GROUP BY 1)"
 
 LENS_QUERIES = {
+    "ingest_conversation_paths": (_conversations, " SELECT session_id AS conversation, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) - 1 AS ordinal, role, content AS text FROM turns WHERE content <> '' AND role IN ('user', 'assistant', 'system')"),
+    "ingest_termination_status": (_endings, ", o AS (SELECT session_id, arg_max(role, ordinal) FILTER (NOT is_system) AS r, max(ordinal) FILTER (NOT is_system) AS l, max(ordinal) FILTER (NOT is_system AND role = 'assistant') AS a FROM turns GROUP BY 1) SELECT session_id, CASE WHEN session_id % 11 = 5 THEN 'truncated' WHEN a IS NOT NULL AND (session_id + a) % 3 <> 1 AND session_id % 2 = 1 THEN 'tool_call_pending' WHEN r = 'assistant' AND (session_id + l) % 3 < 2 THEN 'awaiting_user' ELSE 'clean' END AS termination FROM o"),
     "ingest_uuid_tree": (lambda t: ingest.uuid_tree(_tree_lines(t)).select("file", "ordinal", "role", "content", "model", "is_system", "uuid", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "output_tokens"), " SELECT session_id::VARCHAR AS file, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) - 1 AS ordinal, role, content, CASE WHEN role = 'assistant' THEN 'm' || ordinal % 3 ELSE '' END AS model, is_system, session_id || '-' || ordinal AS uuid, '2024-01-02 03:04:05' AS ts, length(content) AS output_tokens FROM turns"),
     "ingest_event_log": (lambda t: ingest.event_log(_log_lines(t)), " SELECT session_id::VARCHAR AS file, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) - 1 AS ordinal, role, content, CASE WHEN role = 'assistant' THEN coalesce('m' || last_value(CASE WHEN ordinal % 3 = 0 THEN ordinal END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ordinal), '') ELSE '' END AS model, CASE WHEN role = 'assistant' THEN length(content) ELSE 0 END AS output_tokens FROM turns"),
     "ingest_unchanged": (lambda t: ingest.unchanged(t.turns.select(F.concat_ws("-", "session_id", "ordinal").alias("key"), F.col("content").alias("text")), t.turns.where("session_id % 2 = 0").select(F.concat_ws("-", "session_id", "ordinal").alias("key"), F.sha2(F.when(F.col("ordinal") == 1, F.lit("old")).otherwise(F.col("content")).cast("binary"), 256).alias("hash"))).select("key"), " SELECT session_id || '-' || ordinal AS key FROM turns WHERE session_id % 2 <> 0 OR ordinal = 1"),
