@@ -14,42 +14,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that aren't held out."""
     return langid.predict_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by a new ledger."""
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
     return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as telephony audio, read back and digested."""
     return media.store_texts(table(spark, sf_dir, "documents"))
 
 
 def op5_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document."""
     return pieces.segment_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the url of every page, by rules and the tree that rated documents teach."""
     return urls.judge_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
 def op8_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
     return neardup.dedup_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or its directory's."""
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document and whether it is kept."""
     return quality.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
