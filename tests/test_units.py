@@ -373,3 +373,34 @@ def test_all_scanners_against_python(spark, sf):
     assert {rule for k in range(17) for rule, _, _ in got.get(k, [])} == {s[0] for s in text.SCANNERS} and not set(range(17, 28)) & set(got) - {18}
     counts = text.scan_counts(text.scan(spark.createDataFrame(docs, "key long, text string")), "candidate", ["jwt"]).collect()
     assert [(c.key, c.findings) for c in counts] == [(15, 1)] and text.scan_counts(text.scan(spark.createDataFrame(docs, "key long, text string")), version="1").count() == 0
+
+
+def test_recomputes_against_python(spark, tmp_path):
+    """A stream in several batches: every recompute that is due by the watermark, and no other."""
+    rng, base = random.Random(8), 1_704_067_200
+    events, at = [], 0
+    for i in range(600):
+        at += rng.choice([1, 2, 5, 15, 30, 70])
+        events.append((i, base + at, rng.randrange(3), rng.choice(["view", "error"]), 1.0, '{"k": 1}'))
+    for part in range(4):
+        rows = spark.createDataFrame(events[part * 150 : part * 150 + 150], "event_id long, at long, user_id long, event_type string, value double, props string")
+        rows.select("event_id", F.timestamp_seconds("at").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    got = upkeep.STREAM_QUERIES["stream_recomputes"][0](spark, str(tmp_path)).collect()
+    top = max(e[1] for e in events) - 600
+    want = []
+    for s in {(u, (t - base + 0) // 604800) for _, t, u, *_ in events}:
+        last = marked = None
+        for t in [t for _, t, u, *_ in events if (u, (t - base) // 604800) == s] + [None]:
+            limit = t if t is not None else top
+            if marked is not None and min(last + 60, marked + 10) <= limit:
+                last, marked = min(last + 60, marked + 10), None
+                want.append((s[0], last))
+            if t is None:
+                break
+            if last is None or t - last >= 60:
+                last, marked = t, None
+                want.append((s[0], t))
+            else:
+                marked = t
+    assert sorted((int(r.session_id.split("-")[0]), r["at"] // 1_000_000) for r in got) == sorted(want) and len(want) > 100

@@ -10,7 +10,7 @@ from ..sources.tables import LENS_SQL, lens
 from . import advice, billing, intake, job, ranges, reports, search, signals, upkeep
 
 FAMILIES = [reports.QUERIES, signals.QUERIES, search.LENS_QUERIES, upkeep.LENS_QUERIES, intake.LENS_QUERIES, advice.QUERIES, ranges.QUERIES, job.QUERIES, billing.QUERIES]
-TABLES = [search.TABLE_QUERIES, {name: (query, LENS_SQL + sql) for name, (query, sql) in upkeep.STREAM_QUERIES.items()}]
+TABLES = [search.TABLE_QUERIES, {name: (query, sql and LENS_SQL + sql) for name, (query, sql) in upkeep.STREAM_QUERIES.items()}]
 
 
 def _over_lens(operator: Callable) -> Callable[[SparkSession, str], DataFrame]:

@@ -47,6 +47,7 @@ def _stream(operator, mode: str):
 
 #: Streams over `events`, run to the end of what is there. Their SQL has the lens put before it.
 STREAM_QUERIES = {
+    "stream_recomputes": (_stream(jobs.recomputes, "append"), None),
     "stream_live_counts": (_stream(jobs.live_counts, "complete"), " SELECT project, count(*) AS messages, sum(output_tokens)::BIGINT AS output_tokens FROM messages GROUP BY 1"),
     "stream_versions": (_stream(lambda m: jobs.versions(m).withColumn("version", F.unix_micros("version")), "complete"), " SELECT session_id, count(*) AS messages, max(epoch_us(ts)) AS version FROM messages GROUP BY 1"),
     "stream_status": (_stream(lambda m: jobs.status(m, "2024-01-28 23:00:00"), "complete"), " SELECT session_id, CASE WHEN a < 600000000 THEN 'active' WHEN a < 3600000000 THEN 'stale' ELSE 'unclean' END AS status FROM (SELECT session_id, epoch_us(TIMESTAMP '2024-01-28 23:00:00') - max(epoch_us(ts)) AS a FROM messages GROUP BY 1)"),

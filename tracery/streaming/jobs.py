@@ -43,6 +43,45 @@ def status(messages: DataFrame, now: str) -> DataFrame:
     return versions(messages).select("session_id", F.when(age < 600_000_000, "active").when(age < 3_600_000_000, "stale").otherwise("unclean").alias("status"))
 
 
+def recomputes(messages: DataFrame, interval: int = 60, quiet: int = 10, delay: str = "10 minutes") -> DataFrame:
+    """session_id, at (microseconds): when the signals of sessions with new messages are computed anew.
+
+    At once if that was `interval` seconds ago or more, else when the session has been quiet for `quiet` seconds or the interval is over. Times are the
+    messages' own, and timers fire by the watermark, so reruns agree. A session's state is two instants.
+    """
+    step, rest = interval * 1_000_000, quiet * 1_000_000
+
+    def run(key, frames, state):
+        import pandas as pd
+
+        last, marked = state.get if state.exists else (None, None)
+        out, times = [], sorted(t for f in frames for t in f["us"].tolist())
+
+        def due():
+            return min(last + step, marked + rest)
+
+        for t in [*times, None]:
+            # Before a message, and when the timer fires, what is due by then is done.
+            until = t if t is not None else state.getCurrentWatermarkMs() * 1000
+            if marked is not None and due() <= until:
+                last, marked = due(), None
+                out.append(last)
+            if t is None:
+                break
+            if last is None or t - last >= step:
+                last, marked = t, None
+                out.append(t)
+            else:
+                marked = t
+        state.update((last, marked))
+        if marked is not None:
+            state.setTimeoutTimestamp(max(-(-due() // 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"session_id": [key[0]] * len(out), "at": pd.Series(out, dtype="int64")})
+
+    rows = messages.withWatermark("ts", delay).select("session_id", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("session_id").applyInPandasWithState(run, "session_id string, at long", "last long, marked long", "append", "EventTimeTimeout")
+
+
 def run_to_end(df: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there and returns its result table: appended rows, or the last complete state.
 
