@@ -8,6 +8,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_away
 from .quality import GRADES, call_facts, capped, normal
 
 #: Prompts that only steer, and words and phrases that tell what a prompt has.
@@ -159,3 +160,47 @@ def signals(messages: DataFrame, calls: DataFrame, repeats: DataFrame, now: str)
         "session_id", "outcome", "confidence", "failures", "longest", "final_streak", "retries", "churned", "compactions", "mid_task", F.round("pressure", 6).alias("pressure"),
         "short_prompts", "unstructured", "no_criteria", "no_checks", "no_context", "repeats", "runaway", "penalties", "score", "grade",
     )
+
+
+#: Fixed value: what a prompt says where things go badly.
+HOSTILE = r"(?i)(!{3,}|\?{3,}|\b(?:wtf|come on|why won't|this is broken|doesn't work|does not work|still broken|same error|you broke|fucking|fuck)\b)"
+
+
+def frustrated(content: Column, least: int = 3) -> Column:
+    """Whether a prompt of ten bytes or more is hostile, or shouts: 0.4 of three or more words of two letters are in capitals (A13). Code fences don't count."""
+    words = F.filter(F.split(F.regexp_replace(content, "(?s)```.*?```", " "), r"[^\p{L}]+"), lambda w: w != "")
+    long_ = F.filter(words, lambda w: F.length(w) >= 2)
+    shouted = F.filter(long_, lambda w: (w == F.upper(w)) & (w != F.lower(w)))
+    shouts = (F.size(words) >= least) & (F.size(long_) >= least) & (F.size(shouted) >= 0.4 * F.size(long_))
+    norm = normal(content)
+    return (F.octet_length(norm) >= 10) & (norm.rlike(HOSTILE) | shouts)
+
+
+def frustration_markers(messages: DataFrame) -> DataFrame:
+    """Frustrated prompts of each session with prompts."""
+    return messages.where("role = 'user' and not is_system").groupBy("session_id").agg(F.count_if(frustrated(F.coalesce("content", F.lit("")))).alias("markers"))
+
+
+def outcome_shares(found: DataFrame) -> DataFrame:
+    """One row over the signal job's sessions: outcomes, grades, share of retried sessions, mean compactions and churn."""
+    is_ = lambda c, *v: F.count_if(F.col(c).isin(*v))
+    mean = lambda x: half_away(F.avg(x), 4)
+    return found.agg(
+        F.count(F.lit(1)).alias("sessions"), is_("outcome", "completed").alias("completed"), is_("outcome", "errored", "abandoned").alias("failed"), is_("outcome", "unknown").alias("unknown"),
+        *(is_("grade", g).alias(f"grade_{g.lower()}") for g in "ABCDF"), F.count_if(F.col("grade").isNull()).alias("ungraded"),
+        mean((F.col("retries") > 0).cast("int")).alias("retry_rate"), mean("compactions").alias("compactions"), mean("churned").alias("churn"),
+    )
+
+
+def call_timing(calls: DataFrame) -> DataFrame:
+    """Of each session's calls (session_id, ordinal, call_index, category, started, ended in microseconds): time in calls, its slowest call, the category that took
+    most, and how many turns had calls side by side (R13). Calls without either end, or that end before they start, have no duration.
+    """
+    took = F.when(F.col("ended") >= F.col("started"), F.col("ended") - F.col("started"))
+    turn = Window.partitionBy("session_id", "ordinal").orderBy("started", "call_index")
+    before = F.max("ended").over(turn.rowsBetween(Window.unboundedPreceding, -1))
+    rows = calls.withColumn("took", took).withColumn("beside", F.col("took").isNotNull() & (before > F.col("started")))
+    own = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("calls"), F.count("took").alias("timed"), F.sum("took").alias("micros"), F.min_by("call_index", F.when(F.col("took").isNotNull(), F.struct((-F.col("took")).alias("t"), "call_index"))).alias("slowest"), F.max("took").alias("slowest_micros"))
+    kinds = rows.where("took is not null").groupBy("session_id", "category").agg(F.sum("took").alias("us")).groupBy("session_id").agg(F.min_by("category", F.struct((-F.col("us")).alias("t"), "category")).alias("category"))
+    side = rows.where("beside").groupBy("session_id").agg(F.count_distinct("ordinal").alias("parallel_turns"))
+    return own.join(kinds, "session_id", "left").join(side, "session_id", "left").na.fill(0, ["parallel_turns"])

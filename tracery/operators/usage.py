@@ -244,3 +244,10 @@ def priced(rows: DataFrame) -> DataFrame:
     out = tiered.unionByName(flat).withColumn("output_tokens", F.col("told_output")).drop("told_output")
     own = F.col("reported").isNotNull() & (F.col("cost_source") != ESTIMATED_COST)
     return out.withColumn("cost", F.when(own, F.col("reported")).otherwise(F.col("cost") + SEARCH_FEE * F.col("web_searches")))
+
+
+def cache_spend(t: Tables) -> DataFrame:
+    """What was spent, what it would have cost without a cache, what that saved, and the share of input that came from it."""
+    rows = survivors(t)
+    read, all_ = F.sum("cache_read"), F.sum(F.col("input_tokens") + F.col("cache_read") + F.col("cache_creation"))
+    return rows.agg(F.sum("cost").alias("spent"), (F.sum("cost") + F.sum("savings")).alias("uncached"), F.sum("savings").alias("saved"), F.round(read / all_, 6).alias("hit_rate"))

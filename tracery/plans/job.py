@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import prompts, quality
 from ..sources.tables import Tables
+from .signals import _HALF
 
 NOW = "2024-01-02 03:00:00"
 SAID = ["", " Fix the bug in src/app.py", " You must keep the output format", "\n- first step\n- second step", " add a test for the api", " expected result: done when it runs", " refactor the module", " this is a failing test", " I'm unable to do that", " please verify", " implement the endpoint", " update code"]
@@ -46,6 +47,21 @@ def repeats(t: Tables) -> DataFrame:
     return own.groupBy("session_id").agg((F.count(F.lit(1)) - F.count_distinct("norm")).alias("repeats"))
 
 
+#: What some prompts end in.
+UPSET = ["", " THIS IS NOT WHAT I SAID AND NOTHING WORKS AT ALL", " come on", " why???", " it doesn't work", " ok!", " still BROKEN here"]
+
+
+def _upset(t: Tables) -> DataFrame:
+    return messages(t).withColumn("content", F.concat("content", _pick(UPSET, F.col("session_id") + F.col("ordinal") * 3)))
+
+
+def _timed(t: Tables) -> DataFrame:
+    """Calls with a start and, but for some, an end."""
+    n, i = F.col("context_tokens"), F.col("call_index")
+    start = (i * 1000 + n % 700).cast("long")
+    return t.calls.select("session_id", F.floor(i / 2).alias("ordinal"), "call_index", "category", start.alias("started"), F.when(n % 13 != 4, start + n % 1500 - 20).alias("ended"))
+
+
 def job(t: Tables) -> DataFrame:
     return prompts.signals(messages(t), calls(t), repeats(t), NOW)
 
@@ -110,4 +126,14 @@ QUERIES = {
     "quality_context_activity": (lambda t: prompts.context_activity(calls(t)), f"{_JCALLS}{_FACTS} SELECT * FROM fk"),
     "quality_window_pressure": (lambda t: prompts.pressures(messages(t), quality.call_facts(calls(t))).select("session_id", F.round("pressure", 6).alias("pressure")), f"{_MESSAGES}{_JCALLS}{_PROMPTS}{_FACTS}{_PARTS} SELECT session_id, round(pressure, 6) AS pressure FROM pp"),
     "quality_signal_job": (job, f"{_ALL} SELECT session_id, outcome, confidence, failures, longest, final_streak, retries, churned, compactions, mid_task, round(pressure, 6) AS pressure, short_prompts, unstructured, no_criteria, no_checks, no_context, repeats, runaway, penalties, score, CASE WHEN score IS NULL THEN NULL WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM sc"),
+    "quality_frustration_markers": (lambda t: prompts.frustration_markers(_upset(t)), f"""{_MESSAGES}, up AS (SELECT session_id, content || {_sql(UPSET)}[(session_id + ordinal * 3) % {len(UPSET)} + 1] AS c FROM jm WHERE role = 'user' AND NOT is_system),
+        uw AS (SELECT session_id, trim(regexp_replace(lower(regexp_replace(c, '(?s)```.*?```', ' ', 'g')), '\\s+', ' ', 'g')) AS norm, list_filter(regexp_split_to_array(regexp_replace(c, '(?s)```.*?```', ' ', 'g'), '[^\\pL]+'), lambda w: w <> '') AS w FROM up), ul AS (SELECT *, list_filter(w, lambda x: length(x) >= 2) AS l FROM uw)
+        SELECT session_id, count(*) FILTER (strlen(norm) >= 10 AND (regexp_matches(norm, '{prompts.HOSTILE.replace("'", "''")}') OR (len(w) >= 3 AND len(l) >= 3 AND len(list_filter(l, lambda x: x = upper(x) AND x <> lower(x))) >= 0.4::DOUBLE * len(l)))) AS markers FROM ul GROUP BY 1"""),
+    "stats_outcome_shares": (lambda t: prompts.outcome_shares(job(t)), f"""{_ALL}, gr AS (SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' WHEN score IS NOT NULL THEN 'F' END AS grade FROM sc)
+        SELECT count(*) AS sessions, count(*) FILTER (outcome = 'completed') AS completed, count(*) FILTER (outcome IN ('errored', 'abandoned')) AS failed, count(*) FILTER (outcome = 'unknown') AS unknown, {', '.join(f"count(*) FILTER (grade = '{g}') AS grade_{g.lower()}" for g in 'ABCDF')}, count(*) FILTER (grade IS NULL) AS ungraded,
+        {_HALF('avg((retries > 0)::INT)')} AS retry_rate, {_HALF('avg(compactions)')} AS compactions, {_HALF('avg(churned)')} AS churn FROM gr"""),
+    "calls_timing": (lambda t: prompts.call_timing(_timed(t)), """, tc AS (SELECT session_id, call_index // 2 AS ordinal, call_index, category, call_index * 1000 + context_tokens % 700 AS started, CASE WHEN context_tokens % 13 <> 4 THEN call_index * 1000 + context_tokens % 700 + context_tokens % 1500 - 20 END AS ended FROM calls),
+        tk AS (SELECT *, CASE WHEN ended >= started THEN ended - started END AS took, max(ended) OVER (PARTITION BY session_id, ordinal ORDER BY started, call_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tc),
+        kc AS (SELECT session_id, category, sum(took) AS us FROM tk WHERE took IS NOT NULL GROUP BY 1, 2), kk AS (SELECT session_id, first(category ORDER BY us DESC, category) AS category FROM kc GROUP BY 1)
+        SELECT session_id, count(*) AS calls, count(took) AS timed, sum(took)::BIGINT AS micros, first(call_index ORDER BY took DESC, call_index) FILTER (took IS NOT NULL) AS slowest, max(took) AS slowest_micros, any_value(kk.category) AS category, count(DISTINCT ordinal) FILTER (took IS NOT NULL AND before > started) AS parallel_turns FROM tk LEFT JOIN kk USING (session_id) GROUP BY 1"""),
 }

@@ -100,4 +100,5 @@ QUERIES = {
     "analytics_top_by_messages": (lambda t: analytics.top_by(t, "messages"), f" SELECT session_id, project, message_count AS value FROM sessions WHERE {_VISIBLE} ORDER BY value DESC, session_id LIMIT 10"),
     "analytics_top_by_tokens": (lambda t: analytics.top_by(t, "output_tokens"), f" SELECT session_id, project, total_output_tokens AS value FROM sessions WHERE {_VISIBLE} ORDER BY value DESC, session_id LIMIT 10"),
     "analytics_call_times": (analytics.call_times, " SELECT week, category, count(*) AS calls, count(DISTINCT session_id) AS sessions FROM (SELECT c.session_id, category, strftime(date_trunc('week', to_timestamp(t.session_id * 86400 + t.ordinal * 60) AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week FROM calls c LEFT JOIN turns t ON t.session_id = c.session_id AND t.ordinal = c.ordinal WHERE c.session_id IN (SELECT session_id FROM turns)) GROUP BY 1, 2"),
+    "stats_cache_spend": (usage.cache_spend, f"{_SURVIVORS} SELECT sum(cost)::BIGINT AS spent, (sum(cost) + sum(savings))::BIGINT AS uncached, sum(savings)::BIGINT AS saved, round(sum(cache_read) / sum(input_tokens + cache_read + cache_creation), 6) AS hit_rate FROM w"),
 }
