@@ -235,3 +235,41 @@ def call_times(t: Tables) -> DataFrame:
     at = t.turns.select("session_id", "ordinal", F.date_format(F.date_trunc("week", F.timestamp_seconds(F.col("session_id") * 86400 + F.col("ordinal") * 60)), "yyyy-MM-dd").alias("week"))
     own = t.calls.join(t.turns.select("session_id").distinct(), "session_id", "left_semi")
     return own.join(at, ["session_id", "ordinal"], "left").groupBy("week", "category").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("session_id").alias("sessions"))
+
+
+#: Sessions by their number of messages.
+COMPLEXITY = [(15, "1-15"), (60, "16-60")]
+
+
+def velocity_by(t: Tables) -> DataFrame:
+    """Cycles and first responses (p50, p90), and messages, characters and tool turns for each active minute, over all, by agent and by complexity."""
+    sides = lambda: F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("label")), F.struct(F.lit("agent").alias("kind"), F.col("agent").alias("label")), F.struct(F.lit("complexity").alias("kind"), bucket(F.col("message_count"), COMPLEXITY, "61+", closed=True).alias("label")))
+    own = t.sessions.select("session_id", "message_count", F.col("agent").alias("s_agent"))
+    rows = steps(t.messages).join(own, "session_id").withColumn("s", F.explode(sides())).select("s.kind", "s.label", "role", "role_before", "gap", "content_length", "has_tool_use")
+    cycle = (F.col("role") == "assistant") & (F.col("role_before") == "user") & (F.col("gap") > 0) & (F.col("gap") <= CYCLE)
+    answered = first_responses(t.messages).join(own.withColumnRenamed("s_agent", "agent"), "session_id").withColumn("s", F.explode(sides())).select("s.kind", "s.label", "gap")
+    out = rows.groupBy("kind", "label").agg(F.sum(F.least("gap", F.lit(float(GAP)))).alias("active"), F.count(F.lit(1)).alias("messages"), F.sum("content_length").alias("chars"), F.count_if("has_tool_use").alias("tool_turns"))
+    per = lambda c: F.round(F.col(c) / (F.col("active") / 60), 4).alias(f"{c}_per_minute")
+    out = out.select("kind", "label", *(per(c) for c in ("messages", "chars", "tool_turns")))
+    for name, part in (("cycle", staged(rows.where(cycle).select("kind", "label", "gap"))), ("response", staged(answered))):
+        for p in (0.5, 0.9):
+            out = out.join(exact_percentile(part, "gap", p, "kind", "label").select("kind", "label", F.round("gap", 3).alias(f"{name}_p{int(100 * p)}")), ["kind", "label"], "left")
+    return out
+
+
+def tool_mix(calls: DataFrame) -> DataFrame:
+    """Calls and sessions by agent and category, with the share of the agent's calls."""
+    n = calls.groupBy("agent", "category").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("session_id").alias("sessions"))
+    return n.withColumn("pct", half_away(100 * F.col("calls") / F.sum("calls").over(Window.partitionBy("agent")), 1))  # a row for each agent and category
+
+
+def trend(calls: DataFrame, column: str) -> DataFrame:
+    """Calls by week and tool category, or by week and skill."""
+    return calls.where(F.col(column) != "").groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), column).agg(F.count(F.lit(1)).alias("calls"))
+
+
+def skill_mix(calls: DataFrame) -> DataFrame:
+    """Calls of each skill by agent and by project, with the share of the skill's calls."""
+    side = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("label")) for k in ("agent", "project"))))
+    n = calls.where("skill <> ''").withColumn("side", side).groupBy("skill", "side.kind", "side.label").agg(F.count(F.lit(1)).alias("calls"))
+    return n.withColumn("pct", half_away(100 * F.col("calls") / F.sum("calls").over(Window.partitionBy("skill", "kind")), 1))  # a row for each skill and label

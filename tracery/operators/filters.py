@@ -100,6 +100,21 @@ def is_system(content: Column) -> Column:
     return out
 
 
+#: What a goal's context begins with, and what counts as white space before a prefix.
+GOAL = r"""^(<goal_context>|<codex_internal_context[^>]*\ssource\s*=\s*["']?goal["']?(\s[^>]*)?>)"""
+BLANK = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*"
+
+
+def system_row(content: Column, role: Column) -> Column:
+    """A user turn that the agent wrote (F11): after white space and whole reminder blocks nothing is left, or it begins with a known prefix or a goal's tag."""
+    bare = F.regexp_replace(content, f"^{BLANK}", "")
+    rest = F.regexp_replace(bare, f"(?s)^(<system-reminder>.*?</system-reminder>{BLANK})+", "")
+    hit = ((bare != "") & (rest == "")) | rest.rlike(GOAL)
+    for prefix in SYSTEM_PREFIXES:
+        hit = hit | rest.startswith(prefix)
+    return (role == "user") & F.coalesce(hit, F.lit(False))
+
+
 def contains_literal(text: Column, part: str) -> Column:
     """Case-insensitive substring without a pattern language."""
     return F.contains(F.lower(text), F.lit(part.lower()))

@@ -251,3 +251,19 @@ def cache_spend(t: Tables) -> DataFrame:
     rows = survivors(t)
     read, all_ = F.sum("cache_read"), F.sum(F.col("input_tokens") + F.col("cache_read") + F.col("cache_creation"))
     return rows.agg(F.sum("cost").alias("spent"), (F.sum("cost") + F.sum("savings")).alias("uncached"), F.sum("savings").alias("saved"), F.round(read / all_, 6).alias("hit_rate"))
+
+
+def compare_sides(rows: DataFrame, left: dict, right: dict) -> DataFrame:
+    """Two sides of surviving, priced rows, each given by lists of models, agents, projects and machines (any that is absent holds all): rows, sessions, tokens, cost, cost of a session; and the differences (U8)."""
+    def side(lists: dict) -> Column:
+        out = F.lit(True)
+        for column, values in lists.items():
+            out = out & F.col(column).isin(values)
+        return out
+
+    aggs = []
+    for name, own in (("left", side(left)), ("right", side(right))):
+        aggs += [F.count_if(own).alias(f"{name}_rows"), F.count_distinct(F.when(own, F.col("session_id"))).alias(f"{name}_sessions"), F.sum(F.when(own, F.col("output_tokens")).otherwise(0)).alias(f"{name}_output"), F.sum(F.when(own, F.col("cost")).otherwise(0)).alias(f"{name}_cost")]
+    one = rows.agg(*aggs)
+    per = lambda s: F.round(F.col(f"{s}_cost") / F.nullif(F.col(f"{s}_sessions"), F.lit(0)), 6).alias(f"{s}_per_session")
+    return one.select("*", *((F.col(f"right_{c}") - F.col(f"left_{c}")).alias(f"delta_{c}") for c in ("sessions", "output", "cost")), per("left"), per("right"))
