@@ -50,6 +50,16 @@ def test_clashing_names_and_odd_grades(spark):
             quality.fit(spark.createDataFrame([("a", 0, "k"), ("b", grade, "l")], "text string, grade int, key string"))
 
 
+def test_long_texts_make_a_smaller_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda at, value, grade: seen.append(len(grade)) or quality.Model(np.zeros(1 << quality.BITS, np.float32), np.empty(0)))
+    rows = spark.range(2000).selectExpr("cast(id as string) as key", "cast(id % 2 as int) as grade", "repeat('word ', 20) as text")
+    quality.fit(rows)
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 20_000)
+    quality.fit(rows)
+    assert seen[0] == 2000 and 120 < seen[1] < 280
+
+
 def plain_score(model, text):
     """A text's score from the definition, word by word."""
     import math

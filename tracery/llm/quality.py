@@ -23,6 +23,8 @@ from .common import keeping, text_chunks
 BITS = 16
 #: The mean number of labelled rows that a model learns from, whatever the number there is.
 SAMPLE = 8000
+#: And of characters: longer texts make a smaller sample, so that its features fit the driver.
+SAMPLE_CHARS = 1 << 27
 GRADES = 16
 STEPS = 250
 RATE = 0.3
@@ -96,10 +98,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     Rows without text or grade teach nothing, other grades are refused. With fewer than two grades nothing is learnt.
     """
     usable = labelled.where(F.col("text").isNotNull() & F.col("grade").isNotNull())
-    n, low, high = usable.agg(F.count(F.lit(1)), F.min("grade"), F.max("grade")).first()
+    n, low, high, chars = usable.agg(F.count(F.lit(1)), F.min("grade"), F.max("grade"), F.sum(F.length("text"))).first()
     if n and not 0 <= low <= high < GRADES:
         raise ValueError(f"grades from {low} to {high}: they are 0 to {GRADES - 1}")
-    chosen = usable.where(F.pmod(F.xxhash64("key", F.lit(10)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
+    share = min(1.0, sample / max(n, 1), SAMPLE_CHARS / max(chars or 0, 1))
+    chosen = usable.where(F.pmod(F.xxhash64("key", F.lit(10)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
