@@ -318,7 +318,11 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = rows.where("kept").groupBy("doc_id").agg(F.min("tie").alias("tie"))
     unknown = rows.where("component_id is null and root is not null").groupBy("root").agg(F.min("tie").alias("tie"))
     kept = known.unionByName(unknown.select(F.lit(None).cast("long").alias("doc_id"), "tie").distinct())
-    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__tie": F.xxhash64(F.col("text").cast("string"))})
-    stay = own.join(kept, own["__id"].eqNullSafe(kept["doc_id"]) & (own["__tie"] == kept["tie"]), "left_semi").dropDuplicates(["__id", "__tie"])
-    wordless = own.where(F.col("__id").isNull() & ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    # The join and the dropping of repeated rows have the same keys, without nulls, and so one shuffle of the texts.
+    keys = ["__id", "__none", "__tie"]
+    kept = kept.select(F.coalesce("doc_id", F.lit(0)).alias(keys[0]), F.col("doc_id").isNull().alias(keys[1]), F.col("tie").alias(keys[2]))
+    i = F.col("doc_id").cast("long")
+    own = docs.withColumns({keys[0]: F.coalesce(i, F.lit(0)), keys[1]: i.isNull(), keys[2]: F.xxhash64(F.col("text").cast("string"))})
+    stay = own.join(kept, keys, "left_semi").dropDuplicates(keys)
+    wordless = own.where(F.col("__none") & ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return stay.unionByName(wordless).select(*docs.columns)
