@@ -33,7 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One sampled segmentation and the next, with their ids; rows that the mix repeats are numbered, and each is seeded by its number too."""
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars")
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # rows without an id are told apart by their texts
+    again = Window.partitionBy("doc_id", own).orderBy(F.desc("n_chars"))
     numbered = docs.withColumn("repeat", F.row_number().over(again))
     return pieces.segment(numbered, "text", F.struct("doc_id", "repeat"), F.col("doc_id"), F.col("source"), F.col("repeat"), with_ids=True)
 
