@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, media, merkle, mixing, neardup, pieces, quality, repeats, secrets, syncmers, urls
+from . import langid, licenses, media, merkle, mixing, neardup, pieces, quality, repeats, secrets, syncmers, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled ones that aren't held out."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash, proof and check of every document in a tree for each language under one root."""
     return merkle.prove_documents(table(spark, sf_dir, "documents"))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperminhash_near_dedup": op8_hyperminhash_near_dedup,
     "op9_license_scans": op9_license_scans,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_toxicity": op11_toxicity,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
