@@ -25,6 +25,21 @@ def fingerprints(messages: DataFrame, fields: list[str] | None = None) -> DataFr
     return sums.select("session_id", F.sha2(F.concat_ws(":", "session_id", F.col("n").cast("string"), F.col("s").cast("string")).cast("binary"), 256).alias("fingerprint"))
 
 
+def archive_fingerprints(parts: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """session_id, fingerprint of all that a session has in several tables (M1): messages, usage, calls, findings, pins and others.
+
+    parts: a name, and a table with session_id and the fields that count. A row's hash is taken over its table's name and its fields, so
+    that a row that moves to another table changes the print; hashes are added up in one shuffle of the tables' union, in whatever order.
+    """
+    rows = None
+    for name, (df, fields) in parts.items():
+        value = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(name), text_of(fields)).cast("binary"), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+        own = df.select(F.col("session_id").cast("string").alias("session_id"), value.alias("v"))
+        rows = own if rows is None else rows.unionByName(own)
+    sums = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    return sums.select("session_id", F.sha2(F.concat_ws(":", "session_id", F.col("n").cast("string"), F.col("s").cast("string")).cast("binary"), 256).alias("fingerprint"))
+
+
 def changed(now: DataFrame, mirror: DataFrame) -> DataFrame:
     """Sessions that are new, changed or gone against a mirror's fingerprints (M2, M3)."""
     both = now.join(mirror.withColumnRenamed("fingerprint", "old"), "session_id", "full")

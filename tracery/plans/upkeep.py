@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import folder_for
 from ..operators import maintain
-from ..sources.tables import Tables
-from ..streaming import jobs
+from ..sources.tables import Tables, lens
+from ..streaming import jobs, mirror, transcripts
+from . import intake
 
 _ROW = "ordinal || '|' || role || '|' || model || '|' || content_length || '|' || output_tokens || '|' || message_id || '|' || request_id"
 _PRINT = lambda src: f"(SELECT session_id, sha256(session_id || ':' || count(*) || ':' || sum(('0x' || substr(sha256({_ROW}), 1, 12))::BIGINT)) AS fingerprint FROM {src} GROUP BY 1)"
@@ -27,7 +30,34 @@ def _newer_half(t: Tables):
     return maintain.latest(t.messages.select("session_id", "event_id", "event_type"), "session_id", "event_id", ((least or 0) + (most or 0)) // 2, most or 0)
 
 
+def _archive(t: Tables):
+    """Text sessions with their turns, the calls of the order with their number, failed calls as findings, each ninth turn as a pin, and the usage of the user with their number."""
+    own = t.turns.select("session_id").distinct()
+    calls = t.calls.join(own, "session_id", "left_semi")
+    usage = t.messages.where("role = 'assistant'").select(F.col("user_id").alias("session_id"), "event_id", "model", "output_tokens").join(own, "session_id", "left_semi")
+    return maintain.archive_fingerprints(
+        {
+            "messages": (t.turns, ["ordinal", "role", "content"]),
+            "usage": (usage, ["event_id", "model", "output_tokens"]),
+            "calls": (calls, ["call_index", "tool_name", "input"]),
+            "findings": (calls.where("failed"), ["call_index", "category"]),
+            "pins": (t.turns.where("(session_id + ordinal) % 9 = 0"), ["ordinal"]),
+        }
+    )
+
+
+_PART = lambda name, fields: f"('0x' || substr(sha256('{name}|' || {fields}), 1, 12))::BIGINT AS v"
+_ARCHIVE = f""", own AS (SELECT DISTINCT session_id FROM turns), parts AS (
+  SELECT session_id, {_PART("messages", "ordinal || '|' || role || '|' || coalesce(content, '-')")} FROM turns
+  UNION ALL SELECT user_id, {_PART("usage", "event_id || '|' || model || '|' || output_tokens")} FROM messages WHERE role = 'assistant' AND user_id IN (FROM own)
+  UNION ALL SELECT session_id, {_PART("calls", "call_index || '|' || tool_name || '|' || input")} FROM calls WHERE session_id IN (FROM own)
+  UNION ALL SELECT session_id, {_PART("findings", "call_index || '|' || category")} FROM calls WHERE failed AND session_id IN (FROM own)
+  UNION ALL SELECT session_id, {_PART("pins", "ordinal")} FROM turns WHERE (session_id + ordinal) % 9 = 0)
+  SELECT session_id::VARCHAR AS session_id, sha256(session_id || ':' || count(*) || ':' || sum(v)) AS fingerprint FROM parts GROUP BY session_id"""
+
+
 LENS_QUERIES = {
+    "upkeep_archive_fingerprints": (_archive, _ARCHIVE),
     "upkeep_fingerprints": (lambda t: maintain.fingerprints(t.messages), f" SELECT * FROM {_PRINT('messages')}"),
     "upkeep_changed": (lambda t: maintain.changed(maintain.fingerprints(_new(t)), maintain.fingerprints(_old(t))), f", a AS {_PRINT('(SELECT * FROM messages WHERE user_id % 13 <> 0)')}, b AS {_PRINT(_OLD)} SELECT session_id, CASE WHEN b.fingerprint IS NULL THEN 'new' WHEN a.fingerprint IS NULL THEN 'gone' ELSE 'changed' END AS change FROM a FULL JOIN b USING (session_id) WHERE a.fingerprint IS DISTINCT FROM b.fingerprint"),
     "upkeep_diff_plan": (lambda t: maintain.diff_plan(_old(t).where("ordinal % 9 <> 8"), t.messages.where("event_id % 53 <> 0")), f", a AS (SELECT session_id, ordinal, {_ROW.partition(' || ')[2].partition(' || ')[2]} AS x FROM {_OLD} WHERE ordinal % 9 <> 8), b AS (SELECT session_id, ordinal, {_ROW.partition(' || ')[2].partition(' || ')[2]} AS y FROM messages WHERE event_id % 53 <> 0), c AS (SELECT session_id, count(*) FILTER (x IS NULL) AS added, count(*) FILTER (y IS NULL) AS missing, count(*) FILTER (x <> y) AS updated, count(x) AS stored FROM a FULL JOIN b USING (session_id, ordinal) GROUP BY 1) SELECT session_id, added, updated, CASE WHEN missing > 0 OR updated * 2 > stored THEN 'replace' WHEN updated > 0 THEN 'update' WHEN added > 0 THEN 'append' ELSE 'none' END AS plan FROM c"),
@@ -45,8 +75,37 @@ def _stream(operator, mode: str):
     return lambda spark, sf_dir: jobs.run_to_end(operator(jobs.events_stream(spark, sf_dir)), mode)
 
 
+def _transcripts(spark, sf_dir: str):
+    """The text sessions as transcripts of fifty each, in segments of which each repeats the two lines before it, read as a stream of several batches."""
+    folder = folder_for(spark)
+    turns = lens(spark, sf_dir).turns
+    order = Window.partitionBy("transcript").orderBy("session_id", "ordinal")
+    own = turns.withColumn("transcript", F.floor(F.col("session_id") / 50))
+    named = own.select(F.col("transcript").alias("session_id"), (F.row_number().over(order) - 1).alias("ordinal"), "role", "content")
+    transcripts.written_in_segments(intake._tree_lines(Tables(None, None, None, named)), f"{folder}/lines", bytes_each=1 << 16, again=2)
+    files = spark.read.format("binaryFile").load(f"{folder}/lines/*/*").count()
+    found = jobs.run_to_end(transcripts.uuid_tree(transcripts.lines_stream(spark, f"{folder}/lines", max(1, files // 3 + 1))), "append")
+    return found.select("file", "ordinal", "role", "content", "model", "is_system", "uuid", "output_tokens")
+
+
+def _mirror(spark, sf_dir: str):
+    """A mirror of all sessions but automated ones and each eleventh user's, which are deleted."""
+    folder = folder_for(spark)
+    stream = jobs.events_stream(spark, sf_dir)
+    deleted = lambda: spark.read.parquet(f"{folder}/deleted")
+    lens(spark, sf_dir).sessions.where("user_id % 11 = 3").select("session_id").write.parquet(f"{folder}/deleted")
+    mirror.keep(stream, f"{folder}/mirror", f"{folder}/state", "event_id", _MIRRORED, ~F.col("is_automated"), deleted).awaitTermination()
+    prints = spark.read.parquet(f"{folder}/mirror/fingerprints").select("session_id", "fingerprint")
+    rows = spark.read.parquet(f"{folder}/mirror/messages")
+    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("messages"), F.sum("output_tokens").alias("output_tokens")).join(prints, "session_id")
+
+
+_MIRRORED = ["event_id", "role", "model", "output_tokens"]
+
 #: Streams over `events`, run to the end of what is there. Their SQL has the lens put before it.
 STREAM_QUERIES = {
+    "stream_transcripts": (_transcripts, ", w AS (SELECT session_id // 50 AS f, row_number() OVER (PARTITION BY session_id // 50 ORDER BY session_id, ordinal) - 1 AS o, role, content FROM turns) SELECT f::VARCHAR AS file, o AS ordinal, role, content, CASE WHEN role = 'assistant' THEN 'm' || o % 3 ELSE '' END AS model, role = 'system' AS is_system, f || '-' || o AS uuid, length(content) AS output_tokens FROM w"),
+    "stream_mirror": (_mirror, " SELECT session_id, count(*) AS messages, sum(output_tokens)::BIGINT AS output_tokens, sha256(session_id || ':' || count(*) || ':' || sum(('0x' || substr(sha256(event_id || '|' || role || '|' || model || '|' || output_tokens), 1, 12))::BIGINT)) AS fingerprint FROM messages WHERE NOT is_automated AND user_id % 11 <> 3 GROUP BY 1"),
     "stream_recomputes": (_stream(jobs.recomputes, "append"), None),
     "stream_live_counts": (_stream(jobs.live_counts, "complete"), " SELECT project, count(*) AS messages, sum(output_tokens)::BIGINT AS output_tokens FROM messages GROUP BY 1"),
     "stream_versions": (_stream(lambda m: jobs.versions(m).withColumn("version", F.unix_micros("version")), "complete"), " SELECT session_id, count(*) AS messages, max(epoch_us(ts)) AS version FROM messages GROUP BY 1"),
