@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import LENS_SQL, lens
-from . import advice, billing, intake, job, mixes, ranges, reports, search, signals, upkeep
+from . import advice, billing, evidence, intake, job, mixes, ranges, reports, search, signals, upkeep
 
-FAMILIES = [reports.QUERIES, signals.QUERIES, search.LENS_QUERIES, upkeep.LENS_QUERIES, intake.LENS_QUERIES, advice.QUERIES, ranges.QUERIES, job.QUERIES, billing.QUERIES, mixes.QUERIES]
+FAMILIES = [reports.QUERIES, signals.QUERIES, search.LENS_QUERIES, upkeep.LENS_QUERIES, intake.LENS_QUERIES, advice.QUERIES, ranges.QUERIES, job.QUERIES, billing.QUERIES, mixes.QUERIES, evidence.QUERIES]
 TABLES = [search.TABLE_QUERIES, {name: (query, sql and LENS_SQL + sql) for name, (query, sql) in upkeep.STREAM_QUERIES.items()}]
 
 
