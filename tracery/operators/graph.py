@@ -184,4 +184,4 @@ def alias_at(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     own = Window.partitionBy("model").orderBy("valid_from")
     spans = aliases.withColumn("valid_to", F.lead("valid_from").over(own)).withColumnRenamed("model", "alias")
     hit = (rows["model"] == spans["alias"]) & (rows["ts"] >= spans["valid_from"]) & (spans["valid_to"].isNull() | (rows["ts"] < spans["valid_to"]))
-    return rows.join(F.broadcast(spans), hit, "left").withColumn("resolved", F.coalesce("target", "model")).drop("alias", "valid_from", "valid_to", "target")  # aliases are a rate card's
+    return rows.join(spans, hit, "left").withColumn("resolved", F.coalesce("target", "model")).drop("alias", "valid_from", "valid_to", "target")

@@ -21,8 +21,35 @@ CATEGORIES = {
     "Task": ["task", "agent", "spawn_agent", "subagent"],
     "Tool": ["websearch", "webfetch", "todowrite", "skill", "mcp"],
 }
-#: How the only user turn of an automated session begins.
-AUTOMATED = ["You are a code reviewer", "Review the following", "<scheduled-task>", "Generate a commit message", "Summarize this conversation"]
+#: How the only user turn of an automated session begins. One that names a product is left out; callers give such ones themselves.
+AUTOMATED = [
+    "You are a code reviewer.",
+    "You are a security code reviewer.",
+    "You are a design reviewer.",
+    "You are a code assistant. Your task is to address",
+    "You are a code review insights analyst.",
+    "You are reviewing whether an implementation matches",
+    "You are a plan document reviewer.",
+    "You are a spec document reviewer.",
+    "You are summarizing a day of AI agent activity.",
+    "You are analyzing AI agent sessions.",
+    "## Analysis Request",
+    "# Fix Request",
+    "You are a helpful assistant working on a software project.",
+    "You are combining multiple code review outputs into a single GitHub PR comment.",
+    "You are generating a changelog",
+    "<user_action>",
+    "Review the code changes introduced by commit ",
+    "Review the code changes in commit ",
+    "Implement the following plan:",
+]
+#: What stands anywhere in it.
+AUTOMATED_WITHIN = [
+    "You are a security code reviewer with an exploitability burden of proof. Review the code changes for concrete vulnerabilities",
+    "You are a conversation title generator",
+]
+#: All of it but for blanks around it.
+AUTOMATED_WHOLE = ["Warmup", "Respond with exactly: OK", "Reply with exactly OK."]
 #: Shared fields of the lines of the uuid-tree format, and of the event-log format.
 TREE = "type string, uuid string, parentUuid string, timestamp string, isMeta boolean, message struct<role:string,model:string,content:string,usage:struct<input_tokens:long,output_tokens:long>>"
 LOG = "type string, timestamp string, payload struct<id:string,model:string,role:string,text:string,output_tokens:long>"
@@ -186,13 +213,21 @@ def linked(t: Tables) -> DataFrame:
     return own.join(t.sessions.select(F.col("session_id").alias("parent_id"), F.col("message_count").alias("parent_messages")), "parent_id")
 
 
-def automated(turns: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
-    """Sessions of one user turn that begins as an automated prompt does."""
-    own = turns.where("role = 'user' and not is_system").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("content", "ordinal").alias("first"))
-    hit = F.lit(False)
-    for p in prefixes if prefixes is not None else AUTOMATED:
+def automated(turns: DataFrame, prefixes: list[str] | None = None, within: list[str] | None = None, whole: list[str] | None = None) -> DataFrame:
+    """Sessions of at most one user turn whose first one with text begins as an automated prompt does, holds a part of one, or is one.
+
+    Patterns that callers give come in the place of the fixed ones, those of other kinds too. Sessions without a user turn have no row.
+    """
+    given = prefixes is not None or within is not None or whole is not None
+    prefixes, within, whole = (prefixes or [], within or [], whole or []) if given else (AUTOMATED, AUTOMATED_WITHIN, AUTOMATED_WHOLE)
+    said = F.when(F.trim(F.coalesce("content", F.lit(""))) != "", F.struct("ordinal", "content"))
+    own = turns.where("role = 'user' and not is_system").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min(said)["content"].alias("first"))
+    hit = F.regexp_replace("first", r"^\s+|\s+$", "").isin(whole)
+    for p in prefixes:
         hit = hit | F.col("first").startswith(p)
-    return own.select("session_id", ((F.col("n") == 1) & hit).alias("is_automated"))
+    for p in within:
+        hit = hit | F.contains("first", F.lit(p))
+    return own.select("session_id", ((F.col("n") <= 1) & F.coalesce(hit, F.lit(False))).alias("is_automated"))
 
 
 def audit(now: DataFrame, stored: DataFrame) -> DataFrame:

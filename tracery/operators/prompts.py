@@ -25,8 +25,24 @@ COMMANDS = ["rg", "grep", "git", "ls", "find", "cat", "sed", "awk", "go", "npm",
 GIVE_UP = ["i'm unable to", "i can't proceed", "i don't have access", "i cannot proceed", "i am unable to"]
 FILE_REF = r"""(?i)(?:^|[\s"'`])(?:\.{0,2}/)?[a-z0-9_.-]+(?:/[a-z0-9_. -]+)+|[a-z0-9_.-]+\.(?:go|ts|tsx|js|jsx|py|rs|java|kt|rb|php|cs|cpp|c|h|hpp|sql|svelte|vue|css|scss|html|json|ya?ml|toml|md|sh|zsh|bash)"""
 BULLET = r"(?m)^\s*(?:[-*+]|\d+\.)\s+\S+"
-#: Context windows by model name, or by what stands before a dash in it.
-WINDOWS = {"gpt-4o-mini": 128_000, "gpt-4o": 128_000, "gpt-4-turbo": 128_000, "o3": 200_000, "o4-mini": 200_000, "gemini-2.5-pro": 1_000_000, "gemini-2.5-flash": 1_000_000, "gemini-2.0-flash": 1_000_000}
+#: Context windows by model name, or by what stands before a dash in it.
+WINDOWS = {
+    "claude-opus-4-6": 1_000_000,
+    "claude-sonnet-4-6": 200_000,
+    "claude-sonnet-4-5": 200_000,
+    "claude-haiku-4-5": 200_000,
+    "claude-3-5-sonnet": 200_000,
+    "claude-3-opus": 200_000,
+    "claude-3-haiku": 200_000,
+    "gpt-4o-mini": 128_000,
+    "gpt-4o": 128_000,
+    "gpt-4-turbo": 128_000,
+    "o3": 200_000,
+    "o4-mini": 200_000,
+    "gemini-2.5-pro": 1_000_000,
+    "gemini-2.5-flash": 1_000_000,
+    "gemini-2.0-flash": 1_000_000,
+}
 
 
 def says(text: Column, phrases: list[str]) -> Column:
@@ -88,7 +104,7 @@ def pressures(messages: DataFrame, peaks: DataFrame) -> DataFrame:
     """Peak context (session_id, peak) over the window of the session's most frequent assistant model, ties to the one seen first (Q7, Q8)."""
     n = messages.where("role = 'assistant' and model <> ''").groupBy("session_id", "model").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"))
     top = n.groupBy("session_id").agg(F.max_by("model", F.struct("n", -F.col("first"))).alias("model"))
-    return top.join(peaks.where("peak > 0"), "session_id").join(F.broadcast(window_sizes(top)), "model").select("session_id", (F.col("peak") / F.col("size")).alias("pressure"))  # a row for each model
+    return top.join(peaks.where("peak > 0"), "session_id").join(window_sizes(top), "model").select("session_id", (F.col("peak") / F.col("size")).alias("pressure"))
 
 
 def mid_task(messages: DataFrame, calls: DataFrame, before: int = 10, after: int = 5, shared: int = 2) -> DataFrame:

@@ -6,20 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = "[^a-z0-9]+"
-#: Name, Java pattern, literal that any match holds (lower case), number of the group that is the secret.
-DETECTORS = [
-    ("aws_access_key", r"\b((?:AKIA|ASIA)[A-Z0-9]{16})\b", "", 1),
-    ("github_token", r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b", "gh", 1),
-    ("slack_token", r"\b(xox[abprs]-[A-Za-z0-9-]{10,})", "xox", 1),
-    ("google_api_key", r"\b(AIza[A-Za-z0-9_-]{35})", "aiza", 1),
-    ("stripe_key", r"\b((?:sk|rk)_live_[A-Za-z0-9]{16,})", "_live_", 1),
-    ("openai_key", r"\b(sk-[A-Za-z0-9_-]{20,})", "sk-", 1),
-    ("npm_token", r"\b(npm_[A-Za-z0-9]{36})\b", "npm_", 1),
-    ("jwt", r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", "eyj", 1),
-    ("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", "-----begin", 1),
-    ("url_password", r"://[^/\s:@]+:([^/\s:@]{8,})@", "://", 1),
-    ("assignment", r"(?i)\b(?:password|passwd|secret|token|api_?key)\s*[:=]\s*[\"']?([A-Za-z0-9+/_.=-]{16,})", "", 1),
-]
 RULES_VERSION = "1"
 
 
@@ -299,49 +285,6 @@ def entropy(text: Column) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 
-def placeholder(text: Column) -> Column:
-    """Values that stand for a secret: one block repeated, or fewer than four different characters."""
-    return text.rlike(r"^(.{1,4})\1{3,}$") | (F.size(F.array_distinct(F.split(text, ""))) < 4)
-
-
-def secrets(texts: DataFrame) -> DataFrame:
-    """key, rule, match, masked for each secret in texts (key, text); assignments need entropy 3.5 and 20 characters."""
-    parts = []
-    for name, pattern, needs, group in DETECTORS:
-        own = texts.where(F.contains(F.lower("text"), F.lit(needs))) if needs else texts
-        found = own.select("key", F.lit(name).alias("rule"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("match"))
-        parts.append(found.where((F.length("match") >= 20) & (entropy(F.col("match")) >= 3.5) & ~placeholder(F.col("match"))) if name == "assignment" else found)
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out.withColumn("masked", mask(F.col("match")))
-
-
-def mask(secret: Column) -> Column:
-    """The first and last four characters; nothing of short ones."""
-    return F.when(F.length(secret) < 12, "****").otherwise(F.concat(F.substring(secret, 1, 4), F.lit("..."), F.right(secret, F.lit(4))))
-
-
-def redact(text: Column) -> Column:
-    """A text with every secret masked as a whole."""
-    for _, pattern, _, _ in DETECTORS:
-        text = F.regexp_replace(text, pattern, "[secret]")
-    return text
-
-
-def still_leaks(text: Column) -> Column:
-    """Whether any detector finds something in a text."""
-    found = F.lit(False)
-    for _, pattern, _, _ in DETECTORS:
-        found = found | text.rlike(pattern)
-    return found
-
-
-def leaks(findings: DataFrame) -> DataFrame:
-    """Findings by key and rule."""
-    return findings.groupBy("key", "rule").agg(F.count(F.lit(1)).alias("findings"))
-
-
 def stale(stamped: DataFrame, active: tuple[str, ...] = (RULES_VERSION,)) -> DataFrame:
     """Rows (key, rules_version) whose stamp is of no active version: they are to be scanned anew."""
     return stamped.where(~F.coalesce(F.col("rules_version").isin(*active), F.lit(False))).select("key")
@@ -384,57 +327,59 @@ def repeated_block(text: Column) -> Column:
     most = F.array_max(F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c))))
     hit = most * 4 >= n * 3
 
-    def covers(size: int, phase: int) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - phase) / size) - 1, F.lit(0)).cast("int")), lambda i: F.substring(text, i * size + phase + 1, F.lit(size)))
-        return (n >= 3 * size) & (F.size(F.filter(blocks, lambda b: b == F.substring(text, phase + 1, size))) * size * 4 >= n * 3)
+    def covers(size: Column, phase: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - phase) / size) - 1, F.lit(0)).cast("int")), lambda i: F.substring(text, i * size + phase + 1, size))
+        return (n >= size * 3) & (F.size(F.filter(blocks, lambda b: b == F.substring(text, phase + 1, size))) * size * 4 >= n * 3)
 
-    for size in range(2, 7):
-        for phase in range(size):
-            hit = hit | covers(size, phase)
-    return (n >= 8) & F.coalesce(hit, F.lit(False))
+    places = F.array(*(F.struct(F.lit(size).alias("size"), F.lit(phase).alias("phase")) for size in range(2, 7) for phase in range(size)))
+    return (n >= 8) & F.coalesce(hit | F.exists(places, lambda p: covers(p["size"], p["phase"])), F.lit(False))
 
 
-def sound(match: Column, known: int, random: bool) -> Column:
+def sound(match: Column, known: Column, random: Column) -> Column:
     """Whether a match is no placeholder: what follows its known beginning has no repeated block, no run of neighbours, no known example and, where it must be random, entropy 3.5 and no four like characters at its end."""
-    if known == -1:
-        return F.lit(True)
-    if known == -2:  # a key block: enough of base64 between its lines
-        body = F.regexp_replace(F.regexp_replace(match, "-----[A-Z ]*-----", ""), r"\s", "")
-        return (F.length(body) >= 48) & (F.length(F.regexp_replace(body, "[^A-Za-z0-9+/=]", "")) * 100 >= F.length(body) * 99)
-    if known == -3:
-        body = F.rtrim(match, F.lit("="))
-        return (F.length(body) >= 20) & (entropy(body) >= 3.5)
+    # A key block: enough of base64 between its lines. Headers of an encrypted key ("Name: value" up to an empty line) are no part of it.
+    inner = F.regexp_replace(match, "-----[A-Z ]*-----", "")
+    block = F.regexp_replace(F.regexp_replace(inner, r"^\s*[A-Za-z-]+:[\s\S]*?(?:\n\n|\r\n\r\n)", ""), r"\s", "")
+    is_block = (F.length(block) >= 48) & (F.length(F.regexp_replace(block, "[^A-Za-z0-9+/=]", "")) * 100 >= F.length(block) * 99)
+    value = F.rtrim(match, F.lit("="))
+    is_value = (F.length(value) >= 20) & (entropy(value) >= 3.5)
     body = F.substring(match, known + 1, F.length(match))
-    out = ~F.contains(match, F.lit("EXAMPL")) & ~F.contains(match, F.lit("IOSFODNN")) & ~repeated_block(body) & ~monotone_run(body)
-    return out & (entropy(body) >= 3.5) & ~match.rlike(r"(.)\1{3}$") if random else out
+    plain = ~F.contains(match, F.lit("EXAMPL")) & ~F.contains(match, F.lit("IOSFODNN")) & ~repeated_block(body) & ~monotone_run(body)
+    return F.when(known == -1, F.lit(True)).when(known == -2, is_block).when(known == -3, is_value).otherwise(plain & (~random | ((entropy(body) >= 3.5) & ~match.rlike(r"(.)\1{3}$"))))
 
 
-def scan(texts: DataFrame) -> DataFrame:
-    """key, rule, confidence, match, masked for each finding of the SCANNERS in texts (key, text).
+def findings(text: Column) -> Column:
+    """What the SCANNERS find in a text: an array of rule, confidence, match, masked.
 
-    Texts are read once: each detector looks only where one of its literals is, and what it finds is told in one array.
+    Each detector looks only where one of its literals is; its matches that are placeholders are left out.
     """
     def found(name: str, confidence: str, needs: list[str], pattern: str, group: int, known: int, ends: tuple[int, int], random: bool) -> Column:
         has = F.lit(False)
         for x in needs:
-            has = has | F.contains("text", F.lit(x))
-        hits = F.when(has, F.regexp_extract_all("text", F.lit(pattern), F.lit(group)))
-        return F.transform(hits, lambda m: F.struct(F.lit(name).alias("rule"), m.alias("match")))
-
-    every = F.flatten(F.array_compact(F.array(*(found(*d) for d in SCANNERS))))
-    rows = texts.where("text is not null").select("key", F.explode(every).alias("f")).select("key", "f.rule", "f.match")
-    ok, kind, masked = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, confidence, _, _, _, known, (left, right), random in SCANNERS:
-        own = F.col("rule") == name
-        ok = F.when(own, sound(F.col("match"), known, random)).otherwise(ok)
-        kind = F.when(own, F.lit(confidence)).otherwise(kind)
-        masked = F.when(own, F.lit("[redacted private key block]") if known == -2 else masked_ends(F.col("match"), left, right)).otherwise(masked)
-    return rows.withColumns({"confidence": kind, "masked": masked}).where(ok).select("key", "rule", "confidence", "match", "masked")
-
-
-def masked_ends(secret: Column, left: int, right: int) -> Column:
+            has = has | F.contains(text, F.lit(x))
+        told = {"rule": name, "confidence": confidence, "known": known, "random": random, "left": ends[0], "right": ends[1]}
+        return F.when(has, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.struct(m.alias("match"), *(F.lit(v).alias(k) for k, v in told.items()))))
+
+    every = F.filter(F.flatten(F.array_compact(F.array(*(found(*d) for d in SCANNERS)))), lambda f: sound(f["match"], f["known"], f["random"]))
+    masked = lambda f: F.when(f["known"] == -2, "[redacted private key block]").otherwise(masked_ends(f["match"], f["left"], f["right"]))
+    return F.transform(every, lambda f: F.struct(f["rule"].alias("rule"), f["confidence"].alias("confidence"), f["match"].alias("match"), masked(f).alias("masked")))
+
+
+def scan(texts: DataFrame) -> DataFrame:
+    """key, rule, confidence, match, masked for each finding of the SCANNERS in texts (key, text); texts are read once."""
+    rows = texts.where("text is not null").select("key", F.explode(findings(F.col("text"))).alias("f"))
+    return rows.select("key", "f.rule", "f.confidence", "f.match", "f.masked")
+
+
+def redact(text: Column) -> Column:
+    """A text in which what the SCANNERS find is masked wherever it stands, the longest finding first, so that one within another leaves nothing of it."""
+    order = F.array_sort(findings(text), lambda a, b: F.when(F.length(a["match"]) > F.length(b["match"]), -1).when(F.length(a["match"]) < F.length(b["match"]), 1).when(a["match"] < b["match"], -1).when(a["match"] > b["match"], 1).otherwise(0))
+    return F.aggregate(order, text, lambda out, f: F.replace(out, f["match"], f["masked"]))
+
+
+def masked_ends(secret: Column, left: Column, right: Column) -> Column:
     """A secret with its ends; all of it is masked where little else would be left."""
-    return F.when(F.length(secret) <= left + right + 3, F.lit("****")).otherwise(F.concat(F.substring(secret, 1, left), F.lit("****"), F.right(secret, F.lit(right)) if right else F.lit("")))
+    return F.when(F.length(secret) <= left + right + 3, F.lit("****")).otherwise(F.concat(F.substring(secret, F.lit(1), left), F.lit("****"), F.right(secret, right)))
 
 
 def scan_counts(findings: DataFrame, confidence: str | None = None, rules: list[str] | None = None, version: str = SCANNERS_VERSION, active: str = SCANNERS_VERSION) -> DataFrame:

@@ -55,7 +55,27 @@ def _endings(t: Tables) -> DataFrame:
 _CATEGORY = "CASE " + " ".join(f"WHEN n IN ({', '.join(repr(x) for x in names)}) THEN '{c}'" for c, names in ingest.CATEGORIES.items()) + " ELSE 'Other' END"
 _AUTO = ", f AS (SELECT session_id, count(*) AS n, arg_min(content, ordinal) AS c FROM turns WHERE role = 'user' AND NOT is_system GROUP BY 1)"
 
+#: First prompts of planted sessions: each automated pattern's beginning, parts of others, whole ones with blanks, and near misses.
+PROMPTS = [
+    "You are a code reviewer. Look", "You are a security code reviewer. x", "You are a design reviewer.", "You are a code assistant. Your task is to address all", "You are a code review insights analyst.",
+    "You are reviewing whether an implementation matches", "You are a plan document reviewer.", "You are a spec document reviewer.", "You are summarizing a day of AI agent activity.", "You are analyzing AI agent sessions.",
+    "## Analysis Request", "# Fix Request", "You are a helpful assistant working on a software project.", "You are combining multiple code review outputs into a single GitHub PR comment.", "You are generating a changelog",
+    "<user_action>", "Review the code changes introduced by commit 1", "Review the code changes in commit 2", "Implement the following plan: a",
+    "So: You are a conversation title generator", "Hm. You are a security code reviewer with an exploitability burden of proof. Review the code changes for concrete vulnerabilities!", " Warmup ", "Respond with exactly: OK", "Reply with exactly OK.",
+    " You are a code reviewer.", "you are a code reviewer.", "Warmup now", "A plain question", "  ", "Review the code changes",
+]
+
+
+def _prompted(t: Tables) -> DataFrame:
+    """Sessions of one prompt each, but for each tenth, which has two."""
+    s = F.col("session_id")
+    first = t.turns.where("ordinal = 0").select("session_id", F.lit(0).alias("ordinal"), F.element_at(F.array(*map(F.lit, PROMPTS)), (s % len(PROMPTS) + 1).cast("int")).alias("content"))
+    more = first.where("session_id % 10 = 7").select("session_id", F.lit(2).alias("ordinal"), F.lit("and then?").alias("content"))
+    return ingest.automated(first.unionByName(more).withColumns({"role": F.lit("user"), "is_system": F.lit(False)}))
+
+
 LENS_QUERIES = {
+    "ingest_automated_prompts": (_prompted, f" SELECT session_id, session_id % {len(PROMPTS)} < 24 AND session_id % 10 <> 7 AS is_automated FROM turns WHERE ordinal = 0"),
     "ingest_conversation_paths": (_conversations, " SELECT session_id AS conversation, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) - 1 AS ordinal, role, content AS text FROM turns WHERE content <> '' AND role IN ('user', 'assistant', 'system')"),
     "ingest_termination_status": (_endings, ", o AS (SELECT session_id, arg_max(role, ordinal) FILTER (NOT is_system) AS r, max(ordinal) FILTER (NOT is_system) AS l, max(ordinal) FILTER (NOT is_system AND role = 'assistant') AS a FROM turns GROUP BY 1) SELECT session_id, CASE WHEN session_id % 11 = 5 THEN 'truncated' WHEN a IS NOT NULL AND (session_id + a) % 3 <> 1 AND session_id % 2 = 1 THEN 'tool_call_pending' WHEN r = 'assistant' AND (session_id + l) % 3 < 2 THEN 'awaiting_user' ELSE 'clean' END AS termination FROM o"),
     "ingest_uuid_tree": (lambda t: ingest.uuid_tree(_tree_lines(t)).select("file", "ordinal", "role", "content", "model", "is_system", "uuid", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "output_tokens"), " SELECT session_id::VARCHAR AS file, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) - 1 AS ordinal, role, content, CASE WHEN role = 'assistant' THEN 'm' || ordinal % 3 ELSE '' END AS model, is_system, session_id || '-' || ordinal AS uuid, '2024-01-02 03:04:05' AS ts, length(content) AS output_tokens FROM turns"),

@@ -120,7 +120,24 @@ pn AS (SELECT *, [CASE outcome WHEN 'errored' THEN 30 ELSE 0 END, CASE outcome W
   NOT (o = 'unknown/low') OR calls > 0 OR has_context OR short_prompts > 0 OR unstructured OR no_criteria > 0 OR no_checks > 0 OR repeats > 0 OR no_context > 0 OR runaway AS scored FROM op),
 sc AS (SELECT *, CASE WHEN scored THEN greatest(100 - list_sum(pts), 0)::INT END AS score, CASE WHEN scored THEN array_to_string(list_transform(list_filter(range(1, 15), lambda i: pts[i] > 0), lambda i: ['outcome_errored', 'outcome_abandoned', 'tool_failure_signals', 'tool_retries', 'edit_churn', 'consecutive_failures', 'compactions', 'mid_task_compactions', 'context_pressure_high', 'constraintless_first_prompt', 'missing_success_criteria', 'stuck_repeated_prompts', 'code_task_without_context', 'repeated_failing_tool_cycles'][i] || ':' || pts[i]), ',') END AS penalties FROM pn)"""
 
+#: Models and their windows for the oracle; a name that only has another one before a dash has its window, other names have none.
+NAMED = [
+    ("claude-opus-4-6", 1000000), ("claude-sonnet-4-6-20260101", 200000), ("claude-sonnet-4-5", 200000), ("claude-haiku-4-5", 200000), ("claude-3-5-sonnet-20241022", 200000), ("claude-3-opus", 200000), ("claude-3-haiku-x", 200000),
+    ("gpt-4o-mini-2", 128000), ("gpt-4o", 128000), ("gpt-4-turbo", 128000), ("o3", 200000), ("o4-mini", 200000), ("gemini-2.5-pro", 1000000), ("gemini-2.5-flash-lite", 1000000), ("gemini-2.0-flash", 1000000),
+    ("gpt-4", None), ("claude-3", None), ("gpt-4omini", None), ("other", None),
+]
+
+
+def _windows(t: Tables) -> DataFrame:
+    """The window of the model of each text session, planted by its number, and a peak of its turns' lengths against it."""
+    own = t.turns.groupBy("session_id").agg(F.sum(F.length("content")).alias("peak"), F.count(F.lit(1)).alias("turns"))
+    model = F.element_at(F.array(*(F.lit(n) for n, _ in NAMED)), (F.col("session_id") % len(NAMED) + 1).cast("int"))
+    said = own.select("session_id", F.lit("assistant").alias("role"), F.lit(0).alias("ordinal"), model.alias("model"))
+    return prompts.pressures(said, own).select("session_id", F.round("pressure", 9).alias("pressure"))
+
+
 QUERIES = {
+    "quality_model_windows": (_windows, f", nm(i, size) AS (VALUES {', '.join(f'({i}, {size})' for i, (_, size) in enumerate(NAMED) if size)}), tl AS (SELECT session_id, sum(length(content)) AS peak FROM turns GROUP BY 1) SELECT session_id, round(peak / size, 9) AS pressure FROM tl JOIN nm ON i = session_id % {len(NAMED)} WHERE peak > 0"),
     "quality_tool_failures": (lambda t: calls(t).select("session_id", "call_index", "category", "failed"), f"{_JCALLS} SELECT session_id, call_index, category, failed FROM jc"),
     "quality_prompt_signals": (lambda t: prompts.prompt_signals(messages(t)), f"{_MESSAGES}{_PROMPTS} SELECT * FROM ps"),
     "quality_context_activity": (lambda t: prompts.context_activity(calls(t)), f"{_JCALLS}{_FACTS} SELECT * FROM fk"),
