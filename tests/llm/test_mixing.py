@@ -115,3 +115,12 @@ def test_equal_rows_are_mixed_each(spark):
     docs = spark.createDataFrame([(1, "a b c d", "s", 7, {"k": 1})] * 3 + [(2, "e f", "t", 3, {"k": 2}), (None, None, None, None, None)], "doc_id long, text string, source string, n_chars long, m map<string,int>")
     n = lambda rows: sum(len(r.text.split()) for r in rows)
     assert n(mixing.mixed(docs).collect()) == sum(r.taken for r in mixing.mix_documents(docs).collect()) == 21
+
+
+def test_maps_at_any_depth(spark):
+    docs = spark.createDataFrame(
+        [(1, "a b c d", "s", 7, {"m": {"k": 1}, "n": 1}, [{"a": [1]}])] * 2 + [(1, "a b c d", "s", 7, {"m": {"k": 2}, "n": 1}, [{"a": [1]}]), (2, "e f", "t", 3, None, None)],
+        "doc_id long, text string, source string, n_chars long, x struct<m:map<string,int>,n:int>, y array<map<string,array<int>>>",
+    )
+    rows = mixing.mixed(docs).collect()
+    assert {r.doc_id for r in rows} == {1, 2} and sorted({r.x.m["k"] for r in rows if r.doc_id == 1}) == [1, 2] and mixing.mixed(docs).columns == docs.columns

@@ -18,7 +18,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from .common import staged
 
@@ -172,13 +172,20 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", part.cast("long").alias("taken"))
 
 
+def has_map(kind: DataType) -> bool:
+    """Whether a type is a map or holds one at any depth; such values have no hash."""
+    if isinstance(kind, StructType):
+        return any(has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or (isinstance(kind, ArrayType) and has_map(kind.elementType))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself, in its order: a document's row once for each pass that takes words of it.
 
     Of a document in which the budget ends, the text is cut after the last word taken, and n_chars is set anew. Rows
     that are equal throughout are documents of their own, as in mix_documents.
     """
-    own = [F.when(F.col(f"`{c}`").isNull(), F.lit(None)).otherwise(F.to_json(F.struct(F.col(f"`{c}`").alias("x")))) if isinstance(t, MapType) else F.col(f"`{c}`") for c, t in ((f.name, f.dataType) for f in docs.schema.fields)]
+    own = [F.when(F.col(f"`{f.name}`").isNull(), F.lit(None)).otherwise(F.to_json(F.struct(F.col(f"`{f.name}`").alias("x")))) if has_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema.fields]
     keyed = docs.withColumns({"__a": F.xxhash64(*own), "__b": F.xxhash64(*own, F.lit(1))})  # 128 bits, which the join has in common with what it joins
     rows = schedule(keyed, F.col("__a").alias("a"), F.col("__b").alias("b")).where("taken > 0")
     rows = rows.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("finish").alias("__finish"))

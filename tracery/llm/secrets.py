@@ -37,7 +37,8 @@ RULES = [
     Rule("assign", 1, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", (":", "="), lambda m: len(m[2]) >= 12, re.ASCII | re.IGNORECASE),
     Rule("access", 1, r"AKIA[A-Z0-9]+", ("AKIA",), lambda m: len(m[0]) >= 18),
     Rule("hex", 1, r"[0-9a-f]{16,}"),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("-----BEGIN ",)),
+    # A whole block; one that is cut off goes on to the end of the text.
+    Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----|[\s\S]*)", ("-----BEGIN ",)),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ",)),
 ]
