@@ -130,7 +130,8 @@ def scan_versions(versions: DataFrame, text_col: str, *keep: Column, ledger: str
     found = found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     found = staged(found)  # else the join follows an aggregation, and Spark can't split a blob with very many paths
     paths, kept = keeping(versions, keep, {"blob": blob_of(text)}, ["spans"])
-    return paths.join(found, "blob", "left").select(*(f"`{c}`" for c in kept), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    # Shuffled at every size, so that a small table costs what a large one does.
+    return paths.join(found.hint("merge"), "blob", "left").select(*(f"`{c}`" for c in kept), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def told(spans: Column) -> Column:
