@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import staged
+
 WORD = "[^a-z0-9]+"
 RULES_VERSION = "1"
 
@@ -67,15 +69,20 @@ def search_sessions(turns: DataFrame, names: DataFrame, terms: list[str], recent
     return rows.join(names.select("session_id", "ended"), "session_id").orderBy(*ordered).limit(limit)
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: list[str], limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The best documents for the query's words by BM25, ties by key (T3). Only postings of the query's words are shuffled."""
-    words = docs.select(F.col(key).alias("key"), lower_words(F.col(text)).alias("w"))
-    stats = words.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("w")).alias("mean"))
-    counted = lambda q: F.struct(F.lit(q).alias("q"), F.size(F.filter("w", lambda x: x == q)).alias("tf"))
-    hits = words.select("key", F.size("w").alias("len"), F.explode(F.array(*map(counted, query))).alias("h")).select("key", "len", "h.q", "h.tf").where("tf > 0")
+def bm25(docs: DataFrame, key: str, text: str, query: list[str], limit: int = 20, k1: float = 1.2, b: float = 0.75, scope: Column | None = None) -> DataFrame:
+    """The best documents for the query's words by BM25, ties by key (T3); with a scope (over columns of docs), the best of those in it, by the statistics of all.
+
+    Texts are read once: what is kept of each is its length and how often it has each word. Only postings of the query's words are shuffled.
+    """
+    words = docs.select(F.col(key).alias("key"), lower_words(F.col(text)).alias("w"), F.coalesce(scope if scope is not None else F.lit(True), F.lit(False)).alias("inside"))
+    times_of = lambda q: F.size(F.filter("w", lambda x: x == q))
+    times = F.array(*map(times_of, query))
+    told = staged(words.select("key", "inside", F.size("w").alias("len"), times.alias("times")))
+    stats = told.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("mean"))
+    hits = told.select("key", "inside", "len", F.posexplode("times").alias("q", "tf")).where("tf > 0")
     df = hits.groupBy("q").agg(F.count(F.lit(1)).cast("double").alias("df"))
     part = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = hits.join(F.broadcast(df), "q").join(F.broadcast(stats)).groupBy("key").agg(F.round(F.sum(part), 6).alias("score"))  # df: a row for each word of the query
+    scored = hits.where("inside").join(F.broadcast(df), "q").join(F.broadcast(stats)).groupBy("key").agg(F.round(F.sum(part), 6).alias("score"))  # df: a row for each word of the query
     return scored.orderBy(F.desc("score"), "key").limit(limit)
 
 
@@ -159,6 +166,34 @@ def hybrid(docs: DataFrame, vectors: DataFrame, words: list[str], k: int = 20) -
     return fuse([own(keyword, "key"), own(near, "vec_id")], k)
 
 
+def hybrid_units(turns: DataFrame, sessions: DataFrame, vectors: DataFrame, query: DataFrame, words: list[str], k: int = 20) -> DataFrame:
+    """key (session and first ordinal of a unit) and score: the units that match words or a query vector best, by fused ranks.
+
+    turns as for `units`; sessions: session_id, relationship, in_scope; vectors: session_id, first, embedding, one for a unit; query: vec_id, embedding (one row).
+    Sessions out of scope are left out before either leg takes its 4 k best. A message that matches stands for its unit, which has the rank of its best
+    message; a unit is subordinate if its session is, or if it is a side chain.
+    """
+    scoped = sessions.where("in_scope").select("session_id", F.col("relationship").isin("subagent", "fork").alias("below"))
+    found = staged(units(turns).join(scoped, "session_id").select("session_id", "first", "last", F.concat_ws("-", "session_id", "first").alias("key"), (F.col("below") | F.col("is_sidechain")).alias("subordinate")))
+    own = turns.where("not is_system and role in ('user', 'assistant')").join(scoped.withColumn("inside", F.lit(True)), "session_id", "left")
+    said = own.select(F.struct("session_id", "ordinal").alias("at"), "content", "inside")
+    hits = bm25(said, "at", "content", words, 4 * k, scope=F.col("inside"))
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "key"))
+    ranked = hits.withColumn("rank", rank).select("key.session_id", "key.ordinal", "rank")  # 4 k rows
+    best = unit_ranges_with(ranked, found).groupBy("key", "subordinate").agg(F.min("rank").alias("best"))
+    keyword = best.select("key", F.row_number().over(Window.orderBy("best")).alias("rank"), "subordinate")
+    near = vectors.join(found, ["session_id", "first"]).select(F.col("key").alias("vec_id"), "embedding", "subordinate")
+    q = query.select(F.lit("").alias("vec_id"), "embedding")
+    close = semantic(near, q, 4 * k).join(near.select("vec_id", "subordinate"), "vec_id").select(F.col("vec_id").alias("key"), "rank", "subordinate")
+    return fuse([keyword, close], k)
+
+
+def unit_ranges_with(hits: DataFrame, unit: DataFrame) -> DataFrame:
+    """hits (session_id, ordinal) with the columns of the unit whose range holds each."""
+    own = unit.withColumnRenamed("session_id", "s")
+    return hits.join(own, (hits["session_id"] == own["s"]) & hits["ordinal"].between(own["first"], own["last"])).drop("s")
+
+
 def unit_changes(now: DataFrame, before: DataFrame) -> DataFrame:
     """key and whether it was added, changed or deleted, by the hash of its text."""
     a, b = (df.select("key", F.sha2(F.col("text").cast("binary"), 256).alias(f"h{i}")) for i, df in enumerate((now, before)))
@@ -167,16 +202,14 @@ def unit_changes(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 #: Why a text looks like an attempt to steer a model, and the pattern that tells it.
-_LEAD = r"(?im)^\s*(?:(?:body|trigger|snippet):\s*)?"
-_SHOW, _ORDERS = "(?:reveal|print|dump|leak|exfiltrate)", "ignore|disregard|reveal|print|run|execute|fetch|follow|answer|delete|change"
 BAIT = [
     ("prior_instruction_override", r"(?is)\b(?:ignore|disregard)\s+(?:all\s+)?(?:previous|prior|above)\s+instructions\b[^\n.!?]*(?:[\n.!?]|$)"),
-    ("role_marker_override", _LEAD + rf"(?:system|developer|assistant|user|tool)\s*:\s*(?:{_ORDERS})\b[^\n]*(?:\n|$)"),
-    ("privileged_instruction_marker", _LEAD + rf"(?:(?:new|updated|override|higher-priority)\s+)?(?:system|developer)\s+(?:message|prompt|instructions?|directive)\s*:\s*(?:{_ORDERS}|use|obey|treat)\b[^\n]*(?:\n|$)"),
-    ("secret_exfiltration", _LEAD + _SHOW + r"\b[^\n]*(?:system|developer)\s+prompt\b[^\n]*(?:\n|$)"),
-    ("secret_exfiltration", _LEAD + _SHOW + r"\b[^\n]*(?:api\s*key|secret|token|password)\b[^\n]*(?:\n|$)"),
-    ("command_execution", _LEAD + rf"(?:run|execute)\b[^\n]*(?:curl|wget|rm\s+-rf|bash|sh|python3?|osascript|powershell)\b[^\n]*(?:before\s+(?:answering|responding)|then\s+(?:answer|respond)|{_SHOW}\b[^\n]*(?:system|developer)\s+prompt|{_SHOW}\b[^\n]*(?:api\s*key|secret|token|password))[^\n]*(?:\n|$)"),
-    ("external_instruction_fetch", _LEAD + r"(?:fetch|visit|open)\s+https?://\S+[^\n]*(?:follow|obey|use)\s+(?:the\s+)?instructions?\b[^\n]*(?:\n|$)"),
+    ("role_marker_override", r"(?im)^\s*(?:(?:body|trigger|snippet):\s*)?(?:system|developer|assistant|user|tool)\s*:\s*(?:ignore|disregard|reveal|print|run|execute|fetch|follow|answer|delete|change)\b[^\n]*(?:\n|$)"),
+    ("privileged_instruction_marker", r"(?im)^\s*(?:(?:body|trigger|snippet):\s*)?(?:(?:new|updated|override|higher-priority)\s+)?(?:system|developer)\s+(?:message|prompt|instructions?|directive)\s*:\s*(?:ignore|disregard|reveal|print|run|execute|fetch|follow|answer|delete|change|use|obey|treat)\b[^\n]*(?:\n|$)"),
+    ("secret_exfiltration", r"(?im)^\s*(?:(?:body|trigger|snippet):\s*)?(?:reveal|print|dump|leak|exfiltrate)\b[^\n]*(?:system|developer)\s+prompt\b[^\n]*(?:\n|$)"),
+    ("secret_exfiltration", r"(?im)^\s*(?:(?:body|trigger|snippet):\s*)?(?:reveal|print|dump|leak|exfiltrate)\b[^\n]*(?:api\s*key|secret|token|password)\b[^\n]*(?:\n|$)"),
+    ("command_execution", r"(?im)^\s*(?:(?:body|trigger|snippet):\s*)?(?:run|execute)\b[^\n]*(?:curl|wget|rm\s+-rf|bash|sh|python3?|osascript|powershell)\b[^\n]*(?:before\s+(?:answering|responding)|then\s+(?:answer|respond)|(?:reveal|print|dump|leak|exfiltrate)\b[^\n]*(?:system|developer)\s+prompt|(?:reveal|print|dump|leak|exfiltrate)\b[^\n]*(?:api\s*key|secret|token|password))[^\n]*(?:\n|$)"),
+    ("external_instruction_fetch", r"(?im)^\s*(?:(?:body|trigger|snippet):\s*)?(?:fetch|visit|open)\s+https?://\S+[^\n]*(?:follow|obey|use)\s+(?:the\s+)?instructions?\b[^\n]*(?:\n|$)"),
 ]
 
 
