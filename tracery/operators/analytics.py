@@ -230,11 +230,10 @@ def top_by(t: Tables, metric: str, limit: int = 10) -> DataFrame:
     return visible(t.sessions).select("session_id", "project", F.col(column).alias("value")).orderBy(F.desc("value"), "session_id").limit(limit)
 
 
-def call_times(t: Tables) -> DataFrame:
-    """Calls by week of the message that made them and by category; a call without its message counts under no week."""
-    at = t.turns.select("session_id", "ordinal", F.date_format(F.date_trunc("week", F.timestamp_seconds(F.col("session_id") * 86400 + F.col("ordinal") * 60)), "yyyy-MM-dd").alias("week"))
-    own = t.calls.join(t.turns.select("session_id").distinct(), "session_id", "left_semi")
-    return own.join(at, ["session_id", "ordinal"], "left").groupBy("week", "category").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("session_id").alias("sessions"))
+def call_times(calls: DataFrame, messages: DataFrame) -> DataFrame:
+    """Calls by week of the message (session_id, ordinal, ts) that made them and by category; a call without its message, or whose message has no time, counts under no week."""
+    at = messages.select("session_id", "ordinal", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"))
+    return calls.join(at, ["session_id", "ordinal"], "left").groupBy("week", "category").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("session_id").alias("sessions"))
 
 
 #: Sessions by their number of messages.

@@ -117,6 +117,32 @@ def strip(t: Tables, parts: int = 30) -> DataFrame:
     return spine.join(own, ["session_id", "i"], "left").select("session_id", "i", F.coalesce("messages", F.lit(0)).alias("messages"), F.col("first_ordinal").cast("long").alias("first_ordinal"))
 
 
+#: Preferred widths of a strip's buckets in seconds, how many buckets are aimed at, and how many there are at most.
+STEPS, AIMED, MOST = [60, 120, 300, 600, 900, 1800, 3600, 7200], 30, 50
+
+
+def snapped(seconds: Column) -> Column:
+    """The width of a strip's buckets for a session of so many seconds: the preferred one nearest to a thirtieth of it, the larger of two, or wider where that makes more than MOST."""
+    target = F.floor(seconds / AIMED)
+    near = F.array_min(F.transform(F.array(*(F.lit(s).cast("long") for s in STEPS)), lambda s: F.struct(F.abs(s - target).alias("far"), (-s).alias("size"))))
+    best = F.when((seconds <= 0) | (target <= STEPS[0]), F.lit(STEPS[0]).cast("long")).otherwise(-near["size"])
+    return F.when(F.floor(seconds / best) + 1 > MOST, F.floor((seconds + MOST - 2) / (MOST - 1))).otherwise(best)
+
+
+def laddered_strip(messages: DataFrame) -> DataFrame:
+    """session_id, seconds (a bucket's width), i, user, assistant, first_ordinal: visible messages in buckets from a session's first to its last, empty ones filled in.
+
+    messages: session_id, ordinal, role, ts and is_system; those of the system or without a time don't count.
+    """
+    seen = messages.where("not is_system and ts is not null").withColumn("at", F.unix_micros("ts"))
+    ends = seen.groupBy("session_id").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    ends = ends.withColumn("seconds", snapped(F.floor((F.col("hi") - F.col("lo")) / 1_000_000)))
+    place = F.floor((F.col("at") - F.col("lo")) / (F.col("seconds") * 1_000_000))
+    own = seen.join(ends, "session_id").groupBy("session_id", place.alias("i")).agg(F.count_if(F.col("role") == "user").alias("user"), F.count_if(F.col("role") == "assistant").alias("assistant"), F.min("ordinal").cast("long").alias("first_ordinal"))
+    spine = ends.select("session_id", "seconds", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / (F.col("seconds") * 1_000_000)))).alias("i"))
+    return spine.join(own, ["session_id", "i"], "left").select("session_id", "seconds", "i", F.coalesce("user", F.lit(0)).alias("user"), F.coalesce("assistant", F.lit(0)).alias("assistant"), "first_ordinal")
+
+
 def turns(t: Tables) -> DataFrame:
     """Duration of each user turn up to the next one, or to the end of the session; negative ones are null."""
     own = Window.partitionBy("session_id").orderBy("ordinal")

@@ -64,6 +64,21 @@ def multiset_diff(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return both.where("left <> right")
 
 
+def archive_diff(tables: dict[str, tuple[DataFrame, DataFrame, list[str]]]) -> DataFrame:
+    """table, added, removed, rows: how many rows of each table only a new archive has, only an old one, and both (M5).
+
+    tables: a name, the old rows, the new ones and the columns that count, in which rows may repeat. All tables are compared in one shuffle of their rows' hashes.
+    """
+    rows = None
+    for name, (old, new, columns) in tables.items():
+        for df, side in ((old, -1), (new, 1)):
+            own = df.select(F.lit(name).alias("table"), F.sha2(F.concat_ws("|", F.lit(name), text_of(columns)).cast("binary"), 256).alias("row"), F.lit(side).alias("side"))
+            rows = own if rows is None else rows.unionByName(own)
+    each = rows.groupBy("table", "row").agg(F.count_if(F.col("side") < 0).alias("o"), F.count_if(F.col("side") > 0).alias("n"))
+    more = lambda a, b: F.sum(F.greatest(F.col(a) - F.col(b), F.lit(0)))
+    return each.groupBy("table").agg(more("n", "o").alias("added"), more("o", "n").alias("removed"), F.sum(F.least("n", "o")).alias("rows"))
+
+
 def carry_over(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The new build and the rows of keys that only the old one has (M6)."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))

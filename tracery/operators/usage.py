@@ -137,9 +137,9 @@ def allocate(rows: DataFrame, total: str, weight: str, *order: str, within: str)
     return rows.withColumn("share", F.col("share") + F.when(last, F.col(total) - F.sum("share").over(own)).otherwise(0)).drop("w")
 
 
-def allocated(t: Tables) -> DataFrame:
-    """A session's reported total (its messages x 1001 microdollars, here) dealt to its models by estimated cost."""
-    parts = session_models(t).select("session_id", "model", "cost").join(t.sessions.select("session_id", (F.col("message_count") * 1001).alias("total")), "session_id")
+def allocated(t: Tables, totals: DataFrame) -> DataFrame:
+    """Each session's reported total (session_id, total in microdollars) dealt to its models by estimated cost (P3); sessions without a total have no row."""
+    parts = session_models(t).select("session_id", "model", "cost").join(totals.select("session_id", "total"), "session_id")
     return allocate(parts, "total", "cost", "model", within="session_id").select("session_id", "model", "total", "share")
 
 

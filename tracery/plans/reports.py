@@ -39,6 +39,12 @@ def _statuses(t: Tables):
     return filters.termination(t.sessions, "2024-01-28 23:00:00", F.col("user_id") % 2 == 0).select("session_id", "status")
 
 
+def _call_times(t: Tables):
+    """Text sessions, a day for each number and a minute for each turn, with the calls of the order with their number."""
+    said = t.turns.select("session_id", "ordinal", F.timestamp_seconds(F.col("session_id") * 86400 + F.col("ordinal") * 60).alias("ts"))
+    return analytics.call_times(t.calls.join(said.select("session_id").distinct(), "session_id", "left_semi"), said)
+
+
 def _anchors(t: Tables):
     return filters.around(t.turns, t.turns.where("ordinal = 2").select("session_id", F.col("ordinal").alias("anchor")))
 
@@ -54,7 +60,7 @@ QUERIES = {
     "usage_per_session": (usage.per_session, f"{_SURVIVORS} SELECT session_id, bool_and(priced) AS has_cost, string_agg(DISTINCT model, ',' ORDER BY model) AS models, coalesce(string_agg(DISTINCT model, ',' ORDER BY model) FILTER (NOT priced), '') AS unpriced, sum(output_tokens)::BIGINT AS output_tokens, CASE WHEN bool_and(priced) THEN sum(cost)::BIGINT END AS cost FROM w GROUP BY 1"),
     "usage_session_models": (usage.session_models, f"{_SURVIVORS} SELECT session_id, model, {_SUMS} FROM w GROUP BY 1, 2"),
     "usage_provenance": (usage.provenance, f"{_SURVIVORS} SELECT model, count(*) AS rows, bool_or(priced) AS priced, CASE WHEN bool_and(priced) THEN 'computed' ELSE 'unpriced' END AS source FROM w GROUP BY 1"),
-    "usage_allocated": (usage.allocated, f"{_SURVIVORS}, c AS (SELECT session_id, model, sum(cost)::BIGINT AS cost FROM w GROUP BY 1, 2), g AS (SELECT session_id, model, message_count * 1001 AS total, CASE WHEN sum(greatest(cost, 0)) OVER p = 0 THEN 1 ELSE greatest(cost, 0) END AS k FROM c JOIN sessions USING (session_id) WINDOW p AS (PARTITION BY session_id)), h AS (SELECT *, ((total::HUGEINT * k) // (sum(k) OVER (PARTITION BY session_id))::HUGEINT)::BIGINT AS part, row_number() OVER (PARTITION BY session_id ORDER BY k > 0 DESC, model DESC) AS turn FROM g) SELECT session_id, model, total, (part + CASE WHEN turn = 1 THEN total - sum(part) OVER (PARTITION BY session_id) ELSE 0 END)::BIGINT AS share FROM h"),
+    "usage_allocated": (lambda t: usage.allocated(t, t.sessions.select("session_id", (F.col("message_count") * 1001).alias("total"))), f"{_SURVIVORS}, c AS (SELECT session_id, model, sum(cost)::BIGINT AS cost FROM w GROUP BY 1, 2), g AS (SELECT session_id, model, message_count * 1001 AS total, CASE WHEN sum(greatest(cost, 0)) OVER p = 0 THEN 1 ELSE greatest(cost, 0) END AS k FROM c JOIN sessions USING (session_id) WINDOW p AS (PARTITION BY session_id)), h AS (SELECT *, ((total::HUGEINT * k) // (sum(k) OVER (PARTITION BY session_id))::HUGEINT)::BIGINT AS part, row_number() OVER (PARTITION BY session_id ORDER BY k > 0 DESC, model DESC) AS turn FROM g) SELECT session_id, model, total, (part + CASE WHEN turn = 1 THEN total - sum(part) OVER (PARTITION BY session_id) ELSE 0 END)::BIGINT AS share FROM h"),
     "usage_snapshots": (lambda t: usage.snapshots(usage.usage_rows(t)).select("session_id", "ordinal", "model", "output_tokens"), f"{_SURVIVORS} SELECT session_id, ordinal, model, output_tokens FROM k0"),
     "usage_dedup": (lambda t: usage.dedup(usage.usage_rows(t)).select("session_id", "ordinal"), ", u0 AS (SELECT * FROM messages WHERE role = 'assistant' AND model <> '') SELECT session_id, ordinal FROM u0 QUALIFY row_number() OVER (PARTITION BY CASE WHEN message_id <> '' AND request_id <> '' THEN 'r|' || message_id || '|' || request_id ELSE 'u|' || agent || '|' || source_uuid END ORDER BY ts, session_id, ordinal) = 1"),
     "filter_analytics": (lambda t: filters.analytics_filter(t).select("session_id"), f"{_OWN} SELECT session_id FROM own"),
@@ -99,6 +105,6 @@ QUERIES = {
     "analytics_heatmap_tokens": (lambda t: analytics.day_metric(t, "output_tokens"), _HEAT("messages", "ts", "coalesce(sum(m.output_tokens), 0)::BIGINT")),
     "analytics_top_by_messages": (lambda t: analytics.top_by(t, "messages"), f" SELECT session_id, project, message_count AS value FROM sessions WHERE {_VISIBLE} ORDER BY value DESC, session_id LIMIT 10"),
     "analytics_top_by_tokens": (lambda t: analytics.top_by(t, "output_tokens"), f" SELECT session_id, project, total_output_tokens AS value FROM sessions WHERE {_VISIBLE} ORDER BY value DESC, session_id LIMIT 10"),
-    "analytics_call_times": (analytics.call_times, " SELECT week, category, count(*) AS calls, count(DISTINCT session_id) AS sessions FROM (SELECT c.session_id, category, strftime(date_trunc('week', to_timestamp(t.session_id * 86400 + t.ordinal * 60) AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week FROM calls c LEFT JOIN turns t ON t.session_id = c.session_id AND t.ordinal = c.ordinal WHERE c.session_id IN (SELECT session_id FROM turns)) GROUP BY 1, 2"),
+    "analytics_call_times": (_call_times, " SELECT week, category, count(*) AS calls, count(DISTINCT session_id) AS sessions FROM (SELECT c.session_id, category, strftime(date_trunc('week', to_timestamp(t.session_id * 86400 + t.ordinal * 60) AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week FROM calls c LEFT JOIN turns t ON t.session_id = c.session_id AND t.ordinal = c.ordinal WHERE c.session_id IN (SELECT session_id FROM turns)) GROUP BY 1, 2"),
     "stats_cache_spend": (usage.cache_spend, f"{_SURVIVORS} SELECT sum(cost)::BIGINT AS spent, (sum(cost) + sum(savings))::BIGINT AS uncached, sum(savings)::BIGINT AS saved, round(sum(cache_read) / sum(input_tokens + cache_read + cache_creation), 6) AS hit_rate FROM w"),
 }

@@ -56,6 +56,10 @@ QUERIES = {
     "activity_candidates": (concurrency.candidates, " SELECT session_id FROM sessions WHERE started_at < TIMESTAMP '2024-01-10' AND ended_at >= TIMESTAMP '2024-01-08'"),
     "activity_listing": (concurrency.listing, f"{_SPANS} SELECT session_id, lo // 1000000 AS lo, hi // 1000000 AS hi, model FROM spans"),
     "activity_first_seen": (concurrency.first_seen, ", f AS (SELECT 'sessions' AS kind, min(ts) AS t FROM messages GROUP BY session_id UNION ALL SELECT 'projects', min(ts) FROM messages GROUP BY project UNION ALL SELECT 'models', min(ts) FROM messages WHERE model <> '' GROUP BY model) SELECT strftime(date_trunc('hour', t), '%Y-%m-%d %H') AS hour, kind, count(*) AS n FROM f GROUP BY 1, 2"),
+    "activity_strip_laddered": (lambda t: concurrency.laddered_strip(t.messages.withColumns({"is_system": F.col("event_id") % 13 == 0, "ts": F.when(F.col("event_id") % 19 != 0, F.col("ts"))})), """, vm AS (SELECT session_id, ordinal, role, epoch_us(ts) AS tm FROM messages WHERE event_id % 13 <> 0 AND event_id % 19 <> 0), e0 AS (SELECT session_id, min(tm) AS lo, max(tm) AS hi, (max(tm) - min(tm)) // 1000000 AS d FROM vm GROUP BY 1),
+e1 AS (SELECT *, CASE WHEN d // 30 <= 60 THEN 60 ELSE (SELECT w FROM (VALUES (60), (120), (300), (600), (900), (1800), (3600), (7200)) v(w) ORDER BY abs(w - d // 30), w DESC LIMIT 1) END AS b FROM e0), e2 AS (SELECT *, (CASE WHEN d // b + 1 > 50 THEN (d + 48) // 49 ELSE b END)::BIGINT AS seconds FROM e1),
+sp AS (SELECT session_id, seconds, unnest(generate_series(0, (hi - lo) // (seconds * 1000000))) AS i FROM e2), n AS (SELECT session_id, (tm - lo) // (seconds * 1000000) AS i, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a, min(ordinal) AS first_ordinal FROM vm JOIN e2 USING (session_id) GROUP BY 1, 2)
+SELECT session_id, seconds, i, coalesce(u, 0) AS "user", coalesce(a, 0) AS assistant, first_ordinal FROM sp LEFT JOIN n USING (session_id, i)"""),
     "activity_strip": (concurrency.strip, ", e AS (SELECT *, greatest(ceil((hi - lo + 1) / 30.0::DOUBLE), 1)::BIGINT AS step FROM (SELECT session_id, min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM messages GROUP BY 1)), s AS (SELECT session_id, unnest(generate_series(0, (hi - lo) // step)) AS i FROM e), n AS (SELECT session_id, (epoch_us(ts) - lo) // step AS i, count(*) AS messages, min(ordinal) AS first_ordinal FROM messages JOIN e USING (session_id) GROUP BY 1, 2) SELECT session_id, i, coalesce(messages, 0) AS messages, first_ordinal FROM s LEFT JOIN n USING (session_id, i)"),
     "activity_turns": (concurrency.turns, ", u AS (SELECT session_id, ordinal, ts, lead(ts) OVER (PARTITION BY session_id ORDER BY ordinal) AS nxt FROM messages WHERE role = 'user') SELECT session_id, ordinal, CASE WHEN coalesce(nxt, ended_at) >= ts THEN epoch_us(coalesce(nxt, ended_at)) - epoch_us(ts) END AS micros FROM u JOIN sessions USING (session_id)"),
     "activity_digest": (concurrency.digest, f"{_SPANS}{_KEYS} SELECT kind, label, row_number() OVER (PARTITION BY kind ORDER BY automated + interactive DESC, label) AS place FROM k QUALIFY place <= 3"),

@@ -56,7 +56,26 @@ _ARCHIVE = f""", own AS (SELECT DISTINCT session_id FROM turns), parts AS (
   SELECT session_id::VARCHAR AS session_id, sha256(session_id || ':' || count(*) || ':' || sum(v)) AS fingerprint FROM parts GROUP BY session_id"""
 
 
+def _archive_diff(t: Tables):
+    calls = ["session_id", "call_index", "tool_name", "input"]
+    return maintain.archive_diff(
+        {
+            "messages": (_old(t), _new(t), ["session_id", "ordinal", "role", "output_tokens"]),
+            "calls": (t.calls.where("session_id % 5 <> 0"), t.calls.where("call_index <> 3"), calls),
+            "tools": (t.calls.where("session_id % 3 = 0"), t.calls.where("session_id % 4 = 0"), ["tool_name", "input"]),  # many equal rows
+        }
+    )
+
+
+_SIDES = {
+    "messages": (_OLD, "messages WHERE user_id % 13 <> 0", "session_id, ordinal, role, output_tokens"),
+    "calls": ("calls WHERE session_id % 5 <> 0", "calls WHERE call_index <> 3", "session_id, call_index, tool_name, input"),
+    "tools": ("calls WHERE session_id % 3 = 0", "calls WHERE session_id % 4 = 0", "tool_name, input"),
+}
+_DIFF = " UNION ALL ".join(f"SELECT '{n}' AS \"table\", (SELECT count(*) FROM (SELECT {c} FROM {b} EXCEPT ALL SELECT {c} FROM {a})) AS added, (SELECT count(*) FROM (SELECT {c} FROM {a} EXCEPT ALL SELECT {c} FROM {b})) AS removed, (SELECT count(*) FROM (SELECT {c} FROM {a} INTERSECT ALL SELECT {c} FROM {b})) AS rows" for n, (a, b, c) in _SIDES.items())
+
 LENS_QUERIES = {
+    "upkeep_archive_diff": (_archive_diff, f" {_DIFF}"),
     "upkeep_archive_fingerprints": (_archive, _ARCHIVE),
     "upkeep_fingerprints": (lambda t: maintain.fingerprints(t.messages), f" SELECT * FROM {_PRINT('messages')}"),
     "upkeep_changed": (lambda t: maintain.changed(maintain.fingerprints(_new(t)), maintain.fingerprints(_old(t))), f", a AS {_PRINT('(SELECT * FROM messages WHERE user_id % 13 <> 0)')}, b AS {_PRINT(_OLD)} SELECT session_id, CASE WHEN b.fingerprint IS NULL THEN 'new' WHEN a.fingerprint IS NULL THEN 'gone' ELSE 'changed' END AS change FROM a FULL JOIN b USING (session_id) WHERE a.fingerprint IS DISTINCT FROM b.fingerprint"),
