@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from ..operators import concurrency, evidence, reporting
 from ..sources.tables import Tables
 
-u = F.col("user_id")
+def u():
+    return F.col("user_id")
 
 
 def sessions(t: Tables) -> DataFrame:
     """Each ninth user's sessions have no working directory; users whose numbers are 60 apart write one file."""
-    cwd = F.when(u % 9 == 4, "").when(u % 9 == 5, F.concat(F.lit("//work/"), "project", F.lit("/"))).otherwise(F.col("cwd"))
-    return t.sessions.select("session_id", "user_id", "project", "machine", cwd.alias("cwd"), F.concat(F.lit("/logs/"), (u % 60).cast("string"), F.lit("-"), F.substring_index("session_id", "-", -1)).alias("file_path"))
+    cwd = F.when(u() % 9 == 4, "").when(u() % 9 == 5, F.concat(F.lit("//work/"), "project", F.lit("/"))).otherwise(F.col("cwd"))
+    return t.sessions.select("session_id", "user_id", "project", "machine", cwd.alias("cwd"), F.concat(F.lit("/logs/"), (u() % 60).cast("string"), F.lit("-"), F.substring_index("session_id", "-", -1)).alias("file_path"))
 
 
 def snapshots(t: Tables) -> DataFrame:
     """Of each third user: some without a key, some of another machine, some with a worktree."""
     own = sessions(t).where("user_id % 3 = 0")
     root = F.concat(F.lit("/work/"), "project")
-    return own.select("session_id", "project", F.when(u % 4 == 1, "elsewhere").otherwise(F.col("machine")).alias("machine"), root.alias("root_path"), F.when(u % 6 == 0, F.concat(root, F.lit("/b0/"))).alias("worktree_root"), F.when(u % 12 == 3, "git").alias("key_source"))
+    return own.select("session_id", "project", F.when(u() % 4 == 1, "elsewhere").otherwise(F.col("machine")).alias("machine"), root.alias("root_path"), F.when(u() % 6 == 0, F.concat(root, F.lit("/b0/"))).alias("worktree_root"), F.when(u() % 12 == 3, "git").alias("key_source"))
 
 
 def observations(t: Tables) -> DataFrame:
@@ -73,10 +74,10 @@ DATE = "2024-01-10"
 def _sources(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Sources that disagree: users whose numbers are 2 modulo 5 have no events but usage, 3 modulo 5 neither but a start, 4 modulo 5 neither but the time of creation."""
     early = F.col("ts") - F.expr("interval 20 minutes")
-    spans = concurrency.intervals(t._replace(messages=t.messages.where(u % 5 == 0)))
-    usage = t.messages.where((u % 5).isin(0, 1, 2) & (F.col("role") == "assistant")).withColumn("ts", F.when(u % 5 == 1, early).otherwise(F.col("ts")))
-    events = t.messages.where((u % 5).isin(0, 1))
-    made = t.sessions.withColumns({"created_at": F.when(u % 5 == 4, F.col("started_at") - F.expr("interval 45 minutes")), "started_at": F.when(u % 5 == 3, F.col("started_at"))})
+    spans = concurrency.intervals(t._replace(messages=t.messages.where(u() % 5 == 0)))
+    usage = t.messages.where((u() % 5).isin(0, 1, 2) & (F.col("role") == "assistant")).withColumn("ts", F.when(u() % 5 == 1, early).otherwise(F.col("ts")))
+    events = t.messages.where((u() % 5).isin(0, 1))
+    made = t.sessions.withColumns({"created_at": F.when(u() % 5 == 4, F.col("started_at") - F.expr("interval 45 minutes")), "started_at": F.when(u() % 5 == 3, F.col("started_at"))})
     return spans, usage, events, made
 
 

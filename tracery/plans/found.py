@@ -9,15 +9,20 @@ from ..operators import ranges, text
 from ..sources.tables import LENS_SQL, Tables, lens, read
 
 WORDS = ["the", "and", "of"]
-s, o = F.col("session_id"), F.col("ordinal")
+def s():
+    return F.col("session_id")
+
+
+def o():
+    return F.col("ordinal")
 
 
 def _hybrid(spark, d: str) -> DataFrame:
     """Sessions by number: each third is a subagent, each fifth is out of scope. A unit's vector is the one whose id is four times its session and its place."""
     t = lens(spark, d)
-    sessions = t.turns.select("session_id").distinct().select("session_id", F.when(s % 3 == 1, "subagent").otherwise("").alias("relationship"), (s % 5 != 2).alias("in_scope"))
+    sessions = t.turns.select("session_id").distinct().select("session_id", F.when(s() % 3 == 1, "subagent").otherwise("").alias("relationship"), (s() % 5 != 2).alias("in_scope"))
     vectors = read(spark, d, "embeddings")
-    own = text.units(t.turns).select("session_id", "first", (s * 4 + F.col("unit") - 1).alias("vec_id")).where("vec_id >= session_id * 4 and vec_id < session_id * 4 + 4")
+    own = text.units(t.turns).select("session_id", "first", (s() * 4 + F.col("unit") - 1).alias("vec_id")).where("vec_id >= session_id * 4 and vec_id < session_id * 4 + 4")
     return text.hybrid_units(t.turns, sessions, own.join(vectors, "vec_id"), vectors.where("vec_id = 0"), WORDS)
 
 
@@ -38,9 +43,9 @@ FIELDS = ["role", "content"]
 
 def _now(t: Tables) -> DataFrame:
     """The turns as they are later: some changed, some swapped with the next, some lost."""
-    moved = F.when((s % 7 == 3) & (o == 2), 3).when((s % 7 == 3) & (o == 3), 2).otherwise(o)
-    said = F.when((s % 7 == 4) & (o == 2), F.concat("content", F.lit("!"))).otherwise(F.col("content"))
-    return t.turns.where(~((s % 7 == 5) & (o == 2)) & ~((s % 7 == 6) & (o == 1))).select("session_id", moved.alias("ordinal"), "role", said.alias("content"))
+    moved = F.when((s() % 7 == 3) & (o() == 2), 3).when((s() % 7 == 3) & (o() == 3), 2).otherwise(o())
+    said = F.when((s() % 7 == 4) & (o() == 2), F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    return t.turns.where(~((s() % 7 == 5) & (o() == 2)) & ~((s() % 7 == 6) & (o() == 1))).select("session_id", moved.alias("ordinal"), "role", said.alias("content"))
 
 
 def _verdicts(t: Tables) -> DataFrame:

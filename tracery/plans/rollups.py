@@ -9,11 +9,12 @@ from ..operators import rollup
 from ..sources.tables import Tables
 from . import job
 
-s = F.col("session_id")
+def s():
+    return F.col("session_id")
 
 
 def _signals(t: Tables) -> DataFrame:
-    return job.job(t).withColumns({"agent": F.concat(F.lit("a"), (s % 3).cast("string")), "project": F.concat(F.lit("p"), (s % 5).cast("string")), "day": F.date_add(F.lit("2024-01-01").cast("date"), (s % 7).cast("int"))})
+    return job.job(t).withColumns({"agent": F.concat(F.lit("a"), (s() % 3).cast("string")), "project": F.concat(F.lit("p"), (s() % 5).cast("string")), "day": F.date_add(F.lit("2024-01-01").cast("date"), (s() % 7).cast("int"))})
 
 
 _NAMES = rollup.COUNTED + rollup.FLAGS

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import selection
@@ -10,12 +10,13 @@ from ..operators.selection import Clauses
 from ..sources.tables import Tables
 
 NOW = "2024-01-28 23:00:00"
-u = F.col("user_id")
+def u():
+    return F.col("user_id")
 ENDINGS = ["clean", "tool_call_pending", "truncated", "awaiting_user"]
 
 
-def _pick(values: list[str], by: int) -> F:
-    return F.element_at(F.array(*map(F.lit, values)), (F.floor(u / by) % len(values) + 1).cast("int"))
+def _pick(values: list[str], by: int) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.floor(u() / by) % len(values) + 1).cast("int"))
 
 
 def sessions(t: Tables) -> DataFrame:
@@ -23,16 +24,16 @@ def sessions(t: Tables) -> DataFrame:
     return t.sessions.withColumns(
         {
             "created_at": F.col("started_at") - F.expr("interval 3 hours"),
-            "started_at": F.when(u % 8 != 3, F.col("started_at")),
-            "ended_at": F.when(u % 6 != 5, F.col("ended_at")),
-            "deleted_at": F.when(u % 17 == 16, F.col("ended_at")),
-            "parent_id": F.when(u % 10 == 9, "not-there").otherwise(F.col("parent_id")),
-            "termination_status": F.when(u % 9 != 8, _pick(ENDINGS, 2)),
-            "outcome": F.when(u % 7 != 6, _pick(["completed", "abandoned", "errored"], 3)),
-            "health_grade": F.when(u % 5 != 4, _pick(["A", "B", "C", "D", "F"], 1)),
-            "tool_failures": (u % 6).cast("long"),
-            "secret_leaks": (u % 3).cast("long"),
-            "secrets_rules_version": F.when(u % 4 != 1, (u % 2 + 1).cast("string")),
+            "started_at": F.when(u() % 8 != 3, F.col("started_at")),
+            "ended_at": F.when(u() % 6 != 5, F.col("ended_at")),
+            "deleted_at": F.when(u() % 17 == 16, F.col("ended_at")),
+            "parent_id": F.when(u() % 10 == 9, "not-there").otherwise(F.col("parent_id")),
+            "termination_status": F.when(u() % 9 != 8, _pick(ENDINGS, 2)),
+            "outcome": F.when(u() % 7 != 6, _pick(["completed", "abandoned", "errored"], 3)),
+            "health_grade": F.when(u() % 5 != 4, _pick(["A", "B", "C", "D", "F"], 1)),
+            "tool_failures": (u() % 6).cast("long"),
+            "secret_leaks": (u() % 3).cast("long"),
+            "secrets_rules_version": F.when(u() % 4 != 1, (u() % 2 + 1).cast("string")),
         }
     )
 
