@@ -311,6 +311,31 @@ def chunks(docs: DataFrame, size: int = 1000) -> DataFrame:
     return rows.select("doc_id", "chunk", F.length(part).alias("n_chars"), F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk").cast("string"), part).cast("binary"), 256).alias("id"))
 
 
+def flattened(trees: DataFrame) -> DataFrame:
+    """key, text: the strings of each JSON tree (key, json), one on a line, keys in order and arrays in theirs, whatever the depth.
+
+    Blanks round a string go, and strings of nothing else; keys, numbers, booleans and nulls tell nothing. A tree is opened level by level, one round for all
+    trees. Trees that are no JSON, and those without a string, have no row.
+    """
+    spark = trees.sparkSession
+    level = staged(trees.select("key", F.array().cast("array<int>").alias("path"), F.try_parse_json("json").alias("v")).where("v is not null"))
+    leaves = None
+    while True:
+        said = level.where("schema_of_variant(v) = 'STRING'").select("key", "path", F.regexp_replace(F.expr("variant_get(v, '$', 'string')"), r"(?U)^\s+|\s+$", "").alias("s")).where("s <> ''")
+        leaves = said if leaves is None else leaves.unionByName(said)
+        level = staged(spark.sql("SELECT t.key, array_append(t.path, e.pos) AS path, e.value AS v FROM {level} AS t, LATERAL variant_explode(t.v) AS e", level=level))
+        if not level.take(1):
+            break
+    return leaves.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "s"))), lambda x: x["s"]), "\n").alias("text"))
+
+
+def trajectory_chunks(trees: DataFrame, run: str, size: int = 2000) -> DataFrame:
+    """key, chunk, text, id of flattened trees cut every `size` code points; an id follows from the run, the tree and the chunk's number."""
+    rows = flattened(trees).select("key", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))).alias("chunk"))
+    name = F.to_json(F.array(F.lit("trajectory"), F.lit(run), F.col("key").cast("string"), F.col("chunk").cast("string")))
+    return rows.select("key", "chunk", F.substring("text", F.col("chunk") * size + 1, F.lit(size)).alias("text"), F.sha2(name.cast("binary"), 256).alias("id"))
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits of a text's characters."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")

@@ -64,5 +64,17 @@ got AS (SELECT en.session_id, a, b, list((ordinal, role, content) ORDER BY ordin
 SELECT en.session_id || '-' || en.a || '-' || en.b AS entry, CASE WHEN en.b < en.a THEN 'invalid' WHEN g.l IS NULL OR lo <> en.a OR hi <> en.b THEN 'missing' WHEN len(g.l) <> en.b - en.a + 1 THEN 'gap' WHEN g.l IS DISTINCT FROM w.l THEN 'changed' ELSE 'intact' END AS verdict
 FROM en LEFT JOIN got g USING (session_id, a, b) LEFT JOIN was w USING (session_id, a, b)"""
 
+def _trees(t: Tables) -> DataFrame:
+    """Each text session as a JSON tree: its turns in an array, beside nested arrays, numbers and blanks."""
+    turn = F.struct("ordinal", "content", F.array("role").alias("who"))
+    turns = F.transform(F.array_sort(F.collect_list(turn)), lambda x: F.struct(x["ordinal"].alias("n"), x["who"].alias("who"), x["content"].alias("content")))
+    head = F.struct(F.lit(" lead\n").alias("y"), F.array(F.array(F.lit("deep")), F.array(F.lit("  "))).alias("x"), F.lit(True).alias("b"))
+    return t.turns.groupBy(s().alias("key")).agg(F.to_json(F.struct(turns.alias("zeta"), F.lit(1).alias("mid"), head.alias("alpha"))).alias("json"))
+
+
+_TREES = """, tt AS (SELECT session_id AS key, 'deep' || chr(10) || 'lead' || chr(10) || string_agg(regexp_replace(content, '^\\s+|\\s+$', '', 'g') || chr(10) || role, chr(10) ORDER BY ordinal) AS text FROM turns GROUP BY 1),
+tc AS (SELECT key, text, unnest(generate_series(0, (length(text) - 1) // 700))::INT AS chunk FROM tt)
+SELECT key, chunk, substr(text, chunk * 700 + 1, 700) AS text, sha256('["trajectory","run","' || key || '","' || chunk || '"]') AS id FROM tc"""
+
 TABLE_QUERIES = {"text_hybrid_units": (_hybrid, _HYBRID)}
-QUERIES = {"recall_evidence_verdicts": (_verdicts, _VERDICTS)}
+QUERIES = {"recall_evidence_verdicts": (_verdicts, _VERDICTS), "text_trajectory_chunks": (lambda t: text.trajectory_chunks(_trees(t), "run", 700), _TREES)}
