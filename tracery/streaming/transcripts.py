@@ -38,6 +38,13 @@ def numbered(rows: DataFrame, is_turn: Column, model: Column) -> DataFrame:
 
         import pandas as pd
 
+        def whole(text: str) -> bool:
+            try:
+                json.loads(text)
+            except ValueError:
+                return False
+            return True
+
         until, ordinal, carried, waiting = state.get if state.exists else (0, 0, None, "[]")
         lines = {at: (size, turn, name, text) for at, size, turn, name, text in json.loads(waiting)}
         came = pd.concat(list(frames)).sort_values(["segment", "source", "n"])
@@ -45,7 +52,7 @@ def numbered(rows: DataFrame, is_turn: Column, model: Column) -> DataFrame:
             at, last = int(segment), len(own) - 1
             for i, text, turn, name in zip(range(last + 1), own["value"], own["is_turn"], own["model"], strict=True):
                 size = len(text.encode()) + 1
-                if at >= until and (i < last or _whole(text)):
+                if at >= until and (i < last or whole(text)):
                     lines[at] = (size, bool(turn), name if isinstance(name, str) else None, text)
                 at += size
         out = []
@@ -63,16 +70,6 @@ def numbered(rows: DataFrame, is_turn: Column, model: Column) -> DataFrame:
     return own.groupBy("file").applyInPandasWithState(take, "file string, line_at long, ordinal long, carried string, value string", "until long, ordinal long, carried string, waiting string", "append", "NoTimeout")
 
 
-def _whole(text: str) -> bool:
-    import json
-
-    try:
-        json.loads(text)
-    except ValueError:
-        return False
-    return True
-
-
 def uuid_tree(rows: DataFrame) -> DataFrame:
     """The messages of lines in the uuid-tree format, as ingest.uuid_tree finds them in whole files."""
     j = F.from_json("value", TREE)
