@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import LENS_SQL, lens
-from . import advice, billing, evidence, found, intake, job, mixes, ranges, reports, rollups, search, selections, signals, upkeep
+from . import advice, billing, evidence, found, intake, job, mixes, ranges, reports, rollups, search, selections, signals, timing, upkeep
 
-FAMILIES = [reports.QUERIES, signals.QUERIES, search.LENS_QUERIES, upkeep.LENS_QUERIES, intake.LENS_QUERIES, advice.QUERIES, ranges.QUERIES, job.QUERIES, billing.QUERIES, mixes.QUERIES, evidence.QUERIES, selections.QUERIES, found.QUERIES, rollups.QUERIES]
+FAMILIES = [reports.QUERIES, signals.QUERIES, search.LENS_QUERIES, upkeep.LENS_QUERIES, intake.LENS_QUERIES, advice.QUERIES, ranges.QUERIES, job.QUERIES, billing.QUERIES, mixes.QUERIES, evidence.QUERIES, selections.QUERIES, found.QUERIES, rollups.QUERIES, timing.QUERIES]
 TABLES = [search.TABLE_QUERIES, found.TABLE_QUERIES, {name: (query, sql and LENS_SQL + sql) for name, (query, sql) in upkeep.STREAM_QUERIES.items()}]
 
 
