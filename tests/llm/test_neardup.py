@@ -1,5 +1,7 @@
 import random
 import re
+from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pytest
@@ -144,5 +146,54 @@ def test_large_groups_in_small_blocks(spark, monkeypatch):
 
 def test_pruning_follows_the_threshold():
     assert (neardup.least_alike(80), neardup.least_alike(85)) == (42, 45)
+    for percent in (80, 85):
+        # The chance that a pair at the threshold has fewer bits alike, in exact fractions.
+        least, p = neardup.least_alike(percent, 512), (1 + Fraction(percent, 100)) / 2
+        below = lambda n: sum(comb(512, k) * p**k * (1 - p) ** (512 - k) for k in range(n))  # noqa: E731, B023
+        assert below(least) <= Fraction(3, 10**8) < below(least + 1)
     with pytest.raises(ValueError):
         neardup.least_alike(60)
+
+
+def test_alike_links_span_what_is_alike():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, (6, 8), dtype=np.uint64)
+    signs = base[rng.integers(0, 6, 90)]
+    signs ^= np.uint64(1) << rng.integers(0, 64, signs.shape, dtype=np.uint64)
+    alike = lambda i, j: 512 - int(np.bitwise_count(signs[i] ^ signs[j]).sum()) >= 437
+    for side in (None, np.arange(90) % 2):
+        up = list(range(90))
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i in range(90):
+            for j in range(i):
+                if alike(i, j) and (side is None or side[i] != side[j]):
+                    up[root(i)] = root(j)
+        want = [root(i) for i in range(90)]
+        found = neardup.alike_links(signs, side, 437)
+        assert len(found) == 90 - len(set(want)) and all(alike(i, j) and (side is None or side[i] != side[j]) for i, j in found)
+        up = list(range(90))
+        for i, j in found:
+            up[root(i)] = root(j)
+        assert len({(a, root(i)) for i, a in enumerate(want)}) == len(set(want))
+
+
+@pytest.mark.parametrize("block", [4096, 64])
+def test_pages_of_one_template_send_no_texts(spark, monkeypatch, block):
+    """Many pages that share half of their shingles fall into loose clusters, but not into clusters; the few near copies among them are found."""
+    monkeypatch.setattr(neardup, "BLOCK_SIGNATURES", block)
+    rng = random.Random(5)
+    shared = " ".join(f"t{i}" for i in range(420))
+    pages = [(i, f"{shared} " + " ".join(f"p{rng.randrange(10**7)}" for _ in range(180))) for i in range(240)]
+    copies = [(1000 + i, edited(pages[i * 16][1].split(" "), rng, 3)) for i in range(12)]
+    docs = spark.createDataFrame(pages + copies, "doc_id long, text string")
+    classes = neardup.sets_of(docs).where("set_key is not null")
+    assert components(neardup.candidates(classes, 85)).count() > 120
+    near = neardup.clusters_of(classes, 85)
+    assert 12 <= near.count() <= 60
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.dedup_documents(docs).collect()}
+    assert got == brute(pages + copies)

@@ -7,9 +7,11 @@
    a set near a bound of sizes is sketched on both sides of it. Bands of ROWS registers are hashed to keys.
 2. Equal sets become one class, aggregated before the shuffle. Classes that share a band key are linked to
    the first of them and to the one before, unless one bit of each band's first register tells that they
-   are far apart. The components of these links are clusters; two classes that are near are in one cluster
+   are far apart. The components of these links are loose clusters; two classes that are near are in one
    but for a chance of about 1e-8 (see README).
-3. The texts of each cluster meet in tasks. A large cluster is cut into blocks, each of which has the cluster's
+3. Within a loose cluster the signatures of all classes, one bit of each register, meet in blocks; links span those with
+   enough bits alike, less what chance makes alike. Their components are the clusters; no text has been read for them.
+4. The texts of each cluster meet in tasks. A large cluster is cut into blocks, each of which has the cluster's
    first class as a guest; that links most of a group of near copies at once. Classes that are not linked to
    it then meet all blocks of their cluster. In a task the sketches' Jaccard index, corrected for chance
    collisions of registers, rules out what is far apart (by MARGIN standard errors); what is left is confirmed
@@ -38,26 +40,28 @@ BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 21
 #: A band that more classes share than this is linked in parts. One class in SAMPLED tells which bands these are, BANDS_APART of them at most;
 #: any other band is linked in one task, which changes nothing but the task's size.
 BAND_CLASSES, SAMPLED, BANDS_APART = 1 << 14, 64, 1 << 16
+#: A block of signatures (REGISTERS bits each) holds about so many classes.
+BLOCK_SIGNATURES = 1 << 12
 #: A pair is ruled out by the sketches only this many standard errors below the threshold.
 MARGIN = 6.0
-#: The most that the chance of a miss may be for a pair at the threshold: by sharing no band, and by too few of BANDS bits alike.
+#: The most that the chance of a miss may be for a pair at the threshold: by sharing no band, and by too few bits alike (of BANDS, and of REGISTERS).
 NO_BAND, PRUNED = 1e-5, 3e-8
 #: Shingles for each bucket at least, where that is possible.
 FILL = 3
 _BITS = REGISTERS.bit_length() - 1
 
 
-def least_alike(percent: int) -> int:
-    """How many of BANDS bits a link within a band needs alike. The bits are the same in all bands, so what fails here is found nowhere else."""
+def least_alike(percent: int, bits: int = BANDS) -> int:
+    """How many of so many bits, each of a register of its own, a link needs alike. The bits are the same in all bands, so what fails here is found nowhere else."""
     cut = percent / 100
     if (1 - cut**ROWS) ** BANDS > NO_BAND:
         raise ValueError(f"{BANDS} bands of {ROWS} registers miss too many pairs at {percent} %")
     p, below = (1 + cut) / 2, 0.0
-    for k in range(BANDS):
-        below += comb(BANDS, k) * p**k * (1 - p) ** (BANDS - k)
+    for k in range(bits):
+        below += comb(bits, k) * p**k * (1 - p) ** (bits - k)
         if below > PRUNED:
             return k
-    return BANDS
+    return bits
 
 
 def shingle_hashes(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
@@ -111,13 +115,14 @@ def registers(hashes: np.ndarray, buckets: int = REGISTERS) -> np.ndarray:
 
 
 def bands_of(hashes: np.ndarray, percent: int) -> list[dict]:
-    """bits (one of each band) and keys (64-bit, of each band with a shingle), for each number of buckets that a near set may have too."""
+    """For each number of buckets that a near set may have too: that number, signature (a bit of each register), bits (those of each band's first) and keys (64-bit, of each band with a shingle)."""
     out = []
     for buckets in sorted({buckets_for(len(hashes)), buckets_for(-(-100 * len(hashes) // percent))}):
         bands = registers(hashes, buckets).reshape(BANDS, ROWS).astype(np.uint64)
         keys = mix64((bands * powers(ROWS, 0x9FB21C651E98DF25)).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(buckets))
-        bits = np.packbits((mix64(bands[:, 0]) & np.uint64(1)).astype(np.uint8)).view(np.int64)[0]
-        out.append({"bits": int(bits), "keys": keys.view(np.int64)[bands.any(1)].tolist()})
+        ones = (mix64(bands) & np.uint64(1)).astype(np.uint8)
+        bits = np.packbits(ones[:, 0]).view(np.int64)[0]
+        out.append({"buckets": buckets, "signature": np.packbits(ones.ravel()).tobytes(), "bits": int(bits), "keys": keys.view(np.int64)[bands.any(1)].tolist()})
     return out
 
 
@@ -173,7 +178,7 @@ def sets_of(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Data
     """doc_id, tie (hash of the text), n_shingles, set_key (null without shingles) and bands of every document."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("bits", pa.int64()), ("keys", pa.list_(pa.int64()))]))
+        kind = pa.list_(pa.struct([("buckets", pa.int32()), ("signature", pa.binary()), ("bits", pa.int64()), ("keys", pa.list_(pa.int64()))]))
         for part in text_chunks(batches):
             sets = shingle_hashes([ascii_lower(t) for t in part.column("text").to_pylist()], width)
             keys, bands = [], []
@@ -188,7 +193,7 @@ def sets_of(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Data
             )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(rows, "doc_id long, tie long, n_shingles long, set_key binary, bands array<struct<bits:long,keys:array<long>>>")
+    return own.mapInArrow(rows, "doc_id long, tie long, n_shingles long, set_key binary, bands array<struct<buckets:int,signature:binary,bits:long,keys:array<long>>>")
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
@@ -216,6 +221,66 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     return linked(dealt.repartition("band", "part"), "band", "part").unionByName(linked(heads, "band"))
 
 
+def alike_links(signatures: np.ndarray, side: np.ndarray | None, least: int) -> list[tuple[int, int]]:
+    """Links that span what has at least so many bits alike. signatures: a row of 64-bit words each; side: two sides, of which only pairs across are needed (None: all)."""
+    n, out, most = len(signatures), [], 64 * signatures.shape[1] - least
+    label, groups = np.arange(n), n
+    for i in range(n - 1):
+        if groups == 1:
+            break
+        open_ = label[i + 1 :] != label[i]
+        if side is not None:
+            open_ &= side[i + 1 :] != side[i]
+        js = np.flatnonzero(open_) + i + 1
+        js = js[np.bitwise_count(signatures[js] ^ signatures[i]).sum(1) <= most]
+        merged, first = np.unique(label[js], return_index=True)
+        if len(merged):
+            out.extend((i, j) for j in js[first].tolist())
+            label[np.isin(label, merged)] = label[i]
+            groups -= len(merged)
+    return out
+
+
+def clusters_of(classes: DataFrame, percent: int) -> DataFrame:
+    """node, root: components (roots left out) of names of classes whose signatures are alike, within the loose clusters of candidates.
+
+    Every two signatures of a loose cluster with one number of buckets are compared in some task: a large one is cut into blocks by name, and each pair of
+    blocks meets, 64 bytes a class, so that what is sent stays far below the texts however many pages share a template.
+    """
+    loose = components(candidates(classes, percent))
+    loose = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
+    signed = classes.select(F.xxhash64("set_key").alias("node"), F.inline("bands")).select("node", "buckets", "signature")
+    signed = staged(loose.join(signed, "node"))
+    key = ["root", "buckets"]
+    blocks = signed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_SIGNATURES).cast("int").alias("blocks"))
+    rows = splitting_join(signed, blocks, *key).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*key, F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "signature")
+    group, least = [*key, "i", "j"], least_alike(percent, REGISTERS)
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sides, signs = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            across = np.array(sides)
+            found = alike_links(np.frombuffer(b"".join(signs), np.uint64).reshape(len(signs), -1), across if now[2] != now[3] else None, least)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in found], pa.int64()), pa.array([nodes[b] for _, b in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            names = zip(*(batch.column(c).to_pylist() for c in group), strict=True)
+            for name, side, node, sign in zip(names, *(batch.column(c).to_pylist() for c in ("block", "node", "signature")), strict=True):
+                if name != now:
+                    if len(nodes) > 1:
+                        yield done()
+                    now, nodes, sides, signs = name, [], [], []
+                nodes.append(node)
+                sides.append(side)
+                signs.append(sign)
+        if len(nodes) > 1:
+            yield done()
+
+    return components(rows.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(link, "a long, b long"))
+
+
 def met(members: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: links that span what is near among the classes of each (root, i, j): rows root, i, j, side, set_key, label, text.
 
@@ -254,7 +319,7 @@ def met(members: DataFrame, width: int, percent: int) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """a, b: near pairs of set keys that span each component. classes: set_key, doc_id, tie, n_shingles, bands; one row for each set."""
     # Clusters are made of 64-bit names of sets: two sets with one name would only share a cluster.
-    clusters = components(candidates(classes, percent))
+    clusters = clusters_of(classes, percent)
     sizes = classes.select("set_key", "doc_id", "tie", "n_shingles", F.xxhash64("set_key").alias("node"))
     grouped = staged(clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "node"))
     weight = lambda n: F.greatest(F.ceil(n / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
