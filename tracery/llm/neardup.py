@@ -325,9 +325,9 @@ def links(docs: DataFrame, classes: DataFrame, width: int = WORDS, percent: int
     weight = lambda n: F.greatest(F.ceil(n / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     placed = splitting_join(grouped, grouped.groupBy("root").agg(weight(F.count(F.lit(1))).alias("blocks")), "root")
     placed = staged(placed.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")))
-    # All texts are shuffled once; those of clusters are written, for the second meeting needs some of them again.
+    # All texts are shuffled once, at every size (a small side would be broadcast); those of clusters are written, for the second meeting needs some of them again.
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    members = staged(placed.join(texts, placed["doc_id"].eqNullSafe(texts["d"]) & (placed["tie"] == texts["h"])).select("root", "node", "blocks", "block", "set_key", "n_shingles", "text"))
+    members = staged(placed.join(texts.hint("merge"), placed["doc_id"].eqNullSafe(texts["d"]) & (placed["tie"] == texts["h"])).select("root", "node", "blocks", "block", "set_key", "n_shingles", "text"))
     every = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = members.select("root", F.explode(every).alias("i"), F.lit(0).alias("j"), F.lit(None).cast("int").alias("side"), "set_key", F.lit(None).cast("binary").alias("label"), "text")
     large = placed.where("blocks > 1").select("root", "node", "blocks", "block", "set_key", "n_shingles")
