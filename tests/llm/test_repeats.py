@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracery.llm import repeats
+from tracery.llm import queries, repeats
+from tracery.llm.common import word_hashes
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -96,3 +97,25 @@ def test_edges(spark):
     assert {tuple(r) for r in listed.where("doc_id = 7").collect()} == {(7, 1, 0, 2, 40)} and listed.where("doc_id = 7").count() == 2
     short = {r.doc_id: r.text for r in repeats.collapsed(docs, "text").where("doc_id is not null").collect()}
     assert short[7] == "a b" and short[ids[0]] is None and short[9] == " \n" and short[11] == "long" and short[8] == "Ä é x"
+
+
+def test_the_query_tells_start_length_period(spark, sf):
+    told = "start,length,period\n"
+    by_contract = lambda rows: hashlib.sha256("".join(told.replace("start", str(i)).replace("length", str(m)).replace("period", str(q)) for i, q, m in rows).encode()).hexdigest()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    listed = {}
+    for r in repeats.runs(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0"), "text", F.col("doc_id")).collect():
+        listed.setdefault(r.doc_id, []).append((r.start, r.period, r.length))
+    out = queries.op13_periodic_runs(spark, sf)
+    assert out.columns[2:5] == ["start", "length", "period"]
+    got = {r.doc_id: r.runs_sha256 for r in out.collect()}
+    assert listed and all(got[i] == by_contract(sorted(x)) for i, x in listed.items())
+
+
+def test_long_words_that_a_polynomial_takes_for_each_other():
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    hashed, _ = word_hashes([f"{word} {other} {word}".encode()])
+    assert hashed[0] == hashed[2] != hashed[1]

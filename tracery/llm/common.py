@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -40,6 +41,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
+#: Words of more bytes than this get another hash: modulo 2**64 any polynomial is alike on two words of 1,024 bytes that are easily told.
+LONG_WORD = 256
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -54,7 +57,7 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts in order, and each text's number of words.
 
-    A word's hash is that of its bytes alone: a polynomial over them, taken from prefix sums, then mixed.
+    A word's hash is that of its bytes alone: a polynomial over them, taken from prefix sums, then mixed; BLAKE2 for long words.
     """
     blob = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
     if not len(blob):
@@ -68,7 +71,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(blob) + 1, np.uint64)
     np.cumsum((blob.astype(np.uint64) + np.uint64(1)) * up[: len(blob)], out=sums[1:])
     down = powers(len(blob) + 1, pow(_BASE, -1, 1 << 64))
-    return mix64((sums[end] - sums[start]) * down[start]), n_words
+    out = mix64((sums[end] - sums[start]) * down[start])
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(blob[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out, n_words
 
 
 def ascii_lower(text: str | None) -> bytes:

@@ -75,7 +75,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, and its text without their repetitions."""
-    return repeats.run_documents(table(spark, sf_dir, "documents"))
+    told = repeats.run_documents(table(spark, sf_dir, "documents"), listed=("start", "length", "period"))
+    return told.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -214,11 +214,13 @@ def planted(doc_id: int | None, n: int) -> np.ndarray | None:
     return np.where(place < a, place, a + (place - a) % p)
 
 
-def run_documents(docs: DataFrame) -> DataFrame:
+def run_documents(docs: DataFrame, listed: tuple[str, str, str] = ("start", "period", "length")) -> DataFrame:
     """Runs of every document, whose words are first made periodic where its id says so, and its text without their repetitions.
 
-    Null texts count as empty; rows without an id are left as they are. Repeated rows each get a result.
+    Null texts count as empty; rows without an id are left as they are. Repeated rows each get a result. runs_sha256 tells each run's fields in the order of `listed`.
     """
+    if sorted(listed) != sorted(Run._fields):
+        raise ValueError("listed names each field of a run once")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +238,7 @@ def run_documents(docs: DataFrame) -> DataFrame:
                     stay = np.flatnonzero(kept_words(len(words), own))
                     words = [words[j] for j in (stay if move is None else move[stay]).tolist()]
                 short.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                told.append(hashlib.sha256("".join(f"{r.start},{r.period},{r.length}\n" for r in own).encode()).hexdigest())
+                told.append(hashlib.sha256("".join(",".join(str(getattr(r, f)) for f in listed) + "\n" for r in own).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
