@@ -157,3 +157,15 @@ def test_archive_prints_tell_any_part(spark):
         other = prints(base | {part: rows})
         assert {s for s in {*first, *other} if first.get(s) != other.get(s)} == ({session} if session else set())
     assert prints(base | {"calls": [], "pins": [(1, "c", 1)]})["1"] != first["1"]
+
+
+def test_a_segment_is_one_row_whatever_order_its_lines_come_in(spark, tmp_path):
+    said = [f"line {i} " + "x" * (i % 7) for i in range(40)]
+    lines = spark.createDataFrame([("t", i, x) for i, x in enumerate(said)][::-1], "file string, line_no long, value string").repartition(4)
+    rows = sorted(transcripts.segments(lines, 100, again=2).collect(), key=lambda r: r.offset)
+    whole = "".join(x + "\n" for x in said)
+    assert len(rows) > 3 and all(whole[r.offset :].startswith(r.value + "\n") for r in rows)
+    assert all(a.offset + len(a.value) + 1 > b.offset for a, b in zip(rows, rows[1:], strict=False))
+    transcripts.written_in_segments(lines, f"{tmp_path}/l", 100, again=2)
+    files = {int(p.parent.name.split("=")[1]): p.read_text() for p in tmp_path.glob("l/*/*/part-*")}
+    assert files == {r.offset: r.value + "\n" for r in rows}

@@ -84,13 +84,18 @@ def event_log(rows: DataFrame) -> DataFrame:
     return found.select("file", "ordinal", F.col("j.payload.role").alias("role"), F.col("j.payload.text").alias("content"), F.when(F.col("j.payload.role") == "assistant", F.coalesce("carried", F.lit(""))).otherwise("").alias("model"))
 
 
-def written_in_segments(lines: DataFrame, path: str, bytes_each: int, again: int = 0) -> None:
-    """Writes lines (file, line_no, value) as segments of about so many bytes; each but the first also repeats the `again` lines before it."""
+def segments(lines: DataFrame, bytes_each: int, again: int = 0) -> DataFrame:
+    """transcript, offset, value: lines (file, line_no, value) as segments of about so many bytes, a row each; each but the first also repeats the `again` lines before it."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("file").orderBy("line_no")
     rows = lines.withColumn("at", F.coalesce(F.sum(F.octet_length("value") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("no", F.floor(F.col("at") / bytes_each)).withColumns({"ahead": F.lead("no", again).over(order), "no": F.col("no")}) if again else rows.withColumns({"no": F.floor(F.col("at") / bytes_each), "ahead": F.lit(None).cast("long")})
     own = F.when(F.col("ahead") > F.col("no"), F.array("no", F.col("no") + 1)).otherwise(F.array("no"))
-    rows = rows.withColumn("no", F.explode(own)).withColumn("offset", F.min("at").over(Window.partitionBy("file", "no")))
-    rows.repartition("file", "offset").sortWithinPartitions("file", "offset", "at").select(F.col("file").alias("transcript"), "offset", "value").write.partitionBy("transcript", "offset").option("lineSep", "\n").text(path)
+    held = rows.withColumn("no", F.explode(own)).groupBy("file", "no").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("x"))
+    return held.select(F.col("file").alias("transcript"), F.col("x")[0]["at"].alias("offset"), F.array_join(F.transform("x", lambda x: x["value"]), "\n").alias("value"))
+
+
+def written_in_segments(lines: DataFrame, path: str, bytes_each: int, again: int = 0) -> None:
+    """Writes `segments` as text files. Each is a row of its own, as the writer sorts rows anew by their folders, which keeps no order within one once it spills."""
+    segments(lines, bytes_each, again).write.partitionBy("transcript", "offset").option("lineSep", "\n").text(path)
