@@ -28,3 +28,14 @@ def test_changed_moved_and_lost_messages_are_told(spark, monkeypatch, block):
     assert told(change(lambda x: ("n", 0, "user", "-") if x[:2] == ("n", 0) else x)) == {"nulls": "changed"}
     assert ranges.evidence_verdicts(kept.limit(0), frame(rows), ["content"]).count() == 0
     assert set(ranges.evidence_verdicts(kept, frame(rows).where(F.lit(False)), ["content"]).select("verdict").distinct().toPandas()["verdict"]) == {"missing", "invalid"}
+
+
+def test_calls_are_dealt_to_tasks_of_bounded_size(spark, sf, monkeypatch):
+    from tracery.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    lines = tables.read(spark, sf, "lineitem")
+    dealt = tables.lens(spark, sf).calls
+    assert dealt.rdd.getNumPartitions() == -(-lines.count() // 500) > 4
+    monkeypatch.undo()
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, tables.lens(spark, sf).calls.collect()))
