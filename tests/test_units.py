@@ -152,6 +152,26 @@ def test_forks_of_deep_and_random_trees(spark):
     assert odd == {"a": None, "b": None, "c": "c", "d": "c"}  # a cycle ends; a parent that isn't there
 
 
+def test_forks_of_many_trees_take_one_shuffle(spark, monkeypatch):
+    """With the tree's column results are the same, small trees aren't joined, and large ones and nodes of no tree are whole too."""
+    rng, nodes = random.Random(5), []
+    for k in range(300):
+        nodes += [(k, f"t{k}", None, "user", 0)] + [(k, f"t{k}/{i}", f"t{k}" if i < 2 else f"t{k}/{max(1, i - rng.choice([1, 1, 2, 5]))}", rng.choice(["user", "assistant", None]), i // 2) for i in range(1, rng.choice([1, 3, 30, 90]))]
+    nodes += [(None, "n0", None, "user", 0), (None, "n1", "n0", "user", 1), (None, "n2", "n0", "user", 2), (301, "gone1", "gone", "user", 0), (301, "gone2", "gone1", "user", 1)]
+    frame = spark.createDataFrame(nodes, "session long, id string, parent_id string, role string, place int")
+    want = {r.id: r.owner for r in ingest.forks(frame.drop("session")).collect()}
+    for most in (ingest.TREE_NODES, 40):
+        monkeypatch.setattr(ingest, "TREE_NODES", most)
+        got = ingest.forks(frame, tree="session").collect()
+        assert len(got) == len(nodes) and {r.id: r.owner for r in got} == want
+    assert None in want.values() and {k: v for k, v in want.items() if k[0] == "t"} == owners([n[1:] for n in nodes if n[1][0] == "t"])
+    one = ingest.forks(frame.where("session is not null"), tree="session")
+    monkeypatch.setattr(ingest, "doubled_owners", None)
+    monkeypatch.setattr(ingest, "TREE_NODES", 90)
+    plan = ingest.forks(frame.where("session is not null"), tree="session")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and one.count() == len(nodes) - 3
+
+
 def test_terms_come_from_the_whole_text(spark, sf):
     t = lens(spark, sf)
     text_of = {(r.session_id, r.ordinal): r.content for r in t.turns.where("role = 'user'").collect()}

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from .graph import tops
 from ..sources.tables import Tables
 
 MAX_TOKENS = 2_000_000
+#: A tree of more nodes than this is walked by doubling joins, any other within a task; a task holds about so many nodes of whole trees at once.
+TREE_NODES = 1 << 15
 #: Raw tool names by category; names not listed are Other.
 CATEGORIES = {
     "Read": ["read", "read_file", "view", "cat", "open_file", "readfile", "notebookread"],
@@ -186,16 +193,11 @@ def nearest_mark(state: DataFrame) -> DataFrame:
     return up.unionByName(state.where("ptr is null"))
 
 
-def forks(nodes: DataFrame, retry_turns: int = 3) -> DataFrame:
-    """id, owner for nodes (id, parent_id, role, place): where a tree branches and the first child's subtree has more user turns than a
-    retry, each later child starts a fork of its own; else the last child is followed and the others are dropped (I11).
-
-    owner: the nearest start of a fork above a node, or its root; null for what a dropped branch holds. A node whose parent isn't
-    there is a root.
-    """
+def doubled_owners(nodes: DataFrame, retry_turns: int) -> DataFrame:
+    """`forks` by joins: log of the depth rounds of all nodes, for trees of any size."""
     there = nodes.select(F.col("id").alias("parent_id"), F.col("id").alias("ptr"))
     nodes = staged(nodes.where("parent_id is not null").join(there, "parent_id", "left").select("id", "ptr", "role", "place").unionByName(nodes.where("parent_id is null").select("id", F.col("parent_id").alias("ptr"), "role", "place")))
-    turns = doubled(nodes.select("id", "ptr", (F.col("role") == "user").cast("long").alias("turns")), subtree_turns).select("id", "turns")
+    turns = doubled(nodes.select("id", "ptr", F.col("role").eqNullSafe("user").cast("long").alias("turns")), subtree_turns).select("id", "turns")
     kids = nodes.where("ptr is not null")
     child = F.struct("place", "id")
     ends = kids.groupBy("ptr").agg(F.count(F.lit(1)).alias("n"), F.min(child)["id"].alias("first"), F.max(child)["id"].alias("last")).where("n > 1")
@@ -207,6 +209,79 @@ def forks(nodes: DataFrame, retry_turns: int = 3) -> DataFrame:
     return doubled(own, nearest_mark).select("id", F.when(~F.col("dropped"), F.col("near")).alias("owner"))
 
 
+def owners_of(parent: np.ndarray, user: np.ndarray, retry_turns: int) -> np.ndarray:
+    """The owner's place, or -1, of nodes of whole trees, children in their order; parent: its place, or -1."""
+    n, at, kid = len(parent), np.arange(len(parent)), parent >= 0
+    turns, ptr, reach = user.astype(np.int64), parent, 1
+    hop = lambda p: np.where(p >= 0, parts[p], -1)
+    while reach <= n and (ptr >= 0).any():
+        turns = turns + np.bincount(ptr[ptr >= 0], weights=turns[ptr >= 0], minlength=n).astype(np.int64)
+        parts = ptr
+        ptr, reach = hop(ptr), reach * 2
+    first, last = np.full(n, n), np.full(n, -1)
+    np.minimum.at(first, parent[kid], at[kid])
+    np.maximum.at(last, parent[kid], at[kid])
+    above = np.where(kid, parent, 0)
+    branches = kid & (first[above] < last[above])
+    retry = turns[np.minimum(first[above], n - 1)] <= retry_turns
+    dropped = branches & retry & (at != last[above])
+    near = np.where(~kid | dropped | branches & ~retry & (at != first[above]), at, -1)
+    ptr, reach = parent, 1
+    while reach <= n and (ptr >= 0).any():
+        up = ptr >= 0
+        near, dropped = np.where(up & (near < 0), near[ptr], near), dropped | up & dropped[ptr]
+        parts = ptr
+        ptr, reach = hop(ptr), reach * 2
+    return np.where(dropped, -1, near)
+
+
+def forks(nodes: DataFrame, retry_turns: int = 3, tree: str | None = None) -> DataFrame:
+    """id, owner for nodes (id, parent_id, role, place): where a tree branches and the first child's subtree has more user turns than a
+    retry, each later child starts a fork of its own; else the last child is followed and the others are dropped (I11).
+
+    owner: the nearest start of a fork above a node, or its root; null for what a dropped branch holds. A node whose parent isn't
+    there is a root. tree: a column that a node has in common with its parent; nodes are then shuffled once by it, and only trees of more
+    than TREE_NODES, and nodes where it is null, take the joins of `doubled_owners`, as all do without it.
+    """
+    if tree is None:
+        return doubled_owners(nodes, retry_turns)
+    nodes = nodes.withColumnRenamed(tree, "tree")
+    own = Window.partitionBy("tree").orderBy("place", "id")
+    large = nodes.groupBy("tree").count().where(F.col("tree").isNull() | (F.col("count") > TREE_NODES)).select("tree")
+    small, rest = nodes, None
+    if large.take(1):
+        large = staged(large)
+        small = nodes.where("tree is not null").join(large, "tree", "left_anti")
+        rest = doubled_owners(nodes.join(large.withColumnRenamed("tree", "big"), F.col("tree").eqNullSafe(F.col("big")), "left_semi").drop("tree"), retry_turns)
+    # The number of a node in its tree keeps trees whole and in order, also where the rows are dealt by them already.
+    small = small.select("id", "parent_id", F.col("role").eqNullSafe("user").alias("user"), F.row_number().over(own).alias("at"))
+    kind = nodes.schema["id"].dataType.simpleString()
+
+    def solved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            ids = rows.column("id").combine_chunks()
+            parent = pc.fill_null(pc.index_in(rows.column("parent_id").combine_chunks(), ids, skip_nulls=True), -1).to_numpy(zero_copy_only=False)
+            found = owners_of(parent.astype(np.int64), rows.column("user").to_numpy(), retry_turns)
+            owner = ids.take(pa.array(np.maximum(found, 0), mask=found < 0))
+            yield from pa.table({"id": ids, "owner": owner}).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= TREE_NODES:
+                rows = pa.Table.from_batches(held)
+                cut = int(np.flatnonzero(rows.column("at").to_numpy() == 1)[-1])  # where the last tree begins, which may go on
+                if cut:
+                    yield from done(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    found = small.mapInArrow(solved, f"id {kind}, owner {kind}")
+    return found if rest is None else found.unionByName(rest)
+
+
 def linked(t: Tables) -> DataFrame:
     """Subagent sessions with the session that started them."""
     own = t.sessions.where("relationship = 'subagent'").select("session_id", "parent_id")

@@ -30,7 +30,7 @@ def _forks(t: Tables) -> DataFrame:
     rows = t.messages.select("session_id", "ordinal", "role")
     parent = F.when(F.col("ordinal") % 6 == 5, F.col("ordinal") - 3).when(F.col("ordinal") > 0, F.col("ordinal") - 1)
     name = lambda o: F.when(o.isNotNull(), F.concat_ws("/", F.col("session_id"), o.cast("string")))
-    return ingest.forks(rows.select(name(F.col("ordinal")).alias("id"), name(parent).alias("parent_id"), "role", F.col("ordinal").alias("place")))
+    return ingest.forks(rows.select("session_id", name(F.col("ordinal")).alias("id"), name(parent).alias("parent_id"), "role", F.col("ordinal").alias("place")), tree="session_id")
 
 
 def _conversations(t: Tables) -> DataFrame:
