@@ -11,6 +11,7 @@ from tracery.functions import numbers
 from tracery.operators import coach, concurrency, filters, graph, ingest, maintain, prompts, quality, report, text
 from tracery.plans import advice, intake, search, upkeep
 from tracery.sources.tables import Tables, lens
+from tracery.streaming import jobs
 
 
 def test_duplicate_prompts_against_python(spark, sf):
@@ -400,6 +401,38 @@ def test_all_scanners_against_python(spark, sf):
     assert [(c.key, c.findings) for c in counts] == [(15, 1)] and text.scan_counts(text.scan(spark.createDataFrame(docs, "key long, text string")), version="1").count() == 0
 
 
+def test_recomputes_hold_a_row_of_state_for_a_group_of_sessions(spark, tmp_path, monkeypatch):
+    """Over several batches: the right instants, and state of a group for sessions that are still of use alone."""
+    rng, base, size = random.Random(4), 1_704_067_200, 400
+    events, at = [], 0
+    for i in range(4 * size):
+        at += rng.choice([0, 1, 2, 3])
+        events.append((f"s{rng.randrange(120)}", base + at))
+    schema = "session_id string, at long"
+    for part in range(4):
+        spark.createDataFrame(events[part * size : part * size + size], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(jobs, "GROUPS", 8, raising=False)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("ts", F.timestamp_seconds("at"))
+    got = []
+    query = jobs.recomputes(stream, delay="20 seconds").writeStream.outputMode("append").foreachBatch(lambda b, _: got.extend((r.session_id, r["at"] // 1_000_000) for r in b.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 1 <= query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+    top, want = events[-1][1] - 20, []
+    for s in {s for s, _ in events}:
+        last = marked = None
+        for t in [t for x, t in events if x == s] + [None]:
+            limit = top if t is None else t
+            if marked is not None and min(last + 60, marked + 10) <= limit:
+                last, marked = min(last + 60, marked + 10), None
+                want.append((s, last))
+            if t is not None and (last is None or t - last >= 60):
+                last, marked = t, None
+                want.append((s, t))
+            elif t is not None:
+                marked = t
+    assert sorted(got) == sorted(want) and len(want) > 500
+
+
 def test_recomputes_against_python(spark, tmp_path):
     """A stream in several batches: every recompute that is due by the watermark, and no other."""
     rng, base = random.Random(8), 1_704_067_200

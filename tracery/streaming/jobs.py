@@ -43,43 +43,65 @@ def status(messages: DataFrame, now: str) -> DataFrame:
     return versions(messages).select("session_id", F.when(age < 600_000_000, "active").when(age < 3_600_000_000, "stale").otherwise("unclean").alias("status"))
 
 
+#: Sessions are dealt to so many groups by hash: a call of Python and a row of state for each of these, not for each session.
+GROUPS = 1 << 12
+
+
 def recomputes(messages: DataFrame, interval: int = 60, quiet: int = 10, delay: str = "10 minutes") -> DataFrame:
     """session_id, at (microseconds): when the signals of sessions with new messages are computed anew.
 
     At once if that was `interval` seconds ago or more, else when the session has been quiet for `quiet` seconds or the interval is over. Times are the
-    messages' own, and timers fire by the watermark, so reruns agree. A session's state is two instants.
+    messages' own, and timers fire by the watermark, so reruns agree. A session's state is two instants; it is dropped when the watermark has passed the
+    interval, since a message that isn't late is then computed at once, as a session's first one is.
     """
     step, rest = interval * 1_000_000, quiet * 1_000_000
 
     def run(key, frames, state):
+        import numpy as np
         import pandas as pd
 
-        last, marked = state.get if state.exists else (None, None)
-        out, times = [], sorted(t for f in frames for t in f["us"].tolist())
-
-        def due():
-            return min(last + step, marked + rest)
-
-        for t in [*times, None]:
-            # Before a message, and when the timer fires, what is due by then is done.
-            until = t if t is not None else state.getCurrentWatermarkMs() * 1000
-            if marked is not None and due() <= until:
-                last, marked = due(), None
-                out.append(last)
-            if t is None:
-                break
+        known = {s: (last, marked) for s, last, marked in zip(*state.get, strict=True)} if state.exists else {}
+        sessions, at = [], []
+        due = lambda last, marked: last + step if marked is None else min(last + step, marked + rest)
+        own = [f for f in frames if len(f)]
+        times = np.concatenate([f["us"].to_numpy() for f in own]) if own else np.empty(0, np.int64)
+        names = np.concatenate([f["session_id"].to_numpy(dtype=object) for f in own]) if own else np.empty(0, object)
+        order = np.argsort(times, kind="stable")
+        for s, t in zip(names[order].tolist(), times[order].tolist(), strict=True):
+            last, marked = known.get(s, (None, None))
+            # Before a message, what is due by then is done.
+            if marked is not None and due(last, marked) <= t:
+                last, marked = due(last, marked), None
+                sessions.append(s)
+                at.append(last)
             if last is None or t - last >= step:
                 last, marked = t, None
-                out.append(t)
+                sessions.append(s)
+                at.append(t)
             else:
                 marked = t
-        state.update((last, marked))
-        if marked is not None:
-            state.setTimeoutTimestamp(max(-(-due() // 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"session_id": [key[0]] * len(out), "at": pd.Series(out, dtype="int64")})
-
-    rows = messages.withWatermark("ts", delay).select("session_id", "ts", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("session_id").applyInPandasWithState(run, "session_id string, at long", "last long, marked long", "append", "EventTimeTimeout")
+            known[s] = last, marked
+        # So is what is due by the watermark.
+        now, left = state.getCurrentWatermarkMs() * 1000, {}
+        for s, (last, marked) in known.items():
+            if marked is not None and due(last, marked) <= now:
+                last, marked = due(last, marked), None
+                sessions.append(s)
+                at.append(last)
+            if marked is not None or last + step > now:
+                left[s] = last, marked
+        if left:
+            state.update((list(left), [x for x, _ in left.values()], [x for _, x in left.values()]))
+            # A timer fires when the watermark is past it, so a millisecond before what is due.
+            state.setTimeoutTimestamp(max(min(-(-due(*x) // 1000) for x in left.values()) - 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"session_id": sessions, "at": pd.Series(at, dtype="int64")})
+
+    group = F.pmod(F.xxhash64("session_id"), F.lit(GROUPS)).alias("group")
+    rows = messages.withWatermark("ts", delay).select(group, "session_id", "ts", F.unix_micros("ts").alias("us"))
+    state = "sessions array<string>, last array<long>, marked array<long>"
+    return rows.groupBy("group").applyInPandasWithState(run, "session_id string, at long", state, "append", "EventTimeTimeout")
 
 
 def run_to_end(df: DataFrame, mode: str) -> DataFrame:
