@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tracery.llm import mixing, neardup, pieces, quality, secrets
 from tracery.llm.common import shared_folder
 
+#: Bytes of text that piece encoding takes at once. Its workers keep what they took, beside an executor that four stages have filled already.
+ENCODED_AT_ONCE = 1 << 20
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -36,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # rows without an id are told apart by their texts
     again = Window.partitionBy("doc_id", own).orderBy(F.desc("n_chars"))
     numbered = docs.withColumn("repeat", F.row_number().over(again))
-    return pieces.segment(numbered, "text", F.struct("doc_id", "repeat"), F.col("doc_id"), F.col("source"), F.col("repeat"), with_ids=True)
+    return pieces.segment(numbered, "text", F.struct("doc_id", "repeat"), F.col("doc_id"), F.col("source"), F.col("repeat"), with_ids=True, chunk=ENCODED_AT_ONCE)
 
 
 STAGES = [("quality classifier", classify), ("near-dedup", deduplicate), ("secret scans", mask_secrets), ("mixing to weights", mix), ("piece encoding", encode)]

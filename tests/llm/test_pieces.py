@@ -135,3 +135,34 @@ def test_segment_documents(spark, sf):
     assert all(r.decodes for r in got) and sum(r.doc_id == 4 for r in got) == 4
     assert [(r["n_pieces"], r["sample"]) for r in got if r.doc_id in (1, 2)] == [(0, 0), (0, 0)]
     assert pieces.segment_documents(odd.limit(0)).count() == 0
+
+
+def test_the_pipelines_encoding_takes_little_memory(sf):
+    """Texts of 4 MB: the arrays of one chunk at a time, and the same segmentations as with the larger chunk."""
+    import tracemalloc
+
+    import corpus_pipeline
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tracery.llm.common import text_chunks
+
+    texts = [t for t in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist() if t]
+    vocabulary, turned = pieces.load(), [t[i:] + t[:i] for i in range(1, 60) for t in texts]
+    size = np.cumsum([len(t.encode()) for t in turned])
+    batch = pa.RecordBatch.from_pydict({"text": turned[: int(np.searchsorted(size, 4 << 20))]})
+
+    def run(chunk):
+        out, at = [], 0
+        tracemalloc.start()
+        try:
+            for p in text_chunks([batch], limit=chunk):
+                found = pieces.sample(p.column("text").to_pylist(), list(range(at, at + p.num_rows)), vocabulary)
+                out, at = out + [hash(tuple((ids.tobytes(), *rest) for ids, *rest in own)) for own in found], at + p.num_rows
+            return out, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (few, less), (many, more) = run(corpus_pipeline.ENCODED_AT_ONCE), run(pieces.CHUNK)
+    assert few == many and len(few) == batch.num_rows and size[len(few) - 1] > 3 << 20
+    assert less < 90e6 and 2 * less < more

@@ -39,7 +39,7 @@ SPACE = "▁"
 MARK = "\ud800"
 #: So many branches of a path are split from a set at once.
 SPLIT = 256
-#: Bytes of text that share their units' lattices.
+#: Bytes of text that share their units' lattices; a worker takes some tens of bytes of memory for each of them.
 CHUNK = 3 << 20
 
 
@@ -472,12 +472,12 @@ def spell(ids: list[np.ndarray], texts: list[str], vocabulary: Vocabulary) -> li
     return [decode(x.tolist(), vocabulary) == t for x, t in zip(ids, texts, strict=True)]
 
 
-def segment(docs: DataFrame, text_col: str, key: Column, *keep: Column, k: int = SAMPLES, model: str = MODEL, with_ids: bool = False) -> DataFrame:
+def segment(docs: DataFrame, text_col: str, key: Column, *keep: Column, k: int = SAMPLES, model: str = MODEL, with_ids: bool = False, chunk: int = CHUNK) -> DataFrame:
     """The columns `keep` with sample (from 0), n_pieces, log_prob, perturbed, log_inclusion, ids_sha256 and decodes, one row for each segmentation.
 
     key seeds what is drawn; rows with equal key and text get the same. decodes: whether the pieces give the text
     back, byte for byte. Null texts count as empty, which has one segmentation, into no pieces. with_ids adds the ids.
-    A kept column with the name of a result gets an underscore after it.
+    chunk: bytes of text that share their units' lattices; fewer take less memory and more time, for the same rows. A kept column with the name of a result gets an underscore after it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(load(model))
     names = ["sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_sha256", "decodes"] + ["ids"] * with_ids
@@ -485,7 +485,7 @@ def segment(docs: DataFrame, text_col: str, key: Column, *keep: Column, k: int =
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sent.value
-        for part in text_chunks(batches, "__text", CHUNK):
+        for part in text_chunks(batches, "__text", chunk):
             texts = [t or "" for t in part.column("__text").to_pylist()]
             found = sample(texts, part.column("__key").to_pylist(), vocabulary, k)
             owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
