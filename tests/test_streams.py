@@ -7,8 +7,11 @@ import shutil
 from pyspark.sql import functions as F
 
 from tracery.operators import ingest, maintain
+from tracery.plans import catalog
 from tracery.streaming import mirror, transcripts
 
+from .compare import connection, difference
+
 
 def put(folder, file, offset, data):
     path = f"{folder}/transcript={file}/offset={offset}"
@@ -169,3 +172,32 @@ def test_a_segment_is_one_row_whatever_order_its_lines_come_in(spark, tmp_path):
     transcripts.written_in_segments(lines, f"{tmp_path}/l", 100, again=2)
     files = {int(p.parent.name.split("=")[1]): p.read_text() for p in tmp_path.glob("l/*/*/part-*")}
     assert files == {r.offset: r.value + "\n" for r in rows}
+
+
+def test_segments_have_no_gap_at_a_transcripts_end(spark, tmp_path):
+    """Before, a transcript's last line but one wasn't repeated where the last one is a segment of its own, so that one came in its place."""
+    said = {f"t{n}": [line(i, "user", f"{i} " + "x" * (i * 37 % 60)).decode()[:-1] for i in range(n)] for n in range(1, 24)}
+    rows = transcripts.segments(spark.createDataFrame([(f, i, x) for f, lines in said.items() for i, x in enumerate(lines)], "file string, line_no long, value string"), 400, again=2).collect()
+    lone = 0
+    for name, lines in said.items():
+        starts = [sum(len(x) + 1 for x in lines[:i]) for i in range(len(lines))]
+        first = {at // 400: i for i, at in reversed(list(enumerate(starts)))}
+        last = {at // 400: i for i, at in enumerate(starts)}
+        assert sorted((r.offset, r.value) for r in rows if r.transcript == name) == sorted((starts[max(0, first[no] - 2)], "\n".join(lines[max(0, first[no] - 2) : last[no] + 1])) for no in first)
+        lone += len(first) > 1 and first[max(first)] == len(lines) - 1
+    assert lone > 3
+    lines = spark.createDataFrame([(f, i, x) for f, own in said.items() for i, x in enumerate(own)], "file string, line_no long, value string")
+    transcripts.written_in_segments(lines, f"{tmp_path}/l", 400, again=2)
+    got = taken(spark, transcripts.uuid_tree, f"{tmp_path}/l", f"{tmp_path}/state", f"{tmp_path}/out").select("file", "ordinal", "uuid").collect()
+    assert sorted(map(tuple, got)) == sorted((f, i, f"u{i}") for f, own in said.items() for i in range(len(own)))
+
+
+def test_transcripts_of_shifted_sessions_are_those_of_the_sql(spark, sf, tmp_path):
+    """Before, sessions were put in transcripts by division of floats, rounded down below zero."""
+    for name in os.listdir(sf):
+        os.symlink(f"{sf}/{name}", f"{tmp_path}/{name}")
+    os.remove(f"{tmp_path}/conversations.parquet")
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows.withColumn("conv_id", F.col("conv_id") - 60).unionByName(rows.withColumn("conv_id", F.col("conv_id") + 2**53 + 41)).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = connection(str(tmp_path))
+    assert difference(catalog.queries()["stream_transcripts"](spark, str(tmp_path)), con, catalog.oracles()["stream_transcripts"]) is None

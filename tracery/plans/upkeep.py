@@ -99,7 +99,7 @@ def _transcripts(spark, sf_dir: str):
     folder = folder_for(spark)
     turns = lens(spark, sf_dir).turns
     order = Window.partitionBy("transcript").orderBy("session_id", "ordinal")
-    own = turns.withColumn("transcript", F.floor(F.col("session_id") / 50))
+    own = turns.withColumn("transcript", F.expr("session_id div 50"))
     named = own.select(F.col("transcript").alias("session_id"), (F.row_number().over(order) - 1).alias("ordinal"), "role", "content")
     transcripts.written_in_segments(intake._tree_lines(Tables(None, None, None, named)), f"{folder}/lines", bytes_each=1 << 16, again=2)
     files = spark.read.format("binaryFile").load(f"{folder}/lines/*/*").count()

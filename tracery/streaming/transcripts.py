@@ -90,9 +90,11 @@ def segments(lines: DataFrame, bytes_each: int, again: int = 0) -> DataFrame:
 
     order = Window.partitionBy("file").orderBy("line_no")
     rows = lines.withColumn("at", F.coalesce(F.sum(F.octet_length("value") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("no", F.floor(F.col("at") / bytes_each)).withColumns({"ahead": F.lead("no", again).over(order), "no": F.col("no")}) if again else rows.withColumns({"no": F.floor(F.col("at") / bytes_each), "ahead": F.lit(None).cast("long")})
-    own = F.when(F.col("ahead") > F.col("no"), F.array("no", F.col("no") + 1)).otherwise(F.array("no"))
-    held = rows.withColumn("no", F.explode(own)).groupBy("file", "no").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("x"))
+    rows = rows.withColumn("no", F.floor(F.col("at") / bytes_each))
+    # A line stands in its own segment and in those of the next `again` lines; at a transcript's end there are fewer of these.
+    own = F.array_distinct(F.array_compact(F.array("no", *(F.lead("no", k).over(order) for k in range(1, again + 1)))))
+    rows = rows.withColumn("own", own)
+    held = rows.withColumn("no", F.explode("own")).groupBy("file", "no").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("x"))
     return held.select(F.col("file").alias("transcript"), F.col("x")[0]["at"].alias("offset"), F.array_join(F.transform("x", lambda x: x["value"]), "\n").alias("value"))
 
 
