@@ -191,6 +191,13 @@ def test_all_prompts_of_the_stated_sessions_are_ranked(spark, sf):
     assert {q.split("-")[1] for q in asked} > {"2"}
 
 
+def test_recall_ranked_ranks_every_prompt(spark, sf):
+    """Before, it ranked those of the sessions whose id is divisible by 20."""
+    t = lens(spark, sf)
+    asked = {f"{r.session_id}-{r.ordinal}" for r in t.turns.where("role = 'user'").collect()}
+    assert {r.query for r in advice.QUERIES["recall_ranked"][0](t).collect()} == asked
+
+
 def test_queries_grow_with_the_tables(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     asked = {r.query for r in search.TABLE_QUERIES["text_semantic_all"][0](spark, sf).collect()}
